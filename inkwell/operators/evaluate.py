@@ -35,14 +35,8 @@ def _cols(group_cols) -> list[str]:
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how="inner") -> DataFrame:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else (cond & c)
-    out = left.join(right, cond, how)
-    return out.select(*[left[k] for k in keys],
-                      *[left[c] for c in left.columns if c not in keys],
-                      *[right[c] for c in right.columns if c not in keys])
+    from inkwell.operators.ordering import _eq_join
+    return _eq_join(left, right, keys, how)
 
 
 def score_counts(df: DataFrame, group_cols, score: str = "score",

@@ -6,7 +6,7 @@ WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{2
 
 
 def words(t: str) -> str:
-    return f"list_filter(regexp_split_to_array({t}, '{WS}+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({t}, '{WS}+'), lambda x: x <> '')"
 
 
 def word_count(t: str) -> str:
@@ -51,3 +51,25 @@ SELECT {gsel}CASE WHEN MAX(P) > 0 AND MAX(N) > 0
             THEN ROUND(SUM(nneg * (tp - npos / 2.0)) / (MAX(P) * MAX(N)), 6) END AS auroc,
        CAST(MAX(P) AS BIGINT) AS n_pos, CAST(MAX(N) AS BIGINT) AS n_neg
 FROM c {"GROUP BY " + g if g else ""}"""
+
+
+def md5_key(id_expr: str, seed) -> str:
+    return f"md5('{seed}:' || CAST({id_expr} AS VARCHAR))"
+
+
+def frac_split_sql(src: str, cls: str, idc: str, frac: float, seed, out: str) -> str:
+    """CTEs assigning ``is_test`` by a stratified fraction split of ``src``
+    (largest remainder over classes, ceil of the float product)."""
+    return f"""
+{out}_n AS (SELECT {cls} AS cls, COUNT(*) AS cnt FROM {src} GROUP BY {cls}),
+{out}_t AS (SELECT cls, cnt, SUM(cnt) OVER () AS nn,
+                CAST(CEIL(CAST(SUM(cnt) OVER () AS DOUBLE) * CAST({frac!r} AS DOUBLE)) AS BIGINT) AS tt
+            FROM {out}_n),
+{out}_e AS (SELECT *, tt * cnt / nn AS ex FROM {out}_t),
+{out}_f AS (SELECT *, CAST(FLOOR(ex) AS BIGINT) AS fl, ex - FLOOR(ex) AS rem FROM {out}_e),
+{out}_g AS (SELECT *, tt - SUM(fl) OVER () AS lft,
+                ROW_NUMBER() OVER (ORDER BY rem DESC, cls) AS r FROM {out}_f),
+{out}_k AS (SELECT cls, fl + CASE WHEN r <= lft THEN 1 ELSE 0 END AS take FROM {out}_g),
+{out} AS (SELECT s.*, ROW_NUMBER() OVER (PARTITION BY s.{cls} ORDER BY {md5_key('s.' + idc, seed)}, s.{idc})
+                 <= k.take AS is_test
+          FROM {src} s JOIN {out}_k k ON s.{cls} = k.cls)"""
