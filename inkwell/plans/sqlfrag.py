@@ -73,3 +73,38 @@ def frac_split_sql(src: str, cls: str, idc: str, frac: float, seed, out: str) ->
 {out} AS (SELECT s.*, ROW_NUMBER() OVER (PARTITION BY s.{cls} ORDER BY {md5_key('s.' + idc, seed)}, s.{idc})
                  <= k.take AS is_test
           FROM {src} s JOIN {out}_k k ON s.{cls} = k.cls)"""
+
+
+def sql_str(s: str) -> str:
+    """A Python string as a DuckDB string expression (newlines via chr)."""
+    parts = s.split("\n")
+    lits = ["'" + p.replace("'", "''") + "'" for p in parts]
+    return " || chr(10) || ".join(lits) if len(lits) > 1 else lits[0]
+
+
+def detokenise(t: str) -> str:
+    from inkwell.functions.text import DETOKENISE_RULES
+    e = t
+    for old, new in DETOKENISE_RULES:
+        e = f"replace({e}, {sql_str(old)}, {sql_str(new)})"
+    return strip(e)
+
+
+def remove_tags(t: str) -> str:
+    from inkwell.functions.text import PROMPT_TAGS
+    e = t
+    for tag in PROMPT_TAGS:
+        e = f"replace({e}, {sql_str(tag)}, '')"
+    return e
+
+
+def reduce_words_sql(src: str, idc: str, textc: str, max_words: int, out: str) -> str:
+    """CTEs: E14 line-keeping word budget of ``src.textc`` as ``out(id, text)``."""
+    return f"""
+{out}_l AS (SELECT {idc} AS id, UNNEST(string_split({textc}, chr(10))) AS line,
+                   generate_subscripts(string_split({textc}, chr(10)), 1) AS i FROM {src}),
+{out}_w AS (SELECT id, i, {words('line')} AS w FROM {out}_l),
+{out}_c AS (SELECT id, i, w, COALESCE(SUM(len(w)) OVER (PARTITION BY id ORDER BY i
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {out}_w),
+{out} AS (SELECT id, string_agg(array_to_string(w[1:{max_words} - before], ' '), chr(10) ORDER BY i) AS text
+          FROM {out}_c WHERE before < {max_words} GROUP BY id)"""

@@ -1 +1,80 @@
-"""Registered queries."""
+"""String-function queries (E1-E8, E14-E17, E22-E23, P6, P11) over the
+whole document and conversation tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkwell.functions import text as T
+from inkwell.operators import pair as PR
+from inkwell.plans.registry import register
+from inkwell.plans.sqlfrag import (detokenise, fold, reduce_words_sql, remove_tags,
+                                  space_word_count, strip, word_count, words)
+from inkwell.session import table
+
+REDUCE_MAX_WORDS = 150
+
+
+@register("e_text_normalisation", f"""
+SELECT doc_id,
+       {space_word_count('text')} AS n_space_words,
+       {word_count('text')} AS n_words,
+       md5({strip('text')}) AS strip_md5,
+       md5({fold('text')}) AS fold_md5,
+       md5(translate(text, chr(160) || chr(10), '  ')) AS e5_md5,
+       md5(array_to_string({words('text')}[1:30], ' ')) AS prompt30_md5,
+       md5(array_to_string(string_split(text, ' ')[1:len(string_split(text, ' ')) - 1], ' ')) AS drop_last_md5,
+       CAST(len({words('text')}[1:300]) AS BIGINT) AS n_tokens_300,
+       {strip('text')} = '' AS is_blank
+FROM documents""")
+def e_text_normalisation(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id",
+        T.space_word_count("text").alias("n_space_words"),
+        T.word_count("text").alias("n_words"),
+        F.md5(T.py_strip("text")).alias("strip_md5"),
+        F.md5(T.fold_ws("text")).alias("fold_md5"),
+        F.md5(T.nbsp_newline_to_space("text")).alias("e5_md5"),
+        F.md5(T.first_words("text", 30)).alias("prompt30_md5"),
+        F.md5(T.drop_last_word("text")).alias("drop_last_md5"),
+        F.size(F.slice(T.words("text"), 1, 300)).cast("bigint").alias("n_tokens_300"),
+        T.is_blank("text").alias("is_blank"))
+
+
+_STORY_SQL = """(SELECT u.conv_id * 100 + u.turn AS pair_id,
+        '[ WP ] ' || replace(u.text, chr(10), ' ') AS prompt,
+        replace(replace(replace(a.text, ',', ' ,'), '.', ' .'), chr(10), ' <newline> ') AS story
+ FROM conversations u JOIN conversations a
+   ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+ WHERE u.role = 'user')"""
+
+
+def writing_stories(spark, sf_dir):
+    """F17 derived from the conversations: a tagged one-line prompt and a
+    story in tokenised form (space before ',' and '.', ``<newline>``)."""
+    pairs = PR.turn_pairs(table(spark, sf_dir, "conversations"))
+    return pairs.select(
+        "pair_id",
+        F.concat(F.lit("[ WP ] "), F.replace("original", F.lit("\n"), F.lit(" "))).alias("prompt"),
+        F.replace(F.replace(F.replace("sampled", F.lit(","), F.lit(" ,")), F.lit("."), F.lit(" .")),
+                  F.lit("\n"), F.lit(" <newline> ")).alias("story"))
+
+
+@register("e7_detokenised_stories", f"""
+WITH s AS (SELECT pair_id, {detokenise("(" + remove_tags('prompt') + " || ' ' || story)")} AS text FROM {_STORY_SQL})
+SELECT pair_id, md5(text) AS text_md5, {word_count('text')} AS n_words FROM s
+WHERE NOT contains(text, 'nsfw') AND NOT contains(text, 'NSFW')""")
+def e7_detokenised_stories(spark, sf_dir):
+    s = writing_stories(spark, sf_dir).select("pair_id", T.prompt_story("prompt", "story").alias("text"))
+    s = s.where(~F.col("text").contains("nsfw") & ~F.col("text").contains("NSFW"))  # P11
+    return s.select("pair_id", F.md5("text").alias("text_md5"), T.word_count("text").alias("n_words"))
+
+
+@register("e14_reduce_words", f"""
+WITH {reduce_words_sql('documents', 'doc_id', 'text', REDUCE_MAX_WORDS, 'r')}
+SELECT id AS doc_id, md5(text) AS text_md5, {word_count('text')} AS n_words FROM r""")
+def e14_reduce_words(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    r = d.select("doc_id", T.reduce_words("text", REDUCE_MAX_WORDS).alias("text"))
+    return r.select("doc_id", F.md5("text").alias("text_md5"), T.word_count("text").alias("n_words"))
