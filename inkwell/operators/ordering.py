@@ -45,27 +45,38 @@ def _eq_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def rank_within(df: DataFrame, group_cols, order_cols: list[Column | str], name: str = "rn",
-                buckets: int | None = None) -> DataFrame:
-    """Exact ``row_number() over (partition by group order by order_cols)``
-    computed with balanced tasks.  ``order_cols`` must make the order total
-    (end with a unique id)."""
+def running_sum(df: DataFrame, group_cols, order_cols: list[Column | str], value: Column | str,
+                name: str = "running", buckets: int | None = None) -> DataFrame:
+    """Exact inclusive running sum of ``value`` inside each group in the
+    given (total) order, with balanced tasks (see module doc)."""
     g = _cols(group_cols)
     spark = df.sparkSession
     checkpoint_root(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    b = (df.repartitionByRange(n, *[F.col(c) for c in g], *order)
+    val = F.col(value) if isinstance(value, str) else value
+    b = (df.withColumn("_v", val)
+           .repartitionByRange(n, *[F.col(c) for c in g], *order)
            .withColumn("_b", F.spark_partition_id())
            .checkpoint(eager=True))
-    tot = b.groupBy(*g, "_b").agg(F.count("*").alias("_bc"))
+    tot = b.groupBy(*g, "_b").agg(F.sum("_v").alias("_bs"))
     wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
     tot = tot.withColumn("_off", F.coalesce(
-        F.sum("_bc").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_bc")
-    local = b.withColumn("_lr", F.row_number().over(Window.partitionBy(*g, "_b").orderBy(*order)))
+        F.sum("_bs").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).drop("_bs")
+    local = b.withColumn("_ls", F.sum("_v").over(
+        Window.partitionBy(*g, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     out = _eq_join(local, tot, [*g, "_b"])
-    return out.withColumn(name, (F.col("_off") + F.col("_lr")).cast("bigint")).drop("_b", "_lr", "_off")
+    return out.withColumn(name, F.col("_off") + F.col("_ls")).drop("_b", "_ls", "_off", "_v")
+
+
+def rank_within(df: DataFrame, group_cols, order_cols: list[Column | str], name: str = "rn",
+                buckets: int | None = None) -> DataFrame:
+    """Exact ``row_number() over (partition by group order by order_cols)``
+    computed with balanced tasks.  ``order_cols`` must make the order total
+    (end with a unique id)."""
+    out = running_sum(df, group_cols, order_cols, F.lit(1).cast("bigint"), name, buckets)
+    return out.withColumn(name, F.col(name).cast("bigint"))
 
 
 def sample_key(id_col, seed: int | str = 42) -> Column:

@@ -1 +1,224 @@
-"""Registered queries."""
+"""Zero-shot criteria queries.
+
+Token model: trained on the whole ``documents`` table (V = 1000 words,
+scoring lam 0.9, reference lam 0.5).  Scored sets: labelled conversations
+(user = human, assistant = machine) and labelled documents.  The oracle
+SQL computes the same model *densely* (every context x every token, with
+window ranks) — a brute-force check of the sparse Spark computation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkwell.operators import evaluate as ev
+from inkwell.operators import lm as LM
+from inkwell.plans.registry import register
+from inkwell.plans.sqlfrag import LABELLED_CONV, LABELLED_DOCS, auroc_sql, words
+from inkwell.session import table
+from inkwell.sources.tables import labelled_conversations, labelled_documents
+
+V, LAM, LAM_REF = 1000, 0.9, 0.5
+
+# Two-Gaussian calibration of the curvature criterion per
+# (sampling model, scoring model) pair: mu0, sigma0 (human), mu1, sigma1.
+CALIBRATION = [
+    ("gpt-j-6B_gpt-neo-2.7B", 0.2713, 0.9366, 2.2334, 1.8731),
+    ("gpt-neo-2.7B_gpt-neo-2.7B", -0.2489, 0.9968, 1.8983, 1.9935),
+    ("falcon-7b_falcon-7b-instruct", -0.0707, 0.9520, 2.9306, 1.9039),
+]
+MODEL_PAIR = "gpt-neo-2.7B_gpt-neo-2.7B"
+
+
+def _d(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def lm_sql(scored: str) -> str:
+    """CTEs: dense model over ``documents`` and per-position joins for the
+    ``scored`` relation (doc_id, text).  Ends with CTE ``j``."""
+    return f"""
+tw AS (SELECT doc_id, UNNEST(W) AS word, generate_subscripts(W, 1) AS i
+       FROM (SELECT doc_id, {words('text')} AS W FROM documents)),
+cnt AS (SELECT word, COUNT(*) AS c FROM tw GROUP BY word),
+top AS (SELECT word AS token, c FROM cnt ORDER BY c DESC, word LIMIT {V}),
+tot AS (SELECT SUM(c) AS N, LEAST(COUNT(*), {V}) + 1 AS V1 FROM cnt),
+voc AS (SELECT token, c FROM top
+        UNION ALL SELECT '{LM.UNK}', (SELECT N FROM tot) - (SELECT COALESCE(SUM(c), 0) FROM top)),
+U AS (SELECT token, c, (c + 1) / (SELECT N + V1 FROM tot) AS u FROM voc),
+mt AS (SELECT tw.doc_id, tw.i, COALESCE(top.token, '{LM.UNK}') AS token FROM tw LEFT JOIN top ON tw.word = top.token),
+bg AS (SELECT a.token AS ctx, b.token AS tok, COUNT(*) AS c
+       FROM mt a JOIN mt b ON a.doc_id = b.doc_id AND b.i = a.i + 1 GROUP BY a.token, b.token),
+cc AS (SELECT ctx, SUM(c) AS cc FROM bg GROUP BY ctx),
+dense AS (SELECT x.token AS ctx, y.token AS tok, y.u, COALESCE(bg.c, 0) AS c, cc.cc
+          FROM U x CROSS JOIN U y
+          LEFT JOIN bg ON bg.ctx = x.token AND bg.tok = y.token
+          LEFT JOIN cc ON cc.ctx = x.token),
+pd AS (SELECT ctx, tok,
+              CASE WHEN cc IS NULL THEN u ELSE {_d(LAM)} * c / cc + {_d(1.0 - LAM)} * u END AS p,
+              CASE WHEN cc IS NULL THEN u ELSE {_d(LAM_REF)} * c / cc + {_d(1.0 - LAM_REF)} * u END AS q
+       FROM dense),
+rk AS (SELECT ctx, tok, ln(p) AS lp, ROW_NUMBER() OVER (PARTITION BY ctx ORDER BY p DESC, tok) AS rank FROM pd),
+cs0 AS (SELECT ctx, -SUM(p * ln(p)) AS entropy, SUM(q * ln(p)) AS mean, SUM(q * ln(p) * ln(p)) AS m2
+        FROM pd GROUP BY ctx),
+cs AS (SELECT ctx, entropy, mean, m2 - mean * mean AS var FROM cs0),
+sw AS (SELECT doc_id, UNNEST(W) AS word, generate_subscripts(W, 1) AS i
+       FROM (SELECT doc_id, {words('text')} AS W FROM {scored})),
+sm AS (SELECT sw.doc_id, sw.i, COALESCE(top.token, '{LM.UNK}') AS token FROM sw LEFT JOIN top ON sw.word = top.token),
+sp AS (SELECT a.doc_id, a.token AS ctx, b.token AS tok FROM sm a JOIN sm b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+j AS (SELECT sp.doc_id, sp.ctx, sp.tok, rk.lp, rk.rank, cs.entropy, cs.mean, cs.var
+      FROM sp JOIN rk ON rk.ctx = sp.ctx AND rk.tok = sp.tok JOIN cs ON cs.ctx = sp.ctx)"""
+
+
+def crit_sql(scored: str) -> str:
+    """CTE ``crit``: per-document criteria of ``scored`` (all docs kept)."""
+    return f"""{lm_sql(scored)},
+agg AS (SELECT doc_id, CAST(COUNT(*) AS BIGINT) AS n_tokens, AVG(lp) AS likelihood, -AVG(rank) AS rank,
+               -AVG(ln(rank)) AS logrank, AVG(entropy) AS entropy,
+               (SUM(lp) - SUM(mean)) / SQRT(SUM(var)) AS curvature FROM j GROUP BY doc_id),
+crit AS (SELECT s.doc_id, agg.n_tokens, agg.likelihood, agg.rank, agg.logrank, agg.entropy, agg.curvature
+         FROM {scored} s LEFT JOIN agg ON s.doc_id = agg.doc_id)"""
+
+
+def model_for(spark, sf_dir):
+    return LM.train(table(spark, sf_dir, "documents"), V=V)
+
+
+def conv_criteria(spark, sf_dir):
+    texts = labelled_conversations(spark, sf_dir)
+    crit = LM.criteria(model_for(spark, sf_dir), texts, LAM, LAM_REF)
+    return crit.join(texts.select("doc_id", "result"), "doc_id")
+
+
+def _r(c: str):
+    return F.round(c, 6).alias(c)
+
+
+@register("x4_context_stats", f"""WITH {lm_sql(LABELLED_CONV)}
+SELECT cs.ctx, ROUND(cs.entropy, 6) AS entropy, ROUND(cs.mean, 6) AS mean, ROUND(cs.var, 6) AS var,
+       CAST(COALESCE(cc.cc, 0) AS BIGINT) AS cc
+FROM cs LEFT JOIN cc ON cs.ctx = cc.ctx""")
+def x4_context_stats(spark, sf_dir):
+    m = model_for(spark, sf_dir)
+    cs = LM.context_stats(m, LAM, LAM_REF)
+    dflt = cs.where(F.col("ctx").isNull())
+    ctxs = m.vocab.select(F.col("token").alias("ctx")).join(
+        m.bigrams.select("ctx", "cc").distinct(), "ctx", "left")
+    seen = ctxs.join(F.broadcast(cs.where(F.col("ctx").isNotNull())), "ctx", "left")
+    out = seen.select(
+        "ctx",
+        F.coalesce("entropy", dflt.select("entropy").scalar()).alias("entropy"),
+        F.coalesce("mean", dflt.select("mean").scalar()).alias("mean"),
+        F.coalesce("var", dflt.select("var").scalar()).alias("var"),
+        F.coalesce("cc", F.lit(0)).cast("bigint").alias("cc"))
+    return out.select("ctx", _r("entropy"), _r("mean"), _r("var"), "cc")
+
+
+@register("w1_pair_ranks", f"""WITH {lm_sql(LABELLED_CONV)}
+SELECT DISTINCT ctx, tok, ROUND(lp, 6) AS lp, CAST(rank AS BIGINT) AS rank FROM j""")
+def w1_pair_ranks(spark, sf_dir):
+    m = model_for(spark, sf_dir)
+    pos = m.map_words(LM.positions(labelled_conversations(spark, sf_dir)))
+    ps = LM.pair_stats(m, pos.select("ctx", "tok").distinct(), LAM)
+    return ps.select("ctx", "tok", _r("lp"), "rank")
+
+
+@register("x1_criteria_conversations", f"""WITH {crit_sql(LABELLED_CONV)}
+SELECT c.doc_id, l.result, c.n_tokens, ROUND(c.likelihood, 6) AS likelihood, ROUND(c.rank, 6) AS rank,
+       ROUND(c.logrank, 6) AS logrank, ROUND(c.entropy, 6) AS entropy, ROUND(c.curvature, 6) AS curvature
+FROM crit c JOIN {LABELLED_CONV} l ON c.doc_id = l.doc_id""")
+def x1_criteria_conversations(spark, sf_dir):
+    c = conv_criteria(spark, sf_dir)
+    return c.select("doc_id", "result", "n_tokens", *[_r(k) for k in LM.CRITERIA])
+
+
+_CRIT_LONG = "(" + " UNION ALL ".join(
+    f"SELECT '{k}' AS criterion, {k} AS score, result AS label FROM crit JOIN {LABELLED_CONV} l USING (doc_id)"
+    for k in LM.CRITERIA) + ")"
+
+
+@register("x1_criteria_auroc", f"""WITH {crit_sql(LABELLED_CONV)},
+a AS ({auroc_sql(_CRIT_LONG, ['criterion'])})
+SELECT * FROM a""")
+def x1_criteria_auroc(spark, sf_dir):
+    long = LM.long_criteria(conv_criteria(spark, sf_dir), ["doc_id", "result as label"])
+    return ev.auroc(long, "criterion", digits=6)
+
+
+@register("a23_criteria_class_stats", f"""WITH {crit_sql(LABELLED_CONV)}
+SELECT l.result AS label, ROUND(AVG(c.curvature), 6) AS mean, ROUND(STDDEV_POP(c.curvature), 6) AS std,
+       CAST(COUNT(c.curvature) AS BIGINT) AS n
+FROM crit c JOIN {LABELLED_CONV} l ON c.doc_id = l.doc_id GROUP BY l.result""")
+def a23_criteria_class_stats(spark, sf_dir):
+    c = conv_criteria(spark, sf_dir).select(F.col("curvature").alias("score"), F.col("result").alias("label"))
+    r = ev.class_stats(c)
+    return r.select("label", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+@register("a24_calibration_fit", f"""WITH {crit_sql(LABELLED_CONV)},
+s AS (SELECT l.result, AVG(c.curvature) AS mu, STDDEV_SAMP(c.curvature) AS sd
+      FROM crit c JOIN {LABELLED_CONV} l ON c.doc_id = l.doc_id WHERE c.curvature IS NOT NULL GROUP BY l.result)
+SELECT ROUND((SELECT mu FROM s WHERE result = 0), 6) AS mu0, ROUND((SELECT sd FROM s WHERE result = 0), 6) AS sigma0,
+       ROUND((SELECT mu FROM s WHERE result = 1), 6) AS mu1,
+       ROUND(2 * (SELECT sd FROM s WHERE result = 0), 6) AS sigma1""")
+def a24_calibration_fit(spark, sf_dir):
+    """Class means and spreads on a development set; the machine
+    spread is set to twice the human one, as in the reference's rule."""
+    c = conv_criteria(spark, sf_dir).where(F.col("curvature").isNotNull())
+    s = c.groupBy().agg(
+        F.avg(F.when(F.col("result") == 0, F.col("curvature"))).alias("mu0"),
+        F.stddev_samp(F.when(F.col("result") == 0, F.col("curvature"))).alias("sigma0"),
+        F.avg(F.when(F.col("result") == 1, F.col("curvature"))).alias("mu1"))
+    s = s.withColumn("sigma1", 2 * F.col("sigma0"))
+    return s.select(*[F.round(k, 6).alias(k) for k in ("mu0", "sigma0", "mu1", "sigma1")])
+
+
+def calibration_table(spark):
+    """The fixed calibration rows as a small DataFrame."""
+    return spark.createDataFrame(CALIBRATION, "model_pair string, mu0 double, sigma0 double, "
+                                              "mu1 double, sigma1 double")
+
+
+def posterior(x, mu0, sigma0, mu1, sigma1):
+    """M4: p(machine | x) = pdf1 / (pdf0 + pdf1) for two normals, computed
+    in log space so far tails give 0/1 instead of 0/0."""
+    l0 = -((x - mu0) ** 2) / (2 * sigma0 ** 2) - F.ln(sigma0)
+    l1 = -((x - mu1) ** 2) / (2 * sigma1 ** 2) - F.ln(sigma1)
+    return 1.0 / (1.0 + F.exp(l0 - l1))
+
+
+def detector_probability(spark, crit, model_pair: str = MODEL_PAIR):
+    """(prob, crit, n_tokens) per text, with the calibration row joined
+    by model-pair key; a missing key raises (J9)."""
+    cal = calibration_table(spark).where(F.col("model_pair") == model_pair)
+    x = crit.withColumn("model_pair", F.lit(model_pair)).join(F.broadcast(cal), "model_pair", "left")
+    x = x.withColumn("_chk", F.when(F.col("mu0").isNull(), F.raise_error(F.lit(f"unknown model pair {model_pair}"))))
+    return x.withColumn("prob", posterior(F.col("curvature"), F.col("mu0"), F.col("sigma0"),
+                                          F.col("mu1"), F.col("sigma1"))).drop("_chk")
+
+
+def _post_sql(x: str) -> str:
+    name, mu0, s0, mu1, s1 = [c for c in CALIBRATION if c[0] == MODEL_PAIR][0]
+    l0 = f"(-(({x}) - {_d(mu0)}) * (({x}) - {_d(mu0)}) / (2 * {_d(s0)} * {_d(s0)}) - ln({_d(s0)}))"
+    l1 = f"(-(({x}) - {_d(mu1)}) * (({x}) - {_d(mu1)}) / (2 * {_d(s1)} * {_d(s1)}) - ln({_d(s1)}))"
+    return f"1.0 / (1.0 + exp({l0} - {l1}))"
+
+
+_DOC_PROB = f"(SELECT c.doc_id, l.lang, l.result AS label, {_post_sql('c.curvature')} AS prob FROM crit c JOIN {LABELLED_DOCS} l ON c.doc_id = l.doc_id)"
+
+
+@register("x3_detector_auroc_by_lang", f"""WITH {crit_sql(LABELLED_DOCS)},
+a AS ({auroc_sql(_DOC_PROB, ['lang'], score='prob')})
+SELECT lang, '{MODEL_PAIR.split('_')[0]}' AS sampling_model_name, '{MODEL_PAIR.split('_')[1]}' AS scoring_model_name,
+       'documents/' || lang AS dataset_path, ROUND(auroc, 4) AS auroc, n_pos, n_neg FROM a""")
+def x3_detector_auroc_by_lang(spark, sf_dir):
+    """X3 + A18 + M6 + D14: detection AUROC of the calibrated probability
+    per language, as result records (rounded to 4 places)."""
+    docs = labelled_documents(spark, sf_dir)
+    crit = LM.criteria(model_for(spark, sf_dir), docs, LAM, LAM_REF)
+    scored = detector_probability(spark, crit).join(docs.select("doc_id", "lang", F.col("result").alias("label")),
+                                                    "doc_id")
+    a = ev.auroc(scored, "lang", score="prob")
+    samp, scor = MODEL_PAIR.split("_")
+    return a.select("lang", F.lit(samp).alias("sampling_model_name"), F.lit(scor).alias("scoring_model_name"),
+                    F.concat(F.lit("documents/"), F.col("lang")).alias("dataset_path"),
+                    F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg")
