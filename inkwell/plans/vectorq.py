@@ -1 +1,104 @@
-"""Registered queries."""
+"""Vector queries: the 64-float ``embeddings`` rows are 8 layers x 8 dims
+of one position with an identity output head (fixture F12)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkwell.functions import maths as M
+from inkwell.operators import vectors as VE
+from inkwell.plans.registry import register
+from inkwell.session import table
+
+N_LAYERS, DIM = 8, 8
+FIRST, LAST, MIDS = 0, N_LAYERS - 1, list(range(1, N_LAYERS - 1))
+
+
+def long_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return VE.split_layers(e, "embedding", N_LAYERS, DIM, id_col="vec_id")
+
+
+def kl_table(spark, sf_dir, first=FIRST, mids=None):
+    return VE.kl_by_layer(long_vectors(spark, sf_dir), first, LAST, mids or MIDS)
+
+
+def _kl_sql(first: int = FIRST, mids: list[int] | None = None) -> str:
+    mids = mids or MIDS
+    return f"""
+e AS (SELECT vec_id AS doc_id, CAST((i - 1) // {DIM} AS INTEGER) AS layer, (i - 1) % {DIM} AS d,
+             CAST(x AS DOUBLE) AS x
+      FROM (SELECT vec_id, UNNEST(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+m AS (SELECT doc_id, layer, MAX(x) AS mx FROM e GROUP BY doc_id, layer),
+s AS (SELECT e.doc_id, e.layer, m.mx + ln(SUM(exp(e.x - m.mx))) AS lse
+      FROM e JOIN m ON e.doc_id = m.doc_id AND e.layer = m.layer GROUP BY e.doc_id, e.layer, m.mx),
+lsm AS (SELECT e.doc_id, e.layer, e.d, e.x - s.lse AS lp FROM e JOIN s ON e.doc_id = s.doc_id AND e.layer = s.layer),
+kl AS (SELECT mid.doc_id, mid.layer,
+              SUM(exp(f.lp) * (f.lp - mid.lp)) + SUM(exp(t.lp) * (t.lp - mid.lp)) AS kl
+       FROM lsm mid JOIN lsm f ON f.doc_id = mid.doc_id AND f.d = mid.d AND f.layer = {first}
+                    JOIN lsm t ON t.doc_id = mid.doc_id AND t.d = mid.d AND t.layer = {LAST}
+       WHERE mid.layer IN ({", ".join(map(str, mids))}) GROUP BY mid.doc_id, mid.layer),
+best AS (SELECT doc_id, layer AS best_layer FROM (
+           SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY ROUND(kl, 10) DESC, layer) AS r FROM kl)
+         WHERE r = 1)"""
+
+
+@register("a13_kl_by_layer", f"WITH {_kl_sql()} SELECT doc_id, layer, ROUND(kl, 6) AS kl FROM kl")
+def a13_kl_by_layer(spark, sf_dir):
+    return kl_table(spark, sf_dir).select("doc_id", "layer", F.round("kl", 6).alias("kl"))
+
+
+@register("a14_best_layer", f"""WITH {_kl_sql()}
+SELECT doc_id, best_layer, best_layer - 1 AS kl_index FROM best""")
+def a14_best_layer(spark, sf_dir):
+    b = VE.best_layer(kl_table(spark, sf_dir))
+    return b.select("doc_id", "best_layer", (F.col("best_layer") - 1).alias("kl_index"))
+
+
+@register("a16_best_layer_histogram", f"""WITH {_kl_sql()}
+SELECT e.label AS dataset, b.best_layer, CAST(COUNT(*) AS BIGINT) AS n
+FROM best b JOIN embeddings e ON e.vec_id = b.doc_id GROUP BY e.label, b.best_layer""")
+def a16_best_layer_histogram(spark, sf_dir):
+    b = VE.best_layer(kl_table(spark, sf_dir))
+    lab = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dataset"))
+    return b.join(lab, "doc_id").groupBy("dataset", "best_layer").agg(F.count("*").alias("n"))
+
+
+@register("a28_best_layer_anchor1", f"""WITH {_kl_sql(1, list(range(2, N_LAYERS - 1)))}
+SELECT best_layer, CAST(COUNT(*) AS BIGINT) AS n FROM best GROUP BY best_layer""")
+def a28_best_layer_anchor1(spark, sf_dir):
+    """The first encoding layer (1) as anchor instead of the input
+    embedding (0); mids 2..6."""
+    kl = kl_table(spark, sf_dir, first=1, mids=list(range(2, N_LAYERS - 1)))
+    return VE.best_layer(kl).groupBy("best_layer").agg(F.count("*").alias("n"))
+
+
+@register("j2_selected_layer_vectors", f"""WITH {_kl_sql()},
+v AS (SELECT vec_id AS doc_id, list_transform(embedding[b.best_layer * {DIM} + 1: b.best_layer * {DIM} + {DIM}],
+                                              lambda x: ROUND(CAST(x AS DOUBLE), 6)) AS vec, b.best_layer
+      FROM embeddings JOIN best b ON b.doc_id = embeddings.vec_id)
+SELECT v.doc_id, v.best_layer AS layer, CAST(l.quality AS INTEGER) AS result, v.vec
+FROM v JOIN labels l ON l.doc_id = v.doc_id""")
+def j2_selected_layer_vectors(spark, sf_dir):
+    """X8 in max-KL mode (J2) joined to labels."""
+    sel = VE.select_layer(long_vectors(spark, sf_dir), -1, kl_table(spark, sf_dir))
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("result"))
+    return sel.join(lab, "doc_id").select("doc_id", "layer", "result", M.round_array("vec").alias("vec"))
+
+
+@register("p14_last_layer_softmax", f"""
+WITH v AS (SELECT vec_id AS doc_id, list_transform(embedding[{LAST * DIM + 1}:{LAST * DIM + DIM}],
+                                                   lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+e AS (SELECT doc_id, v, list_max(v) AS mx FROM v),
+s AS (SELECT doc_id, v, mx, mx + ln(list_sum(list_transform(v, lambda x: exp(x - mx)))) AS lse FROM e)
+SELECT doc_id, CAST(list_position(v, mx) - 1 AS INTEGER) AS pred, ROUND(exp(mx - lse), 6) AS p_max,
+       ROUND(v[1] - lse, 6) AS lp0
+FROM s""")
+def p14_last_layer_softmax(spark, sf_dir):
+    """P14 (fixed layer) + M1/M2 + P19 + M5: class probabilities of the
+    last layer's logits, predicted class = first argmax."""
+    last = VE.layer_projection(long_vectors(spark, sf_dir), LAST, N_LAYERS)
+    x = M.with_softmax(last, "vec", "p")
+    x = M.with_log_softmax(x, "vec", "lp")
+    return x.select("doc_id", M.argmax("vec").alias("pred"), F.round(F.array_max("p"), 6).alias("p_max"),
+                    F.round(F.element_at("lp", 1), 6).alias("lp0"))
