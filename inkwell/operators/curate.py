@@ -96,16 +96,16 @@ def stratified_fraction_split(df: DataFrame, class_col: str, id_col: str, test_f
                               seed=42, names=("train", "test"), group_cols=None) -> DataFrame:
     """``ceil(n * test_frac)`` rows go to the test side, divided over
     the classes in proportion (largest remainder); inside a class the rows
-    with the smallest md5 keys are taken.  (id, class) must be unique."""
+    with the smallest md5 keys are taken.  (id, group, class) must be unique."""
     g = [] if group_cols is None else ([group_cols] if isinstance(group_cols, str) else list(group_cols))
     counts = df.groupBy(*g, class_col).agg(F.count("*").alias("cnt"))
     wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
     take = largest_remainder(counts, g, class_col, ceil_frac(F.sum("cnt").over(wg), test_frac))
     slim = _eq_join(df.select(id_col, *g, class_col), take.select(*g, class_col, "take"), [*g, class_col])
     ranked = rank_within(slim.withColumn("_k", sample_key(id_col, seed)), [*g, class_col], ["_k", id_col])
-    side = ranked.select(id_col, class_col, F.when(F.col("rn") <= F.col("take"), F.lit(names[1]))
+    side = ranked.select(id_col, *g, class_col, F.when(F.col("rn") <= F.col("take"), F.lit(names[1]))
                          .otherwise(F.lit(names[0])).alias("split"))
-    return df.join(side, [id_col, class_col])
+    return df.join(side, [id_col, *g, class_col])
 
 
 # --- J7: equal-length matching --------------------------------------------------

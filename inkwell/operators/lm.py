@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators.ordering import running_sum
+from inkwell.session import materialize
 
 # Fixed value: the token that stands for words outside the vocabulary.
 UNK = "<unk>"
@@ -80,11 +81,13 @@ def train(corpus: DataFrame, V: int = 1000, id_col: str = "doc_id", text_col: st
     unk = top.agg((n_tot - F.coalesce(F.sum("c"), F.lit(0))).alias("c")).select(F.lit(UNK).alias("token"), "c")
     vocab = top.select(F.col("word").alias("token"), "c").unionByName(unk)
     vocab = vocab.withColumn("u", (F.col("c") + 1) / (n_tot + v1))
-    model = TokenModel(vocab=vocab, bigrams=None, n_vocab=V)  # type: ignore[arg-type]
+    # The trained model is an artifact: both tables are written once to the
+    # shared checkpoint folder and every consumer reads them from there.
+    model = TokenModel(vocab=materialize(vocab.coalesce(1)), bigrams=None, n_vocab=V)  # type: ignore[arg-type]
     mapped = model.map_words(positions(corpus, id_col, text_col))
     big = mapped.groupBy("ctx", "tok").agg(F.count("*").alias("c"))
     cc = big.groupBy("ctx").agg(F.sum("c").alias("cc"))
-    model.bigrams = big.join(cc, "ctx")
+    model.bigrams = materialize(big.join(cc, "ctx"))
     return model
 
 

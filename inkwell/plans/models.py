@@ -1 +1,148 @@
-"""Registered queries."""
+"""Classifier queries (X5-X11, A21, A22, A26, A27).  Training is not
+reproducible bit-for-bit against any SQL, so these carry no oracle SQL
+(rows-only check); unit tests check their properties."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkwell.operators import classify as CL
+from inkwell.operators import curate as C
+from inkwell.operators import evaluate as ev
+from inkwell.operators import lm as LM
+from inkwell.operators import vectors as VE
+from inkwell.operators.ordering import top_n_by_hash
+from inkwell.plans import criteria as CR
+from inkwell.plans import vectorq as VQ
+from inkwell.plans.registry import register
+from inkwell.session import materialize, table
+from inkwell.sources.tables import labelled_conversations, labelled_documents
+
+# Reference defaults: 160 training rows, 20 validation rows, 10 epochs.
+TRAIN_ROWS, VALID_ROWS, EPOCHS, LR = 160, 20, 10, 0.003
+
+
+def labelled_vectors(spark, sf_dir):
+    """Long per-layer vectors of the embeddings that have a label (J1);
+    ``dataset`` is the embedding's own label column."""
+    long = VQ.long_vectors(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    ds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dataset"))
+    return long.join(lab, "doc_id").join(ds, "doc_id")
+
+
+def doc_splits(docs, label="label", id_col="doc_id"):
+    """Per document: 'test' (20 %, stratified), then from the rest 'valid'
+    (10 %) and 'train' — with the training head capped at TRAIN_ROWS and
+    validation at VALID_ROWS as in the reference (O4 + O8)."""
+    s1 = C.stratified_fraction_split(docs.select(id_col, label), label, id_col, 0.2, seed="t")
+    rest = s1.where(F.col("split") == "train").drop("split")
+    s2 = C.stratified_fraction_split(rest, label, id_col, 0.1, seed="v", names=("train", "valid"))
+    train = top_n_by_hash(s2.where(F.col("split") == "train"), None, TRAIN_ROWS, id_col, seed="h").drop("rn")
+    valid = top_n_by_hash(s2.where(F.col("split") == "valid"), None, VALID_ROWS, id_col, seed="h").drop("rn")
+    test = s1.where(F.col("split") == "test")
+    return train.unionByName(valid).unionByName(test).select(id_col, "split")
+
+
+@register("x9_maxkl_classifier_auroc")
+def x9_maxkl_classifier_auroc(spark, sf_dir):
+    """X8 (max-KL mode) -> X5 fit -> X6 score -> A18 by dataset, with A21
+    accuracy and A27 loss on the validation rows (X9)."""
+    vecs = labelled_vectors(spark, sf_dir)
+    sel = VE.select_layer(vecs, -1, VQ.kl_table(spark, sf_dir))
+    sp = doc_splits(sel.select("doc_id", "label").distinct())
+    x = materialize(sel.join(sp, "doc_id"))
+    model = CL.fit(x.where(F.col("split") == "train"), "vec", "label", "logreg")
+    scored = CL.score(model, x.where(F.col("split").isin("valid", "test")))
+    valid = scored.where(F.col("split") == "valid")
+    acc = ev.accuracy(valid).select("accuracy")
+    loss = ev.cross_entropy(valid.withColumn("prob", F.least(F.greatest("prob", F.lit(1e-12)), F.lit(1 - 1e-12))))
+    au = ev.auroc(scored.where(F.col("split") == "test").select("dataset", F.col("prob").alias("score"), "label"),
+                  "dataset")
+    return au.select("dataset", F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg",
+                     F.round(acc.scalar(), 4).alias("valid_accuracy"),
+                     F.round(loss.select("loss").scalar(), 4).alias("valid_loss"))
+
+
+@register("x7_layer_sweep_auroc")
+def x7_layer_sweep_auroc(spark, sf_dir):
+    """Every layer trains in parallel (one applyInPandas group per
+    layer, bounded training rows), test rows are scored in Spark, AUROC per
+    layer and dataset, and the A22 macro mean per layer."""
+    vecs = labelled_vectors(spark, sf_dir)
+    sp = doc_splits(vecs.select("doc_id", "label").distinct())
+    x = materialize(vecs.join(sp, "doc_id"))
+    weights = CL.train_per_group(x.where(F.col("split") == "train"), "layer", "vec", "label",
+                                 epochs=EPOCHS, lr=LR)
+    test = CL.score_linear(x.where(F.col("split") == "test"), weights, "layer")
+    cells = ev.auroc(test.select("layer", "dataset", F.col("prob").alias("score"), "label"), ["layer", "dataset"])
+    per_layer = ev.auroc(test.select("layer", F.col("prob").alias("score"), "label"), "layer")
+    macro = cells.groupBy("layer").agg(F.avg("auroc").alias("macro_auroc"))
+    return (per_layer.join(macro, "layer", "left").join(weights.select("layer", "loss"), "layer")
+            .select("layer", F.round("auroc", 4).alias("auroc"), F.round("macro_auroc", 4).alias("macro_auroc"),
+                    "n_pos", "n_neg", F.round("loss", 4).alias("train_loss")))
+
+
+def criteria_features(spark, sf_dir, texts):
+    crit = LM.criteria(CR.model_for(spark, sf_dir), texts, CR.LAM, CR.LAM_REF)
+    crit = crit.where(F.col("curvature").isNotNull())
+    return materialize(crit.select("doc_id", F.array(*[F.col(c) for c in LM.CRITERIA]).alias("vec")))
+
+
+@register("x10_cross_domain_auroc")
+def x10_cross_domain_auroc(spark, sf_dir):
+    """Train on one domain, test on every domain; AUROC matrix with
+    one column per test domain (pivot)."""
+    conv = labelled_conversations(spark, sf_dir)
+    docs = labelled_documents(spark, sf_dir)
+    feats = (criteria_features(spark, sf_dir, conv).join(conv.select("doc_id", F.col("result").alias("label")), "doc_id")
+             .withColumn("domain", F.lit("conversations"))
+             .unionByName(criteria_features(spark, sf_dir, docs)
+                          .join(docs.select("doc_id", F.col("result").alias("label")), "doc_id")
+                          .withColumn("domain", F.lit("documents"))))
+    sp = C.stratified_fraction_split(feats.select("doc_id", "domain", "label"), "label", "doc_id", 0.2,
+                                     seed="x", group_cols="domain")
+    x = materialize(feats.join(sp.select("doc_id", "domain", "split"), ["doc_id", "domain"]))
+    out = None
+    for train_domain in ("conversations", "documents"):
+        model = CL.fit(x.where((F.col("split") == "train") & (F.col("domain") == train_domain)), "vec", "label")
+        s = CL.score(model, x.where(F.col("split") == "test"))
+        a = ev.auroc(s.select("domain", F.col("prob").alias("score"), "label"), "domain")
+        a = a.select(F.lit(train_domain).alias("train_domain"), F.col("domain").alias("test_domain"), "auroc")
+        out = a if out is None else out.unionByName(a)
+    return (out.groupBy("train_domain").pivot("test_domain", ["conversations", "documents"])
+               .agg(F.round(F.first("auroc"), 4)))
+
+
+@register("a26_train_regime_auroc")
+def a26_train_regime_auroc(spark, sf_dir):
+    """The same test rows scored by a classifier trained on all
+    training rows and by one trained on the length-balanced subset (J7)."""
+    from inkwell.functions import text as T
+    conv = labelled_conversations(spark, sf_dir)
+    feats = criteria_features(spark, sf_dir, conv).join(
+        conv.select("doc_id", F.col("result").alias("label"), T.space_word_count("text").alias("n_words")), "doc_id")
+    sp = C.stratified_fraction_split(feats.select("doc_id", "label"), "label", "doc_id", 0.2, seed="r")
+    x = materialize(feats.join(sp, ["doc_id", "label"]))
+    train = x.where(F.col("split") == "train")
+    balanced = C.match_by_length(train.select("doc_id", F.col("label").alias("result"), "n_words"), "n_words")
+    bal_train = train.join(balanced.select("doc_id"), "doc_id")
+    out = None
+    for regime, tr in (("original", train), ("length_balanced", bal_train)):
+        model = CL.fit(tr, "vec", "label")
+        s = CL.score(model, x.where(F.col("split") == "test"))
+        a = ev.auroc(s.select(F.col("prob").alias("score"), "label")).select(
+            F.lit(regime).alias("train_regime"), F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg")
+        out = a if out is None else out.unionByName(a)
+    return out
+
+
+@register("x11_sequence_classifier_auroc")
+def x11_sequence_classifier_auroc(spark, sf_dir):
+    """X11 + M5 + A18 + M6: an external sequence classifier scores both
+    classes per Arrow batch; AUROC by language, rounded to 4 places."""
+    docs = labelled_documents(spark, sf_dir)
+    s = CL.external_scores(docs, CL.text_feature_scorer)
+    s = s.join(docs.select("doc_id", "lang", F.col("result").alias("label")), "doc_id")
+    a = ev.auroc(s.select("lang", F.col("prob").alias("score"), "label"), "lang")
+    return a.select("lang", F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg")

@@ -57,3 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the
+    written copy: cuts lineage (a lost executor re-reads instead of
+    recomputing) and lets several consumers share one computation."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
