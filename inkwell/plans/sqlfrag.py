@@ -108,3 +108,21 @@ def reduce_words_sql(src: str, idc: str, textc: str, max_words: int, out: str) -
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {out}_w),
 {out} AS (SELECT id, string_agg(array_to_string(w[1:{max_words} - before], ' '), chr(10) ORDER BY i) AS text
           FROM {out}_c WHERE before < {max_words} GROUP BY id)"""
+
+
+def pr_auc_sql(scored: str, group: list[str], score: str = "score", label: str = "label") -> str:
+    """PR AUC (trapezoid, anchored at recall 0 / precision 1) per group."""
+    g = ", ".join(group)
+    gsel = (g + ", ") if g else ""
+    part = f"PARTITION BY {g}" if g else ""
+    return f"""
+WITH s AS (SELECT {gsel}CAST({score} AS DOUBLE) AS score, CAST({label} AS INTEGER) AS label
+           FROM {scored} WHERE {score} IS NOT NULL AND {label} IN (0, 1)),
+a AS (SELECT {gsel}score, SUM(label) AS npos, SUM(1 - label) AS nneg FROM s GROUP BY {gsel}score),
+c AS (SELECT *, SUM(npos) OVER ({part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+             SUM(nneg) OVER ({part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp,
+             SUM(npos) OVER ({part}) AS P FROM a)
+SELECT {gsel}CASE WHEN MAX(P) > 0 THEN SUM(npos / P * (tp / (tp + fp)
+          + CASE WHEN tp - npos + fp - nneg = 0 THEN 1.0
+                 ELSE (tp - npos) / (tp - npos + fp - nneg) END) / 2.0) END AS pr_auc
+FROM c {"GROUP BY " + g if g else ""}"""
