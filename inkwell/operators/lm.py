@@ -101,6 +101,20 @@ def _b(lam: float) -> Column:
     return F.lit(1.0 - lam) * F.col("u")
 
 
+def vocab_constants(model: TokenModel, lam: float, lam_ref: float | None = None) -> Column:
+    """Closed-form sums over the whole vocabulary (one scalar subquery
+    returning a struct): G1 = sum b ln b, G2 = sum bq ln b, G3 = sum bq
+    (ln b)^2 with b = (1-lam) u, bq = (1-lam_ref) u; K1 = sum u ln u,
+    K2 = sum u (ln u)^2 (the unigram distribution of unseen contexts)."""
+    lr = lam if lam_ref is None else lam_ref
+    b, bq = _b(lam), _b(lr)
+    return model.vocab.select(F.struct(
+        F.sum(b * F.ln(b)).alias("G1"), F.sum(bq * F.ln(b)).alias("G2"),
+        F.sum(bq * F.ln(b) * F.ln(b)).alias("G3"),
+        F.sum(F.col("u") * F.ln("u")).alias("K1"),
+        F.sum(F.col("u") * F.ln("u") * F.ln("u")).alias("K2"))).scalar()
+
+
 def context_stats(model: TokenModel, lam: float, lam_ref: float | None = None) -> DataFrame:
     """A9/A10 per context (<= V+1 rows): entropy of p_lam, and mean and
     variance of ln p_lam under the reference distribution p_lam_ref.
@@ -109,28 +123,26 @@ def context_stats(model: TokenModel, lam: float, lam_ref: float | None = None) -
     lr = lam if lam_ref is None else lam_ref
     U = F.broadcast(model.vocab)
     b, bq = _b(lam), _b(lr)
-    # Closed-form sums over the whole vocabulary.
-    g = model.vocab.select(
-        F.sum(b * F.ln(b)).alias("G1"), F.sum(bq * F.ln(b)).alias("G2"),
-        F.sum(bq * F.ln(b) * F.ln(b)).alias("G3"),
-        F.sum(F.col("u") * F.ln("u")).alias("K1"), F.sum(F.col("u") * F.ln("u") * F.ln("u")).alias("K2"))
-    G1, G2, G3 = g.select("G1").scalar(), g.select("G2").scalar(), g.select("G3").scalar()
-    K1, K2 = g.select("K1").scalar(), g.select("K2").scalar()
+    k = vocab_constants(model, lam, lam_ref)
     s = model.bigrams.join(U.select(F.col("token").alias("tok"), "u"), "tok")
     p, q = _p(lam), _p(lr)
     seen = s.groupBy("ctx").agg(
         F.sum(p * F.ln(p) - b * F.ln(b)).alias("e"),
         F.sum(q * F.ln(p) - bq * F.ln(b)).alias("m"),
         F.sum(q * F.ln(p) * F.ln(p) - bq * F.ln(b) * F.ln(b)).alias("m2"))
-    mean = F.col("m") + G2
-    seen = seen.select("ctx", (-(F.col("e") + G1)).alias("entropy"), mean.alias("mean"),
-                       (F.col("m2") + G3 - mean * mean).alias("var"))
-    default = model.vocab.limit(1).select(
-        F.lit(None).cast("string").alias("ctx"), (-K1).alias("entropy"), K1.alias("mean"),
-        (K2 - K1 * K1).alias("var"))
+    mean = F.col("m") + k["G2"]
+    seen = seen.select("ctx", (-(F.col("e") + k["G1"])).alias("entropy"), mean.alias("mean"),
+                       (F.col("m2") + k["G3"] - mean * mean).alias("var"))
+    default = model.vocab.limit(1).select(F.lit(None).cast("string").alias("ctx"), *default_stats(k))
     return seen.unionByName(default)
 
 
+def default_stats(k: Column) -> list[Column]:
+    """Statistics of a context without seen pairs (p = q = unigram)."""
+    return [(-k["K1"]).alias("entropy"), k["K1"].alias("mean"),
+            (k["K2"] - k["K1"] * k["K1"]).alias("var")]
+
+
 def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
     """W1 + A6 for distinct (ctx, tok) query pairs: ``lp`` = ln p_lam(tok|ctx)
     and ``rank`` = 1-based position of tok when the vocabulary is sorted by
@@ -186,18 +198,18 @@ def criteria(model: TokenModel, texts: DataFrame, lam: float = 0.9, lam_ref: flo
     (``n_tokens`` excludes the first word).  Texts with fewer than two
     words get nulls."""
     pos = model.map_words(positions(texts, id_col, text_col))
-    # Positions collapse to distinct (doc, ctx, tok) with a multiplicity.
-    m = pos.groupBy("doc_id", "ctx", "tok").agg(F.count("*").alias("n"))
+    # Positions collapse to distinct (doc, ctx, tok) with a multiplicity;
+    # written once, read by the rank job and by the final aggregation.
+    m = materialize(pos.groupBy("doc_id", "ctx", "tok").agg(F.count("*").alias("n")))
     ps = pair_stats(model, m.select("ctx", "tok"), lam)
     cs = context_stats(model, lam, lam_ref)
-    csd = cs.where(F.col("ctx").isNull()).drop("ctx")
     cs_seen = F.broadcast(cs.where(F.col("ctx").isNotNull()))
     x = m.join(ps, ["ctx", "tok"]).join(cs_seen, "ctx", "left")
     # Contexts without seen pairs take the default (unigram) statistics.
-    dflt = {c: csd.select(c).scalar() for c in ("entropy", "mean", "var")}
-    ent = F.coalesce("entropy", dflt["entropy"])
-    mean = F.coalesce("mean", dflt["mean"])
-    var = F.coalesce("var", dflt["var"])
+    dent, dmean, dvar = default_stats(vocab_constants(model, lam, lam_ref))
+    ent = F.coalesce("entropy", dent)
+    mean = F.coalesce("mean", dmean)
+    var = F.coalesce("var", dvar)
     n = F.col("n")
     agg = x.groupBy("doc_id").agg(
         F.sum(n).alias("n_tokens"), F.sum(n * F.col("lp")).alias("_sl"),
@@ -222,3 +234,33 @@ def long_criteria(per_doc: DataFrame, keep_cols: list[str]) -> DataFrame:
     """(criterion, score) rows from the one-pass wide table."""
     stack = ", ".join(f"'{c}', {c}" for c in CRITERIA)
     return per_doc.selectExpr(*keep_cols, f"stack({len(CRITERIA)}, {stack}) as (criterion, score)")
+
+
+def load_or_train(spark, corpus: DataFrame, corpus_key: str, V: int = 1000) -> TokenModel:
+    """S11 for the token model: the two model tables live in a store under
+    the shared checkpoint folder keyed by the corpus (path, size and
+    modification time when visible) and V; a miss trains and writes."""
+    import hashlib
+    import os
+
+    from inkwell.session import checkpoint_root
+    stamp = corpus_key
+    try:
+        st = os.stat(corpus_key)
+        stamp = f"{corpus_key}:{st.st_size}:{st.st_mtime_ns}"
+    except OSError:
+        pass
+    key = hashlib.sha1(f"{stamp}|V={V}".encode()).hexdigest()[:16]
+    root = f"{checkpoint_root(spark).rstrip('/')}/token-models/{key}"
+    try:
+        vocab = spark.read.parquet(f"{root}/vocab")
+        bigrams = spark.read.parquet(f"{root}/bigrams")
+        spark.read.parquet(f"{root}/_complete")
+        return TokenModel(vocab=vocab, bigrams=bigrams, n_vocab=V)
+    except Exception:  # noqa: BLE001 — miss (or an unfinished write): train
+        m = train(corpus, V)
+        m.vocab.write.mode("overwrite").parquet(f"{root}/vocab")
+        m.bigrams.write.mode("overwrite").parquet(f"{root}/bigrams")
+        spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete")
+        return TokenModel(vocab=spark.read.parquet(f"{root}/vocab"),
+                          bigrams=spark.read.parquet(f"{root}/bigrams"), n_vocab=V)

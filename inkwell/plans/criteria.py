@@ -80,7 +80,10 @@ crit AS (SELECT s.doc_id, agg.n_tokens, agg.likelihood, agg.rank, agg.logrank, a
 
 
 def model_for(spark, sf_dir):
-    return LM.train(table(spark, sf_dir, "documents"), V=V)
+    """The token model of ``sf_dir``'s documents, as a cached artifact
+    (S11): read from the model store under the shared checkpoint folder,
+    trained and written there on a miss."""
+    return LM.load_or_train(spark, table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet", V=V)
 
 
 def conv_criteria(spark, sf_dir):
@@ -100,15 +103,16 @@ FROM cs LEFT JOIN cc ON cs.ctx = cc.ctx""")
 def x4_context_stats(spark, sf_dir):
     m = model_for(spark, sf_dir)
     cs = LM.context_stats(m, LAM, LAM_REF)
-    dflt = cs.where(F.col("ctx").isNull())
+    k = LM.vocab_constants(m, LAM, LAM_REF)
+    dent, dmean, dvar = LM.default_stats(k)
     ctxs = m.vocab.select(F.col("token").alias("ctx")).join(
         m.bigrams.select("ctx", "cc").distinct(), "ctx", "left")
     seen = ctxs.join(F.broadcast(cs.where(F.col("ctx").isNotNull())), "ctx", "left")
     out = seen.select(
         "ctx",
-        F.coalesce("entropy", dflt.select("entropy").scalar()).alias("entropy"),
-        F.coalesce("mean", dflt.select("mean").scalar()).alias("mean"),
-        F.coalesce("var", dflt.select("var").scalar()).alias("var"),
+        F.coalesce("entropy", dent).alias("entropy"),
+        F.coalesce("mean", dmean).alias("mean"),
+        F.coalesce("var", dvar).alias("var"),
         F.coalesce("cc", F.lit(0)).cast("bigint").alias("cc"))
     return out.select("ctx", _r("entropy"), _r("mean"), _r("var"), "cc")
 
