@@ -156,7 +156,7 @@ def truncate_at_occurrence(text, sub: str, n: int) -> Column:
     # Zero-width split before every occurrence: overlapping hits each start
     # one piece, and Java never yields an empty leading piece.
     pieces = F.split(c, "(?=" + re.escape(sub) + ")", -1)
-    first_is_hit = F.startswith(F.element_at(pieces, 1), F.lit(sub))
+    first_is_hit = F.startswith(c, F.lit(sub))  # a hit at 0 starts piece 1
     hits = F.size(pieces) - 1 + first_is_hit.cast("int")
     keep = F.lit(n) - first_is_hit.cast("int")  # pieces before the n-th hit
     cut = F.array_join(F.slice(pieces, 1, F.greatest(keep, F.lit(0))), "")
