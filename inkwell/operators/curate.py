@@ -62,9 +62,10 @@ def sample_per_class(df: DataFrame, n: int, class_cols, id_col: str, seed=42,
     if strict:
         cls = [class_cols] if isinstance(class_cols, str) else list(class_cols)
         short = df.groupBy(*cls).agg(F.count("*").alias("_cnt"))
-        out = _eq_join(out, short, cls).withColumn(
-            "_chk", F.when(F.col("_cnt") < n, F.raise_error(
-                F.lit(f"cannot take a larger sample than population ({n})")))).drop("_chk", "_cnt")
+        # A filter (not a dropped column) so the check is really evaluated.
+        ok = F.when(F.col("_cnt") < n, F.raise_error(
+            F.lit(f"cannot take a larger sample than population ({n})")).cast("boolean")).otherwise(F.lit(True))
+        out = _eq_join(out, short, cls).where(ok).drop("_cnt")
     return out
 
 

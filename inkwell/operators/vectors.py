@@ -11,6 +11,8 @@ document's rows meet in one task without any cross product."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +96,6 @@ def project_logits(hidden: DataFrame, weight, vec_col: str = "vec", out: str = "
     Arrow-batched pandas UDF (numpy matmul per batch).  The weight is
     shipped once per executor through a broadcast variable; its size is
     dim x vocab, fixed by the model, not by the data."""
-    import numpy as np
-    import pandas as pd
-
     w = np.asarray(weight, dtype="float64")
     bw = hidden.sparkSession.sparkContext.broadcast(w)
 

@@ -195,9 +195,11 @@ def detector_probability(spark, crit, model_pair: str = MODEL_PAIR):
     by model-pair key; a missing key raises (J9)."""
     cal = calibration_table(spark).where(F.col("model_pair") == model_pair)
     x = crit.withColumn("model_pair", F.lit(model_pair)).join(F.broadcast(cal), "model_pair", "left")
-    x = x.withColumn("_chk", F.when(F.col("mu0").isNull(), F.raise_error(F.lit(f"unknown model pair {model_pair}"))))
+    ok = F.when(F.col("mu0").isNull(), F.raise_error(F.lit(f"unknown model pair {model_pair}")).cast("boolean")
+                ).otherwise(F.lit(True))
+    x = x.where(ok)
     return x.withColumn("prob", posterior(F.col("curvature"), F.col("mu0"), F.col("sigma0"),
-                                          F.col("mu1"), F.col("sigma1"))).drop("_chk")
+                                          F.col("mu1"), F.col("sigma1")))
 
 
 def _post_sql(x: str) -> str:
