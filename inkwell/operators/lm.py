@@ -264,3 +264,48 @@ def load_or_train(spark, corpus: DataFrame, corpus_key: str, V: int = 1000) -> T
         spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete")
         return TokenModel(vocab=spark.read.parquet(f"{root}/vocab"),
                           bigrams=spark.read.parquet(f"{root}/bigrams"), n_vocab=V)
+
+
+def tokenisation_mismatches(texts: DataFrame, tok_a, tok_b, id_col: str = "doc_id",
+                            text_col: str = "text") -> DataFrame:
+    """Compare two tokenisations position by position (full outer
+    join on (doc, position)); one row per document with its mismatch
+    count.  :func:`assert_same_tokens` turns any mismatch into an error."""
+    a = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(tok_a(F.col(text_col))).alias("pos", "ta"))
+    b = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(tok_b(F.col(text_col))).alias("pos", "tb"))
+    j = a.join(b, ["doc_id", "pos"], "full_outer")
+    return j.groupBy("doc_id").agg(
+        F.count("ta").alias("n_a"), F.count("tb").alias("n_b"),
+        F.sum((~F.col("ta").eqNullSafe(F.col("tb"))).cast("long")).alias("n_mismatch"))
+
+
+def assert_same_tokens(mismatches: DataFrame) -> DataFrame:
+    ok = F.when(F.col("n_mismatch") > 0, F.raise_error(F.lit("Tokenizer is mismatch.")).cast("boolean")
+                ).otherwise(F.lit(True))
+    return mismatches.where(ok)
+
+
+def shape_distribution(dist: DataFrame, mode: str, top_k: int = 40, top_p: float = 0.96,
+                       temperature: float = 0.8, count_col: str = "c") -> DataFrame:
+    """Reshape a per-context distribution before drawing from it —
+    ``top_k`` keeps the k most likely tokens, ``top_p`` keeps the smallest
+    head whose mass reaches p (the token that crosses is kept),
+    ``temperature`` raises p to 1/T; all renormalised per context.  Input
+    rows (ctx, tok, c) carry integer weights, so the cut-offs compare exact
+    integers.  Windows are per context (at most V+1 rows each)."""
+    tot = Window.partitionBy("ctx")
+    order = Window.partitionBy("ctx").orderBy(F.desc(count_col), F.asc("tok"))
+    x = dist.withColumn("_cc", F.sum(count_col).over(tot))
+    if mode == "top_k":
+        x = x.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= top_k)
+        return x.withColumn("p", F.col(count_col) / F.sum(count_col).over(tot)).drop("_rn", "_cc")
+    if mode == "top_p":
+        before = F.sum(count_col).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        x = x.withColumn("_before", F.coalesce(before, F.lit(0)))
+        x = x.where(F.col("_before") < F.lit(top_p) * F.col("_cc"))
+        return x.withColumn("p", F.col(count_col) / F.sum(count_col).over(tot)).drop("_before", "_cc")
+    if mode == "temperature":
+        w = F.pow(F.col(count_col) / F.col("_cc"), 1.0 / temperature)
+        x = x.withColumn("_w", w)
+        return x.withColumn("p", F.col("_w") / F.sum("_w").over(tot)).drop("_w", "_cc")
+    raise ValueError(f"unknown shaping mode {mode}")

@@ -105,3 +105,11 @@ def project_logits(hidden: DataFrame, weight, vec_col: str = "vec", out: str = "
         return pd.Series(list(mat @ bw.value))
 
     return hidden.withColumn(out, _matmul(F.col(vec_col).cast("array<double>")))
+
+
+def concat_layers(long: DataFrame, out: str = "vec") -> DataFrame:
+    """The long layout back to one ``[L*dim]`` vector per (doc, pos):
+    layers in order, concatenated.  One group per (doc, pos) holds that
+    document position's L layers only."""
+    g = long.groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("layer", "vec"))).alias("_l"))
+    return g.select("doc_id", "pos", F.flatten(F.transform("_l", lambda s: s["vec"])).alias(out))

@@ -228,3 +228,56 @@ def x3_detector_auroc_by_lang(spark, sf_dir):
     return a.select("lang", F.lit(samp).alias("sampling_model_name"), F.lit(scor).alias("scoring_model_name"),
                     F.concat(F.lit("documents/"), F.col("lang")).alias("dataset_path"),
                     F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg")
+
+
+_TOK_B_SQL = "list_filter(string_split(text, ' '), lambda x: x <> '')"
+
+
+@register("p17_tokeniser_agreement", f"""
+WITH a AS (SELECT doc_id, UNNEST(W) AS t, generate_subscripts(W, 1) AS pos
+           FROM (SELECT doc_id, {words('text')} AS W FROM {LABELLED_CONV})),
+b AS (SELECT doc_id, UNNEST(W) AS t, generate_subscripts(W, 1) AS pos
+      FROM (SELECT doc_id, {_TOK_B_SQL} AS W FROM {LABELLED_CONV})),
+j AS (SELECT COALESCE(a.doc_id, b.doc_id) AS doc_id, a.t AS ta, b.t AS tb
+      FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id AND a.pos = b.pos)
+SELECT doc_id, CAST(COUNT(ta) AS BIGINT) AS n_a, CAST(COUNT(tb) AS BIGINT) AS n_b,
+       CAST(SUM(CASE WHEN ta IS DISTINCT FROM tb THEN 1 ELSE 0 END) AS BIGINT) AS n_mismatch
+FROM j GROUP BY doc_id HAVING SUM(CASE WHEN ta IS DISTINCT FROM tb THEN 1 ELSE 0 END) > 0""")
+def p17_tokeniser_agreement(spark, sf_dir):
+    """The white-space tokeniser against a space-only tokeniser; the
+    documents where they disagree (a run with two scoring models would
+    fail on any of them, see ``assert_same_tokens``)."""
+    from inkwell.functions import text as T
+    texts = labelled_conversations(spark, sf_dir)
+    space_tok = lambda c: F.filter(F.split(c, " ", -1), lambda w: w != F.lit(""))
+    mm = LM.tokenisation_mismatches(texts, T.words, space_tok)
+    return mm.where(F.col("n_mismatch") > 0)
+
+
+_SHAPE = {"top_k": 40, "top_p": 0.96, "temperature": 0.8}
+
+
+@register("a29_shaped_bigram_distributions", f"""WITH {lm_sql(LABELLED_CONV)},
+b AS (SELECT bg.ctx, bg.tok, bg.c, cc.cc FROM bg JOIN cc ON bg.ctx = cc.ctx),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ctx ORDER BY c DESC, tok) AS rn,
+             COALESCE(SUM(c) OVER (PARTITION BY ctx ORDER BY c DESC, tok
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM b),
+k AS (SELECT ctx, tok, c FROM o WHERE rn <= {_SHAPE['top_k']}),
+p AS (SELECT ctx, tok, c FROM o WHERE before < {_d(_SHAPE['top_p'])} * cc),
+t AS (SELECT ctx, tok, pow(c / cc, {_d(1.0 / _SHAPE['temperature'])}) AS w FROM b)
+SELECT ctx, tok, 'top_k' AS mode, ROUND(c / SUM(c) OVER (PARTITION BY ctx), 6) AS p FROM k
+UNION ALL SELECT ctx, tok, 'top_p', ROUND(c / SUM(c) OVER (PARTITION BY ctx), 6) FROM p
+UNION ALL SELECT ctx, tok, 'temperature', ROUND(w / SUM(w) OVER (PARTITION BY ctx), 6) FROM t""")
+def a29_shaped_bigram_distributions(spark, sf_dir):
+    """A29 on the counted next-token distributions: top-k 40, top-p 0.96
+    and temperature 0.8 (each mode separately, as the first set flag
+    wins in the reference)."""
+    m = model_for(spark, sf_dir)
+    dist = m.bigrams.select("ctx", "tok", "c")
+    out = None
+    for mode in ("top_k", "top_p", "temperature"):
+        s = LM.shape_distribution(dist, mode, _SHAPE["top_k"], _SHAPE["top_p"], _SHAPE["temperature"])
+        s = s.select("ctx", "tok", F.lit(mode).alias("mode"), F.round("p", 6).alias("p"))
+        out = s if out is None else out.unionByName(s)
+    return out

@@ -286,3 +286,19 @@ def p10_translation_band_filter(spark, sf_dir):
     p = parts[0].unionByName(parts[1]).where(F.col("text").isNotNull())
     p = p.withColumn("n_words", T.word_count("text"))
     return p.where((F.col("n_words") > 100) & (F.col("n_words") < 150)).select("doc_id", "pick", "n_words")
+
+
+MIXED_PER_CLASS = 25
+
+
+@register("o7_mixed_training_set", f"""
+WITH s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY result ORDER BY {md5_key('doc_id', 'mixed')}, doc_id) AS rn
+           FROM {LABELLED_DOCS})
+SELECT doc_id, lang, result, CAST(rn AS BIGINT) AS rn FROM s WHERE rn <= {MIXED_PER_CLASS}""")
+def o7_mixed_training_set(spark, sf_dir):
+    """A language-mixed training set, the same number of rows per class
+    drawn across all languages — seeded, so it is repeatable (the
+    reference's draw is not)."""
+    d = labelled_documents(spark, sf_dir)
+    s = C.sample_per_class(d, MIXED_PER_CLASS, "result", "doc_id", seed="mixed")
+    return s.select("doc_id", "lang", "result", "rn")

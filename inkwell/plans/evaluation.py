@@ -123,3 +123,18 @@ def a21_length_rule_accuracy(spark, sf_dir):
     s = length_scored(spark, sf_dir).withColumn("pred", (F.col("score") > 250).cast("int"))
     r = ev.accuracy(s, "lang")
     return r.select("lang", F.round("accuracy", 6).alias("accuracy"), "n")
+
+
+SELECTED_LANGS = ["en", "es"]
+_SEL_SQL = f"(SELECT * FROM {_SCORED_SQL} WHERE lang IN ({', '.join(repr(x) for x in SELECTED_LANGS)}))"
+
+
+@register("p20_auroc_selected_languages", auroc_sql(_SEL_SQL, ["lang"]))
+def p20_auroc_selected_languages(spark, sf_dir):
+    """P20 + E24: restrict to chosen languages (validated against the
+    supported language codes); the filter reaches the parquet scan."""
+    bad = [x for x in SELECTED_LANGS if x not in T.LANGUAGES]
+    if bad:
+        raise ValueError(f"unsupported language codes {bad}")
+    s = length_scored(spark, sf_dir).where(F.col("lang").isin(*SELECTED_LANGS))
+    return ev.auroc(s, "lang", digits=6)

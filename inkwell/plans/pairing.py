@@ -131,3 +131,29 @@ def e15_truncated_pairs_a5(spark, sf_dir):
         T.word_count("original").alias("original_words"), T.word_count("sampled").alias("sampled_words"),
         F.round(C.mean_words("perturbed_original"), 6).alias("perturbed_original_words"),
         F.round(C.mean_words("perturbed_sampled"), 6).alias("perturbed_sampled_words"))
+
+
+BATCH, MIN_WORDS_XSUM = 50, 55
+
+
+@register("a25_batch_quality_gate", f"""
+WITH r AS (SELECT pair_id, {word_count('sampled')} AS n_words, ROW_NUMBER() OVER (ORDER BY pair_id) AS rn
+           FROM {PAIRS_SQL}),
+b AS (SELECT (rn - 1) // {BATCH} AS batch, n_words FROM r
+      WHERE rn <= ((SELECT COUNT(*) FROM r) // {BATCH}) * {BATCH})
+SELECT CAST(batch AS BIGINT) AS batch, CAST(COUNT(*) AS BIGINT) AS n, MIN(n_words) AS min_words,
+       MIN(n_words) >= {MIN_WORDS_XSUM} AS accepted
+FROM b GROUP BY batch""")
+def a25_batch_quality_gate(spark, sf_dir):
+    """O9 + A25: pairs in batches of 50 in pair order (only whole batches),
+    the minimum word count of each batch's samples and the reference's
+    accept rule (every sample has at least 55 words).  The pair order is an
+    exact global row number built with balanced tasks."""
+    from inkwell.operators.ordering import rank_within
+    p = pairs(spark, sf_dir).select("pair_id", T.word_count("sampled").alias("n_words"))
+    r = rank_within(p, None, ["pair_id"])
+    n = r.select(F.count("*")).scalar()
+    r = r.where(F.col("rn") <= F.floor(n / BATCH) * BATCH)
+    b = r.groupBy(F.floor((F.col("rn") - 1) / BATCH).cast("bigint").alias("batch")).agg(
+        F.count("*").alias("n"), F.min("n_words").alias("min_words"))
+    return b.withColumn("accepted", F.col("min_words") >= MIN_WORDS_XSUM)

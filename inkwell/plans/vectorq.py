@@ -102,3 +102,19 @@ def p14_last_layer_softmax(spark, sf_dir):
     x = M.with_log_softmax(x, "vec", "lp")
     return x.select("doc_id", M.argmax("vec").alias("pred"), F.round(F.array_max("p"), 6).alias("p_max"),
                     F.round(F.element_at("lp", 1), 6).alias("lp0"))
+
+
+@register("o11_layer_slice_kl", f"WITH {_kl_sql()} SELECT doc_id, layer, ROUND(kl, 6) AS kl FROM kl "
+                                "WHERE layer BETWEEN 2 AND 4")
+def o11_layer_slice_kl(spark, sf_dir):
+    """A contiguous slice of the layer sweep (here layers 2..4)."""
+    k = kl_table(spark, sf_dir).where(F.col("layer").between(2, 4))
+    return k.select("doc_id", "layer", F.round("kl", 6).alias("kl"))
+
+
+@register("u5_concat_layers", """
+SELECT vec_id AS doc_id, list_transform(embedding, lambda x: ROUND(CAST(x AS DOUBLE), 6)) AS vec FROM embeddings""")
+def u5_concat_layers(spark, sf_dir):
+    """Split into layers and concatenate back (column concat)."""
+    c = VE.concat_layers(long_vectors(spark, sf_dir))
+    return c.select("doc_id", M.round_array("vec").alias("vec"))
