@@ -309,3 +309,84 @@ def shape_distribution(dist: DataFrame, mode: str, top_k: int = 40, top_p: float
         x = x.withColumn("_w", w)
         return x.withColumn("p", F.col("_w") / F.sum("_w").over(tot)).drop("_w", "_cc")
     raise ValueError(f"unknown shaping mode {mode}")
+
+
+# --- A12 / A15: Monte-Carlo curvature by sampling --------------------------------------------
+
+def _uniform(*cols) -> Column:
+    """Uniform in [0, 1) from a 53-bit slice of xxhash64 of the inputs."""
+    return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
+
+
+def _interval_lookup(draws: DataFrame, intervals: DataFrame, keys: list[str], total: str,
+                     n_buckets: str) -> DataFrame:
+    """A15 inverse-CDF lookup: each draw has an integer point ``k`` in
+    [0, total); intervals [lo, hi) per key partition that range.  Points
+    and intervals meet on (keys, bucket = floor(k * n_buckets / total)):
+    every interval is listed once per bucket it overlaps, so the lookup is
+    an equi-join plus a range filter, never a nested loop."""
+    b = lambda x: F.floor(x * F.col(n_buckets) / F.col(total)).cast("long")
+    iv = intervals.withColumn("_b", F.explode(F.sequence(b(F.col("lo")), b(F.col("hi") - 1))))
+    d = draws.withColumn("_b", b(F.col("k")))
+    j = d.join(iv.drop(total, n_buckets), [*keys, "_b"])
+    return j.where((F.col("k") >= F.col("lo")) & (F.col("k") < F.col("hi"))).drop("_b", "lo", "hi")
+
+
+def mc_curvature(model: TokenModel, texts: DataFrame, n_draws: int = 10_000, lam: float = 0.9,
+                 lam_ref: float = 0.5, seed: int = 0, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """A12/X2 sampled branch: for every position draw ``n_draws`` tokens
+    from the reference distribution, score them under the scoring model,
+    and z-score the text's mean log-likelihood by the draws' mean and
+    *sample* standard deviation.  The reference draw is a two-component
+    mixture (counted bigrams with weight lam_ref in seen contexts, else
+    add-one unigram), so each draw is one uniform for the component and
+    one inverse-CDF lookup (A15).  Rows = positions x draws: this is the
+    slow path the closed form (:func:`criteria`) replaces."""
+    U = model.vocab
+    pos = model.map_words(positions(texts, id_col, text_col))
+    cc = model.bigrams.select("ctx", "cc").distinct()
+    x = pos.join(F.broadcast(cc), "ctx", "left")
+    x = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    r1 = _uniform(F.lit(seed), "doc_id", "pos", "draw", F.lit(1))
+    r2 = _uniform(F.lit(seed), "doc_id", "pos", "draw", F.lit(2))
+    x = x.withColumn("_bigram", F.col("cc").isNotNull() & (r1 < lam_ref)).withColumn("_r2", r2)
+
+    # Bigram component: intervals of counts per context, ordered by token.
+    w = Window.partitionBy("ctx").orderBy("tok").rowsBetween(Window.unboundedPreceding, 0)
+    biv = (model.bigrams.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
+           .withColumn("nb", F.count("*").over(Window.partitionBy("ctx")))
+           .select("ctx", F.col("tok").alias("sample"), "lo", "hi", F.col("cc").alias("tot"), "nb"))
+    bd = x.where("_bigram").withColumn("k", F.floor(F.col("_r2") * F.col("cc")).cast("long"))
+    bd = bd.join(F.broadcast(biv.select("ctx", "tot", "nb").distinct()), "ctx")
+    bs = _interval_lookup(bd, biv, ["ctx"], "tot", "nb").drop("tot", "nb")
+
+    # Unigram component: add-one counts over the vocabulary (V+1 rows).
+    wu = Window.orderBy("token").rowsBetween(Window.unboundedPreceding, 0)   # V+1 rows
+    uiv = (U.withColumn("hi", F.sum(F.col("c") + 1).over(wu)).withColumn("lo", F.col("hi") - F.col("c") - 1)
+           .withColumn("tot", F.sum(F.col("c") + 1).over(Window.partitionBy(F.lit(1))))
+           .withColumn("nb", F.count("*").over(Window.partitionBy(F.lit(1))))
+           .select(F.lit(0).alias("_one"), F.col("token").alias("sample"), "lo", "hi", "tot", "nb"))
+    ud = x.where(~F.col("_bigram")).withColumn("_one", F.lit(0))
+    ud = ud.join(F.broadcast(uiv.select("_one", "tot", "nb").distinct()), "_one")
+    ud = ud.withColumn("k", F.floor(F.col("_r2") * F.col("tot")).cast("long"))
+    us = _interval_lookup(ud, F.broadcast(uiv), ["_one"], "tot", "nb").drop("tot", "nb", "_one")
+
+    drawn = bs.unionByName(us, allowMissingColumns=True)
+    # Score true tokens and draws under the scoring model.
+    big = model.bigrams.select("ctx", "tok", "c")
+    uu = F.broadcast(U.select(F.col("token").alias("tok"), "u"))
+
+    def lp_of(df, tok_col):
+        t = df.withColumnRenamed(tok_col, "tok").join(big, ["ctx", "tok"], "left").join(uu, "tok")
+        v = F.when(F.col("cc").isNotNull(), F.lit(lam) * F.coalesce("c", F.lit(0)) / F.col("cc")
+                   + F.lit(1.0 - lam) * F.col("u")).otherwise(F.col("u"))
+        return t.withColumn("lp", F.ln(v))
+
+    ll_x = lp_of(pos.join(F.broadcast(cc), "ctx", "left"), "tok").groupBy("doc_id").agg(
+        F.avg("lp").alias("ll_x"))
+    ll_t = (lp_of(drawn.select("doc_id", "pos", "draw", "ctx", "cc", "sample"), "sample")
+            .groupBy("doc_id", "draw").agg(F.avg("lp").alias("ll")))
+    stats = ll_t.groupBy("doc_id").agg(F.avg("ll").alias("mu"), F.stddev_samp("ll").alias("sd"))
+    return ll_x.join(stats, "doc_id").select(
+        "doc_id", F.try_divide(F.col("ll_x") - F.col("mu"), F.col("sd")).alias("mc_curvature"))

@@ -78,3 +78,28 @@ def test_long_criteria_unpivot(spark):
                                "logrank double, entropy double, curvature double")
     rows = LM.long_criteria(df, ["doc_id"]).collect()
     assert [r.criterion for r in rows] == LM.CRITERIA and [r.score for r in rows] == [0.1, 0.2, 0.3, 0.4, 0.5]
+
+
+def test_mc_curvature_near_analytic(spark):
+    """A12 (sampled) approaches A11 (closed form) with enough draws."""
+    corpus = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    scored = spark.createDataFrame(list(enumerate(SCORED)), "doc_id long, text string")
+    m = LM.train(corpus, V=100)
+    mc = {r.doc_id: r.mc_curvature for r in LM.mc_curvature(m, scored, n_draws=3000, seed=1).collect()}
+    an = {r.doc_id: r.curvature for r in LM.criteria(m, scored, 0.9, 0.5).collect()}
+    checked = 0
+    for d, v in an.items():
+        if v is None or d not in mc or mc[d] is None:
+            continue
+        assert mc[d] == pytest.approx(v, rel=0.08, abs=0.12), d
+        checked += 1
+    assert checked >= 3
+
+
+def test_mc_single_text_runs(spark):
+    """A15 path on one short text (one scored position)."""
+    corpus = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    m = LM.train(corpus, V=100)
+    one = spark.createDataFrame([(0, "the cat")], "doc_id long, text string")
+    mc = LM.mc_curvature(m, one, n_draws=10)
+    assert mc.count() == 1
