@@ -12,7 +12,7 @@ from inkwell.plans.registry import register
 from inkwell.plans.sqlfrag import (LABELLED_CONV, LABELLED_DOCS, fold, frac_split_sql, md5_key,
                                   space_word_count, strip, word_count)
 from inkwell.sources.tables import labelled_conversations, labelled_documents
-from inkwell.session import table
+from inkwell.session import materialize, table
 
 # Parameters of the registered runs.  The reference's sizes (5,000 / 200 /
 # 50; 500 per class; 100/75/75 per class) exceed the fixture tables, so the
@@ -38,6 +38,9 @@ def corpus_builder(docs, group="lang", seed=0):
     cap -> n samples -> whole batches (per dataset group)."""
     d = C.keep_first(docs.select("doc_id", "text", group), "text", "doc_id")
     d = d.withColumn("text", T.fold_ws(T.py_strip("text"))).withColumn("n_words", T.word_count("text"))
+    # The normalised corpus feeds several passes (long-text flag, two
+    # seeded heads, counts): write it once instead of re-normalising.
+    d = materialize(d)
     d = C.prefer_long(d, "n_words", group, LONG_WORDS)
     d = top_n_by_hash(d, group, CORPUS_HEAD, "doc_id", seed).drop("rn")
     d = d.where(F.col("n_words") <= TOKEN_CAP)

@@ -28,17 +28,19 @@ SELECT doc_id,
        {strip('text')} = '' AS is_blank
 FROM documents""")
 def e_text_normalisation(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    # The word list is computed once per row and reused by every column
+    # (lambda-based expressions are not merged by subexpression elimination).
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", T.words("text").alias("_w"))
     return d.select(
         "doc_id",
         T.space_word_count("text").alias("n_space_words"),
-        T.word_count("text").alias("n_words"),
+        F.size("_w").cast("bigint").alias("n_words"),
         F.md5(T.py_strip("text")).alias("strip_md5"),
-        F.md5(T.fold_ws("text")).alias("fold_md5"),
+        F.md5(F.array_join("_w", " ")).alias("fold_md5"),
         F.md5(T.nbsp_newline_to_space("text")).alias("e5_md5"),
-        F.md5(T.first_words("text", 30)).alias("prompt30_md5"),
+        F.md5(F.array_join(F.slice("_w", 1, 30), " ")).alias("prompt30_md5"),
         F.md5(T.drop_last_word("text")).alias("drop_last_md5"),
-        F.size(F.slice(T.words("text"), 1, 300)).cast("bigint").alias("n_tokens_300"),
+        F.size(F.slice("_w", 1, 300)).cast("bigint").alias("n_tokens_300"),
         T.is_blank("text").alias("is_blank"))
 
 
