@@ -33,21 +33,30 @@ def _d(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
 
+def _pairs_sql(src: str, with_id: bool) -> str:
+    """Adjacent word pairs of each text, zipped inside the row (no
+    positional self-join, whose per-document intermediate is quadratic)."""
+    idc = "doc_id, " if with_id else ""
+    return (f"(SELECT {idc}p[1] AS wa, p[2] AS wb FROM (SELECT {idc}"
+            f"UNNEST(list_zip(W[1:len(W) - 1], W[2:len(W)])) AS p "
+            f"FROM (SELECT {idc}{words('text')} AS W FROM {src})))")
+
+
 def lm_sql(scored: str) -> str:
-    """CTEs: dense model over ``documents`` and per-position joins for the
+    """CTEs: dense model over ``documents`` and per-position rows for the
     ``scored`` relation (doc_id, text).  Ends with CTE ``j``."""
     return f"""
-tw AS (SELECT doc_id, UNNEST(W) AS word, generate_subscripts(W, 1) AS i
-       FROM (SELECT doc_id, {words('text')} AS W FROM documents)),
+tw AS (SELECT UNNEST({words('text')}) AS word FROM documents),
 cnt AS (SELECT word, COUNT(*) AS c FROM tw GROUP BY word),
 top AS (SELECT word AS token, c FROM cnt ORDER BY c DESC, word LIMIT {V}),
 tot AS (SELECT SUM(c) AS N, LEAST(COUNT(*), {V}) + 1 AS V1 FROM cnt),
 voc AS (SELECT token, c FROM top
         UNION ALL SELECT '{LM.UNK}', (SELECT N FROM tot) - (SELECT COALESCE(SUM(c), 0) FROM top)),
 U AS (SELECT token, c, (c + 1) / (SELECT N + V1 FROM tot) AS u FROM voc),
-mt AS (SELECT tw.doc_id, tw.i, COALESCE(top.token, '{LM.UNK}') AS token FROM tw LEFT JOIN top ON tw.word = top.token),
-bg AS (SELECT a.token AS ctx, b.token AS tok, COUNT(*) AS c
-       FROM mt a JOIN mt b ON a.doc_id = b.doc_id AND b.i = a.i + 1 GROUP BY a.token, b.token),
+bg AS (SELECT COALESCE(ta.token, '{LM.UNK}') AS ctx, COALESCE(tb.token, '{LM.UNK}') AS tok, COUNT(*) AS c
+       FROM {_pairs_sql('documents', False)} tp
+       LEFT JOIN top ta ON tp.wa = ta.token LEFT JOIN top tb ON tp.wb = tb.token
+       GROUP BY COALESCE(ta.token, '{LM.UNK}'), COALESCE(tb.token, '{LM.UNK}')),
 cc AS (SELECT ctx, SUM(c) AS cc FROM bg GROUP BY ctx),
 dense AS (SELECT x.token AS ctx, y.token AS tok, y.u, COALESCE(bg.c, 0) AS c, cc.cc
           FROM U x CROSS JOIN U y
@@ -61,10 +70,9 @@ rk AS (SELECT ctx, tok, ln(p) AS lp, ROW_NUMBER() OVER (PARTITION BY ctx ORDER B
 cs0 AS (SELECT ctx, -SUM(p * ln(p)) AS entropy, SUM(q * ln(p)) AS mean, SUM(q * ln(p) * ln(p)) AS m2
         FROM pd GROUP BY ctx),
 cs AS (SELECT ctx, entropy, mean, m2 - mean * mean AS var FROM cs0),
-sw AS (SELECT doc_id, UNNEST(W) AS word, generate_subscripts(W, 1) AS i
-       FROM (SELECT doc_id, {words('text')} AS W FROM {scored})),
-sm AS (SELECT sw.doc_id, sw.i, COALESCE(top.token, '{LM.UNK}') AS token FROM sw LEFT JOIN top ON sw.word = top.token),
-sp AS (SELECT a.doc_id, a.token AS ctx, b.token AS tok FROM sm a JOIN sm b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+sp AS (SELECT sp0.doc_id, COALESCE(ta.token, '{LM.UNK}') AS ctx, COALESCE(tb.token, '{LM.UNK}') AS tok
+       FROM {_pairs_sql(scored, True)} sp0
+       LEFT JOIN top ta ON sp0.wa = ta.token LEFT JOIN top tb ON sp0.wb = tb.token),
 j AS (SELECT sp.doc_id, sp.ctx, sp.tok, rk.lp, rk.rank, cs.entropy, cs.mean, cs.var
       FROM sp JOIN rk ON rk.ctx = sp.ctx AND rk.tok = sp.tok JOIN cs ON cs.ctx = sp.ctx)"""
 
