@@ -99,6 +99,8 @@ def read_line_pair(spark: SparkSession, left: str, right: str, names=("prompt",
 # --- S5 / S6 / S17: paired corpora and run arguments --------------------------------
 
 PAIR_SCHEMA = "pair_id long, original string, sampled string"
+PERTURBED_SCHEMA = ("original string, sampled string, perturbed_original array<string>, "
+                    "perturbed_sampled array<string>")
 COLUMNAR_SCHEMA = "original array<string>, sampled array<string>"
 
 
@@ -110,11 +112,16 @@ def write_pairs(pairs: DataFrame, prefix: str, args: dict) -> None:
     spark.createDataFrame([args]).coalesce(1).write.mode("overwrite").json(f"{prefix}.args")
 
 
-def read_pairs(spark: SparkSession, prefix: str, columnar: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_pairs(spark: SparkSession, prefix: str, columnar: bool = False,
+               perturbed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs, args).  ``columnar`` reads the reference layout
     ``{original: [...], sampled: [...]}`` (D5) and numbers the pairs by
-    position (``posexplode(arrays_zip)``)."""
+    position (``posexplode(arrays_zip)``); ``perturbed`` reads the list
+    form with perturbation arrays (D6: a JSON array of records)."""
     args = spark.read.json(f"{prefix}.args")
+    if perturbed:
+        d = spark.read.schema(PERTURBED_SCHEMA).option("multiLine", True).json(f"{prefix}.raw_data")
+        return d, args
     if not columnar:
         return spark.read.schema(PAIR_SCHEMA).json(f"{prefix}.raw_data"), args
     d = spark.read.schema(COLUMNAR_SCHEMA).option("multiLine", True).json(f"{prefix}.raw_data")

@@ -37,3 +37,14 @@ def labelled_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (conv.where(F.col("role").isin(*ROLE_LABEL))
                 .select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"),
                         "conv_id", "turn", "text", label.alias("result")))
+
+
+# The text column of each named corpus (others: the name).
+DATASET_KEYS = {"xsum": "document", "squad": "context", "writing": "document", "fluoroscopy": "text"}
+
+
+def pick_text(df: DataFrame, dataset: str) -> DataFrame:
+    """Select the dataset's text column as ``text``; a dataset not
+    in the table uses its own name as the column (lookup with default)."""
+    key = DATASET_KEYS.get(dataset, dataset)
+    return df.select(F.col(key).alias("text"))

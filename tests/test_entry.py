@@ -51,3 +51,11 @@ def test_mllib_fit_and_external_scorer(spark):
     texts = spark.createDataFrame([(1, "short words here"), (2, "")], "doc_id long, text string")
     got = {r.doc_id: r.prob for r in CL.external_scores(texts, CL.text_feature_scorer).collect()}
     assert 0.0 <= got[1] <= 1.0 and got[2] == 0.5
+
+
+def test_mlp_variant(spark):
+    rows = [(i, [float(i % 2), float((i // 2) % 2)], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, vec array<double>, label int")
+    model = CL.fit(df, "vec", "label", kind="mlp", hidden=(4,), max_iter=50)
+    s = CL.score(model, df)
+    assert ev.auroc(s.select(F.col("prob").alias("score"), "label")).first().auroc > 0.9

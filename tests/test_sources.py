@@ -118,3 +118,28 @@ def test_hive_key_and_fanout(spark):
     got = sorted((r.text, r.l, r.s) for r in back.select("text", FS.hive_key("path", "lang").alias("l"),
                                                            FS.hive_key("path", "source").alias("s")).collect())
     assert got == [("t1", "en", "g1"), ("t2", "es", "g2")]
+
+
+def test_perturbed_pairs_list_form(spark):
+    prefix = scratch_path(spark, "t-pert")
+    os.makedirs(f"{prefix}.raw_data"); os.makedirs(f"{prefix}.args")
+    with open(f"{prefix}.raw_data/p.json", "w") as f:
+        json.dump([{"original": "o", "sampled": "s", "perturbed_original": ["o1", "o2"],
+                    "perturbed_sampled": ["s1"]}], f, indent=4)
+    with open(f"{prefix}.args/a.json", "w") as f:
+        f.write("{}\n")
+    d, _ = FS.read_pairs(spark, prefix, perturbed=True)
+    r = d.first()
+    assert (r.original, r.perturbed_original, r.perturbed_sampled) == ("o", ["o1", "o2"], ["s1"])
+
+
+def test_path_keys_and_text_pick(spark):
+    from inkwell.functions import text as T
+    from inkwell.sources.tables import pick_text
+    df = spark.createDataFrame([("dataset/processed_data/test_data/pub_gpt3.5.json",),
+                                ("exp/data/xsum_gpt2.raw_data.json",)], "p string")
+    got = [(r.k.dataset, r.k.generator) for r in df.select(T.path_key("p").alias("k")).collect()]
+    assert got == [("pub", "gpt3.5"), ("xsum", "gpt2")]
+    t = spark.createDataFrame([("a doc", "a ctx")], "document string, context string")
+    assert pick_text(t, "xsum").first().text == "a doc" and pick_text(t, "squad").first().text == "a ctx"
+    assert pick_text(t.withColumnRenamed("document", "other"), "other").first().text == "a doc"
