@@ -202,3 +202,24 @@ def macro_mean(cells: DataFrame, families: DataFrame, family_col: str, value: st
     return (families.join(cells, family_col, "left")
                     .groupBy(family_col).agg(F.avg(value).alias(f"mean_{value}"),
                                              F.count(value).alias("n_cells")))
+
+
+def roc_pr_summary(df: DataFrame, group_cols=None, score: str = "score", label: str = "label",
+                   buckets: int | None = None) -> DataFrame:
+    """A18 + A20 from one cumulative pass: ``auroc``, ``pr_auc``, ``loss``
+    (= 1 - pr_auc) and the class counts per group."""
+    g = _cols(group_cols)
+    cum = cumulative_counts(score_counts(df, g, score, label), g, buckets)
+    tp_prev = F.col("tp") - F.col("npos")
+    fp_prev = F.col("fp") - F.col("nneg")
+    p_here = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
+    p_prev = F.when(tp_prev + fp_prev == 0, F.lit(1.0)).otherwise(_safe_div(tp_prev, tp_prev + fp_prev))
+    res = cum.groupBy(*g).agg(
+        F.sum(F.col("nneg") * (F.col("tp") - F.col("npos") / 2.0)).alias("_area"),
+        F.sum(_safe_div(F.col("npos"), F.col("P")) * (p_here + p_prev) / 2.0).alias("_pr"),
+        F.max("P").cast("bigint").alias("n_pos"), F.max("N").cast("bigint").alias("n_neg"))
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return res.select(
+        *g, F.when(both, _safe_div(F.col("_area"), F.col("n_pos") * F.col("n_neg"))).alias("auroc"),
+        F.when(F.col("n_pos") > 0, F.col("_pr")).alias("pr_auc"),
+        F.when(F.col("n_pos") > 0, 1.0 - F.col("_pr")).alias("loss"), "n_pos", "n_neg")

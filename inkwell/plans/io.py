@@ -167,10 +167,9 @@ def s19_criterion_results(spark, sf_dir):
     crit = LM.criteria(CR.model_for(spark, sf_dir), texts, CR.LAM, CR.LAM_REF)
     long = LM.long_criteria(crit.join(texts.select("doc_id", "label"), "doc_id"), ["doc_id", "label"])
     long = long.withColumn("name", F.concat("criterion", F.lit("_threshold")))
-    roc = ev.auroc(long, "name")
-    pr = ev.pr_auc(long, "name")
+    summary = ev.roc_pr_summary(long, "name")          # ROC and PR from one pass
     n = texts.where(F.col("label") == 0).select(F.count("*")).scalar()
-    rec = roc.join(pr, "name").select(
+    rec = summary.select(
         "name", F.struct(n.alias("n_samples")).alias("info"),
         F.struct(F.col("auroc").alias("roc_auc")).alias("metrics"),
         F.struct(F.col("pr_auc")).alias("pr_metrics"), F.col("loss"))

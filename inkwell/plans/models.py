@@ -1,6 +1,7 @@
 """Classifier queries (X5-X11, A21, A22, A26, A27).  Training is not
-reproducible bit-for-bit against any SQL, so these carry no oracle SQL
-(rows-only check); unit tests check their properties."""
+reproducible bit-for-bit against any SQL, so the trained ones carry no
+oracle SQL (rows-only check; unit tests check their properties); the
+external scorer (X11) is deterministic and has one."""
 
 from __future__ import annotations
 
@@ -137,7 +138,21 @@ def a26_train_regime_auroc(spark, sf_dir):
     return out
 
 
-@register("x11_sequence_classifier_auroc")
+def _x11_sql() -> str:
+    from inkwell.plans.sqlfrag import LABELLED_DOCS, auroc_sql, words
+    d = lambda x: f"CAST({x!r} AS DOUBLE)"
+    l0 = (f"({d(0.8)} * (list_sum(list_transform(W, lambda x: length(x))) / len(W) - {d(4.5)}) "
+          f"+ {d(2.0)} * ({d(0.7)} - len(list_distinct(W)) / len(W)))")
+    scored = f"""(SELECT lang, label, CASE WHEN len(W) = 0 THEN 0.5
+                  ELSE exp(l0 - (greatest(l0, 0.0) + ln(exp(l0 - greatest(l0, 0.0)) + exp(0.0 - greatest(l0, 0.0)))))
+                  END AS score
+           FROM (SELECT lang, label, W, CASE WHEN len(W) = 0 THEN NULL ELSE {l0} END AS l0
+                 FROM (SELECT lang, result AS label, {words('text')} AS W FROM {LABELLED_DOCS})))"""
+    return f"""WITH a AS ({auroc_sql(scored, ['lang'])})
+SELECT lang, ROUND(auroc, 4) AS auroc, n_pos, n_neg FROM a"""
+
+
+@register("x11_sequence_classifier_auroc", _x11_sql())
 def x11_sequence_classifier_auroc(spark, sf_dir):
     """X11 + M5 + A18 + M6: an external sequence classifier scores both
     classes per Arrow batch; AUROC by language, rounded to 4 places."""

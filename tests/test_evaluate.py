@@ -128,3 +128,14 @@ def test_golden_published_auroc(spark):
     assert len(got) == 9
     for name, val in got.items():
         assert val == pytest.approx(published[name], abs=1e-9), name
+
+
+def test_roc_pr_summary_matches_separate(spark):
+    rows = _data(300, seed=11)
+    df = spark.createDataFrame(rows, "id long, g string, score double, label int")
+    s = {r.g: r for r in ev.roc_pr_summary(df, "g", buckets=3).collect()}
+    a = {r.g: r.auroc for r in ev.auroc(df, "g").collect()}
+    p = {r.g: r.pr_auc for r in ev.pr_auc(df, "g").collect()}
+    for g in a:
+        assert s[g].auroc == (pytest.approx(a[g]) if a[g] is not None else None)
+        assert s[g].pr_auc == (pytest.approx(p[g]) if p[g] is not None else None)
