@@ -61,8 +61,11 @@ def cumulative_counts(counts: DataFrame, group_cols, buckets: int | None = None)
     g = _cols(group_cols)
     spark = counts.sparkSession
     checkpoint_root(spark)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = (counts.repartitionByRange(n, *[F.col(c) for c in g], F.col("score").desc())
+    keys = [*[F.col(c) for c in g], F.col("score").desc()]
+    # Without an explicit count AQE may merge adjacent ranges on small
+    # inputs; merged ranges are still contiguous, so ids stay monotone.
+    ranged = counts.repartitionByRange(buckets, *keys) if buckets else counts.repartitionByRange(*keys)
+    bucketed = (ranged
                       .withColumn("_b", F.spark_partition_id())
                       .checkpoint(eager=True))
 

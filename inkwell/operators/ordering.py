@@ -52,11 +52,14 @@ def running_sum(df: DataFrame, group_cols, order_cols: list[Column | str], value
     g = _cols(group_cols)
     spark = df.sparkSession
     checkpoint_root(spark)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     val = F.col(value) if isinstance(value, str) else value
-    b = (df.withColumn("_v", val)
-           .repartitionByRange(n, *[F.col(c) for c in g], *order)
+    keys = [*[F.col(c) for c in g], *order]
+    x = df.withColumn("_v", val)
+    # Without an explicit count AQE may merge adjacent ranges on small
+    # inputs; merged ranges are still contiguous, so ids stay monotone.
+    ranged = x.repartitionByRange(buckets, *keys) if buckets else x.repartitionByRange(*keys)
+    b = (ranged
            .withColumn("_b", F.spark_partition_id())
            .checkpoint(eager=True))
     tot = b.groupBy(*g, "_b").agg(F.sum("_v").alias("_bs"))
