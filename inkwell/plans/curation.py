@@ -89,8 +89,8 @@ def counselling_splits(spark, sf_dir, n=COUNSEL_N):
           .withColumn("LLM", T.nbsp_newline_to_space("LLM")))
     long = C.wide_to_long(w, ["pair_id", "Context"], {"Response": "0", "LLM": "1"})
     long = C.keep_first(long, ["Context", "result"], "pair_id")
-    s = C.sample_per_class(long, n, "result", "pair_id", seed=42)
-    s = s.drop("rn")
+    # The sample feeds both splits and their join-backs: write it once.
+    s = materialize(C.sample_per_class(long, n, "result", "pair_id", seed=42).drop("rn"))
     s1 = C.stratified_fraction_split(s, "result", "pair_id", 0.2, seed="s1")
     test = s1.where(F.col("split") == "test")
     s2 = C.stratified_fraction_split(s1.where(F.col("split") == "train").drop("split"), "result",
@@ -146,8 +146,9 @@ _LANG_SPLIT_SQL = f"""(SELECT doc_id, text, result, lang, source, {_split_case('
 
 
 def language_splits(spark, sf_dir):
-    return C.absolute_split(labelled_documents(spark, sf_dir), ["lang", "result"], LANG_SPLITS,
-                            "doc_id", seed=42)
+    # Consumers read several splits of it: write the assignment once.
+    return materialize(C.absolute_split(labelled_documents(spark, sf_dir), ["lang", "result"], LANG_SPLITS,
+                                        "doc_id", seed=42))
 
 
 @register("o5_language_splits", f"SELECT doc_id, lang, result, split FROM {_LANG_SPLIT_SQL}")
