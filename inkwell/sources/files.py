@@ -203,6 +203,8 @@ def parse_training_log(lines: DataFrame, value_col: str = "value", order_col: st
         F.regexp_extract(v, r"Epoch \[(\d+)/\d+\]", 1).alias("_ep"),
         F.regexp_extract(v, r"Loss: ([-0-9.eE]+)", 1).alias("_loss"),
         F.regexp_extract(v, r"Validation Accuracy: ([-0-9.eE]+)", 1).alias("_acc"))
+    # One ordered pass over a training log (a few lines per layer and
+    # epoch of one experiment: bounded by the experiment, not the corpus).
     w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("layer", F.last("_layer", ignorenulls=True).over(w))
     return (x.where(F.col("_ep") != "")
