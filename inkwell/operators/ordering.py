@@ -94,20 +94,21 @@ def uniform_from_key(key: Column) -> Column:
 
 
 def top_n_by_hash(df: DataFrame, group_cols, n, id_col: str, seed: int | str = 42,
-                  name: str = "rn") -> DataFrame:
+                  name: str = "rn", sd_slack: float = 6.0, min_slack: float = 16.0) -> DataFrame:
     """Per group, the rows with the ``n`` smallest ``md5(seed:id)`` keys,
     numbered 1..n in that order (ties by id).  ``n`` is an int or the name
     of a per-group column already on ``df``.  Exact; balanced under skew."""
     g = _cols(group_cols)
     if not g:
-        return top_n_by_hash(df.withColumn("_g0", F.lit(0)), ["_g0"], n, id_col, seed, name).drop("_g0")
+        return top_n_by_hash(df.withColumn("_g0", F.lit(0)), ["_g0"], n, id_col, seed, name,
+                             sd_slack, min_slack).drop("_g0")
     x = df.withColumn("_k", sample_key(id_col, seed)).withColumn("_u", uniform_from_key(F.col("_k")))
     n_agg = F.lit(n).cast("bigint") if isinstance(n, int) else F.max(F.col(n)).cast("bigint")
     counts = x.groupBy(*g).agg(F.count("*").alias("_cnt"), n_agg.alias("_n"))
     # Expected keep = n + 6 sd + 16 per group: a group that still keeps too
     # few rows is detected below and takes all its rows, so it stays exact.
     counts = counts.withColumn("_t", F.least(
-        F.lit(1.0), (F.col("_n") + 6.0 * F.sqrt(F.col("_n")) + 16.0) / F.col("_cnt")))
+        F.lit(1.0), (F.col("_n") + sd_slack * F.sqrt(F.col("_n")) + min_slack) / F.col("_cnt")))
     xs = _eq_join(x, counts, g)
     pre = xs.where(F.col("_u") < F.col("_t"))
     kept = pre.groupBy(*g).agg(F.count("*").alias("_kept"))

@@ -114,3 +114,18 @@ def test_prefer_long(spark):
     df = spark.createDataFrame([(1, "a", 300), (2, "a", 10), (3, "b", 10), (4, "b", 20)], "id long, g string, n long")
     got = sorted(r.id for r in C.prefer_long(df, "n", "g", 250).collect())
     assert got == [1, 3, 4]
+
+
+def test_top_n_fallback_path_is_exact(spark):
+    """With no slack the hash pre-filter often keeps fewer than n rows in a
+    stratum; those strata must fall back to all their rows."""
+    rows = skewed_rows(3000, seed=8)
+    df = spark.createDataFrame(rows, "id long, g string, label int")
+    for n in (5, 40, 300):
+        got = {(r.g, r.rn): r.id for r in top_n_by_hash(df, "g", n, "id", seed=3, sd_slack=0.0,
+                                                            min_slack=0.0).collect()}
+        exp = {}
+        for g in {r[1] for r in rows}:
+            ids = sorted((r[0] for r in rows if r[1] == g), key=lambda i: (md5key(3, i), i))[:n]
+            exp.update({(g, k): i for k, i in enumerate(ids, 1)})
+        assert got == exp, n
