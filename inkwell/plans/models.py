@@ -94,13 +94,18 @@ def criteria_features(spark, sf_dir, texts):
 def x10_cross_domain_auroc(spark, sf_dir):
     """Train on one domain, test on every domain; AUROC matrix with
     one column per test domain (pivot)."""
-    conv = labelled_conversations(spark, sf_dir)
-    docs = labelled_documents(spark, sf_dir)
-    feats = (criteria_features(spark, sf_dir, conv).join(conv.select("doc_id", F.col("result").alias("label")), "doc_id")
-             .withColumn("domain", F.lit("conversations"))
-             .unionByName(criteria_features(spark, sf_dir, docs)
-                          .join(docs.select("doc_id", F.col("result").alias("label")), "doc_id")
-                          .withColumn("domain", F.lit("documents"))))
+    # Both domains are scored in one criteria pass (one rank job) over the
+    # union of their texts; ids are made unique per domain.
+    conv = labelled_conversations(spark, sf_dir).select(
+        "doc_id", "text", F.col("result").alias("label"), F.lit("conversations").alias("domain"))
+    docs = labelled_documents(spark, sf_dir).select(
+        "doc_id", "text", F.col("result").alias("label"), F.lit("documents").alias("domain"))
+    both = conv.unionByName(docs).withColumn(
+        "uid", F.when(F.col("domain") == "documents", F.lit(1 << 40)).otherwise(F.lit(0)) + F.col("doc_id"))
+    crit = LM.criteria(CR.model_for(spark, sf_dir), both.select("uid", "text"), CR.LAM, CR.LAM_REF, id_col="uid")
+    crit = crit.where(F.col("curvature").isNotNull()).select(
+        F.col("doc_id").alias("uid"), F.array(*[F.col(c) for c in LM.CRITERIA]).alias("vec"))
+    feats = materialize(crit.join(both.select("uid", "doc_id", "label", "domain"), "uid").drop("uid"))
     sp = C.stratified_fraction_split(feats.select("doc_id", "domain", "label"), "label", "doc_id", 0.2,
                                      seed="x", group_cols="domain")
     x = materialize(feats.join(sp.select("doc_id", "domain", "split"), ["doc_id", "domain"]))
