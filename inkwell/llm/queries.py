@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from inkwell.llm.chat import op5_prefix_rendering
+from inkwell.llm.fingerprints import op8_one_permutation_minhash
+from inkwell.llm.langid import op6_word_backoff
 from inkwell.llm.packing import op10_min_bin_slack
+from inkwell.llm.pagetext import op9_tag_path_ratios
 from inkwell.llm.sharding import op7_rendezvous_shards
 
 QUERIES = {f.__name__: f for f in (
+    op5_prefix_rendering,
+    op6_word_backoff,
     op7_rendezvous_shards,
+    op8_one_permutation_minhash,
+    op9_tag_path_ratios,
     op10_min_bin_slack,
 )}
 
