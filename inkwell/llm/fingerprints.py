@@ -61,7 +61,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray | None:
         source[empty[found]] = to[first[found], np.flatnonzero(found)]
         start += len(table_)
         table_ = _attempts(start, start + 16 * start) if (source < 0).any() else table_
-    return (mix64(bins[source]) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    # The bin's number goes into its bits, or bins filled from one source
+    # would agree by chance all together.
+    own = bins[source] + np.arange(BINS, dtype=np.uint64)
+    return (mix64(own) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def packed(values: np.ndarray | None) -> str:
