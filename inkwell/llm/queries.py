@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from inkwell.llm.chat import op5_prefix_rendering
+from inkwell.llm.decontaminate import op2_winnowing
 from inkwell.llm.fingerprints import op8_one_permutation_minhash
 from inkwell.llm.langid import op6_word_backoff
 from inkwell.llm.packing import op10_min_bin_slack
@@ -12,6 +13,7 @@ from inkwell.llm.sharding import op7_rendezvous_shards
 
 QUERIES = {f.__name__: f for f in (
     op1_weak_supervision,
+    op2_winnowing,
     op5_prefix_rendering,
     op6_word_backoff,
     op7_rendezvous_shards,
