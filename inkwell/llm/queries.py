@@ -6,6 +6,7 @@ from inkwell.llm.chat import op5_prefix_rendering
 from inkwell.llm.decontaminate import op2_winnowing
 from inkwell.llm.fingerprints import op8_one_permutation_minhash
 from inkwell.llm.langid import op6_word_backoff
+from inkwell.llm.nearjoin import op4_minhash_forest
 from inkwell.llm.packing import op10_min_bin_slack
 from inkwell.llm.pagetext import op9_tag_path_ratios
 from inkwell.llm.pii import op1_weak_supervision
@@ -14,6 +15,7 @@ from inkwell.llm.sharding import op7_rendezvous_shards
 QUERIES = {f.__name__: f for f in (
     op1_weak_supervision,
     op2_winnowing,
+    op4_minhash_forest,
     op5_prefix_rendering,
     op6_word_backoff,
     op7_rendezvous_shards,
