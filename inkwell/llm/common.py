@@ -51,6 +51,18 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def boxed(docs: DataFrame, *cols: str) -> DataFrame:
+    """The whole row as one struct ``row`` next to the columns an operator
+    works on, so that no other column's name can clash with its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       *[F.col(f"`{c}`") for c in cols])
+
+
+def unboxed(df: DataFrame, names: list[str], **new) -> DataFrame:
+    """The columns of the boxed rows again, some replaced."""
+    return df.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in names])
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-cased maximal runs of word characters; null has none."""
     return _WORD.findall(text.lower()) if text else []

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, only, table
+from inkwell.llm.common import boxed, cut, only, table, unboxed
 
 WINDOW = 10
 GRAM = 5
@@ -141,8 +141,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit, with their columns."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return decontaminated(docs, benchmark).where(F.col("_n_hit") == 0).select(*cols)
+    marked = decontaminated(boxed(docs, "text"), benchmark)
+    return unboxed(marked.where(F.col("_n_hit") == 0), docs.columns)
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

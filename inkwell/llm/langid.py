@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import only, ship, table
+from inkwell.llm.common import boxed, only, ship, table, unboxed
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 TOP_GRAM = 5
@@ -145,6 +145,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         *[F.col(f"`{c}`") for c in docs.columns], "_g.lang_pred", "_g.score")
 
 
+def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is found with a score of ``least``
+    at least, with their columns; the fit takes their own labels."""
+    found = predict(boxed(docs, "text"), fit(docs))
+    return unboxed(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs.columns)
+
+
 def op6_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs)

@@ -34,7 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import WordHash, cut, mix64, only, shingles, ship, table, words_of
+from inkwell.llm.common import (
+    WordHash, boxed, cut, mix64, only, shingles, ship, table, unboxed, words_of)
 
 TREES = 24
 LONGEST = 8
@@ -258,13 +259,13 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     doc_id; rows without shingles all stay."""
     rows, classes = _solve(docs, threshold)
     chosen = classes.groupBy("group").agg(F.min("first").alias("g")).select("g.rk", "g.tk")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    own = docs.select(*cols, F.xxhash64(F.col("`text`")).alias("_tk"),
-                      F.xxhash64(F.col("`doc_id`"), F.lit(1), F.col("`text`")).alias("_rk"))
-    kept = own.join(chosen.select(F.col("rk").alias("_rk"), F.col("tk").alias("_tk")), ["_rk", "_tk"], "left_semi")
-    kept = kept.dropDuplicates(["_rk", "_tk"])
-    bare = rows.where("key is null").select(F.col("rk").alias("_rk"), F.col("tk").alias("_tk")).distinct()
-    return kept.select(*cols).unionByName(own.join(bare, ["_rk", "_tk"], "left_semi").select(*cols))
+    own = boxed(docs, "doc_id", "text").select("row", F.xxhash64("text").alias("tk"),
+                                               F.xxhash64("doc_id", F.lit(1), "text").alias("rk"))
+    # Rows that repeat id and text: the one whose other columns hash lowest.
+    kept = own.join(chosen, ["rk", "tk"], "left_semi").groupBy("rk", "tk").agg(
+        F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    bare = rows.where("key is null").select("rk", "tk").distinct()
+    return unboxed(kept.unionByName(own.join(bare, ["rk", "tk"], "left_semi").select("row")), docs.columns)
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

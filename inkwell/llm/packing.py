@@ -163,9 +163,13 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
         *parts.columns, (F.col("_seq") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
 
 
-def op10_min_bin_slack(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``tokenizer``: path of the byte-level BPE file."""
     if tokenizer is None:
         import public_tokenizers
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return pack(pieces(table(spark, sf_dir, "documents"), vocabulary(tokenizer)))
+    return pack(pieces(docs, vocabulary(tokenizer)))
+
+
+def op10_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))

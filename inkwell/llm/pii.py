@@ -27,7 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, only, table
+from inkwell.llm.common import boxed, cut, only, table, unboxed
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("regex", "gazetteer", "context")
@@ -234,8 +234,7 @@ def listed(spans: Column) -> Column:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets;
     overlapping spans become one.  A null text stays null."""
-    cols = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    found = candidates(docs)
+    found = candidates(boxed(docs, "text"))
     d = decided(found, fit(found))
     by_place = F.array_sort(F.transform("_spans", lambda s: F.struct(
         s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("k"))))
@@ -254,7 +253,7 @@ def masked(docs: DataFrame) -> DataFrame:
         F.substring(F.col("text"), F.get(ends, i) + 1, s["a"] - F.get(ends, i)), F.get(names, s["k"])))
     tail = F.substring(F.col("text"), F.get(ends, F.size("_m")) + 1, F.length("text"))
     text = F.when(F.size("_m") > 0, F.concat(F.array_join(kept, ""), tail)).otherwise(F.col("text"))
-    return d.withColumn("_t", text).select(*cols, F.col("_t").alias("text")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(d, docs.columns, text=text)
 
 
 def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

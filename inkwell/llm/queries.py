@@ -11,10 +11,12 @@ from inkwell.llm.packing import op10_min_bin_slack
 from inkwell.llm.pagetext import op9_tag_path_ratios
 from inkwell.llm.pii import op1_weak_supervision
 from inkwell.llm.sharding import op7_rendezvous_shards
+from inkwell.llm.suffixdedup import op3_lyndon_grouping
 
 QUERIES = {f.__name__: f for f in (
     op1_weak_supervision,
     op2_winnowing,
+    op3_lyndon_grouping,
     op4_minhash_forest,
     op5_prefix_rendering,
     op6_word_backoff,
