@@ -68,21 +68,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered; emptied when it grows past
-    ``bound`` entries so a worker's memory stays bounded."""
-
-    def __init__(self, bound: int = 300_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        v = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return v
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 output bits."""
     x = x ^ (x >> np.uint64(33))
@@ -92,15 +77,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(words: list[str], known: WordHash, size: int = 5) -> np.ndarray:
+def shingles(words: list[str], size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of all runs of ``size`` words.  A text
     of fewer words, but not none, has one shingle of all its words."""
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     k = min(size, n)
     acc = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
         acc = mix64(acc + h[j:n - k + 1 + j] * np.uint64(2 * j + 0x9E3779B97F4A7C15))
-    return np.unique(acc)
+    acc.sort()
+    return acc[np.concatenate([[True], acc[1:] != acc[:-1]])]

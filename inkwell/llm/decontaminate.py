@@ -16,7 +16,7 @@ are found once per distinct text and joined back to all rows.
 
 Edge cases: null and empty texts and texts without words have no words and no
 hits; items without words have no window; items that repeat or share windows
-all count; repeated rows get equal results; an empty benchmark hits nothing;
+all count, a null id is written ``null``; repeated rows get equal results; an empty benchmark hits nothing;
 extra columns are ignored (``clean`` keeps them, whatever their names).
 """
 
@@ -93,7 +93,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """key (hash of a text), n_hit, items (sorted ids): per text with hits."""
-    items = only(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"),
+    items = only(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"),
                                                       words(F.col("text")).alias("w"))
     items = cut(items.where(F.size("w") > 0), "items")
     raw = only(docs, "text").where(F.col("text").isNotNull()).withColumn("key", _key(F.col("text")))

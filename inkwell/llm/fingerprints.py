@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,41 +27,43 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import WordHash, mix64, only, shingles, ship, table, words_of
+from inkwell.llm.common import mix64, only, shingles, ship, table, words_of
 
 BINS = 256
 BITS = 4
 
 
+@lru_cache(maxsize=4)
 def _attempts(start: int, stop: int) -> np.ndarray:
     """The bins that the attempts start..stop of every bin point to."""
     a = np.arange(start, stop, dtype=np.uint64)[:, None] * np.uint64(BINS) + np.arange(BINS, dtype=np.uint64)
-    return (mix64(a + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.int64)
+    return (mix64(a + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BINS)).astype(np.uint8)    # BINS is 256
 
 
-_FIRST = _attempts(0, 16)
+_EDGES = np.arange(BINS, dtype=np.uint64) * np.uint64(2 ** 64 // BINS)
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray | None:
-    """Low-order bits of the densified bins; None for an empty set."""
+    """Low-order bits of the densified bins of sorted hashes; None for an
+    empty set."""
     if not len(hashes):
         return None
-    bins = np.full(BINS, np.uint64(2 ** 64 - 1))
-    place = (hashes >> np.uint64(56)).astype(np.int64)      # 8 high bits: 256 bins
-    np.minimum.at(bins, place, hashes)
-    filled = np.zeros(BINS, bool)
-    filled[place] = True
+    first = np.searchsorted(hashes, _EDGES)                 # a bin is a range of hashes
+    filled = first < np.append(first[1:], len(hashes))
+    bins = hashes[np.minimum(first, len(hashes) - 1)]
     source = np.arange(BINS)
-    source[~filled] = -1
-    start, table_ = 0, _FIRST
-    while (empty := np.flatnonzero(source < 0)).size:
-        to = table_[:, empty]
+    empty = np.flatnonzero(~filled)
+    start, tries = 0, _attempts(0, 8)
+    while empty.size:
+        to = tries[:, empty]
         hit = filled[to]
-        first = hit.argmax(axis=0)
-        found = hit[first, np.arange(empty.size)]
-        source[empty[found]] = to[first[found], np.flatnonzero(found)]
-        start += len(table_)
-        table_ = _attempts(start, start + 16 * start) if (source < 0).any() else table_
+        which = hit.argmax(axis=0)
+        found = hit[which, np.arange(empty.size)]
+        source[empty[found]] = to[which[found], np.flatnonzero(found)]
+        empty = empty[~found]
+        if empty.size:
+            start += len(tries)
+            tries = _attempts(start, 16 * start)
     # The bin's number goes into its bits, or bins filled from one source
     # would agree by chance all together.
     own = bins[source] + np.arange(BINS, dtype=np.uint64)
@@ -116,10 +119,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
-
         def of(text: str) -> np.ndarray | None:
-            return sketch(shingles(words_of(text), known))
+            return sketch(shingles(words_of(text)))
 
         last = None                                        # id, text, sketch of the row that waits for its next
         closed = False

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import (
-    WordHash, boxed, cut, mix64, only, shingles, ship, table, unboxed, words_of)
+    boxed, cut, mix64, only, shingles, ship, table, unboxed, words_of)
 
 TREES = 24
 LONGEST = 8
@@ -87,11 +87,11 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, factors = WordHash(), _factors(TREES * depth)
+        factors = _factors(TREES * depth)
         for b in batches:
             keys, sizes, paths = [], [], []
             for text in b["text"]:
-                h = shingles(words_of(text), known)
+                h = shingles(words_of(text))
                 keys.append(_set_key(h) if len(h) else None)
                 sizes.append(len(h))
                 paths.append(prefixes(h, TREES, depth, factors) if len(h) else np.empty(0, np.int64))
@@ -182,9 +182,8 @@ def verify(docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD) ->
     members = members.join(volume, "comp").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
         for b in batches:
-            h = [shingles(words_of(t), known) for t in b["text"]]
+            h = [shingles(words_of(t)) for t in b["text"]]
             out = b.drop(columns="text").assign(set=[x.tobytes() for x in h])
             yield out[[_set_key(x) == k for x, k in zip(h, b["key"])]]
 
