@@ -101,10 +101,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     d = only(docs, "doc_id", "text")
     cuts = d.where(F.col("doc_id").isNotNull()).approxQuantile(
         "doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     d = d.withColumn("_id", F.col("doc_id").cast("double"))
     d = Bucketizer(splits=splits, inputCol="_id", outputCol="_r", handleInvalid="keep").transform(d)
-    d = d.withColumn("_r", F.col("_r").cast("int")).drop("_id")
+    d = d.withColumn("_r", F.coalesce(F.col("_r").cast("int"), F.lit(len(splits)))).drop("_id")
     first = sorted((r["_r"], r["id"]) for r in d.groupBy("_r").agg(F.min("doc_id").alias("id")).collect())
     before = [(x[1], first[i - 1][0]) for i, x in enumerate(first)]      # at most one row per range
     ask = spark.createDataFrame(before or [(None, 0)], "_first long, _to int")

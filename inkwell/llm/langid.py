@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import boxed, only, ship, table, unboxed
+from inkwell.llm.common import boxed, cut, only, ship, table, unboxed
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 TOP_GRAM = 5
@@ -57,9 +57,18 @@ def fit(docs: DataFrame, max_rows: int = 20_000, max_words: int = 30_000, max_gr
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    best = Window.partitionBy("size", "lang").orderBy(F.desc("n"), "gram")
-    kept = (every.withColumn("r", F.row_number().over(best))
-            .where(F.col("r") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams)).drop("r").toPandas())
+    every = cut(every, "grams")
+    # The most frequent ones of each table, by the histogram of the counts: all
+    # of the levels that fit the limit, of the level that crosses it a share.
+    # The sample bounds the number of levels.
+    above = Window.partitionBy("size", "lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    limit = F.when(F.col("size") == 0, max_words).otherwise(max_grams)
+    levels = (every.groupBy("size", "lang", "n").count()
+              .withColumn("share", (limit - F.coalesce(F.sum("count").over(above), F.lit(0))) / F.col("count"))
+              .where("share > 0").drop("count"))
+    kept = (every.join(F.broadcast(levels), ["size", "lang", "n"])
+            .where(F.pmod(F.xxhash64("gram"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+            .select("lang", "gram", "n", "size").toPandas())
     langs = sorted(kept["lang"].unique())
     total = kept[kept["size"] == 0].groupby("lang")["n"].sum()
     model = {"langs": langs, "first": int(np.argmax([total.get(x, 0) for x in langs])) if langs else 0, "tables": {}}
