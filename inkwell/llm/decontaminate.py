@@ -30,11 +30,11 @@ from inkwell.llm.common import boxed, cut, only, table, unboxed
 WINDOW = 10
 GRAM = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"                 # what separates lower-case words
+_BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A counted side of at most so many rows (about 100 bytes each) is broadcast.
 BROADCAST_ROWS = 50_000
-_PLACE = 24                     # low bits of a packed gram that hold its place
+_PLACE = 31                     # low bits of a packed gram that hold its place (an array is no longer)
 
 
 def words(text: Column) -> Column:
@@ -42,7 +42,7 @@ def words(text: Column) -> Column:
     anything outside ASCII.  Null has none."""
     t = F.coalesce(text, F.lit(""))
     lower = F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, _UPPER, _LOWER)).otherwise(F.lower(t))
-    return F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(lower, _BETWEEN, -1), "")
 
 
 def _key(text: Column) -> Column:
@@ -54,24 +54,35 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
-def winnowed(texts: DataFrame, keep: list[str], size: int = GRAM, run: int = WINDOW - GRAM + 1) -> DataFrame:
-    """Rows of ``keep``, h, at: the smallest gram hash (the last of equal
-    ones) of each ``run`` grams in a row of the words ``w``, each place once.
-    A gram is packed in a long, hash above place, so that one minimum finds
-    both; the place counts modulo 2**24 and is restored from the run's start."""
-    low = (1 << _PLACE) - 1
-    d = texts.where(F.size("w") >= size + run - 1).withColumn("_v", F.transform(
-        _upto(F.size("w") - (size - 1)),
-        lambda i: F.shiftleft(F.shiftright(F.xxhash64(F.slice("w", i + 1, size)), _PLACE), _PLACE)
-        .bitwiseOR((F.lit(low) - F.pmod(i, F.lit(low + 1))).cast("bigint"))))
+def _pairs(a: str, b: Column, how) -> Column:
+    """Column ``a`` with another array, element by element."""
+    return F.zip_with(F.col(a), b, lambda x, y: how(x, y))
+
 
-    def place(i: Column) -> Column:
-        least = F.array_min(F.slice("_v", i + 1, run))
-        return (i + F.pmod(F.lit(low) - least.bitwiseAND(F.lit(low).cast("bigint")) - i, F.lit(low + 1))).cast("int")
+def _from(a: str, k: int) -> Column:
+    """Column ``a`` from its element k (0-based) on."""
+    return F.slice(a, k + 1, F.size(a))
 
-    d = d.withColumn("_at", F.array_distinct(F.transform(_upto(F.size("_v") - (run - 1)), place)))
-    pairs = F.transform("_at", lambda a: F.struct(F.shiftright(F.get("_v", a), _PLACE).alias("h"), a.alias("at")))
-    return d.select(*keep, F.explode(pairs).alias("_p")).select(*keep, "_p.h", "_p.at")
+
+def winnowed(texts: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows of ``keep``, h, at: the smallest gram hash (the last of equal
+    ones) of each run of grams in a row of the words ``w``, each place once.
+    A gram is packed in a long, hash bits above its place counted backwards, so
+    that one minimum finds both.  Hashes of 5 words and minima of 6 grams are
+    built by doubling: a few passes over arrays of longs, no sub-arrays."""
+    low, run = (1 << _PLACE) - 1, WINDOW - GRAM + 1
+    assert (GRAM, run) == (5, 6)
+    d = texts.where(F.size("w") >= WINDOW).withColumn("_1", F.transform("w", lambda x: F.xxhash64(x)))
+    d = d.withColumn("_2", _pairs("_1", _from("_1", 1), F.xxhash64))
+    d = d.withColumn("_4", _pairs("_2", _from("_2", 2), F.xxhash64))
+    grams = F.slice(_pairs("_4", _from("_1", 4), F.xxhash64), 1, F.size("w") - (GRAM - 1))
+    d = d.withColumn("_v", F.transform(grams, lambda h, i: F.shiftleft(h, _PLACE) + (F.lit(low) - i)))
+    d = d.withColumn("_m2", _pairs("_v", _from("_v", 1), F.least))
+    d = d.withColumn("_m4", _pairs("_m2", _from("_m2", 2), F.least))
+    least = F.slice(_pairs("_m4", _from("_m2", 4), F.least), 1, F.size("_v") - (run - 1))
+    return d.select(*keep, F.explode(F.array_distinct(least)).alias("_p")).select(
+        *keep, F.shiftright("_p", _PLACE).alias("h"),
+        (F.lit(low) - F.col("_p").bitwiseAND(F.lit(low).cast("bigint"))).cast("int").alias("at"))
 
 
 def _windows(items: DataFrame, size: int) -> DataFrame:
@@ -133,7 +144,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                                          F.col("items").alias("_items"))
     d = docs.withColumns({
         "_key": _key(F.col("`text`")),
-        "_n_words": F.regexp_count(F.coalesce(F.col("`text`"), F.lit("")), F.lit(_ANY_CASE)).cast("bigint")})
+        "_n_words": F.size(F.array_remove(F.split(F.coalesce(F.col("`text`"), F.lit("")), _BETWEEN_ANY_CASE, -1),
+                                          "")).cast("bigint")})
     return d.join(_small(cut(found, "hits")), "_key", "left").withColumns({
         "_n_hit": F.coalesce("_n_hit", F.lit(0).cast("bigint")),
         "_items": F.coalesce("_items", F.array().cast("array<string>"))}).drop("_key")
