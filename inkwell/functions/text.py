@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 WS_RUN = WS_CLASS + "+"
+# The same characters, spelled out.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                             0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _c(x) -> Column:
@@ -51,8 +54,9 @@ def word_count(text) -> Column:
 # --- E2 / E4 / E5: white space ---------------------------------------------
 
 def py_strip(text) -> Column:
-    """``text.strip()`` with Python's white space (not Spark ``trim``)."""
-    return F.regexp_replace(_c(text), r"\A" + WS_RUN + r"|" + WS_RUN + r"\z", "")
+    """``text.strip()`` with Python's white space (not Spark's default
+    trim set); linear in the length of the blank runs."""
+    return F.btrim(_c(text), F.lit(WS_CHARS))
 
 
 def fold_ws(text) -> Column:
@@ -181,17 +185,19 @@ def reduce_words(text, max_words: int) -> Column:
     kept line is cut to the remaining budget and re-joined by single
     spaces; line breaks (and blank lines) are kept."""
     lines = F.split(_c(text), "\n", -1)
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
-
-    def step(acc, line):
-        ws = F.filter(F.split(line, WS_RUN, -1), lambda w: w != F.lit(""))
-        room = F.lit(max_words) - acc["n"]
-        take = F.slice(ws, 1, F.greatest(room, F.lit(0)))
-        return F.when(acc["n"] >= max_words, acc).otherwise(
-            F.struct(F.concat(acc["out"], F.array(F.array_join(take, " "))).alias("out"),
-                     (acc["n"] + F.size(take)).alias("n")))
-
-    return F.aggregate(lines, init, step, lambda acc: F.array_join(acc["out"], "\n"))
+    sizes = F.transform(lines, lambda line: F.size(words(line)))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept"), F.lit(0).alias("last"))
+
+    def step(acc, size):
+        take = F.least(size, F.lit(max_words) - acc["n"])
+        return F.when(acc["n"] >= max_words, acc).otherwise(F.struct(
+            (acc["n"] + take).alias("n"), (acc["kept"] + 1).alias("kept"), take.alias("last")))
+
+    # One pass over the counts finds the last kept line; the text is built once.
+    cut = F.aggregate(sizes, start, step)
+    kept = F.slice(lines, 1, cut["kept"])
+    return F.array_join(F.transform(kept, lambda line, i: F.array_join(
+        F.when(i < F.size(kept) - 1, words(line)).otherwise(F.slice(words(line), 1, cut["last"])), " ")), "\n")
 
 
 def first_words(text, k: int = 30) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import maths as M
+from inkwell.session import ship_package
 
 
 def _vec(col: str):
@@ -90,6 +91,7 @@ def train_per_group(train: DataFrame, key: str = "layer", vec: str = "vec", labe
     """One classifier per ``key`` value, all groups trained in parallel.
     ``train`` must already be bounded (e.g. the first 160 rows per layer,
     O8), so each group is small."""
+    ship_package(train.sparkSession)
     schema = f"{key} int, w array<double>, b double, loss double, n_train bigint"
     x = train.select(F.col(key).cast("int").alias(key), F.col(vec).cast("array<double>").alias(vec),
                      F.col(label).cast("double").alias(label), F.col(order).alias("_order"))
@@ -114,28 +116,31 @@ def text_feature_scorer() -> Callable[[pd.Series], pd.Series]:
     from mean word length and type/token ratio; returns the class-0
     ("machine") probability, as the reference's classifier does (M5)."""
     def run(texts: pd.Series) -> pd.Series:
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts.fillna("")):
-            ws = t.split()
-            if not ws:
-                out[i] = 0.5
-                continue
-            mwl = sum(len(w) for w in ws) / len(ws)
-            ttr = len(set(ws)) / len(ws)
-            logits = np.array([0.8 * (mwl - 4.5) + 2.0 * (0.7 - ttr), 0.0])
-            lse = logits.max() + np.log(np.exp(logits - logits.max()).sum())
-            out[i] = float(np.exp(logits[0] - lse))
-        return pd.Series(out)
+        words = texts.fillna("").str.split()
+        n = words.str.len().to_numpy(float)
+        chars = words.map(lambda ws: sum(map(len, ws))).to_numpy(float)
+        types = words.map(lambda ws: len(set(ws))).to_numpy(float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            logit = 0.8 * (chars / n - 4.5) + 2.0 * (0.7 - types / n)
+        top = np.maximum(logit, 0.0)
+        lse = top + np.log(np.exp(logit - top) + np.exp(-top))
+        return pd.Series(np.where(n > 0, np.exp(logit - lse), 0.5))
     return run
 
 
 def external_scores(df: DataFrame, make_scorer: Callable[[], Callable[[pd.Series], pd.Series]],
-                    text_col: str = "text", id_col: str = "doc_id", out: str = "prob") -> DataFrame:
-    """X11: ``make_scorer`` runs once per task (load the model there); each
+                    text_col: str = "text", id_col: str = "doc_id", out: str = "prob",
+                    keep: tuple[str, ...] = ()) -> DataFrame:
+    """X11: ``keep`` columns pass through with the id; ``make_scorer`` runs once per task (load the model there); each
     Arrow batch of texts is scored by the returned function."""
+    ship_package(df.sparkSession)
+    kept = [id_col, *keep]
+
     def part(batches):
         scorer = make_scorer()
         for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], out: scorer(pdf[text_col]).to_numpy()})
-    id_type = dict(df.dtypes)[id_col]
-    return df.select(id_col, text_col).mapInPandas(part, schema=f"{id_col} {id_type}, {out} double")
+            yield pdf[kept].assign(**{out: scorer(pdf[text_col]).to_numpy()})
+
+    types = dict(df.dtypes)
+    return df.select(*kept, text_col).mapInPandas(
+        part, schema=", ".join([f"`{c}` {types[c]}" for c in kept] + [f"`{out}` double"]))

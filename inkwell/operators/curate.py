@@ -16,14 +16,23 @@ from inkwell.operators.ordering import (_eq_join, ceil_frac, largest_remainder,
 
 # --- U2 / U3: keep-first de-duplication --------------------------------------
 
+def _digest(cols: list[str]) -> F.Column:
+    """256-bit hash of a tuple of columns; nulls and lengths are part of it."""
+    parts = [F.when(F.col(c).isNull(), F.lit("n;")).otherwise(
+        F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in cols]
+    return F.sha2(F.concat(*parts).cast("binary"), 256)
+
+
 def keep_first(df: DataFrame, key_cols, order_col: str = "doc_id") -> DataFrame:
     """One row per key, the one with the smallest ``order_col`` (the
-    first occurrence).  A hash aggregate with map-side combine: a key
-    repeated in a third of the rows still reduces before the shuffle."""
+    first occurrence).  A hash aggregate of (digest of the key, smallest
+    order) with map-side combine: a key repeated in a third of the rows
+    reduces before the shuffle, and no text is a shuffle key.  The payload is
+    joined back for the chosen rows; rows that repeat key and order are one."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    others = [c for c in df.columns if c not in keys and c != order_col]
-    best = df.groupBy(*keys).agg(F.min(F.struct(order_col, *others)).alias("_r"))
-    return best.select(*[F.col(f"_r.{order_col}")], *keys, *[F.col(f"_r.{c}") for c in others])
+    x = df.withColumn("_h", _digest(keys))
+    best = x.groupBy("_h").agg(F.min(order_col).alias(order_col))
+    return _eq_join(x, best, ["_h", order_col]).dropDuplicates(["_h", order_col]).drop("_h")
 
 
 # --- P4: wide to long ----------------------------------------------------------
@@ -70,18 +79,25 @@ def sample_per_class(df: DataFrame, n: int, class_cols, id_col: str, seed=42,
 
 
 def absolute_split(df: DataFrame, strata_cols, sizes: list[tuple[str, int]], id_col: str,
-                   seed=42, rest: str | None = "rest") -> DataFrame:
+                   seed=42, rest: str | None = "rest", strict: bool = True) -> DataFrame:
     """Per stratum, the first ``sizes[0][1]`` rows in seeded
     order go to split ``sizes[0][0]``, the next ones to the next split, and
     the remainder to ``rest`` (or are dropped when ``rest`` is None).  Every
     row lands in exactly one split, so the remainder is the anti-join of
-    the chosen rows and needs no second pass."""
+    the chosen rows and needs no second pass.  A stratum with fewer rows than
+    the sizes ask for is an error, or with ``strict=False`` fills the splits
+    in order."""
     total = sum(s for _, s in sizes)
     st = [strata_cols] if isinstance(strata_cols, str) else list(strata_cols)
     # Only the chosen rows are ranked (a top-n per stratum on slim columns);
     # everything else is the remainder, found by a left join on the id.
     chosen = top_n_by_hash(df.select(id_col, *st), st, total, id_col, seed).select(id_col, "rn")
     ranked = df.join(chosen, id_col, "left" if rest is not None else "inner")
+    if strict:
+        short = df.groupBy(*st).agg(F.count("*").alias("_cnt"))
+        ok = F.when(F.col("_cnt") < total, F.raise_error(
+            F.lit(f"a stratum has fewer rows than the splits ask for ({total})")).cast("boolean")).otherwise(F.lit(True))
+        ranked = _eq_join(ranked, short, st).where(ok).drop("_cnt")
     split = None
     lo = 0
     for name, size in sizes:
@@ -129,11 +145,12 @@ def match_by_length(df: DataFrame, n_col: str, label_col: str = "result",
 # --- J13: leakage audit -----------------------------------------------------------
 
 def overlap(test: DataFrame, train: DataFrame, key: str = "text") -> DataFrame:
-    """Test rows whose key also occurs in the training rows (semi
-    join on a hash of the key: shuffles 16 bytes per row, not the text)."""
-    t = test.withColumn("_h", F.xxhash64(key))
-    r = train.select(F.xxhash64(key).alias("_h"), F.col(key).alias("_key2"))
-    return (t.join(r, (t["_h"] == r["_h"]) & (t[key] == r["_key2"]), "left_semi").drop("_h"))
+    """Test rows whose key also occurs in the training rows: semi join
+    on a 256-bit hash, distinct on the training side, so a common text is one
+    row there and no text is a join key."""
+    seen = train.select(F.sha2(F.col(key).cast("string").cast("binary"), 256).alias("_h")).distinct()
+    return test.withColumn("_h", F.sha2(F.col(key).cast("string").cast("binary"), 256)).join(
+        seen, "_h", "left_semi").drop("_h")
 
 
 # --- A1 / A2 / A4 / A5 -----------------------------------------------------------

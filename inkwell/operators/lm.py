@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators.ordering import running_sum
-from inkwell.session import materialize
+from inkwell.session import checkpoint_root, materialize, read_parquet_if_there
 
 # Fixed value: the token that stands for words outside the vocabulary.
 UNK = "<unk>"
@@ -56,37 +56,47 @@ class TokenModel:
     """Counts of one training corpus; ``lam`` values give models."""
     vocab: DataFrame       # token, c, u            (<= V+1 rows)
     bigrams: DataFrame     # ctx, tok, c, cc         (seen pairs)
-    n_vocab: int           # V (size bound of the vocabulary)
+    n_vocab: int | None    # V (size bound of the vocabulary), None: unbounded
+
+    def small(self, df: DataFrame) -> DataFrame:
+        """Broadcast a table of at most V+1 rows; without a bound, leave the
+        join to the planner."""
+        return F.broadcast(df) if self.n_vocab else df
 
     def map_words(self, pos: DataFrame) -> DataFrame:
         """Map ctx_word/word to vocabulary tokens (``<unk>`` otherwise) with
-        broadcast joins: the vocabulary has at most V+1 rows."""
-        v = F.broadcast(self.vocab.where(F.col("token") != UNK).select("token"))
-        a = v.select(F.col("token").alias("ctx_word"), F.col("token").alias("_ctx"))
-        b = v.select(F.col("token").alias("word"), F.col("token").alias("_tok"))
+        broadcast joins while the vocabulary is bounded (V+1 rows)."""
+        v = self.vocab.where(F.col("token") != UNK).select("token")
+        a = self.small(v.select(F.col("token").alias("ctx_word"), F.col("token").alias("_ctx")))
+        b = self.small(v.select(F.col("token").alias("word"), F.col("token").alias("_tok")))
         m = pos.join(a, "ctx_word", "left").join(b, "word", "left")
         return m.select("doc_id", "pos", F.coalesce("_ctx", F.lit(UNK)).alias("ctx"),
                         F.coalesce("_tok", F.lit(UNK)).alias("tok"))
 
 
-def train(corpus: DataFrame, V: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> TokenModel:
+def train(corpus: DataFrame, V: int | None = 1000, id_col: str = "doc_id", text_col: str = "text") -> TokenModel:
     """vocabulary = the V most frequent words (ties by word), the rest
-    ``<unk>``; unigram and bigram counts over the whole corpus.  Two passes
+    ``<unk>``; ``V=None`` keeps every word (the tables that are broadcast for
+    a bounded vocabulary are then joined by shuffle); unigram and bigram
+    counts over the whole corpus.  Two passes
     over the text, each reducing map-side to a small table (distinct words;
     vocabulary-mapped pairs, at most (V+1)^2) — cheaper than one pass that
     ships every distinct raw word pair."""
-    counts = word_stream(corpus, text_col).groupBy("word").agg(F.count("*").alias("c"))
+    # Written once: the vocabulary, the totals and the reserved row read it.
+    counts = materialize(word_stream(corpus, text_col).groupBy("word").agg(F.count("*").alias("c")))
+    # A word that is literally the reserved token counts as out of vocabulary.
+    known = counts.where(F.col("word") != UNK)
     # Distributed top-V (per-partition top-V, then merged: V bounded rows).
-    top = counts.orderBy(F.desc("c"), F.asc("word")).limit(V)
-    totals = counts.agg(F.sum("c").alias("N"), F.count("*").alias("D"))
+    top = known.orderBy(F.desc("c"), F.asc("word")).limit(V) if V else known
+    totals = counts.agg(F.sum("c").alias("N"), F.sum((F.col("word") != UNK).cast("long")).alias("D"))
     n_tot = totals.select("N").scalar()
-    v1 = totals.select(F.least(F.col("D"), F.lit(V)) + 1).scalar()
+    v1 = totals.select((F.least(F.col("D"), F.lit(V)) if V else F.col("D")) + 1).scalar()
     unk = top.agg((n_tot - F.coalesce(F.sum("c"), F.lit(0))).alias("c")).select(F.lit(UNK).alias("token"), "c")
     vocab = top.select(F.col("word").alias("token"), "c").unionByName(unk)
     vocab = vocab.withColumn("u", (F.col("c") + 1) / (n_tot + v1))
     # The trained model is an artifact: both tables are written once to the
     # shared checkpoint folder and every consumer reads them from there.
-    model = TokenModel(vocab=materialize(vocab.coalesce(1)), bigrams=None, n_vocab=V)  # type: ignore[arg-type]
+    model = TokenModel(vocab=materialize(vocab.coalesce(1) if V else vocab), bigrams=None, n_vocab=V)  # type: ignore[arg-type]
     mapped = model.map_words(positions(corpus, id_col, text_col))
     big = mapped.groupBy("ctx", "tok").agg(F.count("*").alias("c"))
     cc = big.groupBy("ctx").agg(F.sum("c").alias("cc"))
@@ -124,10 +134,10 @@ def context_stats(model: TokenModel, lam: float, lam_ref: float | None = None) -
     Contexts without seen pairs (and the ``default`` row, ctx null) use the
     unigram distribution."""
     lr = lam if lam_ref is None else lam_ref
-    U = F.broadcast(model.vocab)
+    U = model.vocab
     b, bq = _b(lam), _b(lr)
     k = vocab_constants(model, lam, lam_ref)
-    s = model.bigrams.join(U.select(F.col("token").alias("tok"), "u"), "tok")
+    s = model.bigrams.join(model.small(U.select(F.col("token").alias("tok"), "u")), "tok")
     p, q = _p(lam), _p(lr)
     seen = s.groupBy("ctx").agg(
         F.sum(p * F.ln(p) - b * F.ln(b)).alias("e"),
@@ -156,11 +166,11 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
     ranked above}).  The first two terms come from one window per context
     (at most 3(V+1) rows each); the all-vocabulary term is a distributed
     running count over the vocabulary and query values, sorted together."""
-    U = F.broadcast(model.vocab.select("token", "u"))
+    U = model.small(model.vocab.select("token", "u"))
     cc = model.bigrams.select("ctx", "cc").distinct()
     q = (queries.select("ctx", "tok").distinct()
          .join(model.bigrams.select("ctx", "tok", "c"), ["ctx", "tok"], "left")
-         .join(F.broadcast(cc), "ctx", "left")
+         .join(model.small(cc), "ctx", "left")
          .join(U.withColumnRenamed("token", "tok"), "tok"))
     seen_ctx = F.col("cc").isNotNull()
     pq = F.when(seen_ctx, F.lit(lam) * F.coalesce(F.col("c"), F.lit(0)) / F.col("cc") + _b(lam)).otherwise(F.col("u"))
@@ -206,8 +216,14 @@ def criteria(model: TokenModel, texts: DataFrame, lam: float = 0.9, lam_ref: flo
     m = materialize(pos.groupBy("doc_id", "ctx", "tok").agg(F.count("*").alias("n")))
     ps = pair_stats(model, m.select("ctx", "tok"), lam)
     cs = context_stats(model, lam, lam_ref)
-    cs_seen = F.broadcast(cs.where(F.col("ctx").isNotNull()))
-    x = m.join(ps, ["ctx", "tok"]).join(cs_seen, "ctx", "left")
+    cs_seen = model.small(cs.where(F.col("ctx").isNotNull()))
+    # The pairs with the reserved token are in nearly every text (a hot key)
+    # but at most 2V+1 rows of the statistics: those are broadcast, the rest is
+    # joined by shuffle.
+    ps = materialize(ps)
+    hot = (F.col("ctx") == UNK) | (F.col("tok") == UNK)
+    x = (m.where(hot).join(model.small(ps.where(hot)), ["ctx", "tok"])
+         .unionByName(m.where(~hot).join(ps.where(~hot), ["ctx", "tok"]))).join(cs_seen, "ctx", "left")
     # Contexts without seen pairs take the default (unigram) statistics.
     dent, dmean, dvar = default_stats(vocab_constants(model, lam, lam_ref))
     ent = F.coalesce("entropy", dent)
@@ -239,37 +255,34 @@ def long_criteria(per_doc: DataFrame, keep_cols: list[str]) -> DataFrame:
     return per_doc.selectExpr(*keep_cols, f"stack({len(CRITERIA)}, {stack}) as (criterion, score)")
 
 
-def load_or_train(spark, corpus: DataFrame, corpus_key: str, V: int = 1000) -> TokenModel:
+def _stamp(spark, path: str) -> str:
+    """Paths, sizes and times of the corpus files, on any store Spark reads
+    (file metadata only: the contents are not selected)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    r = files.agg(F.count("*").alias("n"), F.sum("length").alias("b"),
+                  F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("h")).first()
+    return f"{path}:{r.n}:{r.b}:{r.h}"
+
+
+def load_or_train(spark, corpus: DataFrame, corpus_key: str, V: int | None = 1000) -> TokenModel:
     """S11 for the token model: the two model tables live in a store under
-    the shared checkpoint folder keyed by the corpus (path, size and
-    modification time when visible) and V; a miss trains and writes."""
+    the shared checkpoint folder keyed by the corpus files (path, size, time)
+    and V; a miss trains and writes."""
     import hashlib
     import os
 
-    from inkwell.session import checkpoint_root
-    stamp = corpus_key
-    try:
-        st = os.stat(corpus_key)
-        stamp = f"{corpus_key}:{st.st_size}:{st.st_mtime_ns}"
-    except OSError:
-        pass
     # INKWELL_MODEL_STORE_TAG separates runs that must not share a store
     # (the benchmark gives each run its own, so training is always timed).
     tag = os.environ.get("INKWELL_MODEL_STORE_TAG", "")
-    key = hashlib.sha1(f"{stamp}|V={V}|{tag}".encode()).hexdigest()[:16]
+    key = hashlib.sha1(f"{_stamp(spark, corpus_key)}|V={V}|{tag}".encode()).hexdigest()[:16]
     root = f"{checkpoint_root(spark).rstrip('/')}/token-models/{key}"
-    try:
-        vocab = spark.read.parquet(f"{root}/vocab")
-        bigrams = spark.read.parquet(f"{root}/bigrams")
-        spark.read.parquet(f"{root}/_complete")
-        return TokenModel(vocab=vocab, bigrams=bigrams, n_vocab=V)
-    except Exception:  # noqa: BLE001 — miss (or an unfinished write): train
+    if read_parquet_if_there(spark, f"{root}/_complete") is None:     # a miss or an unfinished write
         m = train(corpus, V)
         m.vocab.write.mode("overwrite").parquet(f"{root}/vocab")
         m.bigrams.write.mode("overwrite").parquet(f"{root}/bigrams")
         spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete")
-        return TokenModel(vocab=spark.read.parquet(f"{root}/vocab"),
-                          bigrams=spark.read.parquet(f"{root}/bigrams"), n_vocab=V)
+    return TokenModel(vocab=spark.read.parquet(f"{root}/vocab"),
+                      bigrams=spark.read.parquet(f"{root}/bigrams"), n_vocab=V)
 
 
 def tokenisation_mismatches(texts: DataFrame, tok_a, tok_b, id_col: str = "doc_id",

@@ -8,13 +8,10 @@ rows) give offsets; a window inside each (group, bucket) gives the local
 number.  The bucketed rows are checkpointed so both consumers see the
 same buckets (also after an executor is lost).
 
-``sample_order`` / ``top_n_by_hash``: seeded, repeatable sampling.  The
-order key is ``md5(seed ':' id)`` (identical in Spark and DuckDB); a
-uniform ``u`` in [0, 1) from its first 60 bits lets each group pre-filter
-to a few more than ``n`` candidates before the exact per-group window, so
-the window sees O(n) rows per group however large the group is.  Groups
-whose pre-filter kept too few rows fall back to all their rows, so the
-result is exact.
+``top_n_by_hash``: seeded, repeatable sampling.  The order key is
+``md5(seed ':' id)`` (identical in Spark and DuckDB); a two-level window
+(salted part of the group, then the group) keeps the work of one task
+bounded without counting the groups first.
 """
 
 from __future__ import annotations
@@ -87,38 +84,25 @@ def sample_key(id_col, seed: int | str = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def uniform_from_key(key: Column) -> Column:
-    """Uniform in [0, 1) from the first 60 bits of an md5 hex string;
-    monotone in the key's order."""
-    return F.conv(F.substring(key, 1, 15), 16, 10).cast("double") / float(2 ** 60)
-
-
 def top_n_by_hash(df: DataFrame, group_cols, n, id_col: str, seed: int | str = 42,
-                  name: str = "rn", sd_slack: float = 6.0, min_slack: float = 16.0) -> DataFrame:
+                  name: str = "rn", salts: int = 1024) -> DataFrame:
     """Per group, the rows with the ``n`` smallest ``md5(seed:id)`` keys,
     numbered 1..n in that order (ties by id).  ``n`` is an int or the name
-    of a per-group column already on ``df``.  Exact; balanced under skew."""
+    of a per-group column already on ``df``.  Exact, in one scan and two
+    levels: each (group, salt) keeps its first n, the group ranks what is left
+    (at most ``salts`` times n rows), so a hot group is spread over tasks.
+    The rows are shuffled as they come: pass slim columns and join the text
+    to the chosen ids."""
     g = _cols(group_cols)
-    if not g:
-        return top_n_by_hash(df.withColumn("_g0", F.lit(0)), ["_g0"], n, id_col, seed, name,
-                             sd_slack, min_slack).drop("_g0")
-    x = df.withColumn("_k", sample_key(id_col, seed)).withColumn("_u", uniform_from_key(F.col("_k")))
-    n_agg = F.lit(n).cast("bigint") if isinstance(n, int) else F.max(F.col(n)).cast("bigint")
-    counts = x.groupBy(*g).agg(F.count("*").alias("_cnt"), n_agg.alias("_n"))
-    # Expected keep = n + 6 sd + 16 per group: a group that still keeps too
-    # few rows is detected below and takes all its rows, so it stays exact.
-    counts = counts.withColumn("_t", F.least(
-        F.lit(1.0), (F.col("_n") + sd_slack * F.sqrt(F.col("_n")) + min_slack) / F.col("_cnt")))
-    xs = _eq_join(x, counts, g)
-    pre = xs.where(F.col("_u") < F.col("_t"))
-    kept = pre.groupBy(*g).agg(F.count("*").alias("_kept"))
-    short = _eq_join(counts, kept, g, "left").where(
-        F.coalesce(F.col("_kept"), F.lit(0)) < F.least(F.col("_n"), F.col("_cnt"))).select(*g)
-    extra = _eq_join(xs.where(F.col("_u") >= F.col("_t")), short.withColumn("_short", F.lit(True)), g)
-    cand = pre.unionByName(extra.drop("_short"))
-    w = Window.partitionBy(*g).orderBy("_k", id_col)
-    out = cand.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= F.col("_n"))
-    return out.drop("_k", "_u", "_t", "_n", "_cnt")
+    most = F.lit(n) if isinstance(n, int) else F.col(n)
+    # The salt is taken from the key's end, the order from its start.
+    x = df.withColumn("_k", sample_key(id_col, seed)).withColumn(
+        "_s", F.pmod(F.conv(F.substring(F.col("_k"), 26, 7), 16, 10).cast("bigint"), F.lit(salts)))
+    part = Window.partitionBy(*g, "_s").orderBy("_k", id_col)
+    whole = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_k", id_col)
+    x = x.withColumn(name, F.row_number().over(part)).where(F.col(name) <= most)
+    x = x.withColumn(name, F.row_number().over(whole).cast("bigint")).where(F.col(name) <= most)
+    return x.drop("_k", "_s")
 
 
 def largest_remainder(counts: DataFrame, group_cols, strata_col: str, total: Column,

@@ -70,6 +70,25 @@ def kl_by_layer(logits: DataFrame, first_layer: int, last_layer: int, mid_layers
     return j.groupBy("doc_id", "layer").agg((F.sum(kl) / F.count("*")).alias("kl"))
 
 
+def kl_in_row(df: DataFrame, vec_col: str, n_layers: int, dim: int, first_layer: int, last_layer: int,
+              mid_layers: list[int], id_col: str = "doc_id") -> DataFrame:
+    """A13/A28 for vectors stored as one ``[L*dim]`` array of one position:
+    log-softmax of every layer and both KL terms inside the row, so only
+    (doc_id, layer, kl) leaves it and nothing is shuffled."""
+    v = F.col(vec_col).cast("array<double>")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(n_layers - 1)), lambda k: F.slice(v, k * dim + 1, dim))
+    x = df.select(F.col(id_col).alias("doc_id"), F.when(F.size(v) >= n_layers * dim, cut).otherwise(
+        F.raise_error(F.lit(f"vector shorter than {n_layers} x {dim}"))).alias("_l"))
+    tops = F.transform("_l", lambda a: F.struct(a.alias("a"), F.array_max(a).alias("m")))
+    sums = F.transform(tops, lambda s: F.struct(s["a"].alias("a"), (s["m"] + F.ln(F.aggregate(
+        s["a"], F.lit(0.0), lambda acc, e: acc + F.exp(e - s["m"])))).alias("z")))
+    x = x.select("doc_id", F.transform(sums, lambda s: F.transform(s["a"], lambda e: e - s["z"])).alias("_lp"))
+    first, last = F.get("_lp", F.lit(first_layer)), F.get("_lp", F.lit(last_layer))
+    kls = F.transform(F.array(*[F.lit(k) for k in mid_layers]), lambda k: F.struct(k.alias("layer"), (
+        M.kl_from_log_probs(first, F.get("_lp", k)) + M.kl_from_log_probs(last, F.get("_lp", k))).alias("kl")))
+    return x.select("doc_id", F.inline(kls))
+
+
 def best_layer(kl: DataFrame, digits: int = 10) -> DataFrame:
     """Layer of the largest KL per document, first maximum wins.  KL
     is rounded to ``digits`` before comparing so near-ties decide the same

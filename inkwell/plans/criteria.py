@@ -42,14 +42,14 @@ def _pairs_sql(src: str, with_id: bool) -> str:
             f"FROM (SELECT {idc}{words('text')} AS W FROM {src})))")
 
 
-def lm_sql(scored: str) -> str:
+def lm_sql(scored: str, vocabulary: int = V) -> str:
     """CTEs: dense model over ``documents`` and per-position rows for the
     ``scored`` relation (doc_id, text).  Ends with CTE ``j``."""
     return f"""
 tw AS (SELECT UNNEST({words('text')}) AS word FROM documents),
 cnt AS (SELECT word, COUNT(*) AS c FROM tw GROUP BY word),
-top AS (SELECT word AS token, c FROM cnt ORDER BY c DESC, word LIMIT {V}),
-tot AS (SELECT SUM(c) AS N, LEAST(COUNT(*), {V}) + 1 AS V1 FROM cnt),
+top AS (SELECT word AS token, c FROM cnt WHERE word <> '{LM.UNK}' ORDER BY c DESC, word LIMIT {vocabulary}),
+tot AS (SELECT SUM(c) AS N, LEAST(COUNT(*) FILTER (WHERE word <> '{LM.UNK}'), {vocabulary}) + 1 AS V1 FROM cnt),
 voc AS (SELECT token, c FROM top
         UNION ALL SELECT '{LM.UNK}', (SELECT N FROM tot) - (SELECT COALESCE(SUM(c), 0) FROM top)),
 U AS (SELECT token, c, (c + 1) / (SELECT N + V1 FROM tot) AS u FROM voc),
@@ -77,9 +77,9 @@ j AS (SELECT sp.doc_id, sp.ctx, sp.tok, rk.lp, rk.rank, cs.entropy, cs.mean, cs.
       FROM sp JOIN rk ON rk.ctx = sp.ctx AND rk.tok = sp.tok JOIN cs ON cs.ctx = sp.ctx)"""
 
 
-def crit_sql(scored: str) -> str:
+def crit_sql(scored: str, vocabulary: int = V) -> str:
     """CTE ``crit``: per-document criteria of ``scored`` (all docs kept)."""
-    return f"""{lm_sql(scored)},
+    return f"""{lm_sql(scored, vocabulary)},
 agg AS (SELECT doc_id, CAST(COUNT(*) AS BIGINT) AS n_tokens, AVG(lp) AS likelihood, -AVG(rank) AS rank,
                -AVG(ln(rank)) AS logrank, AVG(entropy) AS entropy,
                (SUM(lp) - SUM(mean)) / SQRT(SUM(var)) AS curvature FROM j GROUP BY doc_id),
@@ -87,16 +87,16 @@ crit AS (SELECT s.doc_id, agg.n_tokens, agg.likelihood, agg.rank, agg.logrank, a
          FROM {scored} s LEFT JOIN agg ON s.doc_id = agg.doc_id)"""
 
 
-def model_for(spark, sf_dir):
+def model_for(spark, sf_dir, vocabulary: int | None = V):
     """The token model of ``sf_dir``'s documents, as a cached artifact
     (S11): read from the model store under the shared checkpoint folder,
     trained and written there on a miss."""
-    return LM.load_or_train(spark, table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet", V=V)
+    return LM.load_or_train(spark, table(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet", V=vocabulary)
 
 
-def conv_criteria(spark, sf_dir):
+def conv_criteria(spark, sf_dir, vocabulary: int | None = V):
     texts = labelled_conversations(spark, sf_dir)
-    crit = LM.criteria(model_for(spark, sf_dir), texts, LAM, LAM_REF)
+    crit = LM.criteria(model_for(spark, sf_dir, vocabulary), texts, LAM, LAM_REF)
     return crit.join(texts.select("doc_id", "result"), "doc_id")
 
 
@@ -143,6 +143,18 @@ def x1_criteria_conversations(spark, sf_dir):
     return c.select("doc_id", "result", "n_tokens", *[_r(k) for k in LM.CRITERIA])
 
 
+SMALL_V = 150
+
+
+@register("x1_criteria_small_vocabulary", f"""WITH {crit_sql(LABELLED_CONV, SMALL_V)}
+SELECT c.doc_id, c.n_tokens, ROUND(c.likelihood, 6) AS likelihood, ROUND(c.rank, 6) AS rank,
+       ROUND(c.logrank, 6) AS logrank, ROUND(c.entropy, 6) AS entropy, ROUND(c.curvature, 6) AS curvature FROM crit c""")
+def x1_criteria_small_vocabulary(spark, sf_dir):
+    """The criteria under another vocabulary size (V is a parameter)."""
+    c = conv_criteria(spark, sf_dir, SMALL_V)
+    return c.select("doc_id", "n_tokens", *[_r(k) for k in LM.CRITERIA])
+
+
 _CRIT_LONG = "(" + " UNION ALL ".join(
     f"SELECT '{k}' AS criterion, {k} AS score, result AS label FROM crit JOIN {LABELLED_CONV} l USING (doc_id)"
     for k in LM.CRITERIA) + ")"

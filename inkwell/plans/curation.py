@@ -36,18 +36,19 @@ def u2_dedupe_documents(spark, sf_dir):
 def corpus_builder(docs, group="lang", seed=0):
     """Dedupe -> strip -> fold -> prefer long -> seeded head -> token
     cap -> n samples -> whole batches (per dataset group)."""
-    d = C.keep_first(docs.select("doc_id", "text", group), "text", "doc_id")
-    d = d.withColumn("text", T.fold_ws(T.py_strip("text"))).withColumn("n_words", T.word_count("text"))
-    # The normalised corpus feeds several passes (long-text flag, two
-    # seeded heads, counts): write it once instead of re-normalising.
-    d = materialize(d)
+    docs = docs.select("doc_id", "text", group)
+    # Slim rows (id, group, word count) go through the chain; the text is
+    # normalised and joined for the chosen rows only.
+    d = C.keep_first(docs.withColumn("n_words", T.word_count("text")), "text", "doc_id")
+    d = materialize(d.select("doc_id", group, "n_words"))
     d = C.prefer_long(d, "n_words", group, LONG_WORDS)
     d = top_n_by_hash(d, group, CORPUS_HEAD, "doc_id", seed).drop("rn")
     d = d.where(F.col("n_words") <= TOKEN_CAP)
-    d = top_n_by_hash(d, group, CORPUS_SAMPLES, "doc_id", seed)
+    d = materialize(top_n_by_hash(d, group, CORPUS_SAMPLES, "doc_id", seed))
     cnt = d.groupBy(group).agg(F.count("*").alias("_cnt"))
-    return (d.join(cnt, group)
-             .where(F.col("rn") <= F.floor(F.col("_cnt") / CORPUS_BATCH) * CORPUS_BATCH).drop("_cnt"))
+    d = (d.join(cnt, group)
+          .where(F.col("rn") <= F.floor(F.col("_cnt") / CORPUS_BATCH) * CORPUS_BATCH).drop("_cnt"))
+    return d.join(docs.select("doc_id", T.fold_ws(T.py_strip("text")).alias("text")), "doc_id")
 
 
 @register("x12_corpus_builder", f"""
@@ -90,7 +91,8 @@ def counselling_splits(spark, sf_dir, n=COUNSEL_N):
     long = C.wide_to_long(w, ["pair_id", "Context"], {"Response": "0", "LLM": "1"})
     long = C.keep_first(long, ["Context", "result"], "pair_id")
     # The sample feeds both splits and their join-backs: write it once.
-    s = materialize(C.sample_per_class(long, n, "result", "pair_id", seed=42).drop("rn"))
+    slim = C.sample_per_class(long.select("pair_id", "result"), n, "result", "pair_id", seed=42).drop("rn")
+    s = materialize(long.join(slim, ["pair_id", "result"]))
     s1 = C.stratified_fraction_split(s, "result", "pair_id", 0.2, seed="s1")
     test = s1.where(F.col("split") == "test")
     s2 = C.stratified_fraction_split(s1.where(F.col("split") == "train").drop("split"), "result",
@@ -147,8 +149,10 @@ _LANG_SPLIT_SQL = f"""(SELECT doc_id, text, result, lang, source, {_split_case('
 
 def language_splits(spark, sf_dir):
     # Consumers read several splits of it: write the assignment once.
-    return materialize(C.absolute_split(labelled_documents(spark, sf_dir), ["lang", "result"], LANG_SPLITS,
-                                        "doc_id", seed=42))
+    docs = labelled_documents(spark, sf_dir).select("doc_id", "lang", "source", "result",
+                                                    F.sha2(F.col("text").cast("binary"), 256).alias("text_h"))
+    return materialize(C.absolute_split(docs, ["lang", "result"], LANG_SPLITS,
+                                        "doc_id", seed=42, strict=False))      # small fixtures have short strata
 
 
 @register("o5_language_splits", f"SELECT doc_id, lang, result, split FROM {_LANG_SPLIT_SQL}")
@@ -212,7 +216,7 @@ FROM t GROUP BY t.lang""")
 def j13_split_overlap_audit(spark, sf_dir):
     sp = language_splits(spark, sf_dir)
     test = sp.where(F.col("split") == "test")
-    ov = C.overlap(test, sp.where(F.col("split") == "train"), "text")
+    ov = C.overlap(test, sp.where(F.col("split") == "train"), "text_h")
     n_ov = ov.groupBy("lang").agg(F.count("*").alias("n_overlap"))
     return (test.groupBy("lang").agg(F.count("*").alias("n_test")).join(n_ov, "lang", "left")
                 .select("lang", "n_test", F.coalesce("n_overlap", F.lit(0)).alias("n_overlap")))

@@ -104,6 +104,34 @@ def a22_macro_auroc_by_source(spark, sf_dir):
     return r.select("source", F.round("mean_auroc", 6).alias("mean_auroc"), "n_cells")
 
 
+# Generator names of the fixture: the number in ``source`` picks one.
+NAMES = ["GPT3-davinci", "ChatGPT", "GPT4-turbo", "claude-instant", "gpt-3.5-turbo-0125", "other-model"]
+_NAME_SQL = "CASE CAST(substr(source, 4) AS INTEGER) % 6 " + " ".join(
+    f"WHEN {i} THEN '{n}'" for i, n in enumerate(NAMES)) + " END"
+_FAMILY_SQL = f"""CASE WHEN lower({_NAME_SQL}) LIKE '%gpt3%' OR lower({_NAME_SQL}) LIKE '%chatgpt%' THEN 'gpt3.5'
+  WHEN lower({_NAME_SQL}) LIKE '%gpt4%' THEN 'gpt4' WHEN lower({_NAME_SQL}) LIKE '%claude%' THEN 'claude3'
+  WHEN lang = 'es' THEN 'counseling' WHEN lower({_NAME_SQL}) LIKE '%gpt-3.5-turbo%' THEN 'gpt-3.5-turbo'
+  WHEN lower({_NAME_SQL}) LIKE '%gpt-4%' THEN 'gpt-4' END"""
+
+
+@register("a22_macro_auroc_by_family", f"""
+WITH cells AS (SELECT x.*, {_FAMILY_SQL} AS family FROM ({auroc_sql(_SCORED_SQL, ["lang", "source"])}) x),
+fam AS (SELECT UNNEST({T.FAMILIES["wide"]!r}) AS family)
+SELECT fam.family, ROUND(AVG(cells.auroc), 6) AS mean_auroc, CAST(COUNT(cells.auroc) AS BIGINT) AS n_cells
+FROM fam LEFT JOIN cells ON fam.family = cells.family GROUP BY fam.family""")
+def a22_macro_auroc_by_family(spark, sf_dir):
+    """P18 + E20 + A22: cells rolled up by generator family, the wide
+    variant with ``es`` standing for the counselling data."""
+    number = F.substring("source", 4, 9).cast("int") % len(NAMES)
+    cells = ev.auroc(length_scored(spark, sf_dir), ["lang", "source"])
+    cells = cells.withColumn("name", F.get(F.array(*[F.lit(n) for n in NAMES]), number))
+    dataset = F.when(F.col("lang") == "es", F.lit("counseling")).otherwise(F.col("lang"))
+    cells = cells.withColumn("family", T.generator_family("name", "wide", dataset)).where("family is not null")
+    fams = spark.createDataFrame([(x,) for x in T.FAMILIES["wide"]], "family string")
+    r = ev.macro_mean(cells, fams, "family")
+    return r.select("family", F.round("mean_auroc", 6).alias("mean_auroc"), "n_cells")
+
+
 @register("a23_score_stats_by_class", f"""
 SELECT lang, label, ROUND(AVG(score), 6) AS mean, ROUND(STDDEV_POP(score), 6) AS std,
        CAST(COUNT(score) AS BIGINT) AS n

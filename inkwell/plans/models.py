@@ -19,8 +19,8 @@ from inkwell.plans.registry import register
 from inkwell.session import materialize, table
 from inkwell.sources.tables import labelled_conversations, labelled_documents
 
-# Reference defaults: 160 training rows, 20 validation rows, 10 epochs.
-TRAIN_ROWS, VALID_ROWS, EPOCHS, LR = 160, 20, 10, 0.003
+# Reference defaults: 160 training rows, 10 epochs.
+TRAIN_ROWS, EPOCHS, LR = 160, 10, 0.003
 
 
 def labelled_vectors(spark, sf_dir):
@@ -32,17 +32,19 @@ def labelled_vectors(spark, sf_dir):
     return long.join(lab, "doc_id").join(ds, "doc_id")
 
 
-def doc_splits(docs, label="label", id_col="doc_id"):
+def doc_splits(docs, label="label", id_col="doc_id", train_rows=TRAIN_ROWS):
     """Per document: 'test' (20 %, stratified), then from the rest 'valid'
-    (10 %) and 'train' — with the training head capped at TRAIN_ROWS and
-    validation at VALID_ROWS as in the reference (O4 + O8)."""
+    (10 %) and 'train' (O4 + O8).  ``train_rows`` bounds the rows that a
+    classifier is fitted on, as in the reference; validation and test use all
+    of theirs."""
     s1 = C.stratified_fraction_split(docs.select(id_col, label), label, id_col, 0.2, seed="t")
     rest = s1.where(F.col("split") == "train").drop("split")
     s2 = C.stratified_fraction_split(rest, label, id_col, 0.1, seed="v", names=("train", "valid"))
-    train = top_n_by_hash(s2.where(F.col("split") == "train"), None, TRAIN_ROWS, id_col, seed="h").drop("rn")
-    valid = top_n_by_hash(s2.where(F.col("split") == "valid"), None, VALID_ROWS, id_col, seed="h").drop("rn")
+    train = top_n_by_hash(s2.where(F.col("split") == "train"), None, train_rows, id_col, seed="h").drop("rn")
+    valid = s2.where(F.col("split") == "valid")
     test = s1.where(F.col("split") == "test")
-    return train.unionByName(valid).unionByName(test).select(id_col, "split")
+    parts = [d.select(id_col, "split") for d in (train, valid, test)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("x9_maxkl_classifier_auroc")
@@ -162,7 +164,6 @@ def x11_sequence_classifier_auroc(spark, sf_dir):
     """X11 + M5 + A18 + M6: an external sequence classifier scores both
     classes per Arrow batch; AUROC by language, rounded to 4 places."""
     docs = labelled_documents(spark, sf_dir)
-    s = CL.external_scores(docs, CL.text_feature_scorer)
-    s = s.join(docs.select("doc_id", "lang", F.col("result").alias("label")), "doc_id")
+    s = CL.external_scores(docs.withColumnRenamed("result", "label"), CL.text_feature_scorer, keep=("lang", "label"))
     a = ev.auroc(s.select("lang", F.col("prob").alias("score"), "label"), "lang")
     return a.select("lang", F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg")

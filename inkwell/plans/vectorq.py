@@ -20,7 +20,91 @@ def long_vectors(spark, sf_dir):
 
 
 def kl_table(spark, sf_dir, first=FIRST, mids=None):
-    return VE.kl_by_layer(long_vectors(spark, sf_dir), first, LAST, mids or MIDS)
+    return VE.kl_in_row(table(spark, sf_dir, "embeddings"), "embedding", N_LAYERS, DIM, first, LAST,
+                        mids or MIDS, id_col="vec_id")
+
+
+# The same 64 floats as 2 positions x 4 layers x 8 dims; the second position
+# is padding in every third row.
+POSITIONS, P_LAYERS = 2, 4
+
+
+def positioned(spark, sf_dir):
+    """doc_id, layer, pos, vec, mask."""
+    e = table(spark, sf_dir, "embeddings")
+    parts = [VE.split_layers(e.select("vec_id", F.slice("embedding", p * P_LAYERS * DIM + 1, P_LAYERS * DIM).alias("v")),
+                             "v", P_LAYERS, DIM, id_col="vec_id", pos=p) for p in range(POSITIONS)]
+    both = parts[0].unionByName(parts[1])
+    return both.withColumn("mask", ((F.col("pos") == 0) | (F.col("doc_id") % 3 != 0)).cast("int"))
+
+
+_POS_SQL = f"""
+r AS (SELECT vec_id AS doc_id, l.l AS layer, p.p AS pos,
+             list_transform(embedding[p.p * {P_LAYERS * DIM} + l.l * {DIM} + 1: p.p * {P_LAYERS * DIM} + (l.l + 1) * {DIM}],
+                            lambda x: CAST(x AS DOUBLE)) AS v,
+             CASE WHEN p.p = 0 OR vec_id % 3 <> 0 THEN 1 ELSE 0 END AS mask
+      FROM embeddings, (SELECT CAST(range AS INTEGER) AS l FROM range({P_LAYERS})) l,
+           (SELECT CAST(range AS INTEGER) AS p FROM range({POSITIONS})) p),
+z AS (SELECT *, list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) AS z FROM r),
+lp AS (SELECT doc_id, layer, pos, mask, list_transform(v, lambda x: x - z) AS lp FROM z),
+k AS (SELECT m.doc_id, m.layer, m.pos,
+             list_sum(list_transform(list_zip(f.lp, m.lp), lambda x: exp(x[1]) * (x[1] - x[2])))
+             + list_sum(list_transform(list_zip(t.lp, m.lp), lambda x: exp(x[1]) * (x[1] - x[2]))) AS kl
+      FROM lp m JOIN lp f ON f.doc_id = m.doc_id AND f.pos = m.pos AND f.layer = 0
+                JOIN lp t ON t.doc_id = m.doc_id AND t.pos = m.pos AND t.layer = {P_LAYERS - 1}
+      WHERE m.mask = 1 AND m.layer BETWEEN 1 AND {P_LAYERS - 2})"""
+
+
+@register("a13_kl_mean_over_positions", f"""WITH {_POS_SQL}
+SELECT doc_id, layer, ROUND(AVG(kl), 6) AS kl FROM k GROUP BY doc_id, layer""")
+def a13_kl_mean_over_positions(spark, sf_dir):
+    """A13 with several token positions: averaged over the valid ones."""
+    x = positioned(spark, sf_dir).where("mask = 1")
+    k = VE.kl_by_layer(x, 0, P_LAYERS - 1, list(range(1, P_LAYERS - 1)))
+    return k.select("doc_id", "layer", F.round("kl", 6).alias("kl"))
+
+
+@register("a28_kl_last_position", f"""WITH {_POS_SQL}
+SELECT doc_id, layer, ROUND(kl, 6) AS kl FROM k
+WHERE pos = (CASE WHEN doc_id % 3 <> 0 THEN {POSITIONS - 1} ELSE 0 END)""")
+def a28_kl_last_position(spark, sf_dir):
+    """The last valid position only."""
+    x = positioned(spark, sf_dir).where("mask = 1")
+    k = VE.kl_by_layer(x, 0, P_LAYERS - 1, list(range(1, P_LAYERS - 1)), last_position_only=True)
+    return k.select("doc_id", "layer", F.round("kl", 6).alias("kl"))
+
+
+@register("w6_last_valid_pool", f"""WITH {_POS_SQL}
+SELECT doc_id, layer, pos, list_transform(v, lambda x: ROUND(x, 6)) AS vec FROM r
+WHERE pos = (CASE WHEN doc_id % 3 <> 0 THEN {POSITIONS - 1} ELSE 0 END)""")
+def w6_last_valid_pool(spark, sf_dir):
+    """The vector of the last unmasked position, per layer."""
+    p = VE.last_valid_pool(positioned(spark, sf_dir))
+    return p.select("doc_id", "layer", "pos", M.round_array("vec").alias("vec"))
+
+
+# A fixed output head, 8 dims to 5 words; exact in binary.
+HEAD = [[((3 * d + 5 * w) % 7 - 3) / 4 for w in range(5)] for d in range(DIM)]
+_HEAD_SQL = ", ".join("ROUND(" + " + ".join(f"v[{d + 1}] * ({HEAD[d][w]!r})" for d in range(DIM)) + ", 5)" for w in range(5))
+
+
+@register("m8_projected_logits", f"WITH {_POS_SQL} SELECT doc_id, layer, [{_HEAD_SQL}] AS logits FROM r WHERE pos = 0")
+def m8_projected_logits(spark, sf_dir):
+    """M8: hidden states through a non-square output head."""
+    x = positioned(spark, sf_dir).where("pos = 0")
+    return VE.project_logits(x, HEAD).select("doc_id", "layer", M.round_array("logits", 5).alias("logits"))
+
+
+@register("p15_kl_shorter_vocabulary", f"""WITH {_POS_SQL},
+s AS (SELECT a.doc_id, a.lp AS t, b.lp[1:6] AS i FROM lp a JOIN lp b ON a.doc_id = b.doc_id
+      WHERE a.pos = 0 AND b.pos = 0 AND a.layer = 0 AND b.layer = 1)
+SELECT doc_id, ROUND(list_sum(list_transform(list_zip(t[1:6], i), lambda x: exp(x[1]) * (x[1] - x[2]))), 6) AS kl FROM s""")
+def p15_kl_shorter_vocabulary(spark, sf_dir):
+    """Two vocabularies of unequal length are cut to the shorter one."""
+    x = M.with_log_softmax(positioned(spark, sf_dir).where("pos = 0"), "vec", "lp")
+    a = x.where("layer = 0").select("doc_id", F.col("lp").alias("t"))
+    b = x.where("layer = 1").select("doc_id", F.slice("lp", 1, 6).alias("i"))
+    return a.join(b, "doc_id").select("doc_id", F.round(M.kl_from_log_probs("t", "i"), 6).alias("kl"))
 
 
 def _kl_sql(first: int = FIRST, mids: list[int] | None = None) -> str:

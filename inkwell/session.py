@@ -6,7 +6,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -43,6 +45,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="inkwell-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -50,6 +55,36 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of any executor,
+    whatever its working folder: one zip per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_inkwell_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="inkwell-zip-"), "inkwell_pkg.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._inkwell_shipped = True
+
+
+def read_parquet_if_there(spark: SparkSession, path: str, schema: str | None = None):
+    """The table at ``path``; None if there is nothing (any other failure,
+    such as a permission or the network, is raised)."""
+    try:
+        reader = spark.read.schema(schema) if schema else spark.read
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")

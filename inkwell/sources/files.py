@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.session import read_parquet_if_there
+
 LABELLED_SCHEMA = T.StructType([T.StructField("text", T.StringType()),
                                 T.StructField("result", T.StringType())])
 
@@ -147,11 +149,11 @@ def hive_key(path_col: str, key: str):
 def cached(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """Read a parquet feature table, or compute, write and read it
     when the path is absent."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 — absent path: compute on miss
+    found = read_parquet_if_there(spark, path)
+    if found is None:
         compute().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+    return found
 
 
 # --- S16: layer-partitioned vectors -------------------------------------------------------
@@ -173,11 +175,12 @@ def append_results(records: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """All records so far; a missing or unreadable store is empty."""
-    try:
-        return spark.read.schema(RESULT_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001
+    """All records so far; a missing store is empty, and so is a file of
+    it that is corrupt (other failures are raised)."""
+    found = read_parquet_if_there(spark, path, RESULT_SCHEMA)
+    if found is None:
         return spark.createDataFrame([], RESULT_SCHEMA)
+    return spark.read.schema(RESULT_SCHEMA).option("ignoreCorruptFiles", True).parquet(path)
 
 
 # --- S13 / S22: score files and training logs ----------------------------------------------

@@ -57,7 +57,9 @@ def test_keep_first(spark):
 def test_absolute_split_disjoint_complete(spark):
     rows = skewed_rows(800)
     df = spark.createDataFrame(rows, "id long, g string, label int")
-    sp = C.absolute_split(df, ["g", "label"], [("test", 10), ("valid", 5), ("train", 5)], "id").collect()
+    sp = C.absolute_split(df, ["g", "label"], [("test", 10), ("valid", 5), ("train", 5)], "id", strict=False).collect()
+    with pytest.raises(Exception, match="fewer rows"):
+        C.absolute_split(df, ["g", "label"], [("test", 800)], "id").collect()
     assert len(sp) == len(rows) and len({r.id for r in sp}) == len(rows)
     by = {}
     for r in sp:
@@ -116,14 +118,12 @@ def test_prefer_long(spark):
     assert got == [1, 3, 4]
 
 
-def test_top_n_fallback_path_is_exact(spark):
-    """With no slack the hash pre-filter often keeps fewer than n rows in a
-    stratum; those strata must fall back to all their rows."""
+@pytest.mark.parametrize("salts", [1, 7, 1024])
+def test_top_n_is_exact_for_any_number_of_salts(spark, salts):
     rows = skewed_rows(3000, seed=8)
     df = spark.createDataFrame(rows, "id long, g string, label int")
     for n in (5, 40, 300):
-        got = {(r.g, r.rn): r.id for r in top_n_by_hash(df, "g", n, "id", seed=3, sd_slack=0.0,
-                                                            min_slack=0.0).collect()}
+        got = {(r.g, r.rn): r.id for r in top_n_by_hash(df, "g", n, "id", seed=3, salts=salts).collect()}
         exp = {}
         for g in {r[1] for r in rows}:
             ids = sorted((r[0] for r in rows if r[1] == g), key=lambda i: (md5key(3, i), i))[:n]

@@ -57,3 +57,25 @@ def test_mlp_variant(spark):
     model = CL.fit(df, "vec", "label", kind="mlp", hidden=(4,), max_iter=50)
     s = CL.score(model, df)
     assert ev.auroc(s.select(F.col("prob").alias("score"), "label")).first().auroc > 0.9
+
+
+def test_python_workers_find_the_package_from_another_folder(tmp_path):
+    """The Python operators run in a session whose working folder and path
+    do not hold the package on the workers' side."""
+    import subprocess
+    import sys
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from inkwell.session import build_session
+from inkwell.operators import classify as CL
+spark = build_session(master="local[2]", shuffle_partitions=2)
+df = spark.createDataFrame([(0, i, [float(i % 2), 1.0], i % 2, "some words " * i) for i in range(20)],
+                           "layer int, doc_id long, vec array<double>, label int, text string")
+print("rows", CL.train_per_group(df, "layer").count(), CL.external_scores(df, CL.text_feature_scorer, keep=("label",)).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 1 20" in out.stdout, out.stderr[-2000:]

@@ -103,3 +103,23 @@ def test_mc_single_text_runs(spark):
     one = spark.createDataFrame([(0, "the cat")], "doc_id long, text string")
     mc = LM.mc_curvature(m, one, n_draws=10)
     assert mc.count() == 1
+
+
+def test_reserved_word_in_a_text_is_out_of_vocabulary(spark):
+    rows = [(1, "a b <unk> a b c <unk>"), (2, "a <unk> <unk> b a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    m = LM.train(df, V=2)
+    vocab = {r.token: r.c for r in m.vocab.collect()}
+    assert vocab == {"a": 4, "b": 4, LM.UNK: 5}
+    got = {r.doc_id: r.n_tokens for r in LM.criteria(m, df).collect()}
+    assert got == {1: 6, 2: 5}
+
+
+def test_whole_vocabulary_equals_a_large_bound(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 25))) for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a = LM.criteria(LM.train(df, V=1000), df).orderBy("doc_id").collect()
+    b = LM.criteria(LM.train(df, V=None), df).orderBy("doc_id").collect()
+    assert len(a) == len(b) == 11
+    for x, y in zip(a, b):
+        assert all(abs(x[c] - y[c]) < 1e-9 for c in LM.CRITERIA)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from inkwell.session import scratch_path
 from inkwell.sources import files as FS
 
-from conftest import REFERENCE, have
 
 
 def test_labelled_json_array_file_with_string_labels(spark):
@@ -97,16 +96,13 @@ def test_training_log_parse(spark):
     assert got == [(0, 1, 0.6931, 0.5), (0, 2, 0.6, 0.55), (1, 1, 0.5, 1.0)]
 
 
-LOG = os.path.join(REFERENCE, "figures", "layer_vs_auroc.txt")
-
-
-@pytest.mark.skipif(not have(LOG), reason="training log absent")
-def test_golden_training_log(spark):
-    raw = FS.read_lines(spark, LOG).select("line", F.rtrim(F.col("value")).alias("value"))
-    log = FS.parse_training_log(raw)
-    last = {r.layer: r.val_acc for r in log.where("epoch = 10").collect()}
-    assert len(last) == 33 and last[0] == 0.5
-    assert sorted(l for l, a in last.items() if a == 0.95) == [3, 15, 16, 17, 28, 29]
+def test_missing_store_is_empty_and_other_failures_are_raised(spark, tmp_path):
+    assert FS.read_results(spark, f"{tmp_path}/none").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not parquet at all, certainly not")
+    assert FS.read_results(spark, f"{tmp_path}/bad").count() == 0
+    with pytest.raises(Exception):
+        FS.cached(spark, f"{tmp_path}/bad", lambda: spark.range(1)).count()
 
 
 def test_hive_key_and_fanout(spark):
