@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import zipfile
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import inkwell
-from inkwell.session import checkpoint_root, materialize, scratch_path, table  # noqa: F401  (re-exported)
+from inkwell.session import scratch_path, table  # noqa: F401  (re-exported)
+from inkwell.session import ship_package as ship  # noqa: F401
 
 _WORD = re.compile(r"\w+")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of any executor,
-    whatever its working folder: one zip per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_inkwell_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(inkwell.__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="inkwell-zip-"), "inkwell_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(os.path.join(root, "inkwell")):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    sc._inkwell_shipped = True
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and continue
     from the files: several consumers share one computation, and a lost

@@ -7,6 +7,7 @@ from inkwell.llm.decontaminate import op2_winnowing
 from inkwell.llm.fingerprints import op8_one_permutation_minhash
 from inkwell.llm.langid import op6_word_backoff
 from inkwell.llm.nearjoin import op4_minhash_forest
+from inkwell.llm.oracles import ORACLES  # noqa: F401  (read by the entry)
 from inkwell.llm.packing import op10_min_bin_slack
 from inkwell.llm.pagetext import op9_tag_path_ratios
 from inkwell.llm.pii import op1_weak_supervision
@@ -25,5 +26,3 @@ QUERIES = {f.__name__: f for f in (
     op9_tag_path_ratios,
     op10_min_bin_slack,
 )}
-
-ORACLES: dict[str, str] = {}

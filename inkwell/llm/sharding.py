@@ -48,7 +48,7 @@ def assign(docs: DataFrame, weights: list[float], grown: list[float]) -> DataFra
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("bigint").alias("text_crc32"),
         shard_of(F.col("doc_id"), weights).alias("shard"),
         shard_of(F.col("doc_id"), grown).alias("grown_shard"))
-    x = x.withColumn("_h", F.xxhash64("doc_id", "text_crc32"))
+    x = x.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")))
     r = rank_within(x, ["shard"], ["_h", "doc_id", "text_crc32"], "_rank")
     return r.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
                     (F.col("_rank") - 1).cast("bigint").alias("slot"), "grown_shard")
