@@ -221,18 +221,22 @@ def prefix_repair(reply, prefix) -> Column:
 
 # --- E21, E22, E24 --------------------------------------------------------
 
-def path_key(path) -> Column:
-    """``<dataset>_<generator>.json`` -> struct(dataset, generator)."""
-    base = F.element_at(F.split(_c(path), "/"), -1)
-    stem = F.regexp_replace(base, r"(\.raw_data)?\.json$", "")
-    return F.struct(F.regexp_extract(stem, r"^([^_]+)_(.*)$", 1).alias("dataset"),
-                    F.regexp_extract(stem, r"^([^_]+)_(.*)$", 2).alias("generator"))
-
-
 # The eleven language codes of the multilingual benchmark.
 LANGUAGES = ["en", "ar", "ca", "cs", "de", "nl", "pt", "ru", "uk", "zh", "es"]
 
 
+def path_key(path) -> Column:
+    """``<dataset>_<generator>.json`` -> struct(dataset, generator,
+    language); ``language`` is the folder of the file if it is one of the
+    language codes, else null."""
+    parts = F.split(_c(path), "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(\.raw_data)?\.json$", "")
+    folder = F.get(parts, F.size(parts) - 2)
+    return F.struct(F.regexp_extract(stem, r"^([^_]+)_(.*)$", 1).alias("dataset"),
+                    F.regexp_extract(stem, r"^([^_]+)_(.*)$", 2).alias("generator"),
+                    F.when(folder.isin(*LANGUAGES), folder).alias("language"))
+
+
 # --- P18: generator family from a cell name --------------------------------
 
 # Substring -> family, first match wins.  Three variants

@@ -18,7 +18,7 @@ from inkwell.plans.curation import counselling_pairs
 from inkwell.plans.pairing import PAIRS_SQL
 from inkwell.plans.registry import register
 from inkwell.plans.sqlfrag import (LABELLED_CONV, LABELLED_DOCS, auroc_sql, detokenise, pr_auc_sql,
-                                  remove_tags, space_word_count, word_count)
+                                  remove_tags, space_word_count, word_count, words)
 from inkwell.plans.textq import _STORY_SQL, writing_stories
 from inkwell.session import scratch_path, table
 from inkwell.sources import files as FS
@@ -181,10 +181,7 @@ def s19_criterion_results(spark, sf_dir):
                        F.round("loss", 6).alias("loss"))
 
 
-# The source registry over the fixture tables.
-DATASET_KEYS = {"xsum": "document", "squad": "context", "writing": "document", "fluoroscopy": "text"}
-
-
+# The source registry over the fixture tables.
 def source_registry(spark, sf_dir):
     """Name -> DataFrame factory of texts; unknown names raise."""
     def language(lang):
@@ -228,3 +225,42 @@ def s8_source_registry_counts(spark, sf_dir):
         c = load_source(spark, sf_dir, name).select(F.lit(name).alias("source"), F.lit(1).alias("_one"))
         out = c if out is None else out.unionByName(c)
     return out.groupBy("source").agg(F.count("*").alias("n"))
+
+
+# Fixture: each language plays one named corpus with its own text column.
+NAMED = {"en": "xsum", "de": "squad", "fr": "fluoroscopy", "es": "story"}
+
+
+@register("s9_text_column_pick", f"""
+SELECT CASE lang {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMED.items())} END AS dataset,
+       CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(length(text)) AS BIGINT) AS n_chars
+FROM documents WHERE lang IN ({", ".join(repr(k) for k in NAMED)}) GROUP BY lang""")
+def s9_text_column_pick(spark, sf_dir):
+    """The text column by the corpus name, by lookup or the name
+    itself."""
+    from inkwell.sources.tables import DATASET_KEYS, pick_text
+    out = None
+    for lang, name in NAMED.items():
+        d = table(spark, sf_dir, "documents").where(F.col("lang") == lang)
+        d = d.select(F.col("text").alias(DATASET_KEYS.get(name, name)), F.lit("other").alias("other"))
+        x = pick_text(d, name).select(F.lit(name).alias("dataset"), F.length("text").alias("l"))
+        out = x if out is None else out.unionByName(x)
+    return out.groupBy("dataset").agg(F.count("*").alias("n"), F.sum("l").cast("bigint").alias("n_chars"))
+
+
+@register("s6_perturbed_pairs_roundtrip", f"""
+WITH p AS (SELECT pair_id, original, sampled, {words('original')} AS wo, {words('sampled')} AS ws FROM {PAIRS_SQL})
+SELECT pair_id, md5(original) AS original_md5,
+       [{", ".join(f"md5(array_to_string(wo[1:{i - 1}] || wo[{i + 1}:len(wo)], ' '))" for i in (1, 2, 3))}] AS po_md5,
+       [{", ".join(f"md5(array_to_string(ws[1:{i - 1}] || ws[{i + 1}:len(ws)], ' '))" for i in (1, 2, 3))}] AS ps_md5 FROM p""")
+def s6_perturbed_pairs_roundtrip(spark, sf_dir):
+    """Pairs with perturbed variants written as records and read."""
+    from inkwell.operators.pair import perturbed
+    prefix = scratch_path(spark, "perturbed")
+    p = PR.turn_pairs(table(spark, sf_dir, "conversations"))
+    FS.write_pairs(p.withColumn("perturbed_original", perturbed("original"))
+                    .withColumn("perturbed_sampled", perturbed("sampled")), prefix, {"n_perturbations": 3})
+    d, args = FS.read_pairs(spark, prefix, perturbed=True, rows=True)
+    md5s = lambda c: F.transform(c, lambda x: F.md5(x))
+    return d.select("pair_id", F.md5("original").alias("original_md5"), md5s("perturbed_original").alias("po_md5"),
+                    md5s("perturbed_sampled").alias("ps_md5"))

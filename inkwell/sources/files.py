@@ -115,12 +115,15 @@ def write_pairs(pairs: DataFrame, prefix: str, args: dict) -> None:
 
 
 def read_pairs(spark: SparkSession, prefix: str, columnar: bool = False,
-               perturbed: bool = False) -> tuple[DataFrame, DataFrame]:
+               perturbed: bool = False, rows: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs, args).  ``columnar`` reads the reference layout
     ``{original: [...], sampled: [...]}`` (D5) and numbers the pairs by
     position (``posexplode(arrays_zip)``); ``perturbed`` reads the list
-    form with perturbation arrays (D6: a JSON array of records)."""
+    form with perturbation arrays (D6: a JSON array of records, or with
+    ``rows`` the splittable record-a-line form that ``write_pairs`` makes)."""
     args = spark.read.json(f"{prefix}.args")
+    if perturbed and rows:
+        return spark.read.schema(f"pair_id long, {PERTURBED_SCHEMA}").json(f"{prefix}.raw_data"), args
     if perturbed:
         d = spark.read.schema(PERTURBED_SCHEMA).option("multiLine", True).json(f"{prefix}.raw_data")
         return d, args
