@@ -1,7 +1,7 @@
-"""Classifier queries (X5-X11, A21, A22, A26, A27).  Training is not
-reproducible bit-for-bit against any SQL, so the trained ones carry no
-oracle SQL (rows-only check; unit tests check their properties); the
-external scorer (X11) is deterministic and has one."""
+"""Classifier queries (X5-X11, A21, A22, A26, A27).  The per-group trainer is
+deterministic (zero start, rows in id order), so the oracle SQL replays it
+step by step with a recursive CTE.  The queries fitted by MLlib carry no
+oracle SQL (rows-only check; unit tests check their properties)."""
 
 from __future__ import annotations
 
@@ -47,16 +47,88 @@ def doc_splits(docs, label="label", id_col="doc_id", train_rows=TRAIN_ROWS):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@register("x9_maxkl_classifier_auroc")
+def _splits_sql() -> str:
+    """CTEs of ``doc_splits`` over the labelled embeddings: vd (rows with all
+    layers), s1 (is_test), s2 (is_test = valid), trn (ids to fit on)."""
+    from inkwell.plans.sqlfrag import frac_split_sql, md5_key
+    return f"""
+vd AS (SELECT e.vec_id AS doc_id, CAST(l.quality AS INTEGER) AS label, e.label AS dataset,
+              list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS v
+       FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id),
+dd AS (SELECT DISTINCT doc_id, label FROM vd),
+{frac_split_sql('dd', 'label', 'doc_id', 0.2, 't', 's1')},
+rs AS (SELECT doc_id, label FROM s1 WHERE NOT is_test),
+{frac_split_sql('rs', 'label', 'doc_id', 0.1, 'v', 's2')},
+trn AS (SELECT doc_id FROM (SELECT doc_id, ROW_NUMBER() OVER (ORDER BY {md5_key('doc_id', 'h')}, doc_id) AS r
+                            FROM s2 WHERE NOT is_test) WHERE r <= {TRAIN_ROWS})"""
+
+
+def _trained_sql(rows: str, dim: int, out: str, batch: int = 16) -> str:
+    """CTEs: the trainer replayed on ``rows`` (key, doc_id, x, y), one
+    recursion step a mini-batch; ``out`` (key, w, b, loss, n)."""
+    one = lambda v: f"CAST('{v!r}' AS DOUBLE)"
+    dims, zeros = f"range(1, {dim + 1})", "[" + ", ".join([one(0.0)] * dim) + "]"
+    m, v, eps, lr = one(0.9), one(0.999), one(1e-8), one(LR)
+    m1, v1 = one(1 - 0.9), one(1 - 0.999)
+    step = lambda a, c: f"{lr} * ({a} / (1 - pow({m}, t + 1))) / (sqrt({c} / (1 - pow({v}, t + 1))) + {eps})"
+    clip = f"least(greatest(p[i], {one(1e-12)}), 1 - {one(1e-12)})"
+    return f"""
+{out}_r AS (SELECT key, x, CAST(y AS DOUBLE) AS y, ROW_NUMBER() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS r,
+                   COUNT(*) OVER (PARTITION BY key) AS total FROM {rows}),
+{out}_b AS (SELECT key, r // {batch} AS k, COUNT(*) AS n, (MAX(total) + {batch - 1}) // {batch} AS nb, MAX(total) AS total,
+                   list(x ORDER BY r) AS x, list(y ORDER BY r) AS y FROM {out}_r GROUP BY key, r // {batch}),
+{out}_s AS (
+  SELECT DISTINCT key, CAST(0 AS BIGINT) AS t, {zeros} AS w, {one(0.0)} AS b, {zeros} AS mw, {zeros} AS vw,
+         {one(0.0)} AS mb, {one(0.0)} AS vb, {one(0.0)} AS loss FROM {out}_b
+  UNION ALL
+  SELECT key, t + 1, list_transform({dims}, lambda d: w[d] - {step('mw2[d]', 'vw2[d]')}), b - {step('mb2', 'vb2')},
+         mw2, vw2, mb2, vb2, loss2
+  FROM (SELECT *, list_transform({dims}, lambda d: {m} * mw[d] + {m1} * gw[d]) AS mw2,
+               list_transform({dims}, lambda d: {v} * vw[d] + {v1} * gw[d] * gw[d]) AS vw2,
+               {m} * mb + {m1} * gb AS mb2, {v} * vb + {v1} * gb * gb AS vb2
+        FROM (SELECT *, list_transform({dims}, lambda d: list_sum(list_transform(range(1, n + 1), lambda i: x[i][d] * e[i])) / n) AS gw,
+                     list_sum(e) / n AS gb
+              FROM (SELECT *, list_transform(range(1, n + 1), lambda i: p[i] - y[i]) AS e,
+                           -list_sum(list_transform(range(1, n + 1), lambda i: y[i] * ln({clip}) + (1 - y[i]) * ln(1 - {clip}))) / n AS loss2
+                    FROM (SELECT s.*, b.n, b.x, b.y, list_transform(range(1, b.n + 1), lambda i:
+                                 1 / (1 + exp(-(list_sum(list_transform({dims}, lambda d: b.x[i][d] * s.w[d])) + s.b)))) AS p
+                          FROM {out}_s s JOIN {out}_b b ON b.key = s.key AND b.k = s.t % b.nb WHERE s.t < {EPOCHS} * b.nb)))))
+,
+{out} AS (SELECT s.key, s.w, s.b, s.loss, b.total AS n FROM {out}_s s JOIN {out}_b b ON b.key = s.key AND b.k = 0
+          WHERE s.t = {EPOCHS} * b.nb)"""
+
+
+def _prob_sql(x: str, w: str, b: str, dim: int) -> str:
+    return f"1 / (1 + exp(-(list_sum(list_transform(range(1, {dim + 1}), lambda d: {x}[d] * {w}[d])) + {b})))"
+
+
+def _x9_sql() -> str:
+    from inkwell.plans.sqlfrag import auroc_sql
+    return f"""WITH RECURSIVE {VQ._kl_sql().lstrip()}, {_splits_sql().lstrip()},
+x AS (SELECT vd.doc_id, vd.label, vd.dataset, vd.v[best.best_layer * {VQ.DIM} + 1: best.best_layer * {VQ.DIM} + {VQ.DIM}] AS x
+      FROM vd JOIN best ON best.doc_id = vd.doc_id),
+fit AS (SELECT 0 AS key, x.doc_id, x.x, x.label AS y FROM x JOIN trn ON trn.doc_id = x.doc_id),
+{_trained_sql('fit', VQ.DIM, 'mod').lstrip()},
+sc AS (SELECT x.doc_id, x.label, x.dataset, {_prob_sql('x.x', 'mod.w', 'mod.b', VQ.DIM)} AS score FROM x, mod),
+va AS (SELECT sc.label, least(greatest(sc.score, 1e-12), 1 - 1e-12) AS p FROM sc JOIN s2 ON s2.doc_id = sc.doc_id WHERE s2.is_test),
+vm AS (SELECT ROUND(AVG(CASE WHEN (p > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 4) AS acc,
+             ROUND(-AVG(label * ln(p) + (1 - label) * ln(1 - p)), 4) AS loss FROM va),
+te AS (SELECT sc.dataset, sc.label, sc.score FROM sc JOIN s1 ON s1.doc_id = sc.doc_id WHERE s1.is_test),
+a AS ({auroc_sql('te', ['dataset'])})
+SELECT a.dataset, ROUND(a.auroc, 4) AS auroc, n_pos, n_neg, vm.acc AS valid_accuracy, vm.loss AS valid_loss FROM a, vm"""
+
+
+@register("x9_maxkl_classifier_auroc", _x9_sql())
 def x9_maxkl_classifier_auroc(spark, sf_dir):
     """X8 (max-KL mode) -> X5 fit -> X6 score -> A18 by dataset, with A21
     accuracy and A27 loss on the validation rows (X9)."""
     vecs = labelled_vectors(spark, sf_dir)
     sel = VE.select_layer(vecs, -1, VQ.kl_table(spark, sf_dir))
     sp = doc_splits(sel.select("doc_id", "label").distinct())
-    x = materialize(sel.join(sp, "doc_id"))
-    model = CL.fit(x.where(F.col("split") == "train"), "vec", "label", "logreg")
-    scored = CL.score(model, x.where(F.col("split").isin("valid", "test")))
+    x = materialize(sel.join(sp, "doc_id").withColumn("one", F.lit(0)))
+    weights = CL.train_per_group(x.where(F.col("split") == "train"), "one", "vec", "label", epochs=EPOCHS, lr=LR)
+    scored = CL.score_linear(x.where(F.col("split").isin("valid", "test")), weights, "one")
+    scored = materialize(scored.withColumn("pred", (F.col("prob") > 0.5).cast("int")))
     valid = scored.where(F.col("split") == "valid")
     acc = ev.accuracy(valid).select("accuracy")
     loss = ev.cross_entropy(valid.withColumn("prob", F.least(F.greatest("prob", F.lit(1e-12)), F.lit(1 - 1e-12))))
@@ -67,7 +139,35 @@ def x9_maxkl_classifier_auroc(spark, sf_dir):
                      F.round(loss.select("loss").scalar(), 4).alias("valid_loss"))
 
 
-@register("x7_layer_sweep_auroc")
+@register("x5_network_auroc")
+def x5_network_auroc(spark, sf_dir):
+    """X5 with two hidden layers on the max-KL layer's vector: AUROC of the
+    test rows by dataset."""
+    sel = VE.select_layer(labelled_vectors(spark, sf_dir), -1, VQ.kl_table(spark, sf_dir))
+    x = materialize(sel.join(doc_splits(sel.select("doc_id", "label").distinct()), "doc_id"))
+    model = CL.fit(x.where(F.col("split") == "train"), "vec", "label", "mlp", hidden=(16, 8), max_iter=60)
+    s = CL.score(model, x.where(F.col("split") == "test"))
+    au = ev.auroc(s.select("dataset", F.col("prob").alias("score"), "label"), "dataset")
+    return au.select("dataset", F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg")
+
+
+def _x7_sql() -> str:
+    from inkwell.plans.sqlfrag import auroc_sql
+    return f"""WITH RECURSIVE {_splits_sql().lstrip()},
+x AS (SELECT doc_id, label, dataset, l.l AS layer, v[l.l * {VQ.DIM} + 1: l.l * {VQ.DIM} + {VQ.DIM}] AS x
+      FROM vd, (SELECT CAST(range AS INTEGER) AS l FROM range({VQ.N_LAYERS})) l),
+fit AS (SELECT layer AS key, x.doc_id, x.x, x.label AS y FROM x JOIN trn ON trn.doc_id = x.doc_id),
+{_trained_sql('fit', VQ.DIM, 'mod').lstrip()},
+te AS (SELECT x.layer, x.dataset, x.label, {_prob_sql('x.x', 'mod.w', 'mod.b', VQ.DIM)} AS score
+       FROM x JOIN s1 ON s1.doc_id = x.doc_id AND s1.is_test JOIN mod ON mod.key = x.layer),
+c AS ({auroc_sql('te', ['layer', 'dataset'])}),
+a AS ({auroc_sql('te', ['layer'])}),
+mac AS (SELECT layer, AVG(auroc) AS macro FROM c GROUP BY layer)
+SELECT a.layer, ROUND(a.auroc, 4) AS auroc, ROUND(mac.macro, 4) AS macro_auroc, a.n_pos, a.n_neg, ROUND(mod.loss, 4) AS train_loss
+FROM a JOIN mac ON mac.layer = a.layer JOIN mod ON mod.key = a.layer"""
+
+
+@register("x7_layer_sweep_auroc", _x7_sql())
 def x7_layer_sweep_auroc(spark, sf_dir):
     """Every layer trains in parallel (one applyInPandas group per
     layer, bounded training rows), test rows are scored in Spark, AUROC per
@@ -75,11 +175,12 @@ def x7_layer_sweep_auroc(spark, sf_dir):
     vecs = labelled_vectors(spark, sf_dir)
     sp = doc_splits(vecs.select("doc_id", "label").distinct())
     x = materialize(vecs.join(sp, "doc_id"))
-    weights = CL.train_per_group(x.where(F.col("split") == "train"), "layer", "vec", "label",
-                                 epochs=EPOCHS, lr=LR)
+    weights = materialize(CL.train_per_group(x.where(F.col("split") == "train"), "layer", "vec", "label",
+                                             epochs=EPOCHS, lr=LR))
     test = CL.score_linear(x.where(F.col("split") == "test"), weights, "layer")
-    cells = ev.auroc(test.select("layer", "dataset", F.col("prob").alias("score"), "label"), ["layer", "dataset"])
-    per_layer = ev.auroc(test.select("layer", F.col("prob").alias("score"), "label"), "layer")
+    test = materialize(test.select("layer", "dataset", F.col("prob").alias("score"), "label"))
+    cells = ev.auroc(test, ["layer", "dataset"])
+    per_layer = ev.auroc(test.select("layer", "score", "label"), "layer")
     macro = cells.groupBy("layer").agg(F.avg("auroc").alias("macro_auroc"))
     return (per_layer.join(macro, "layer", "left").join(weights.select("layer", "loss"), "layer")
             .select("layer", F.round("auroc", 4).alias("auroc"), F.round("macro_auroc", 4).alias("macro_auroc"),

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.operators.ordering import rank_within
 from inkwell.session import read_parquet_if_there
 
 LABELLED_SCHEMA = T.StructType([T.StructField("text", T.StringType()),
@@ -64,20 +65,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file (or of a folder of part files) with their
     position: ``file_idx`` (rank of the file path) and ``line`` (0-based in
     the file).  Lines keep their trailing newline, as ``readlines`` does.
-    Each file is read whole by one task, so part files should be bounded
-    (write them with ``maxRecordsPerFile``)."""
-    raw = (spark.read.text(path, wholetext=True)
-                .select(F.col("_metadata.file_path").alias("file"), F.col("value")))
-    files = raw.select("file").distinct()
+    Files are read by splittable scans; a line's number is its rank by (block
+    of the file, place in the block), counted by range partitions."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    ranked = rank_within(raw, ["file"], ["_block", "_at"], "line")
+    # The last line has no newline if the lines with one each exceed the file.
+    files = ranked.groupBy("file").agg(F.count("*").alias("_n"), (F.sum(F.octet_length("value") + 1) > F.max("_size")).alias("_open"))
     files = files.withColumn("file_idx", F.dense_rank().over(Window.orderBy("file")) - 1)  # one row per file
-    pieces = F.split(F.col("value"), "\n", -1)
-    # Re-attach the newline to every line but the last piece; an empty last
-    # piece (file ending in a newline) is not a line.
-    lines = raw.select("file", F.posexplode(pieces).alias("line", "v"), F.size(pieces).alias("_n"))
-    lines = lines.where(~((F.col("line") == F.col("_n") - 1) & (F.col("v") == "")))
-    lines = lines.withColumn("value", F.when(F.col("line") < F.col("_n") - 1, F.concat("v", F.lit("\n")))
-                             .otherwise(F.col("v")))
-    return lines.join(F.broadcast(files), "file").select("file_idx", "line", "value")
+    last = (F.col("line") == F.col("_n")) & F.col("_open")
+    return ranked.join(files, "file").select(
+        "file_idx", (F.col("line") - 1).cast("int").alias("line"),
+        F.when(last, F.col("value")).otherwise(F.concat("value", F.lit("\n"))).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str, order_col: str, value_col: str, n_files: int = 8,
