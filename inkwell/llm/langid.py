@@ -154,10 +154,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         *[F.col(f"`{c}`") for c in docs.columns], "_g.lang_pred", "_g.score")
 
 
-def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of ``least``
-    at least, with their columns; the fit takes their own labels."""
-    found = predict(boxed(docs, "text"), fit(docs))
+def identified(docs: DataFrame, margin: float = 1.2) -> DataFrame:
+    """The rows of ``docs`` whose language is found, with their columns; the
+    fit takes their own labels.  Rejected are ``und`` and texts whose score is
+    below ``margin`` times chance (1 / languages): nothing in them is known."""
+    model = fit(docs)
+    least = margin / len(model["langs"]) if len(model["langs"]) > 1 else 0.0
+    found = predict(boxed(docs, "text"), model)
     return unboxed(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs.columns)
 
 
