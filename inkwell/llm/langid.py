@@ -37,7 +37,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, max_rows: int = 20_000, max_words: int = 30_000, max_grams: int = 20_000) -> dict:
+def fit(docs: DataFrame, max_rows: int = 20_000, max_words: int = 15_000, max_grams: int = 6_000) -> dict:
     """Counts of the words and n-grams of a bounded sample of the labelled
     rows, as a small dictionary: languages, words, grams (by length)."""
     rows = only(docs, "doc_id", "text", "lang").where(
@@ -154,14 +154,15 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         *[F.col(f"`{c}`") for c in docs.columns], "_g.lang_pred", "_g.score")
 
 
-def identified(docs: DataFrame, margin: float = 1.2) -> DataFrame:
+def identified(docs: DataFrame, margin: float = 1.0) -> DataFrame:
     """The rows of ``docs`` whose language is found, with their columns; the
     fit takes their own labels.  Rejected are ``und`` and texts whose score is
-    below ``margin`` times chance (1 / languages): nothing in them is known."""
+    not above ``margin`` times chance (1 / languages); at 1 these are the texts
+    of which the model knows nothing, such as those in another script."""
     model = fit(docs)
     least = margin / len(model["langs"]) if len(model["langs"]) > 1 else 0.0
     found = predict(boxed(docs, "text"), model)
-    return unboxed(found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)), docs.columns)
+    return unboxed(found.where((F.col("lang_pred") != "und") & (F.col("score") > least + 1e-9)), docs.columns)
 
 
 def op6_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
