@@ -5,7 +5,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from inkwell.operators import curate as C
 from inkwell.operators.ordering import rank_within, top_n_by_hash

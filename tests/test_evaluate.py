@@ -1,7 +1,5 @@
 """ROC / PR / AUROC against brute force and published numbers."""
 
-import json
-import os
 import random
 
 import pytest

@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from inkwell.session import scratch_path
 from inkwell.sources import files as FS
