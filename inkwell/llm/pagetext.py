@@ -5,10 +5,13 @@ Per path, text length and punctuation are summed over its blocks and divided
 by their number: the text ratio and the punctuation ratio.  Both are smoothed
 over the blocks in page order (near blocks with similar paths weigh more),
 multiplied, and compared with a threshold from their spread: blocks of the
-paths above it are content.  The innermost section that holds most of them is
-the article; its short blocks (headings, list items) belong to it although
-their own paths score low.  Blocks inside navigation, forms, scripts and the
-like score zero whatever their ratios.
+paths above it are content, wherever they stand.  The innermost section that
+holds most of them, and the sections around it as long as these hold little
+else, are the article; its short blocks (headings, list items) belong to it
+although their own paths score low, and so do the headings right before a
+piece of content, with what stands between.  Blocks inside navigation, forms,
+scripts and the like score zero whatever their ratios; outside the innermost
+section, blocks of paths that hold mostly links are left out.
 
 Edge cases: null or empty html, and pages without a text block, give an empty
 text; unclosed, crossed and cut-off tags are tolerated; character references
@@ -41,6 +44,9 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp noscrip
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
                    "samp small span strike strong sub sup time tt u var wbr img".split())
 SECTION = frozenset("article main section div td body html blockquote".split())
+HOLDER = SECTION - {"blockquote"}                         # a quotation is a part of an article
+LINK = "a href"                                            # path part of links; inline elements are in no path
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select article section div body".split())
@@ -59,10 +65,10 @@ NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 
 
 class Block:
-    __slots__ = ("path", "nodes", "text", "bad")
+    __slots__ = ("path", "nodes", "text", "bad", "links", "linked")
 
-    def __init__(self, path: tuple, nodes: tuple, text: str, bad: bool):
-        self.path, self.nodes, self.text, self.bad = path, nodes, text, bad
+    def __init__(self, path: tuple, nodes: tuple, text: str, bad: bool, links: int):
+        self.path, self.nodes, self.text, self.bad, self.links = path, nodes, text, bad, links
 
 
 def _marks(attributes: str) -> tuple[str, bool]:
@@ -87,14 +93,16 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str, int, bool]] = []          # tag, path part, number, not content
     buffer: list[str] = []
-    count = at = 0
+    count = at = links = 0
 
     def flush() -> None:
+        nonlocal links
         text = " ".join(references.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
             own = [e for e in stack if e[0] not in INLINE]
-            out.append(Block(tuple(e[1] for e in own), tuple(e[2] for e in own), text, any(e[3] for e in stack)))
+            out.append(Block(tuple(e[1] for e in own), tuple(e[2] for e in own), text, any(e[3] for e in stack), links))
+        links = 0
 
     def close(upto: int) -> None:
         if any(e[0] not in INLINE for e in stack[upto:]):
@@ -107,6 +115,8 @@ def blocks(html: str) -> list[Block]:
             buffer.append(html[at:])
             break
         buffer.append(html[at:lt])
+        if lt > at and any(e[1] == LINK for e in stack):
+            links += len(references.unescape(html[at:lt]).strip())
         m = _TOKEN.match(html, lt)
         if m is None:                                      # a bare "<" is text; an open quote ends at the next ">"
             if html[lt + 1:lt + 2].isalpha() or html[lt + 1:lt + 2] == "/":
@@ -149,8 +159,15 @@ def blocks(html: str) -> list[Block]:
         bad |= tag in NOT_TEXT or (tag == "header" and not any(e[0] in ("article", "main") for e in stack))
         if not attributes.rstrip().endswith("/") or tag in SECTION or tag in ("p", "span"):
             count += 1
-            stack.append((tag, tag + classes, count, bad and tag not in ("body", "html")))
+            part = LINK if tag == "a" and "href" in attributes.lower() else tag + classes
+            stack.append((tag, part, count, bad and tag not in ("body", "html")))
     flush()
+    links_of, chars = defaultdict(int), defaultdict(int)
+    for b in out:
+        links_of[b.path] += b.links
+        chars[b.path] += len(b.text)
+    for b in out:
+        b.linked = 2 * links_of[b.path] > chars[b.path]
     return out
 
 
@@ -196,19 +213,51 @@ def main_text(html: str | None, spread: float = 0.5) -> str:
     mean = sum(good) / len(good)
     limit = min(spread * math.sqrt(sum((s - mean) ** 2 for s in good) / len(good)), max(good) / 2)
     paths = {b.path for b, s in zip(found, fused) if s > 0 and s >= limit}
+    chosen = [not b.bad and b.path in paths for b in found]
     inside: dict[int, float] = defaultdict(float)
     parts: dict[int, str] = {}
-    chosen = [b for b in found if not b.bad and b.path in paths]
-    for b in chosen:
-        for node, part in zip(b.nodes, b.path):
-            inside[node] += len(b.text)
-            parts[node] = part.split(".")[0]
-    most = 0.8 * sum(len(b.text) for b in chosen)
-    holders = [n for n, v in inside.items() if v >= most and parts[n] in SECTION]
+    for b, c in zip(found, chosen):
+        if c:
+            for node, part in zip(b.nodes, b.path):
+                inside[node] += len(b.text)
+                parts[node] = part.split(".")[0]
+    most = 0.8 * sum(len(b.text) for b, c in zip(found, chosen) if c)
+    holders = [n for n, v in inside.items() if v >= most and parts[n] in HOLDER]
     whole = [n for n in holders if parts[n] in ("article", "main")]
-    article = min(whole) if whole else max(holders, default=-1)
-    # Content paths elsewhere on the page count only if no section holds the article.
-    return " ".join(b.text for b in found if not b.bad and (article in b.nodes if article >= 0 else b.path in paths))
+    core = min(whole) if whole else max(holders, default=-1)
+    keep = [c or (not b.bad and core in b.nodes) for b, c in zip(found, chosen)]
+    if core >= 0:
+        keep = _with_parts(found, [k and (core in b.nodes or not b.linked) for b, k in zip(found, keep)],
+                           -1 if whole else core, parts)
+    return " ".join(b.text for b, k in zip(found, keep) if k)
+
+
+def _with_parts(found: list[Block], keep: list[bool], core: int, parts: dict[int, str]) -> list[bool]:
+    """``keep`` with the other parts of the sections around ``core`` (of none
+    if it is -1) that hold little else than kept text, and with the headings
+    right before kept blocks."""
+    around = next((b.nodes[:b.nodes.index(core)] for b in found if core in b.nodes), ())
+    for node in reversed(around):
+        if parts[node] in ("body", "html"):
+            break
+        if parts[node] not in HOLDER:
+            continue
+        within = [i for i, b in enumerate(found) if not b.bad and not b.linked and node in b.nodes]
+        if sum(len(found[i].text) for i in within if keep[i]) < 0.8 * sum(len(found[i].text) for i in within):
+            break
+        for i in within:
+            keep[i] = True
+    top = -1
+    for i in range(len(found) - 1, -1, -1):
+        b = found[i]
+        if keep[i]:
+            top = i
+        elif b.bad or b.linked:
+            top = -1
+        elif top >= 0 and any(p.split(".")[0] in HEADING for p in b.path):
+            keep[i:top] = [True] * (top - i)
+            top = i
+    return keep
 
 
 def extract(pages: DataFrame) -> DataFrame:

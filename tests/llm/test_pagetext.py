@@ -19,6 +19,27 @@ def test_main_text_of_several_layouts():
         assert P.main_text(html) == TEXT, start
 
 
+LONG = "Here, the story goes on. It has many, many words. " * 8
+
+
+def test_nothing_of_an_article_in_several_sections_is_dropped():
+    p = f"<p>{LONG}</p>"
+    lead = "<div class=lead><p>Short lead, with a point.</p></div>"
+    whole = " ".join(["Title Short lead, with a point.", LONG.strip(), LONG.strip()])
+    links = '<ul><li><a href="/">Home, sweet.</a><li><a href="/b">About us.</a></ul>'
+    for a, b in (("<div class=content>", "</div>"), ("<div id=page><div class=content>", "</div></div>"), ("", ""),
+                 ("<div id=page>" + links + "<div class=content>", "</div></div>")):
+        html = f"<body>{a}<h1>Title</h1>{lead}<div class=text>{p}{p}</div>{b}<footer>End, of. page</footer></body>"
+        assert P.main_text(html) == whole, a
+    for tag in ("div", "section", "article"):              # 85 / 15 in siblings, with a heading each
+        html = (f"<body><{tag} class=a><h2>One</h2>{p * 6}</{tag}><{tag} class=b><h2>Two</h2>{p}</{tag}></body>")
+        assert P.main_text(html) == " ".join(["One", *[LONG.strip()] * 6, "Two", LONG.strip()]), tag
+    html = f"<body><div class=t><p>Before, it was so.</p><blockquote>{p * 5}</blockquote><p>After, it was not.</p></div></body>"
+    assert P.main_text(html) == " ".join(["Before, it was so.", *[LONG.strip()] * 5, "After, it was not."])
+    html = f"<body><div id=w>{links}<div class=x>{p * 300}</div>{links}</div></body>"
+    assert P.main_text(html) == " ".join([LONG.strip()] * 300)
+
+
 def test_references_white_space_and_broken_markup():
     assert P.main_text("<article><p>a &amp;lt; b\n\t c&nbsp;d &eacute;.</p></article>") == "a &lt; b c d é."
     assert P.main_text("<article><p>one, two.<p>thr<em>ee</em>, four.<br>five") == "one, two. three, four. five"
