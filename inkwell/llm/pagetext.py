@@ -10,8 +10,9 @@ holds most of them, and the sections around it as long as these hold little
 else, are the article; its short blocks (headings, list items) belong to it
 although their own paths score low, and so do the headings right before a
 piece of content, with what stands between.  Blocks inside navigation, forms,
-scripts and the like score zero whatever their ratios; outside the innermost
-section, blocks of paths that hold mostly links are left out.
+scripts and the like score zero whatever their ratios; a form, or a section
+named like a menu or comments, does so only if the main text lies outside it
+(``_free_wrappers``); outside the innermost section, blocks of paths that hold mostly links are left out.
 
 Edge cases: null or empty html, and pages without a text block, give an empty
 text; unclosed, crossed and cut-off tags are tolerated; character references
@@ -52,7 +53,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = frozenset("ul ol dl table select article section div body".split())
 
 # Elements and name parts that mark what is not the article.
-NOT_TEXT = frozenset("head script style noscript template iframe textarea title svg math select button form nav aside "
+NOT_TEXT = frozenset("head script style noscript template iframe textarea title svg math select button nav aside "
                      "footer menu dialog object audio video canvas fieldset noembed noframes xmp".split())
 NOT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner banners sponsor sponsored promo "
                       "promotion sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs footer "
@@ -60,38 +61,57 @@ NOT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banne
                       "respond cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
                       "subscription signup login search share sharing social related recommended pagination pager "
                       "widget widgets copyright legal disclaimer alert skip".split())
+STATES = frozenset("no not non has with without".split())   # "no-sidebar" names a layout, not a sidebar
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu "
                       "menubar toolbar".split())
 
 
+NAMED, NEVER = 1, 2                                       # marks of elements
+
+
 class Block:
-    __slots__ = ("path", "nodes", "text", "bad", "links", "linked")
+    __slots__ = ("path", "nodes", "text", "bad", "links", "linked", "marks", "main", "title")
+
+    def __init__(self, stack: list, text: str, links: int):
+        own = [e for e in stack if e[0] not in INLINE]
+        self.path, self.nodes = tuple(e[1] for e in own), tuple(e[2] for e in own)
+        self.text, self.links = text, links
+        self.bad = any(e[3] == NEVER for e in stack)
+        self.marks = [e[2] for e in stack if e[3] == NAMED]     # the marked elements, from the outside
+        tags = [e[0] for e in own]
+        self.main, self.title = "article" in tags or "main" in tags, "h1" in tags
+
 
-    def __init__(self, path: tuple, nodes: tuple, text: str, bad: bool, links: int):
-        self.path, self.nodes, self.text, self.bad, self.links = path, nodes, text, bad, links
+def _named(value: str) -> bool:
+    """Does a class or id hold a name of something other than content?"""
+    for name in value.split():
+        parts = [p.lower() for p in _NAME.findall(name)]
+        if not NOT_NAMES.isdisjoint(parts) and parts[0] not in STATES:
+            return True
+    return False
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
+def _marks(attributes: str) -> tuple[str, int]:
     """(classes, is it named or shown as something other than content)"""
-    classes, bad = "", False
+    classes, named, bad = "", False, False
     for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), (m[2] or "").strip("\"'")
         if kind in ("class", "id"):
             classes += "." + ".".join(sorted(value.split())) if kind == "class" else ""
-            bad |= any(p.lower() in NOT_NAMES for p in _NAME.findall(value))
+            named |= _named(value)
         elif kind == "role":
             bad |= value.lower() in NOT_ROLES
         elif kind == "style":
             bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         else:
             bad |= kind == "hidden" or value.lower() == "true"
-    return classes, bad
+    return classes, NEVER if bad else NAMED if named else 0
 
 
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order, each with its tag path and its elements."""
     out: list[Block] = []
-    stack: list[tuple[str, str, int, bool]] = []          # tag, path part, number, not content
+    stack: list[tuple[str, str, int, int]] = []           # tag, path part, number, mark
     buffer: list[str] = []
     count = at = links = 0
 
@@ -100,8 +120,7 @@ def blocks(html: str) -> list[Block]:
         text = " ".join(references.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            own = [e for e in stack if e[0] not in INLINE]
-            out.append(Block(tuple(e[1] for e in own), tuple(e[2] for e in own), text, any(e[3] for e in stack), links))
+            out.append(Block(stack, text, links))
         links = 0
 
     def close(upto: int) -> None:
@@ -155,13 +174,17 @@ def blocks(html: str) -> list[Block]:
                     break
                 if stack[i][0] in SCOPE:
                     break
-        classes, bad = _marks(attributes) if attributes else ("", False)
-        bad |= tag in NOT_TEXT or (tag == "header" and not any(e[0] in ("article", "main") for e in stack))
+        classes, mark = _marks(attributes) if attributes else ("", 0)
+        if tag in NOT_TEXT or (tag == "header" and not any(e[0] in ("article", "main") for e in stack)):
+            mark = NEVER
+        elif tag == "form":
+            mark = mark or NAMED
         if not attributes.rstrip().endswith("/") or tag in SECTION or tag in ("p", "span"):
             count += 1
             part = LINK if tag == "a" and "href" in attributes.lower() else tag + classes
-            stack.append((tag, part, count, bad and tag not in ("body", "html")))
+            stack.append((tag, part, count, 0 if tag in ("body", "html") else mark))
     flush()
+    _free_wrappers(out)
     links_of, chars = defaultdict(int), defaultdict(int)
     for b in out:
         links_of[b.path] += b.links
@@ -171,6 +194,39 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
+def _free_wrappers(found: list[Block]) -> None:
+    """Decides which marked elements (names, forms) are not content, from the
+    outside in.  The mark of one that holds more text than all that lies free
+    of marks does not count if it wraps the main text: if it holds an <h1>,
+    <article> or <main> and none lies free, or 95 % of the text, or if nothing
+    else lies free.  One with less than 2 % of the text wraps nothing."""
+    able = [b for b in found if not b.bad]
+    total = sum(len(b.text) for b in able)
+    while True:
+        free, main, title = 0, False, False
+        held: dict[int, list] = {}                         # has <h1>, has <article> or <main>, characters
+        for b in able:
+            if b.marks:
+                h = held.setdefault(b.marks[0], [False, False, 0])
+                h[0], h[1], h[2] = h[0] or b.title, h[1] or b.main, h[2] + len(b.text)
+            else:
+                free, main, title = free + len(b.text), main or b.main, title or b.title
+        wrapper = None
+        for node, (has_title, has_main, chars) in sorted(held.items(), key=lambda x: x[1], reverse=True):
+            if chars > free and 50 * chars >= total and (
+                    has_title and not title and not main or has_main and not main
+                    or 20 * chars >= 19 * total or not free):
+                wrapper = node
+                break
+        if wrapper is None:
+            break
+        for b in able:
+            if b.marks and b.marks[0] == wrapper:
+                del b.marks[0]
+    for b in able:
+        b.bad = bool(b.marks)
+
+
 def _alike(a: tuple, b: tuple) -> float:
     """Share of the path that two blocks have in common from the root."""
     if a == b:

@@ -40,6 +40,26 @@ def test_nothing_of_an_article_in_several_sections_is_dropped():
     assert P.main_text(html) == " ".join([LONG.strip()] * 300)
 
 
+def test_names_and_forms_around_the_main_text_do_not_empty_the_page():
+    body = f"<h1>A title</h1><p>{LONG}</p><p>{LONG}</p>"
+    text = f"A title {LONG.strip()} {LONG.strip()}"
+    talk = f"<div id=comments class=comments-area>{'<p>Reader says: nice, good. Very, very long.</p>' * 60}</div>"
+    for start, end in (('<div class="layout no-sidebar"><article>', "</article></div>"),
+                       ('<article class="post has-comments">', "</article>"), ('<div id="legal-news">', "</div>"),
+                       ('<div class="search-result-page">', "</div>"), ("<form id=all><div class=x>", "</div></form>"),
+                       ('<form><div class="with-ads"><div id=legal><main>', "</main></div></div></form>"),
+                       ('<div class="related-widget"><div class="post">', "</div></div>")):
+        for inside, outside in (("", ""), (NOISE, ""), ("", NOISE), ("", talk), (NOISE, talk)):
+            html = f"<body><header>Site, name.</header>{start}{inside}{body}{end}{outside}<footer>End, of. it</footer></body>"
+            assert P.main_text(html) == text, (start, inside, outside)
+    # names still keep out what stands beside the main text, longer or not
+    for start, end in (("<article>", "</article>"), ("<div class=post>", "</div>")):
+        assert P.main_text(f"<body>{start}{body}{end}{talk}</body>") == text
+        assert P.main_text(f"<div class=no-sidebar>{start}{body}{end}{talk}</div>") == text
+    # without any heading, comments up to 95 % of the text are still comments
+    assert P.main_text(f"<body><div class=post><p>{LONG}</p></div>{talk}</body>") == LONG.strip()
+
+
 def test_references_white_space_and_broken_markup():
     assert P.main_text("<article><p>a &amp;lt; b\n\t c&nbsp;d &eacute;.</p></article>") == "a &lt; b c d é."
     assert P.main_text("<article><p>one, two.<p>thr<em>ee</em>, four.<br>five") == "one, two. three, four. five"
