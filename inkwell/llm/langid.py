@@ -19,6 +19,7 @@ the language that sorts first; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,10 @@ from inkwell.llm.common import boxed, cut, only, ship, table, unboxed
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 TOP_GRAM = 5
+RARE = 4.0
+# Letters of scripts that write syllables or words as one sign,
+# or words without spaces (Thai to Myanmar, Khmer, Chinese, Japanese, Korean).
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\U0003ffff]")
 
 
 def held_out(doc_id) -> F.Column:
@@ -71,12 +76,13 @@ def fit(docs: DataFrame, max_rows: int = 20_000, max_words: int = 15_000, max_gr
             .select("lang", "gram", "n", "size").toPandas())
     langs = sorted(kept["lang"].unique())
     total = kept[kept["size"] == 0].groupby("lang")["n"].sum()
-    model = {"langs": langs, "first": int(np.argmax([total.get(x, 0) for x in langs])) if langs else 0, "tables": {}}
+    model = {"langs": langs, "first": int(np.argmax([total.get(x, 0) for x in langs])) if langs else 0, "tables": {}, "floors": {}}
     for size, part in kept.groupby("size"):
         grams = sorted(part["gram"].unique())
         row = {g: i for i, g in enumerate(grams)}
         m = np.zeros((len(grams), len(langs)))
         m[part["gram"].map(row).to_numpy(), part["lang"].map(langs.index).to_numpy()] = part["n"].to_numpy(float)
+        model["floors"][int(size)] = np.log(0.5 / (m.sum(axis=0) + 0.5 * len(grams)))      # of what was not counted
         m = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * len(grams)))
         model["tables"][int(size)] = (grams, m.astype(np.float32))
     return model
@@ -126,6 +132,48 @@ class Scorer(dict):
         return total
 
 
+class Evidence(dict):
+    """word -> share of it that each language is known to use: 1 if the word is
+    usual there, or else the mean share of its n-grams of 3 to 5 characters (1
+    and 2 of scripts that need no more) that are.  Usual is what was counted
+    at least exp(-``RARE``) times as often as the (geometric) mean of the
+    language, so a stray quote does not make its language or script known."""
+
+    def __init__(self, model: dict, spare: int = 200_000):
+        super().__init__()
+        self.spare, self.langs = spare, model["langs"]
+        self.none = np.zeros(len(self.langs), np.float32)
+        self.usual = {}
+        for size, (grams, logs) in model["tables"].items():
+            p = np.exp(logs.astype(float))
+            mean = (p * logs).sum(axis=0) / p.sum(axis=0)
+            usual = (logs > model["floors"][size] + 1e-3) & (logs >= mean - RARE)
+            self.usual[size] = dict(zip(grams, usual.astype(np.float32)))
+
+    def __missing__(self, word: str) -> np.ndarray:
+        w = f"^{word}$"
+        least, top = (1, 2) if _DENSE.search(word) else (3, TOP_GRAM)
+        shares = []
+        for k in range(least, min(top, len(w)) + 1):
+            grams = [g for i in range(len(w) - k + 1) if (g := w[i:i + k]).strip("^$")]
+            table = self.usual.get(k, {})
+            shares.append(np.mean([table.get(g, self.none) for g in grams], axis=0))
+        out = np.maximum(self.usual[0].get(word, self.none), np.mean(shares, axis=0))
+        if len(self) >= self.spare:
+            self.clear()
+        self[word] = out
+        return out
+
+    def share(self, text: str | None, lang: str) -> float:
+        """Share of the letters of ``text`` that ``lang`` is known to use."""
+        if lang not in self.langs:
+            return 0.0
+        at, part, total = self.langs.index(lang), 0.0, 0
+        for word, n in Counter(_LETTERS.findall(text.lower())).items():
+            part, total = part + n * len(word) * float(self[word][at]), total + n * len(word)
+        return part / total
+
+
 def guess(scorer: Scorer | None, model: dict, text: str | None) -> tuple[str, float]:
     words = _LETTERS.findall(text.lower()) if text else []
     if scorer is None or not words:
@@ -137,32 +185,39 @@ def guess(scorer: Scorer | None, model: dict, text: str | None) -> tuple[str, fl
     return model["langs"][int(np.argmax(s))], float(p.max() / p.sum())
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` (it needs ``text``) with lang_pred and score."""
+def predict(docs: DataFrame, model: dict, evidence: bool = False) -> DataFrame:
+    """All columns of ``docs`` (it needs ``text``) with lang_pred and score;
+    with ``evidence`` also ``known``, the share of the text's letters that the
+    predicted language is known to use."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)           # bounded by the limits of fit()
+    names = ["lang_pred", "score"] + ["known"] * evidence
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double" + ", known double" * evidence)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         scorer = Scorer(m) if m["langs"] else None
+        known = Evidence(m) if evidence else None
         for texts in batches:
-            yield pd.DataFrame([guess(scorer, m, t) for t in texts], columns=["lang_pred", "score"])
+            out = [guess(scorer, m, t) for t in texts]
+            if evidence:
+                out = [(lang, score, known.share(t, lang)) for t, (lang, score) in zip(texts, out)]
+            yield pd.DataFrame(out, columns=names)
 
     return docs.withColumn("_g", run(F.col("text"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "_g.lang_pred", "_g.score")
+        *[F.col(f"`{c}`") for c in docs.columns], *[f"_g.{n}" for n in names])
 
 
-def identified(docs: DataFrame, margin: float = 1.0) -> DataFrame:
+def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is found, with their columns; the
-    fit takes their own labels.  Rejected are ``und`` and texts whose score is
-    not above ``margin`` times chance (1 / languages); at 1 these are the texts
-    of which the model knows nothing, such as those in another script."""
-    model = fit(docs)
-    least = margin / len(model["langs"]) if len(model["langs"]) > 1 else 0.0
-    found = predict(boxed(docs, "text"), model)
-    return unboxed(found.where((F.col("lang_pred") != "und") & (F.col("score") > least + 1e-9)), docs.columns)
+    fit takes their own labels.  Rejected are ``und`` and texts of whose
+    letters the found language is known to use a share below ``least`` (see
+    ``Evidence``): other scripts, languages without labelled rows, gibberish.
+    The score does not tell these: it compares the languages known, and over
+    many words it nears 1 whatever the text."""
+    found = predict(boxed(docs, "text"), fit(docs), evidence=True)
+    return unboxed(found.where((F.col("lang_pred") != "und") & (F.col("known") >= least)), docs.columns)
 
 
 def op6_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

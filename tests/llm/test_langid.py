@@ -48,6 +48,39 @@ def test_bounded_sample_still_learns(spark):
     assert model["langs"] == ["aa", "bb", "cc"] and len(model["tables"][0][0]) <= 25
 
 
+PROSE = {"en": ("the house by the river was old and its windows looked over the water to the hills where the children "
+                "played in the summer when the days were long and the evenings warm and nobody thought of the winter that "
+                "would come with snow and wind and short days in which they read books by the fire and told stories"),
+         "de": ("das haus am fluss war alt und seine fenster sahen über das wasser zu den hügeln wo die kinder im sommer "
+                "spielten wenn die tage lang und die abende warm waren und niemand an den winter dachte der mit schnee und "
+                "wind und kurzen tagen kommen würde an denen sie am feuer bücher lasen und geschichten erzählten"),
+         "zh": "河边的房子很旧窗户望着水面和山丘夏天孩子们在那里玩耍白天很长晚上很暖和没有人想到冬天会带来雪和风"}
+RUSSIAN = ("все счастливые семьи похожи друг на друга каждая несчастливая семья несчастлива по своему все смешалось в доме "
+           "жена узнала что муж был в связи с бывшею в их доме француженкою гувернанткой и объявила мужу что не может жить "
+           "с ним в одном доме")
+
+
+def test_rejects_on_evidence(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        lang = ("en", "de", "zh")[i % 3]
+        p = PROSE[lang] if lang == "zh" else PROSE[lang].split()
+        k = rnd.randrange(len(p) - 15)
+        text = p[k:k + 15] if lang == "zh" else " ".join(p[k:k + 15])
+        rows.append((i, text, lang))
+    rows[0] = (0, rows[0][1] + " he said: " + " ".join(RUSSIAN.split()[:9]), "en")   # stray quotes
+    rows[3] = (3, rows[3][1] + " все в доме, was her answer", "en")
+    odd = [RUSSIAN, "xkqj zzpqw vbnxz qwrtp lkjhg mnbvc zxcvq ghjkl", "zzqq " * 50, "ქართული ენა არის ერთი",
+           "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita",
+           "kaikki onnelliset perheet ovat toistensa kaltaisia mutta jokainen onneton perhe on onneton omalla tavallaan"]
+    clean = ["the house", "Winter!", "old books and warm windows", "am Fluss", "die Kinder lasen", "房子很旧", "冬天的风和雪",
+             "the children told stories, 12 of them: " + RUSSIAN[:12]]
+    rows += [(1000 + i, t, None) for i, t in enumerate(odd)] + [(2000 + i, t, None) for i, t in enumerate(clean)]
+    got = {r.doc_id for r in L.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == set(range(300)) | {2000 + i for i in range(len(clean))}
+
+
 def test_messy_rows(spark, messy, nothing):
     _, df = corpus(spark)
     model = L.fit(df)
