@@ -155,6 +155,14 @@ def x1_criteria_small_vocabulary(spark, sf_dir):
     return c.select("doc_id", "n_tokens", *[_r(k) for k in LM.CRITERIA])
 
 
+@register("x1_criteria_whole_vocabulary")
+def x1_criteria_whole_vocabulary(spark, sf_dir):
+    """The criteria with every word of ``documents`` in the vocabulary.  No
+    oracle: the dense SQL is quadratic in it (brute force in the tests)."""
+    c = conv_criteria(spark, sf_dir, None)
+    return c.select("doc_id", "result", "n_tokens", *[_r(k) for k in LM.CRITERIA])
+
+
 _CRIT_LONG = "(" + " UNION ALL ".join(
     f"SELECT '{k}' AS criterion, {k} AS score, result AS label FROM crit JOIN {LABELLED_CONV} l USING (doc_id)"
     for k in LM.CRITERIA) + ")"

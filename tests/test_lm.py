@@ -123,3 +123,24 @@ def test_whole_vocabulary_equals_a_large_bound(spark):
     assert len(a) == len(b) == 11
     for x, y in zip(a, b):
         assert all(abs(x[c] - y[c]) < 1e-9 for c in LM.CRITERIA)
+
+
+def test_whole_vocabulary_query_matches_dense(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    rare = [" ".join(f"r{i}" for i in range(k, k + 60)) for k in range(0, 1200, 60)]   # more words than the bound of 1000
+    monkeypatch.setitem(globals(), "CORPUS", CORPUS + rare)
+    monkeypatch.setitem(globals(), "SCORED", SCORED + ["r3 r4 r1190 the r1191", "new r1199 cat <unk> r7 r8"])
+    spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(0, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(SCORED)] + [(0, 50, "system", "the cat")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet")
+    got = {r.doc_id: r for r in E.queries()["x1_criteria_whole_vocabulary"](spark, str(tmp_path)).collect()}
+    exp = dense(10_000, 0.9, 0.5)
+    assert set(got) == set(exp)
+    for i, e in exp.items():
+        assert got[i].result == i % 2
+        if e is None:
+            assert got[i].likelihood is None
+            continue
+        for k, v in e.items():
+            assert getattr(got[i], k) == pytest.approx(v, abs=2e-6), (i, k)
