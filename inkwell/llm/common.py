@@ -25,6 +25,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def remove(spark, path: str | None) -> None:
+    """Delete a scratch folder that nothing will read again."""
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The operator's own input columns, whatever else the table carries."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
