@@ -11,7 +11,8 @@ its place by its rank among the pieces of its length.
 Edge cases: a null or empty text is the end token alone; texts longer than
 ``size`` are cut so that only the first piece is shorter; rows that repeat a
 doc_id are packed one by one; an empty table gives no rows; extra columns are
-ignored.  The strings of special tokens in a text are ordinary text.
+ignored.  The string of an added token of the file is that token wherever it
+stands in a text, as the file's own library has it by default.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,12 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def encoder(raw: bytes):
-    """Byte-level BPE of the tokenizer file: token bytes and their ranks (the
-    ids of such a file follow the merge order).  One per worker process."""
-    key = zlib.crc32(raw)
-    if key not in _ENCODERS:
+class Encoder:
+    """Byte-level BPE of a tokenizer file: the added tokens are found first,
+    what lies between them is encoded by token bytes and ranks (the ids of such
+    a file follow the merge order)."""
+
+    def __init__(self, raw: bytes):
         import public_tokenizers
         import tiktoken
 
@@ -54,19 +57,44 @@ def encoder(raw: bytes):
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         byte = {chr(b): b for b in plain}
         byte.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)})
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        _ENCODERS[key] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN,
-                                           mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"] if t["content"]}
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
+        self.ranks = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                       special_tokens={})
+        # Longer tokens first; their flags say what they need or take around
+        # them.  Marks that combine with a letter belong to its word.
+        ways, w = [], r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d]"
+        for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])):
+            if t["content"]:
+                word = regex.escape(t["content"])
+                word = f"(?<!{w}){word}(?!{w})" if t["single_word"] else word
+                ways.append(r"\s*" * t["lstrip"] + word + r"\s*" * t["rstrip"])
+        self.finder = regex.compile("(" + "|".join(ways) + ")") if ways else None
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.finder is None or not any(t in text for t in self.added):
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        parts = []
+        for i, part in enumerate(self.finder.split(text)):
+            if i % 2:
+                name = part if part in self.added else part.strip()
+                parts.append(np.array([self.added[name]], "<u4"))
+            elif part:
+                parts.append(self.ranks.encode_to_numpy(part, disallowed_special=()).astype("<u4", copy=False))
+        return np.concatenate(parts)
+
+
+def encoder(raw: bytes) -> Encoder:
+    """One per worker process and tokenizer file."""
+    key = zlib.crc32(raw)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(raw)
     return _ENCODERS[key]
 
 
-def token_ids(enc, text: str | None, end: int = END) -> np.ndarray:
+def token_ids(enc: Encoder, text: str | None, end: int = END) -> np.ndarray:
     """Ids of one text and the end token, as little-endian 32-bit numbers."""
-    if not text:
-        return np.array([end], "<u4")
-    ids = enc.encode_to_numpy(text, disallowed_special=())
-    return np.append(ids.astype("<u4", copy=False), np.uint32(end))
+    return np.append(enc.ids(text) if text else np.empty(0, "<u4"), np.uint32(end)).astype("<u4", copy=False)
 
 
 def cut_points(n: int, size: int) -> list[tuple[int, int]]:

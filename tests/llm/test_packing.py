@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -13,20 +14,36 @@ RAW = P.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
 
 def reference_ids(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
-def test_ids_equal_the_tokenizer_file():
+def some_texts(n):
     rnd = random.Random(1)
+    pool = [*"abcXYZ 012\n\t  .,'\"!?-_()éßñ東京\U0001f600 İǅ½²́  ", "'ll", "<|endoftext|>", "<|endo", "text|>", "<|mid|>", "<|mid|>x"]
+    texts = ["", None, "it's we'LL  \n\n x", "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", " " * 50,
+             "a" * 2000, "\u0000\u0001", "<|endoftext|", " <|endoftext|>\n"]
+    return texts + ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 120))) for _ in range(n)]
+
+
+def test_ids_equal_the_tokenizer_file():
     enc = P.encoder(RAW)
-    pool = "abcXYZ 012\n\t  .,'\"!?-_()éßñ東京\U0001f600 İǅ½²́  'll <|endoftext|>"
-    texts = ["", None, "it's we'LL  \n\n x", "<|endoftext|> a", " " * 50, "a" * 2000, "\u0000\u0001"]
-    texts += ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 200))) for _ in range(200)]
-    for t in texts:
+    assert P.token_ids(enc, "a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 2]
+    for t in some_texts(200):
         assert P.token_ids(enc, t).tolist() == reference_ids(t), repr(t)
 
 
+def test_flags_of_added_tokens():
+    for flags in ({"lstrip": True}, {"rstrip": True}, {"lstrip": True, "rstrip": True}, {"single_word": True}):
+        spec = json.loads(RAW)
+        spec["added_tokens"][0].update(flags)
+        spec["added_tokens"].append({**spec["added_tokens"][0], "id": 50257, "content": "<|mid|>x"})
+        spec["added_tokens"].append({**spec["added_tokens"][0], "id": 50258, "content": "<|mid|>"})
+        raw = json.dumps(spec)
+        library, enc = Tokenizer.from_str(raw), P.Encoder(raw.encode())
+        for t in some_texts(150):
+            assert enc.ids(t or "").tolist() == library.encode(t or "", add_special_tokens=False).ids, (flags, t)
+
+
 def test_fullest_is_the_best_subset():
     rnd = random.Random(2)
     for _ in range(150):
