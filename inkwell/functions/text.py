@@ -180,24 +180,30 @@ def trim_pair_to_shorter(a, b) -> tuple[Column, Column]:
     return F.array_join(F.slice(wa, 1, n), " "), F.array_join(F.slice(wb, 1, n), " ")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def reduce_words(text, max_words: int) -> Column:
     """Keep lines while fewer than ``max_words`` words are taken; each
     kept line is cut to the remaining budget and re-joined by single
     spaces; line breaks (and blank lines) are kept."""
-    lines = F.split(_c(text), "\n", -1)
-    sizes = F.transform(lines, lambda line: F.size(words(line)))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept"), F.lit(0).alias("last"))
 
-    def step(acc, size):
-        take = F.least(size, F.lit(max_words) - acc["n"])
+    def step(acc, line):
+        take = F.least(F.size(line), F.lit(max_words) - acc["n"])
         return F.when(acc["n"] >= max_words, acc).otherwise(F.struct(
             (acc["n"] + take).alias("n"), (acc["kept"] + 1).alias("kept"), take.alias("last")))
 
-    # One pass over the counts finds the last kept line; the text is built once.
-    cut = F.aggregate(sizes, start, step)
-    kept = F.slice(lines, 1, cut["kept"])
-    return F.array_join(F.transform(kept, lambda line, i: F.array_join(
-        F.when(i < F.size(kept) - 1, words(line)).otherwise(F.slice(words(line), 1, cut["last"])), " ")), "\n")
+    def build(lines, cut):
+        return F.array_join(F.transform(F.slice(lines, 1, cut["kept"]), lambda line, i: F.array_join(
+            F.when(i < cut["kept"] - 1, line).otherwise(F.slice(line, 1, cut["last"])), " ")), "\n")
+
+    # Each line is split into words once; one pass over the sizes finds the
+    # last kept line, and the text is built once.
+    split = F.transform(F.split(_c(text), "\n", -1), words)
+    return _let(split, lambda lines: _let(F.aggregate(lines, start, step), lambda cut: build(lines, cut)))
 
 
 def first_words(text, k: int = 30) -> Column:

@@ -17,6 +17,12 @@ share the unigram back-off, whose totals are closed-form constants over
 the vocabulary table (V+1 rows, broadcast with that proven bound).
 Per-context statistics depend only on the context (at most V+1 rows) and
 ranks only on distinct (context, token) pairs, never on token positions.
+
+With a bounded vocabulary, texts are scored through a stored rank index (see
+:class:`RankIndex`): three broadcast look-ups a position, no rank job.  With
+every word in the vocabulary (``V=None``), contexts such as "the" are hot: the
+ranks come from running sums over balanced ranges, and look-ups by word or
+context split the heavy keys off (:mod:`inkwell.operators.skew`).
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
-from inkwell.operators.ordering import running_sum
+from inkwell.operators.ordering import running_sums
+from inkwell.operators.skew import lookup_join
 from inkwell.session import checkpoint_root, materialize, read_parquet_if_there
 
 # Fixed value: the token that stands for words outside the vocabulary.
@@ -57,6 +64,14 @@ class TokenModel:
     vocab: DataFrame       # token, c, u            (<= V+1 rows)
     bigrams: DataFrame     # ctx, tok, c, cc         (seen pairs)
     n_vocab: int | None    # V (size bound of the vocabulary), None: unbounded
+    path: str | None = None  # folder of the stored model, if it is stored
+
+    def lookup(self, left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+        """Join a table of one row a token or context: by broadcast while the
+        vocabulary is bounded, else with the heavy keys split off."""
+        if self.n_vocab:
+            return left.join(F.broadcast(right), keys, how)
+        return lookup_join(left, right, keys, how)
 
     def small(self, df: DataFrame) -> DataFrame:
         """Broadcast a table of at most V+1 rows; without a bound, leave the
@@ -67,11 +82,10 @@ class TokenModel:
         """Map ctx_word/word to vocabulary tokens (``<unk>`` otherwise) with
         broadcast joins while the vocabulary is bounded (V+1 rows)."""
         v = self.vocab.where(F.col("token") != UNK).select("token")
-        a = self.small(v.select(F.col("token").alias("ctx_word"), F.col("token").alias("_ctx")))
-        b = self.small(v.select(F.col("token").alias("word"), F.col("token").alias("_tok")))
-        m = pos.join(a, "ctx_word", "left").join(b, "word", "left")
-        return m.select("doc_id", "pos", F.coalesce("_ctx", F.lit(UNK)).alias("ctx"),
-                        F.coalesce("_tok", F.lit(UNK)).alias("tok"))
+        m = self.lookup(pos, v.select(F.col("token").alias("ctx_word"), F.col("token").alias("_ctx")), ["ctx_word"], "left")
+        m = self.lookup(m, v.select(F.col("token").alias("word"), F.col("token").alias("_tok")), ["word"], "left")
+        kept = [c for c in pos.columns if c not in ("ctx_word", "word")]
+        return m.select(*kept, F.coalesce("_ctx", F.lit(UNK)).alias("ctx"), F.coalesce("_tok", F.lit(UNK)).alias("tok"))
 
 
 def train(corpus: DataFrame, V: int | None = 1000, id_col: str = "doc_id", text_col: str = "text") -> TokenModel:
@@ -97,10 +111,13 @@ def train(corpus: DataFrame, V: int | None = 1000, id_col: str = "doc_id", text_
     # The trained model is an artifact: both tables are written once to the
     # shared checkpoint folder and every consumer reads them from there.
     model = TokenModel(vocab=materialize(vocab.coalesce(1) if V else vocab), bigrams=None, n_vocab=V)  # type: ignore[arg-type]
-    mapped = model.map_words(positions(corpus, id_col, text_col))
-    big = mapped.groupBy("ctx", "tok").agg(F.count("*").alias("c"))
+    pos = positions(corpus, id_col, text_col)
+    # Every word of the corpus is in its whole vocabulary (the reserved word
+    # stands for itself): nothing to map.
+    mapped = model.map_words(pos) if V else pos.select(F.col("ctx_word").alias("ctx"), F.col("word").alias("tok"))
+    big = materialize(mapped.groupBy("ctx", "tok").agg(F.count("*").alias("c")))
     cc = big.groupBy("ctx").agg(F.sum("c").alias("cc"))
-    model.bigrams = materialize(big.join(cc, "ctx"))
+    model.bigrams = materialize(model.lookup(big, cc, ["ctx"]))
     return model
 
 
@@ -137,7 +154,7 @@ def context_stats(model: TokenModel, lam: float, lam_ref: float | None = None) -
     U = model.vocab
     b, bq = _b(lam), _b(lr)
     k = vocab_constants(model, lam, lam_ref)
-    s = model.bigrams.join(model.small(U.select(F.col("token").alias("tok"), "u")), "tok")
+    s = model.lookup(model.bigrams, U.select(F.col("token").alias("tok"), "u"), ["tok"])
     p, q = _p(lam), _p(lr)
     seen = s.groupBy("ctx").agg(
         F.sum(p * F.ln(p) - b * F.ln(b)).alias("e"),
@@ -163,44 +180,161 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
 
     rank = 1 + #{seen w ranked above} + #{unseen w ranked above}; the
     unseen count is (#{all w: back-off ranked above}) - (#{seen w: back-off
-    ranked above}).  The first two terms come from one window per context
-    (at most 3(V+1) rows each); the all-vocabulary term is a distributed
-    running count over the vocabulary and query values, sorted together."""
-    U = model.small(model.vocab.select("token", "u"))
+    ranked above}).  All three are running counts over one sorted table of
+    lanes: lane 2 holds the seen pairs of each context (counted +1 at their
+    probability, -1 at their back-off), lanes 0 and 1 the whole vocabulary on
+    the back-off and the unigram scale; the queries lie between them.  The
+    table is cut into balanced ranges, so no context is one task's."""
+    U = model.vocab.select(F.col("token").alias("tok"), "u")
     cc = model.bigrams.select("ctx", "cc").distinct()
-    q = (queries.select("ctx", "tok").distinct()
-         .join(model.bigrams.select("ctx", "tok", "c"), ["ctx", "tok"], "left")
-         .join(model.small(cc), "ctx", "left")
-         .join(U.withColumnRenamed("token", "tok"), "tok"))
+    q = queries.select("ctx", "tok").distinct().join(model.bigrams.select("ctx", "tok", "c"), ["ctx", "tok"], "left")
+    if not model.n_vocab:
+        q = materialize(q)
+    q = model.lookup(q, cc, ["ctx"], "left")
+    if not model.n_vocab:
+        q = materialize(q)
+    q = model.lookup(q, U, ["tok"])
     seen_ctx = F.col("cc").isNotNull()
     pq = F.when(seen_ctx, F.lit(lam) * F.coalesce(F.col("c"), F.lit(0)) / F.col("cc") + _b(lam)).otherwise(F.col("u"))
-    q = q.select("ctx", "tok", pq.alias("v"), F.when(seen_ctx, 0).otherwise(1).alias("lane"))
-
-    # Per-context window: seen p-rows (kind 1) and b-rows (kind 2).
-    s = model.bigrams.join(U.withColumnRenamed("token", "tok"), "tok")
-    prow = s.select("ctx", F.col("tok").alias("token"), _p(lam).alias("v"), F.lit(1).alias("kind"))
-    brow = s.select("ctx", F.col("tok").alias("token"), _b(lam).alias("v"), F.lit(2).alias("kind"))
-    qrow = q.where(F.col("lane") == 0).select("ctx", F.col("tok").alias("token"), "v", F.lit(0).alias("kind"))
-    w = (Window.partitionBy("ctx").orderBy(F.desc("v"), F.asc("token"), F.asc("kind"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    per_ctx = (qrow.unionByName(prow).unionByName(brow)
-               .withColumn("A", F.sum((F.col("kind") == 1).cast("long")).over(w))
-               .withColumn("Bs", F.sum((F.col("kind") == 2).cast("long")).over(w))
-               .where(F.col("kind") == 0).select("ctx", F.col("token").alias("tok"), "A", "Bs"))
-
-    # All-vocabulary term, lane 0 (back-off scale) and lane 1 (unigram).
-    vrows = model.vocab.select(F.col("token"), F.col("u"))
-    lanes = (vrows.select(F.lit(0).alias("lane"), "token", _b(lam).alias("v"))
-             .unionByName(vrows.select(F.lit(1).alias("lane"), "token", F.col("u").alias("v"))))
-    allv = (lanes.select("lane", F.lit(None).cast("string").alias("ctx"), "token", "v", F.lit(2).alias("kind"))
-            .unionByName(q.select("lane", "ctx", F.col("tok").alias("token"), "v", F.lit(0).alias("kind"))))
-    gc = running_sum(allv, "lane", [F.desc("v"), F.asc("token"), F.asc("kind"), F.asc("ctx")],
-                     (F.col("kind") == 2).cast("long"), name="Gc")
-    gc = gc.where(F.col("kind") == 0).select("ctx", F.col("token").alias("tok"), "Gc")
-
-    out = (q.join(gc, ["ctx", "tok"]).join(per_ctx, ["ctx", "tok"], "left"))
-    rank = 1 + F.coalesce("A", F.lit(0)) + F.col("Gc") - F.coalesce("Bs", F.lit(0))
-    return out.select("ctx", "tok", F.ln("v").alias("lp"), rank.cast("bigint").alias("rank"))
+    q = q.select("ctx", F.col("tok").alias("token"), pq.alias("v"), seen_ctx.alias("known"))
+
+    s = model.lookup(model.bigrams, U, ["tok"])
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+
+    ctx, tok, token = F.col("ctx"), F.col("tok"), F.col("token")
+    both = s.select("ctx", "tok", F.explode(F.array(
+        F.struct(_p(lam).alias("v"), F.lit(1).alias("add")), F.struct(_b(lam).alias("v"), F.lit(-1).alias("add")))).alias("r"))
+    voc = model.vocab.select("token", F.explode(F.array(
+        F.struct(zero.alias("lane"), _b(lam).alias("v")), F.struct(F.lit(1).alias("lane"), F.col("u").alias("v")))).alias("r"))
+    asked = q.select("ctx", "token", "v", F.explode(F.when(F.col("known"), F.array(zero, F.lit(2)))
+                                                    .otherwise(F.array(F.lit(1)))).alias("lane"))
+    # At equal values and tokens a query comes before what it must not count.
+    every = (both.select(F.lit(2).alias("lane"), ctx.alias("grp"), tok.alias("token"), "r.v", F.lit(1).alias("kind"), "r.add", none.alias("ctx"))
+             .unionByName(voc.select("r.lane", none.alias("grp"), "token", "r.v", F.lit(1).alias("kind"), F.lit(1).alias("add"), none.alias("ctx")))
+             .unionByName(asked.select("lane", F.when(F.col("lane") == 2, ctx).alias("grp"), token, "v", zero.alias("kind"),
+                                       zero.alias("add"), ctx)))
+    sums = running_sums(every, ["lane", "grp"], [F.desc("v"), "token", "kind", "ctx"], {"above": F.col("add").cast("long")})
+    return (sums.where("kind = 0").groupBy("ctx", token.alias("tok"))
+            .agg(F.ln(F.max("v")).alias("lp"), (F.sum("above") + 1).cast("bigint").alias("rank")))
+
+
+# --- The stored rank index of a bounded vocabulary ---------------------------------------
+
+#: An index is built while its arrays are below this in the worst case, since
+#: every executor holds a copy: 20 bytes for each of (V + 1)^2 pairs.
+INDEX_BYTES = 256 << 20
+
+
+def _leading(arr: Column, holds, steps: int) -> Column:
+    """How many leading elements of ``arr`` (fewer than 2**steps) satisfy
+    ``holds``, which is true up to some place and false from there: binary
+    search, one probe a step."""
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    return F.aggregate(powers, F.lit(0), lambda at, s: F.when(holds(F.get(arr, at + s - 1)), at + s).otherwise(at))
+
+
+@dataclass
+class RankIndex:
+    """What scoring a position needs, by array look-ups.
+
+    ``vocab``: token, its 0-based place ``pos`` in the back-off order, and the
+    logs ``lb``, ``lu`` of its back-off and unigram probability (V+1 rows).
+    ``contexts``: one row a context with seen pairs (at most V+1): ``ps`` the
+    places of its seen tokens, rising, with their ``lps`` and ``ranks``; ``gs``,
+    rising, for each seen token the number of vocabulary tokens whose back-off
+    lies above its probability; entropy, mean, var of the context.
+
+    A seen token is found in ``ps``.  The rank of an unseen one at place x is
+    1 + x, plus the seen tokens that their counts lift above it (``gs`` <= x),
+    less those that already lay above it (``ps`` < x)."""
+    vocab: DataFrame
+    contexts: DataFrame
+    default: tuple        # entropy, mean, var of a context without seen pairs
+    steps: int
+
+    def scored(self, pos: DataFrame) -> DataFrame:
+        """lp, rank, entropy, mean, var of each row of ``pos`` (with ctx_word
+        and word); broadcast joins only."""
+        known = self.vocab.where(F.col("token") != UNK)
+        r = self.vocab.where(F.col("token") == UNK).first()                     # the row of all other words
+        x = pos.join(F.broadcast(known.select(F.col("token").alias("ctx_word"), F.col("token").alias("_ctx"))), "ctx_word", "left")
+        x = x.join(F.broadcast(known.select(F.col("token").alias("word"), F.col("pos").alias("_p0"),
+                                           F.col("lb").alias("_b0"), F.col("lu").alias("_u0"))), "word", "left")
+        x = x.withColumns({"ctx": F.coalesce("_ctx", F.lit(UNK)), "_x": F.coalesce("_p0", F.lit(r["pos"])),
+                           "_lb": F.coalesce("_b0", F.lit(r["lb"])), "_lu": F.coalesce("_u0", F.lit(r["lu"]))})
+        x = x.join(F.broadcast(self.contexts), "ctx", "left")
+        x = x.withColumn("_below", _leading(F.col("ps"), lambda p: p < F.col("_x"), self.steps))
+        at, below = F.col("_x"), F.col("_below")
+        new, seen = F.col("ps").isNull(), F.get("ps", below) == at
+        lifted = _leading(F.col("gs"), lambda g: g <= at, self.steps)
+        ent, mean, var = (F.coalesce(c, F.lit(d)) for c, d in zip(("entropy", "mean", "var"), self.default))
+        return x.select(*pos.columns, F.when(new, F.col("_lu")).when(seen, F.get("lps", below)).otherwise(F.col("_lb")).alias("lp"),
+                        F.when(new, at + 1).when(seen, F.get("ranks", below)).otherwise(at + 1 + lifted - below).alias("rank"),
+                        ent.alias("entropy"), mean.alias("mean"), var.alias("var"))
+
+
+def _index_tables(model: TokenModel, lam: float, lam_ref: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    steps = (model.n_vocab + 1).bit_length()
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("u"), F.asc("token")))    # V+1 rows
+    vocab = materialize(model.vocab.select("token", "u", (place - 1).cast("int").alias("pos")))
+    # The back-off order as one array of V+1 entries.
+    order = vocab.agg(F.array_sort(F.collect_list(F.struct("pos", _b(lam).alias("b"), "token"))).alias("o")).scalar()
+    s = model.bigrams.join(F.broadcast(vocab.withColumnRenamed("token", "tok")), "tok").withColumns({"p": _p(lam), "_o": order})
+    p, tok = F.col("p"), F.col("tok")
+    s = s.withColumn("g", _leading(F.col("_o"), lambda e: (e["b"] > p) | ((e["b"] == p) & (e["token"] < tok)), steps))
+    first = Window.partitionBy("ctx").orderBy(F.desc("p"), F.asc("tok"))                              # at most V+1 rows each
+    s = s.withColumn("above", F.row_number().over(first) - 1)
+    c = s.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("pos", "p", "g", "above"))).alias("a"))
+    c = c.withColumns({"ps": F.col("a.pos"), "gs": F.array_sort("a.g"), "lps": F.transform("a", lambda e: F.ln(e["p"]))})
+    ranks = F.transform("a", lambda e: (e["above"] + 1 + e["g"] - _leading(F.col("ps"), lambda x: x < e["g"], steps)).cast("int"))
+    stats = materialize(context_stats(model, lam, lam_ref))
+    c = c.withColumn("ranks", ranks).join(F.broadcast(stats.where("ctx is not null")), "ctx")
+    vocab = vocab.select("token", "pos", F.ln(_b(lam)).alias("lb"), F.ln("u").alias("lu"))
+    return vocab, c.select("ctx", "ps", "gs", "lps", "ranks", "entropy", "mean", "var"), stats.where("ctx is null")
+
+
+def rank_index(model: TokenModel, lam: float, lam_ref: float | None = None) -> RankIndex | None:
+    """The index of a model with a bounded vocabulary, kept beside the stored
+    model and built there on a miss; None where it could be too large to be
+    broadcast."""
+    if not model.n_vocab or 20 * (model.n_vocab + 1) ** 2 > INDEX_BYTES:
+        return None
+    spark = model.vocab.sparkSession
+    names = ("vocab", "contexts", "default")
+    root = f"{model.path}/rank-index-{lam}-{lam_ref}" if model.path else None
+    if root is None:
+        tables = [materialize(t) for t in _index_tables(model, lam, lam_ref)]
+    else:
+        if read_parquet_if_there(spark, f"{root}/_complete") is None:
+            for name, t in zip(names, _index_tables(model, lam, lam_ref)):
+                t.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}")
+            spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete")
+        tables = [spark.read.parquet(f"{root}/{name}") for name in names]
+    d = tables[2].first()
+    return RankIndex(tables[0], tables[1], (d["entropy"], d["mean"], d["var"]), (model.n_vocab + 1).bit_length())
+
+
+def _positions_scored(model: TokenModel, texts: DataFrame, lam: float, lam_ref: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n (how often), lp, rank, entropy, mean, var of the predicted words."""
+    pos = positions(texts, id_col, text_col)
+    index = rank_index(model, lam, lam_ref)
+    if index:
+        return index.scored(pos).withColumn("n", F.lit(1))
+    # Positions collapse to distinct (doc, word pair) with a multiplicity;
+    # words are mapped and scored once a distinct pair, and the pairs that a
+    # large share of the texts holds are split off when they are joined back.
+    m = materialize(pos.groupBy("doc_id", "ctx_word", "word").agg(F.count("*").alias("n")))
+    pairs = materialize(m.select("ctx_word", "word").distinct())
+    mapped = materialize(model.map_words(pairs.select("*", F.col("ctx_word").alias("_a"), F.col("word").alias("_w"))))
+    ps = materialize(pair_stats(model, mapped.select("ctx", "tok"), lam))
+    cs = context_stats(model, lam, lam_ref)
+    ps = model.lookup(ps, cs.where(F.col("ctx").isNotNull()), ["ctx"], "left")
+    # Contexts without seen pairs take the default (unigram) statistics.
+    d = default_stats(vocab_constants(model, lam, lam_ref))
+    ps = ps.select("ctx", "tok", "lp", "rank", *[F.coalesce(c, v).alias(c) for c, v in zip(("entropy", "mean", "var"), d)])
+    raw = mapped.join(ps, ["ctx", "tok"]).select(F.col("_a").alias("ctx_word"), F.col("_w").alias("word"),
+                                                 "lp", "rank", "entropy", "mean", "var")
+    return lookup_join(m, materialize(raw), ["ctx_word", "word"])
 
 
 def criteria(model: TokenModel, texts: DataFrame, lam: float = 0.9, lam_ref: float = 0.5,
@@ -210,30 +344,12 @@ def criteria(model: TokenModel, texts: DataFrame, lam: float = 0.9, lam_ref: flo
     (A9), analytic curvature (A10/A11) and the scored token count
     (``n_tokens`` excludes the first word).  Texts with fewer than two
     words get nulls."""
-    pos = model.map_words(positions(texts, id_col, text_col))
-    # Positions collapse to distinct (doc, ctx, tok) with a multiplicity;
-    # written once, read by the rank job and by the final aggregation.
-    m = materialize(pos.groupBy("doc_id", "ctx", "tok").agg(F.count("*").alias("n")))
-    ps = pair_stats(model, m.select("ctx", "tok"), lam)
-    cs = context_stats(model, lam, lam_ref)
-    cs_seen = model.small(cs.where(F.col("ctx").isNotNull()))
-    # The pairs with the reserved token are in nearly every text (a hot key)
-    # but at most 2V+1 rows of the statistics: those are broadcast, the rest is
-    # joined by shuffle.
-    ps = materialize(ps)
-    hot = (F.col("ctx") == UNK) | (F.col("tok") == UNK)
-    x = (m.where(hot).join(model.small(ps.where(hot)), ["ctx", "tok"])
-         .unionByName(m.where(~hot).join(ps.where(~hot), ["ctx", "tok"]))).join(cs_seen, "ctx", "left")
-    # Contexts without seen pairs take the default (unigram) statistics.
-    dent, dmean, dvar = default_stats(vocab_constants(model, lam, lam_ref))
-    ent = F.coalesce("entropy", dent)
-    mean = F.coalesce("mean", dmean)
-    var = F.coalesce("var", dvar)
+    x = _positions_scored(model, texts, lam, lam_ref, id_col, text_col)
     n = F.col("n")
     agg = x.groupBy("doc_id").agg(
         F.sum(n).alias("n_tokens"), F.sum(n * F.col("lp")).alias("_sl"),
         F.sum(n * F.col("rank")).alias("_sr"), F.sum(n * F.ln("rank")).alias("_slr"),
-        F.sum(n * ent).alias("_se"), F.sum(n * mean).alias("_sm"), F.sum(n * var).alias("_sv"))
+        F.sum(n * F.col("entropy")).alias("_se"), F.sum(n * F.col("mean")).alias("_sm"), F.sum(n * F.col("var")).alias("_sv"))
     nt = F.col("n_tokens").cast("double")
     res = agg.select(
         "doc_id", "n_tokens",
@@ -282,20 +398,20 @@ def load_or_train(spark, corpus: DataFrame, corpus_key: str, V: int | None = 100
         m.bigrams.write.mode("overwrite").parquet(f"{root}/bigrams")
         spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete")
     return TokenModel(vocab=spark.read.parquet(f"{root}/vocab"),
-                      bigrams=spark.read.parquet(f"{root}/bigrams"), n_vocab=V)
+                      bigrams=spark.read.parquet(f"{root}/bigrams"), n_vocab=V, path=root)
 
 
 def tokenisation_mismatches(texts: DataFrame, tok_a, tok_b, id_col: str = "doc_id",
                             text_col: str = "text") -> DataFrame:
-    """Compare two tokenisations position by position (full outer
-    join on (doc, position)); one row per document with its mismatch
-    count.  :func:`assert_same_tokens` turns any mismatch into an error."""
-    a = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(tok_a(F.col(text_col))).alias("pos", "ta"))
-    b = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(tok_b(F.col(text_col))).alias("pos", "tb"))
-    j = a.join(b, ["doc_id", "pos"], "full_outer")
-    return j.groupBy("doc_id").agg(
-        F.count("ta").alias("n_a"), F.count("tb").alias("n_b"),
-        F.sum((~F.col("ta").eqNullSafe(F.col("tb"))).cast("long")).alias("n_mismatch"))
+    """Compare two tokenisations position by position; one row per
+    document that has tokens, with its mismatch count.  :func:`assert_same_tokens` turns any mismatch into an error."""
+    # Both token arrays lie in the row: compared there, nothing is exploded.
+    x = texts.select(F.col(id_col).alias("doc_id"), tok_a(F.col(text_col)).alias("_a"), tok_b(F.col(text_col)).alias("_b"))
+    same = F.zip_with("_a", "_b", lambda a, b: a.eqNullSafe(b).cast("long"))
+    x = x.select("doc_id", F.size("_a").cast("long").alias("n_a"), F.size("_b").cast("long").alias("n_b"),
+                 F.aggregate(same, F.lit(0).cast("long"), lambda n, v: n + v).alias("_same"))
+    return x.where((F.col("n_a") > 0) | (F.col("n_b") > 0)).select(
+        "doc_id", "n_a", "n_b", (F.greatest("n_a", "n_b") - F.col("_same")).alias("n_mismatch"))
 
 
 def assert_same_tokens(mismatches: DataFrame) -> DataFrame:

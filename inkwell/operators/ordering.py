@@ -9,9 +9,9 @@ number.  The bucketed rows are checkpointed so both consumers see the
 same buckets (also after an executor is lost).
 
 ``top_n_by_hash``: seeded, repeatable sampling.  The order key is
-``md5(seed ':' id)`` (identical in Spark and DuckDB); a two-level window
-(salted part of the group, then the group) keeps the work of one task
-bounded without counting the groups first.
+``md5(seed ':' id)`` (identical in Spark and DuckDB); a histogram of the
+keys' first digits finds where the n-th key lies, and only the rows up to
+there are ranked (radix selection).
 """
 
 from __future__ import annotations
@@ -42,32 +42,39 @@ def _eq_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def running_sum(df: DataFrame, group_cols, order_cols: list[Column | str], value: Column | str,
-                name: str = "running", buckets: int | None = None) -> DataFrame:
-    """Exact inclusive running sum of ``value`` inside each group in the
-    given (total) order, with balanced tasks (see module doc)."""
+def running_sums(df: DataFrame, group_cols, order_cols: list[Column | str], values: dict[str, Column],
+                 buckets: int | None = None) -> DataFrame:
+    """Exact inclusive running sums of ``values`` (name -> column) inside each
+    group in the given (total) order, with balanced tasks (see module doc)."""
     g = _cols(group_cols)
     spark = df.sparkSession
     checkpoint_root(spark)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    val = F.col(value) if isinstance(value, str) else value
     keys = [*[F.col(c) for c in g], *order]
-    x = df.withColumn("_v", val)
+    names = list(values)
+    x = df.withColumns({f"_v_{n}": v for n, v in values.items()})
     # Without an explicit count AQE may merge adjacent ranges on small
     # inputs; merged ranges are still contiguous, so ids stay monotone.
     ranged = x.repartitionByRange(buckets, *keys) if buckets else x.repartitionByRange(*keys)
     b = (ranged
            .withColumn("_b", F.spark_partition_id())
            .checkpoint(eager=True))
-    tot = b.groupBy(*g, "_b").agg(F.sum("_v").alias("_bs"))
+    tot = b.groupBy(*g, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
-    tot = tot.withColumn("_off", F.coalesce(
-        F.sum("_bs").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("_bs")
-    local = b.withColumn("_ls", F.sum("_v").over(
-        Window.partitionBy(*g, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    before = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*g, "_b", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
+    upto = Window.partitionBy(*g, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in names})
     out = _eq_join(local, tot, [*g, "_b"])
-    return out.withColumn(name, F.col("_off") + F.col("_ls")).drop("_b", "_ls", "_off", "_v")
+    return out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_l_{n}") for n in names}).drop(
+        "_b", *[f"_{k}_{n}" for k in "vlo" for n in names])
+
+
+def running_sum(df: DataFrame, group_cols, order_cols: list[Column | str], value: Column | str,
+                name: str = "running", buckets: int | None = None) -> DataFrame:
+    """:func:`running_sums` of one value."""
+    val = F.col(value) if isinstance(value, str) else value
+    return running_sums(df, group_cols, order_cols, {name: val}, buckets)
 
 
 def rank_within(df: DataFrame, group_cols, order_cols: list[Column | str], name: str = "rn",
@@ -85,24 +92,31 @@ def sample_key(id_col, seed: int | str = 42) -> Column:
 
 
 def top_n_by_hash(df: DataFrame, group_cols, n, id_col: str, seed: int | str = 42,
-                  name: str = "rn", salts: int = 1024) -> DataFrame:
+                  name: str = "rn", salts: int = 1 << 16) -> DataFrame:
     """Per group, the rows with the ``n`` smallest ``md5(seed:id)`` keys,
     numbered 1..n in that order (ties by id).  ``n`` is an int or the name
-    of a per-group column already on ``df``.  Exact, in one scan and two
-    levels: each (group, salt) keeps its first n, the group ranks what is left
-    (at most ``salts`` times n rows), so a hot group is spread over tasks.
-    The rows are shuffled as they come: pass slim columns and join the text
-    to the chosen ids."""
+    of a per-group column already on ``df``.
+
+    Exact, by radix selection: the range of the keys is cut into ``salts``
+    equal buckets by their first digits, and a histogram (counted before the
+    shuffle, at most ``salts`` rows a group) finds the bucket in which the n-th
+    key lies; only the buckets up to that one are shuffled and ranked, so a
+    task ranks n rows and what else their last bucket holds (a group's rows /
+    ``salts``).  Pass slim columns and join the text to the chosen ids."""
     g = _cols(group_cols)
     most = F.lit(n) if isinstance(n, int) else F.col(n)
-    # The salt is taken from the key's end, the order from its start.
-    x = df.withColumn("_k", sample_key(id_col, seed)).withColumn(
-        "_s", F.pmod(F.conv(F.substring(F.col("_k"), 26, 7), 16, 10).cast("bigint"), F.lit(salts)))
-    part = Window.partitionBy(*g, "_s").orderBy("_k", id_col)
-    whole = (Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))).orderBy("_k", id_col)
-    x = x.withColumn(name, F.row_number().over(part)).where(F.col(name) <= most)
-    x = x.withColumn(name, F.row_number().over(whole).cast("bigint")).where(F.col(name) <= most)
-    return x.drop("_k", "_s")
+    start = F.conv(F.substring("_k", 1, 7), 16, 10).cast("bigint")
+    x = df.withColumn("_k", sample_key(id_col, seed)).withColumn("_s", F.floor(start * salts / (1 << 28)))
+    whole = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
+    seen = x.groupBy(*g, "_s").agg(F.count("*").alias("_c"), F.max(most).alias("_n"))
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = (seen.withColumn("_before", before).where(F.col("_before") < F.col("_n"))
+            .groupBy(*g).agg(F.max("_s").alias("_last")))
+    # One row a group.
+    kept = (_eq_join(x, last, g) if g else x.withColumn("_last", last.select("_last").scalar())).where(
+        F.col("_s") <= F.col("_last"))
+    kept = kept.withColumn(name, F.row_number().over(whole.orderBy("_k", id_col)).cast("bigint"))
+    return kept.where(F.col(name) <= most).drop("_k", "_s", "_last")
 
 
 def largest_remainder(counts: DataFrame, group_cols, strata_col: str, total: Column,
