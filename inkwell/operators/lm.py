@@ -27,7 +27,7 @@ context split the heavy keys off (:mod:`inkwell.operators.skew`).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -220,8 +220,8 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
 
 # --- The stored rank index of a bounded vocabulary ---------------------------------------
 
-#: An index is built while its arrays are below this in the worst case, since
-#: every executor holds a copy: 20 bytes for each of (V + 1)^2 pairs.
+#: An index is built while its tables are below this in the worst case, since
+#: every executor holds a copy: about 64 bytes for each of (V + 1)^2 pairs.
 INDEX_BYTES = 256 << 20
 
 
@@ -235,83 +235,94 @@ def _leading(arr: Column, holds, steps: int) -> Column:
 
 @dataclass
 class RankIndex:
-    """What scoring a position needs, by array look-ups.
+    """What scoring a position needs, by look-ups.
 
     ``vocab``: token, its 0-based place ``pos`` in the back-off order, and the
     logs ``lb``, ``lu`` of its back-off and unigram probability (V+1 rows).
-    ``contexts``: one row a context with seen pairs (at most V+1): ``ps`` the
-    places of its seen tokens, rising, with their ``lps`` and ``ranks``; ``gs``,
-    rising, for each seen token the number of vocabulary tokens whose back-off
-    lies above its probability; entropy, mean, var of the context.
-
-    A seen token is found in ``ps``.  The rank of an unseen one at place x is
-    1 + x, plus the seen tokens that their counts lift above it (``gs`` <= x),
-    less those that already lay above it (``ps`` < x)."""
+    ``pairs``: ``lp`` and ``rank`` of each seen pair, by one number made of
+    the two places (at most (V+1)^2 rows).
+    ``contexts``: one row a context with seen pairs (at most V+1), by its
+    place: entropy, mean, var; ``ps``, the places of its seen tokens, rising;
+    ``gs``, rising, for each seen token the number of vocabulary tokens whose
+    back-off lies above its probability.
+
+    The rank of an unseen token at place x is 1 + x, plus the seen tokens that
+    their counts lift above it (``gs`` <= x), less those that already lay above
+    it (``ps`` < x)."""
     vocab: DataFrame
+    pairs: DataFrame
     contexts: DataFrame
     default: tuple        # entropy, mean, var of a context without seen pairs
-    steps: int
+    n_vocab: int
 
     def scored(self, pos: DataFrame) -> DataFrame:
         """lp, rank, entropy, mean, var of each row of ``pos`` (with ctx_word
         and word); broadcast joins only."""
-        known = self.vocab.where(F.col("token") != UNK)
+        v = self.vocab.where(F.col("token") != UNK)
         r = self.vocab.where(F.col("token") == UNK).first()                     # the row of all other words
-        x = pos.join(F.broadcast(known.select(F.col("token").alias("ctx_word"), F.col("token").alias("_ctx"))), "ctx_word", "left")
-        x = x.join(F.broadcast(known.select(F.col("token").alias("word"), F.col("pos").alias("_p0"),
-                                           F.col("lb").alias("_b0"), F.col("lu").alias("_u0"))), "word", "left")
-        x = x.withColumns({"ctx": F.coalesce("_ctx", F.lit(UNK)), "_x": F.coalesce("_p0", F.lit(r["pos"])),
-                           "_lb": F.coalesce("_b0", F.lit(r["lb"])), "_lu": F.coalesce("_u0", F.lit(r["lu"]))})
-        x = x.join(F.broadcast(self.contexts), "ctx", "left")
-        x = x.withColumn("_below", _leading(F.col("ps"), lambda p: p < F.col("_x"), self.steps))
-        at, below = F.col("_x"), F.col("_below")
-        new, seen = F.col("ps").isNull(), F.get("ps", below) == at
-        lifted = _leading(F.col("gs"), lambda g: g <= at, self.steps)
-        ent, mean, var = (F.coalesce(c, F.lit(d)) for c, d in zip(("entropy", "mean", "var"), self.default))
-        return x.select(*pos.columns, F.when(new, F.col("_lu")).when(seen, F.get("lps", below)).otherwise(F.col("_lb")).alias("lp"),
-                        F.when(new, at + 1).when(seen, F.get("ranks", below)).otherwise(at + 1 + lifted - below).alias("rank"),
-                        ent.alias("entropy"), mean.alias("mean"), var.alias("var"))
-
-
-def _index_tables(model: TokenModel, lam: float, lam_ref: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        x = pos.join(F.broadcast(v.select(F.col("token").alias("ctx_word"), F.col("pos").alias("_c"))), "ctx_word", "left")
+        x = x.join(F.broadcast(v.select(F.col("token").alias("word"), F.col("pos").alias("_x"), "lb", "lu")), "word", "left")
+        other = {"_c": r["pos"], "_x": r["pos"], "lb": r["lb"], "lu": r["lu"]}
+        x = x.withColumns({k: F.coalesce(k, F.lit(d)) for k, d in other.items()})
+        x = x.withColumn("key", _pair_key("_c", "_x", self.n_vocab))
+        x = x.join(F.broadcast(self.pairs), "key", "left").join(F.broadcast(self.contexts.withColumnRenamed("pos", "_c")), "_c", "left")
+        at, steps = F.col("_x"), (self.n_vocab + 1).bit_length()
+        new, seen = F.col("ps").isNull(), F.col("rank").isNotNull()
+        # Searched only where the pair was not seen.
+        moved = (_leading(F.col("gs"), lambda g: g <= at, steps) - _leading(F.col("ps"), lambda p: p < at, steps))
+        ent, mean, var = (F.coalesce(c, F.lit(d)).alias(c) for c, d in zip(("entropy", "mean", "var"), self.default))
+        return x.select(*pos.columns, F.when(seen, F.col("lp")).when(new, F.col("lu")).otherwise(F.col("lb")).alias("lp"),
+                        F.when(seen, F.col("rank")).when(new, at + 1).otherwise(at + 1 + moved).alias("rank"), ent, mean, var)
+
+
+def _pair_key(ctx: str, tok: str, n_vocab: int) -> Column:
+    return F.col(ctx).cast("long") * (n_vocab + 1) + F.col(tok)
+
+
+def _index_tables(model: TokenModel, lam: float, lam_ref: float | None) -> tuple[DataFrame, ...]:
     steps = (model.n_vocab + 1).bit_length()
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("u"), F.asc("token")))    # V+1 rows
     vocab = materialize(model.vocab.select("token", "u", (place - 1).cast("int").alias("pos")))
     # The back-off order as one array of V+1 entries.
     order = vocab.agg(F.array_sort(F.collect_list(F.struct("pos", _b(lam).alias("b"), "token"))).alias("o")).scalar()
-    s = model.bigrams.join(F.broadcast(vocab.withColumnRenamed("token", "tok")), "tok").withColumns({"p": _p(lam), "_o": order})
+    s = model.bigrams.join(F.broadcast(vocab.withColumnRenamed("token", "tok")), "tok")
+    s = s.join(F.broadcast(vocab.select(F.col("token").alias("ctx"), F.col("pos").alias("_c"))), "ctx")
+    s = s.withColumns({"p": _p(lam), "_o": order})
     p, tok = F.col("p"), F.col("tok")
     s = s.withColumn("g", _leading(F.col("_o"), lambda e: (e["b"] > p) | ((e["b"] == p) & (e["token"] < tok)), steps))
-    first = Window.partitionBy("ctx").orderBy(F.desc("p"), F.asc("tok"))                              # at most V+1 rows each
+    first = Window.partitionBy("_c").orderBy(F.desc("p"), F.asc("tok"))                              # at most V+1 rows each
     s = s.withColumn("above", F.row_number().over(first) - 1)
-    c = s.groupBy("ctx").agg(F.array_sort(F.collect_list(F.struct("pos", "p", "g", "above"))).alias("a"))
-    c = c.withColumns({"ps": F.col("a.pos"), "gs": F.array_sort("a.g"), "lps": F.transform("a", lambda e: F.ln(e["p"]))})
-    ranks = F.transform("a", lambda e: (e["above"] + 1 + e["g"] - _leading(F.col("ps"), lambda x: x < e["g"], steps)).cast("int"))
+    c = materialize(s.groupBy("ctx", "_c").agg(F.array_sort(F.collect_list(F.struct("pos", "p", "g", "above"))).alias("a"))
+                    .withColumn("ps", F.col("a.pos")))
     stats = materialize(context_stats(model, lam, lam_ref))
-    c = c.withColumn("ranks", ranks).join(F.broadcast(stats.where("ctx is not null")), "ctx")
+    pairs = c.select("_c", "ps", F.explode("a").alias("e")).select(
+        _pair_key("_c", "e.pos", model.n_vocab).alias("key"), F.ln("e.p").alias("lp"),
+        (F.col("e.above") + 1 + F.col("e.g") - _leading(F.col("ps"), lambda x: x < F.col("e.g"), steps)).cast("int").alias("rank"))
+    contexts = c.join(F.broadcast(stats.where("ctx is not null")), "ctx").select(
+        F.col("_c").alias("pos"), "ps", F.array_sort("a.g").alias("gs"), "entropy", "mean", "var")
     vocab = vocab.select("token", "pos", F.ln(_b(lam)).alias("lb"), F.ln("u").alias("lu"))
-    return vocab, c.select("ctx", "ps", "gs", "lps", "ranks", "entropy", "mean", "var"), stats.where("ctx is null")
+    return vocab, pairs, contexts, stats.where("ctx is null")
 
 
 def rank_index(model: TokenModel, lam: float, lam_ref: float | None = None) -> RankIndex | None:
     """The index of a model with a bounded vocabulary, kept beside the stored
     model and built there on a miss; None where it could be too large to be
     broadcast."""
-    if not model.n_vocab or 20 * (model.n_vocab + 1) ** 2 > INDEX_BYTES:
+    if not model.n_vocab or 64 * (model.n_vocab + 1) ** 2 > INDEX_BYTES:
         return None
     spark = model.vocab.sparkSession
-    names = ("vocab", "contexts", "default")
-    root = f"{model.path}/rank-index-{lam}-{lam_ref}" if model.path else None
+    names = ("vocab", "pairs", "contexts", "default")
+    root = f"{model.path}/rank-lookup-{lam}-{lam_ref}" if model.path else None
     if root is None:
         tables = [materialize(t) for t in _index_tables(model, lam, lam_ref)]
     else:
         if read_parquet_if_there(spark, f"{root}/_complete") is None:
             for name, t in zip(names, _index_tables(model, lam, lam_ref)):
-                t.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}")
+                t.write.mode("overwrite").parquet(f"{root}/{name}")
             spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete")
         tables = [spark.read.parquet(f"{root}/{name}") for name in names]
-    d = tables[2].first()
-    return RankIndex(tables[0], tables[1], (d["entropy"], d["mean"], d["var"]), (model.n_vocab + 1).bit_length())
+    d = tables[3].first()
+    return RankIndex(*tables[:3], (d["entropy"], d["mean"], d["var"]), model.n_vocab)
 
 
 def _positions_scored(model: TokenModel, texts: DataFrame, lam: float, lam_ref: float, id_col: str, text_col: str) -> DataFrame:
@@ -326,6 +337,9 @@ def _positions_scored(model: TokenModel, texts: DataFrame, lam: float, lam_ref:
     m = materialize(pos.groupBy("doc_id", "ctx_word", "word").agg(F.count("*").alias("n")))
     pairs = materialize(m.select("ctx_word", "word").distinct())
     mapped = materialize(model.map_words(pairs.select("*", F.col("ctx_word").alias("_a"), F.col("word").alias("_w"))))
+    # Of the seen pairs only those of the contexts at hand matter from here on.
+    asked = mapped.select("ctx").distinct()
+    model = replace(model, bigrams=materialize(model.bigrams.join(asked, "ctx", "left_semi")))
     ps = materialize(pair_stats(model, mapped.select("ctx", "tok"), lam))
     cs = context_stats(model, lam, lam_ref)
     ps = model.lookup(ps, cs.where(F.col("ctx").isNotNull()), ["ctx"], "left")
