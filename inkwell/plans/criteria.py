@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import evaluate as ev
 from inkwell.operators import lm as LM
+from inkwell.operators import sampling as SP
 from inkwell.plans.registry import register
 from inkwell.plans.sqlfrag import LABELLED_CONV, LABELLED_DOCS, auroc_sql, words
 from inkwell.session import table
@@ -295,6 +296,71 @@ def x3_detector_auroc_by_lang(spark, sf_dir):
                     F.round("auroc", 4).alias("auroc"), "n_pos", "n_neg")
 
 
+def _md5_number(parts: str, start: int = 1, digits: int = 15) -> str:
+    return f"CAST('0x' || substr(md5({parts}), {start}, {digits}) AS BIGINT)"
+
+
+def draws_sql(scored: str, n_draws: int, seed: int) -> str:
+    """CTE ``dr`` (doc_id, pos, draw, ctx, sample, tok) of draws from the
+    reference distribution; needs the CTEs of :func:`lm_sql`."""
+    key = f"'{seed}:' || doc_id || ':' || pos || ':' || draw"
+    return f"""
+al0 AS (SELECT ctx, tok, c FROM bg UNION ALL SELECT '', token, c + 1 FROM U),
+al1 AS (SELECT ctx, tok, COUNT(*) OVER (PARTITION BY ctx) AS slots, CAST(SUM(c) OVER (PARTITION BY ctx) AS BIGINT) AS total,
+               ROW_NUMBER() OVER (PARTITION BY ctx ORDER BY tok) - 1 AS slot, c FROM al0),
+al2 AS (SELECT *, CAST(c * slots AS BIGINT) AS own, c * slots > total AS heavy FROM al1),
+al3 AS (SELECT *, SUM(abs(own - total)) OVER (PARTITION BY ctx, heavy ORDER BY tok ROWS UNBOUNDED PRECEDING) AS run FROM al2),
+al4 AS (SELECT *, CASE WHEN heavy THEN run ELSE run - (total - own) END AS k FROM al3),
+al5 AS (SELECT *, first_value(CASE WHEN heavy THEN tok END IGNORE NULLS) OVER
+                    (PARTITION BY ctx ORDER BY k, heavy DESC, tok ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt,
+               MAX(CASE WHEN NOT heavy THEN run END) OVER
+                    (PARTITION BY ctx ORDER BY k, heavy DESC, tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM al4),
+al AS (SELECT ctx, slot, tok, CASE WHEN heavy THEN total + run - done ELSE own END AS cut, COALESCE(nxt, tok) AS other, slots, total FROM al5),
+ps0 AS (SELECT doc_id, p[1] AS wa, p[2] AS wb, p[3] AS pos FROM (SELECT doc_id, UNNEST(list_transform(range(2, len(W) + 1),
+          lambda i: [W[i - 1], W[i], CAST(i AS VARCHAR)])) AS p FROM (SELECT doc_id, {words('text')} AS W FROM {scored}))),
+ps AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, COALESCE(ta.token, '{LM.UNK}') AS ctx, COALESCE(tb.token, '{LM.UNK}') AS tok
+       FROM ps0 LEFT JOIN top ta ON wa = ta.token LEFT JOIN top tb ON wb = tb.token),
+dr0 AS (SELECT ps.*, draw, {_md5_number(key)} AS r, {_md5_number(key, 16, 8)} < {int(LAM_REF * (1 << 32))} AS own
+        FROM ps, (SELECT range AS draw FROM range({n_draws}))),
+dr1 AS (SELECT d.*, CASE WHEN own AND cc.ctx IS NOT NULL THEN d.ctx ELSE '' END AS src FROM dr0 d LEFT JOIN cc ON cc.ctx = d.ctx),
+sz AS (SELECT DISTINCT ctx, slots, total FROM al),
+dr2 AS (SELECT d.*, (r % (slots * total)) // total AS slot, (r % (slots * total)) % total AS rest FROM dr1 d JOIN sz ON sz.ctx = d.src),
+dr AS (SELECT d.doc_id, d.pos, d.draw, d.ctx, d.tok, CASE WHEN rest < al.cut THEN al.tok ELSE al.other END AS sample
+       FROM dr2 d JOIN al ON al.ctx = d.src AND al.slot = d.slot)"""
+
+
+DRAWS, DRAW_PAIRS, DRAW_SEED = 2, 4, 11
+
+
+@register("a15_reference_draws", f"""WITH {lm_sql(LABELLED_CONV)}, {draws_sql(LABELLED_CONV, DRAWS, DRAW_SEED)}
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(draw AS INTEGER) AS draw, ctx, sample FROM dr""")
+def a15_reference_draws(spark, sf_dir):
+    """Two tokens drawn from the reference distribution at every
+    position of the labelled conversations."""
+    m = model_for(spark, sf_dir)
+    pos = m.map_words(LM.positions(labelled_conversations(spark, sf_dir)))
+    return SP.sampled_tokens(m, pos, DRAWS, DRAW_SEED, LAM_REF)
+
+
+@register("x2_sampled_curvature", f"""WITH {lm_sql(LABELLED_CONV)}, {draws_sql(LABELLED_CONV, 2 * DRAW_PAIRS, DRAW_SEED)},
+lps AS (SELECT k.ctx, k.tok, ln(CASE WHEN cc.cc IS NULL THEN U.u ELSE {_d(LAM)} * COALESCE(bg.c, 0) / cc.cc + {_d(1.0 - LAM)} * U.u END) AS lp
+        FROM (SELECT ctx, sample AS tok FROM dr UNION SELECT ctx, tok FROM dr) k JOIN U ON U.token = k.tok
+        LEFT JOIN cc ON cc.ctx = k.ctx LEFT JOIN bg ON bg.ctx = k.ctx AND bg.tok = k.tok),
+l AS (SELECT d.doc_id, d.pos, d.draw // 2 AS pair, d.draw % 2 AS side, s.lp, t.lp AS truth
+      FROM dr d JOIN lps s ON s.ctx = d.ctx AND s.tok = d.sample JOIN lps t ON t.ctx = d.ctx AND t.tok = d.tok),
+w AS (SELECT doc_id, pos, pair, MAX(truth) AS truth, MAX(CASE WHEN side = 0 THEN lp END) AS a, MAX(CASE WHEN side = 1 THEN lp END) AS b
+      FROM l GROUP BY doc_id, pos, pair),
+e AS (SELECT doc_id, CAST(COUNT(*) / {DRAW_PAIRS} AS BIGINT) AS n_tokens,
+             (SUM(truth) / {DRAW_PAIRS} - SUM(a + b) / {2 * DRAW_PAIRS}) / NULLIF(SQRT(SUM((a - b) * (a - b)) / {2 * DRAW_PAIRS}), 0) AS c
+      FROM w GROUP BY doc_id)
+SELECT s.doc_id, e.n_tokens, ROUND(e.c, 6) AS curvature FROM {LABELLED_CONV} s LEFT JOIN e ON e.doc_id = s.doc_id""")
+def x2_sampled_curvature(spark, sf_dir):
+    """X2, sampled branch: eight draws a position, mean and variance merged
+    per document."""
+    c = SP.sampled_curvature(model_for(spark, sf_dir), labelled_conversations(spark, sf_dir), DRAW_PAIRS, LAM, LAM_REF, DRAW_SEED)
+    return c.select("doc_id", "n_tokens", _r("curvature"))
+
+
 _TOK_B_SQL = "list_filter(string_split(text, ' '), lambda x: x <> '')"
 
 
