@@ -1,7 +1,9 @@
 """Classifiers over feature vectors.
 
 * X5/X6: MLlib ``LogisticRegression`` or ``MultilayerPerceptronClassifier``
-  (distributed fit), probability of class 1 as the machine score.
+  (distributed fit), probability of class 1 as the machine score; or
+  ``fit_irls``, an exact distributed Newton fit whose result does not depend
+  on the order of rows, and ``forward``, a layered network from given weights.
 * X7: the layer sweep trains one small classifier per layer *in parallel*
   (``groupBy('layer').applyInPandas``) on the bounded training rows of that
   layer only; test rows, which grow with the data, are scored JVM-side with
@@ -16,11 +18,11 @@ tests check properties and AUROC bounds, not exact values."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import maths as M
@@ -57,6 +59,113 @@ def score(model, df: DataFrame, features: str = "vec", out: str = "prob") -> Dat
              .drop("features", "rawPrediction", "probability", "prediction"))
 
 
+# --- X5 / X10 / A26: exact, row-order independent fit -----------------------------------
+
+def _exact(c: Column) -> Column:
+    """A term of a sum as a fixed-point number: such sums do not depend on the
+    order of the rows, and a retried task adds the same."""
+    return F.sum(c.cast("decimal(28,12)"))
+
+
+def fit_irls(train: DataFrame, group: str | None = None, features: str = "vec", label: str = "label",
+             steps: int = 8, ridge: float = 1e-6) -> DataFrame:
+    """Logistic regression by iteratively reweighted least squares, one model
+    per value of ``group`` (all in the same passes): (group, w, b, n).
+
+    Each step is one grouped aggregate of the gradient and the weighted Gram
+    matrix; (d + 1)(d + 2) / 2 + d + 1 numbers a group reach the driver, where
+    the step is solved.  Features are centred and scaled to [-1, 1] inside (w
+    and b are for the raw features); ``ridge`` times n keeps separable data
+    finite.  Rows with a null feature or label are ignored; for few features
+    (each cell of the matrix is an aggregate of its own) below 10**15 in size."""
+    g = F.lit(0) if group is None else F.col(group)
+    x = train.select(g.alias("_g"), F.col(features).cast("array<double>").alias("_x"), F.col(label).cast("double").alias("_y"))
+    x = x.where("_y is not null and not exists(_x, v -> v is null or isnan(v))")
+    first = x.select(F.size("_x").alias("d")).first()
+    kind = x.schema["_g"].dataType.simpleString()
+    if first is None:
+        return x.sparkSession.createDataFrame([], f"`{group or 'one'}` {kind}, w array<double>, b double, n bigint")
+    d = first["d"]
+    at = [F.col("_x")[i] for i in range(d)]
+    mean = {r["_g"]: (r["n"], [float(r[f"s{i}"]) / r["n"] for i in range(d)]) for r in
+            x.groupBy("_g").agg(F.count("*").alias("n"), *[_exact(c).alias(f"s{i}") for i, c in enumerate(at)]).collect()}
+    x = _with_model(x, {k: m for k, (_, m) in mean.items()}, "_m")
+    away = [F.max(F.abs(c - F.col("_m")[i])).alias(f"a{i}") for i, c in enumerate(at)]
+    scale = {r["_g"]: [r[f"a{i}"] or 1.0 for i in range(d)] for r in x.groupBy("_g").agg(*away).collect()}
+    x = _with_model(x, scale, "_s")
+    z = F.zip_with(F.zip_with("_x", "_m", lambda a, b: a - b), "_s", lambda a, b: a / b)
+    x = x.select("_g", "_y", F.concat(z, F.array(F.lit(1.0))).alias("_z"))
+    cells = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+    weights = {k: np.zeros(d + 1) for k in mean}
+    for _ in range(steps):
+        s = _with_model(x, {k: w.tolist() for k, w in weights.items()}, "_w")
+        s = s.withColumn("_p", 1.0 / (1.0 + F.exp(-M.dot("_z", "_w"))))
+        p, zi = F.col("_p"), [F.col("_z")[i] for i in range(d + 1)]
+        got = s.groupBy("_g").agg(*[_exact((F.col("_y") - p) * zi[i]).alias(f"g{i}") for i in range(d + 1)],
+                                  *[_exact(p * (1.0 - p) * zi[i] * zi[j]).alias(f"h{i}_{j}") for i, j in cells]).collect()
+        for r in got:
+            k, penalty = r["_g"], ridge * mean[r["_g"]][0]
+            h = np.zeros((d + 1, d + 1))
+            for i, j in cells:
+                h[i, j] = h[j, i] = float(r[f"h{i}_{j}"])
+            grad = np.array([float(r[f"g{i}"]) for i in range(d + 1)])
+            weights[k] = weights[k] + np.linalg.solve(h + penalty * np.eye(d + 1), grad - penalty * weights[k])
+    rows = []
+    for k, w in weights.items():
+        raw = w[:d] / np.array(scale[k])
+        rows.append((k, raw.tolist(), float(w[d] - raw @ np.array(mean[k][1])), mean[k][0]))
+    return x.sparkSession.createDataFrame(rows, f"`{group or 'one'}` {kind}, w array<double>, b double, n bigint")
+
+
+def _with_model(x: DataFrame, values: dict, name: str) -> DataFrame:
+    """``x`` with the numbers of its group (one small array a group)."""
+    kind = x.schema["_g"].dataType.simpleString()
+    t = x.sparkSession.createDataFrame([(k, list(map(float, v))) for k, v in values.items()], f"_g {kind}, `{name}` array<double>")
+    return x.join(F.broadcast(t), "_g")
+
+
+def linear_scores(df: DataFrame, weights: DataFrame, group: str, vec: str = "vec", out: str = "score") -> DataFrame:
+    """Every row under every model of ``weights`` (a few): column ``group``
+    and the linear score ``w.x + b``, which unlike the probability does not
+    saturate."""
+    models = F.array(*[F.struct(F.lit(r[group]).alias("k"), F.array(*map(F.lit, r["w"])).alias("w"), F.lit(r["b"]).alias("b"))
+                       for r in weights.collect()])
+    x = df.withColumn("_m", F.explode(models))
+    z = M.dot(F.col(vec).cast("array<double>"), "_m.w") + F.col("_m.b")
+    return x.withColumn(group, F.col("_m.k")).withColumn(out, z).drop("_m")
+
+
+# --- X6: forward pass of a layered network ---------------------------------------------
+
+ACTIVATIONS = {"tanh": np.tanh, "linear": lambda z: z, "relu": lambda z: np.maximum(z, 0.0),
+               "softmax": lambda z: np.exp(z - z.max(axis=1, keepdims=True)) / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)}
+
+
+def forward(df: DataFrame, layers: list[tuple], vec: str = "vec", out: str = "probs") -> DataFrame:
+    """``layers`` of (weights [out x in], bias [out], activation name) from
+    the first to the last, applied to an array column: one matrix product a
+    layer and Arrow batch.  The weights are one broadcast copy an executor
+    (their size is the model's); a null vector gives a null result."""
+    spark = df.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast([(np.asarray(w, float), np.asarray(b, float), a) for w, b, a in layers])
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            known = s.notna().to_numpy()
+            result = [None] * len(s)
+            if known.any():
+                x = np.stack(s[known].to_numpy()).astype(float)
+                for w, b, a in shared.value:
+                    x = ACTIVATIONS[a](x @ w.T + b)
+                for i, row in zip(np.flatnonzero(known), x):
+                    result[i] = row
+            yield pd.Series(result, dtype=object)
+
+    return df.withColumn(out, run(F.col(vec).cast("array<double>")))
+
+
 # --- X7: per-group training, JVM-side scoring -----------------------------------
 
 def _train_logistic(pdf: pd.DataFrame, key: str, vec: str, label: str, epochs: int, lr: float,
