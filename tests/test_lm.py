@@ -144,3 +144,33 @@ def test_whole_vocabulary_query_matches_dense(spark, tmp_path, monkeypatch):
             continue
         for k, v in e.items():
             assert getattr(got[i], k) == pytest.approx(v, abs=2e-6), (i, k)
+
+
+@pytest.mark.parametrize("V", [2, 5, 100])
+def test_rank_index_equals_the_counted_ranks(spark, V):
+    """Every pair of two words, seen or not, known or not."""
+    corpus = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    m = LM.train(corpus, V=V)
+    words = sorted({w for t in CORPUS for w in t.split()}) + ["new", LM.UNK]
+    pos = spark.createDataFrame([(0, i, a, b) for i, (a, b) in enumerate((a, b) for a in words for b in words)],
+                                "doc_id long, pos int, ctx_word string, word string")
+    got = {(r.ctx_word, r.word): r for r in LM.rank_index(m, 0.9, 0.5).scored(pos).collect()}
+    known = {r.token for r in m.vocab.collect()}
+    at = lambda w: w if w in known else LM.UNK
+    ps = {(r.ctx, r.tok): r for r in LM.pair_stats(m, m.map_words(pos).select("ctx", "tok"), 0.9).collect()}
+    assert len(got) == len(words) ** 2
+    for (a, b), r in got.items():
+        want = ps[at(a), at(b)]
+        assert r.rank == want.rank and r.lp == pytest.approx(want.lp, abs=1e-12), (a, b)
+
+
+def test_no_index_beyond_its_size_bound(spark, monkeypatch):
+    corpus = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    scored = spark.createDataFrame(list(enumerate(SCORED)), "doc_id long, text string")
+    m = LM.train(corpus, V=4)
+    a = sorted(LM.criteria(m, scored).collect())
+    monkeypatch.setattr(LM, "INDEX_BYTES", 64)
+    assert LM.rank_index(m, 0.9, 0.5) is None
+    for x, y in zip(a, sorted(LM.criteria(m, scored).collect())):
+        assert [v is None for v in x] == [v is None for v in y]
+        assert [v for v in x if v is not None] == pytest.approx([v for v in y if v is not None], abs=1e-9)
