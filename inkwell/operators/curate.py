@@ -6,6 +6,8 @@ where the reference relies on list order, an explicit order column is used
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,29 @@ def stratified_fraction_split(df: DataFrame, class_col: str, id_col: str, test_f
     return df.join(side, [id_col, *g, class_col])
 
 
+def group_fraction_split(df: DataFrame, group_col: str, class_col: str, test_frac: float, seed=42,
+                         names=("train", "test")) -> DataFrame:
+    """O4 by whole groups: all rows of a ``group_col`` value (a context, a
+    conversation) go to the same side, so no group leaks between the sides.
+
+    Groups are put in order of their make-up (size, then rows of each class,
+    then a seeded md5 key), and every 1/``test_frac``-th goes to the test side.
+    So each stretch of alike groups gives its share, and the classes of both
+    sides stand in proportion to within one group of each kind.  Ranks are
+    exact and counted over balanced ranges; rows join their group's side."""
+    n, d = Fraction(str(test_frac)).as_integer_ratio()
+    cls = F.coalesce(F.col(class_col).cast("string"), F.lit(""))
+    counts = df.groupBy(F.col(group_col).alias("_g"), cls.alias("_c")).agg(F.count("*").alias("_n"))
+    kind = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_c", "_n"))),
+                                    lambda s: F.concat(s["_c"], F.lit(":"), s["_n"].cast("string"))), ",")
+    groups = counts.groupBy("_g").agg(F.sum("_n").alias("_size"), kind.alias("_kind"))     # a few classes a group
+    ranked = rank_within(groups.withColumn("_k", sample_key("_g", seed)), None, ["_size", "_kind", "_k", "_g"], "_r")
+    share = lambda r: F.floor(r * n / F.lit(d))
+    side = ranked.select(F.col("_g").alias(group_col), F.when(share(F.col("_r")) > share(F.col("_r") - 1), F.lit(names[1]))
+                         .otherwise(F.lit(names[0])).alias("split"))
+    return _eq_join(df, side, [group_col])
+
+
 # --- J7: equal-length matching --------------------------------------------------
 
 def match_by_length(df: DataFrame, n_col: str, label_col: str = "result",

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.ordering import rank_within
 from inkwell.session import checkpoint_root
 
 
@@ -143,6 +144,35 @@ def roc_curve(df: DataFrame, group_cols=None, score: str = "score", label: str =
     return start.unionByName(pts)
 
 
+def thinned_roc(df: DataFrame, group_cols=None, score: str = "score", label: str = "label",
+                buckets: int | None = None) -> DataFrame:
+    """A17 with every point dropped that lies on the straight line between
+    its neighbours, looking one step back (the point's own counts) and one
+    ahead (the next score's): runs of any slope shrink to their ends, and the
+    area under the curve stays the same number.  Rows (group, ``k`` from 0,
+    threshold, fp, tp, P, N); row 0 is the start, with threshold null."""
+    g = _cols(group_cols)
+    cum = cumulative_counts(score_counts(df, g, score, label), g, buckets)
+    bend = F.col("npos") * F.col("next_nneg") != F.col("nneg") * F.col("next_npos")
+    kept = cum.where(F.col("next_npos").isNull() | bend)
+    kept = rank_within(kept, g, [F.desc("score")], "k").select(
+        *g, "k", F.col("score").alias("threshold"), "fp", "tp", "P", "N")
+    zero = F.lit(0).cast("bigint")
+    start = kept.where("k = 1").select(*g, zero.alias("k"), F.lit(None).cast("double").alias("threshold"),
+                                       zero.alias("fp"), zero.alias("tp"), "P", "N")
+    return start.unionByName(kept)
+
+
+def curve_area(points: DataFrame, group_cols=None) -> DataFrame:
+    """The area under :func:`thinned_roc` curves by trapezoids; neighbours
+    meet by their number (an equi-join, so a long curve is not one task's)."""
+    g = _cols(group_cols)
+    before = points.select(*g, (F.col("k") + 1).alias("k"), F.col("fp").alias("_fp"), F.col("tp").alias("_tp"))
+    x = _null_safe_join(points, before, [*g, "k"])
+    area = F.sum((F.col("fp") - F.col("_fp")) * (F.col("tp") + F.col("_tp")))
+    return x.groupBy(*g).agg(_safe_div(area, 2 * F.max("P") * F.max("N")).alias("area"), F.count("*").alias("n_points"))
+
+
 def pr_curve(df: DataFrame, group_cols=None, score: str = "score", label: str = "label",
              buckets: int | None = None) -> DataFrame:
     """(threshold, precision, recall) per distinct threshold and the

@@ -125,6 +125,57 @@ def o4_counselling_splits(spark, sf_dir):
     return s.select("pair_id", "result", "split", F.md5("text").alias("text_md5"))
 
 
+def context_splits(spark, sf_dir):
+    """O4 by context: whole conversations to test (20 %), of the rest to
+    valid (10 %) and train."""
+    conv = labelled_conversations(spark, sf_dir)
+    s = materialize(C.group_fraction_split(conv, "conv_id", "result", 0.2, seed="t", names=("rest", "test")))
+    rest = C.group_fraction_split(s.where(F.col("split") == "rest").drop("split"), "conv_id", "result", 0.1, seed="v",
+                                  names=("train", "valid"))
+    return s.where(F.col("split") == "test").unionByName(rest)
+
+
+def _context_sql() -> str:
+    """CTE ``sp`` (doc_id, conv_id, result, text, split)."""
+    def split(src: str, seed: str, n: int, d: int, out: str) -> str:
+        return f"""
+{out}_c AS (SELECT conv_id, CAST(result AS VARCHAR) AS c, COUNT(*) AS n FROM {src} GROUP BY conv_id, result),
+{out}_g AS (SELECT conv_id, SUM(n) AS size, string_agg(c || ':' || n, ',' ORDER BY c) AS kind FROM {out}_c GROUP BY conv_id),
+{out}_r AS (SELECT conv_id, ROW_NUMBER() OVER (ORDER BY size, kind, {md5_key('conv_id', seed)}, conv_id) AS r FROM {out}_g),
+{out} AS (SELECT s.*, (r * {n}) // {d} > ((r - 1) * {n}) // {d} AS picked FROM {src} s JOIN {out}_r g ON g.conv_id = s.conv_id)"""
+    return f"""cv AS {LABELLED_CONV},{split('cv', 't', 1, 5, 'ct')},
+rs AS (SELECT doc_id, conv_id, result, text FROM ct WHERE NOT picked),{split('rs', 'v', 1, 10, 'cw')},
+sp AS (SELECT doc_id, conv_id, result, text, 'test' AS split FROM ct WHERE picked
+       UNION ALL SELECT doc_id, conv_id, result, text, CASE WHEN picked THEN 'valid' ELSE 'train' END FROM cw)"""
+
+
+@register("o4_context_splits", f"""WITH {_context_sql()} SELECT doc_id, conv_id, result, split FROM sp""")
+def o4_context_splits(spark, sf_dir):
+    return context_splits(spark, sf_dir).select("doc_id", "conv_id", "result", "split")
+
+
+@register("j13_context_overlap", f"""WITH {_context_sql()},
+{frac_split_sql('cv', 'result', 'doc_id', 0.2, 't', 'bt').lstrip()},
+b AS (SELECT 'by_context' AS split_by, conv_id, split FROM sp
+      UNION ALL SELECT 'by_text', conv_id, CASE WHEN is_test THEN 'test' ELSE 'train' END FROM bt)
+SELECT t.split_by, CAST(COUNT(*) AS BIGINT) AS n_test, CAST(COUNT(x.conv_id) AS BIGINT) AS n_overlap
+FROM b t LEFT JOIN (SELECT DISTINCT split_by, conv_id FROM b WHERE split = 'train') x
+  ON x.split_by = t.split_by AND x.conv_id = t.conv_id
+WHERE t.split = 'test' GROUP BY t.split_by""")
+def j13_context_overlap(spark, sf_dir):
+    """J13 by context: test rows whose conversation also has training rows,
+    for the split by whole contexts (none) and the split by texts."""
+    conv = labelled_conversations(spark, sf_dir)
+    by_text = C.stratified_fraction_split(conv, "result", "doc_id", 0.2, seed="t").select("conv_id", "split")
+    both = materialize(context_splits(spark, sf_dir).select(F.lit("by_context").alias("split_by"), "conv_id", "split")
+                       .unionByName(by_text.select(F.lit("by_text").alias("split_by"), "conv_id", "split")))
+    key = both.withColumn("key", F.concat_ws(":", "split_by", F.col("conv_id").cast("string")))
+    test = key.where(F.col("split") == "test")
+    shared = C.overlap(test, key.where(F.col("split") == "train"), "key").groupBy("split_by").agg(F.count("*").alias("n_overlap"))
+    return (test.groupBy("split_by").agg(F.count("*").alias("n_test")).join(shared, "split_by", "left")
+                .select("split_by", "n_test", F.coalesce("n_overlap", F.lit(0)).alias("n_overlap")))
+
+
 @register("o3_sample_per_class", f"""
 WITH s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY result ORDER BY {md5_key('doc_id', 7)}, doc_id) AS rn
            FROM {LABELLED_CONV})

@@ -20,7 +20,7 @@ from inkwell.plans.registry import register
 from inkwell.plans.sqlfrag import (LABELLED_CONV, LABELLED_DOCS, auroc_sql, detokenise, pr_auc_sql,
                                   remove_tags, space_word_count, word_count, words)
 from inkwell.plans.textq import _STORY_SQL, writing_stories
-from inkwell.session import scratch_path, table
+from inkwell.session import materialize, scratch_path, table
 from inkwell.sources import files as FS
 from inkwell.sources.tables import labelled_conversations, labelled_documents
 
@@ -64,15 +64,37 @@ def s4_writing_prompt_files(spark, sf_dir):
     """S4 + J3 + E6-E8 + P11: prompts and stories as two line-aligned text
     files; read back, joined by line, detokenised, filtered."""
     st = writing_stories(spark, sf_dir)
-    p, s = scratch_path(spark, "wp-source"), scratch_path(spark, "wp-target")
-    FS.write_lines(st, p, "pair_id", "prompt")
-    FS.write_lines(st, s, "pair_id", "story")
-    pairs = FS.read_line_pair(spark, p, s)
-    t = pairs.select(T.prompt_story("prompt", "story").alias("text"))
+    path = scratch_path(spark, "wp")
+    FS.write_aligned(st, path, ["pair_id"], ["prompt", "story"])
+    pairs = FS.read_aligned(spark, path, ["prompt", "story"])
+    line = lambda c: F.concat(F.col(c), F.lit("\n"))  # noqa: E731  (lines keep their break, as the reader's rules expect)
+    t = pairs.select(T.prompt_story(line("prompt"), line("story")).alias("text"))
     t = t.where(~F.col("text").contains("nsfw") & ~F.col("text").contains("NSFW"))
     return t.select(F.md5("text").alias("text_md5"), T.word_count("text").alias("n_words"))
 
 
+LINES = 64
+
+
+@register("s4_aligned_files", f"""
+WITH r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY pair_id) - 1 AS n FROM {_STORY_SQL})
+SELECT CAST(n // {LINES} AS INTEGER) AS file_no, MIN(n) AS first_line, CAST(COUNT(*) AS BIGINT) AS n_lines,
+       md5(string_agg(md5(prompt) || md5(story), ',' ORDER BY n)) AS lines_md5
+FROM r GROUP BY n // {LINES}""")
+def s4_aligned_files(spark, sf_dir):
+    """S4 sink: files of 64 lines, as many as the rows need, with their
+    manifest; read back line by line."""
+    st = writing_stories(spark, sf_dir)
+    path = scratch_path(spark, "aligned")
+    FS.write_aligned(st, path, ["pair_id"], ["prompt", "story"], LINES)
+    back = FS.read_aligned(spark, path, ["prompt", "story"])
+    pairs = back.select(F.expr(f"cast(line_no div {LINES} as int)").alias("file_no"),
+                        F.struct("line_no", F.concat(F.md5("prompt"), F.md5("story")).alias("m")).alias("l"))
+    sums = pairs.groupBy("file_no").agg(F.md5(F.array_join(F.transform(      # the lines of one file
+        F.array_sort(F.collect_list("l")), lambda x: x["m"]), ",")).alias("lines_md5"))
+    return spark.read.parquet(f"{path}/manifest").join(sums, "file_no").select("file_no", "first_line", "n_lines", "lines_md5")
+
+
 @register("s5_s17_pairs_roundtrip", f"""
 SELECT pair_id, md5(original) AS original_md5, md5(sampled) AS sampled_md5, 50 AS batch_size FROM {PAIRS_SQL}""")
 def s5_s17_pairs_roundtrip(spark, sf_dir):
@@ -181,6 +203,37 @@ def s19_criterion_results(spark, sf_dir):
                        F.round("loss", 6).alias("loss"))
 
 
+@register("s19_curve_tables", f"""WITH {CR.crit_sql(_PAIR_TEXTS)},
+s AS (SELECT name, CAST(score AS DOUBLE) AS score, label FROM {_PAIR_LONG} WHERE score IS NOT NULL),
+r AS ({auroc_sql(_PAIR_LONG, ['name'])}),
+n AS (SELECT name, score, SUM(label) AS p, SUM(1 - label) AS q FROM s GROUP BY name, score),
+l AS (SELECT *, LEAD(p) OVER w AS np, LEAD(q) OVER w AS nq FROM n WINDOW w AS (PARTITION BY name ORDER BY score DESC))
+SELECT r.name, ROUND(r.auroc, 6) AS roc_auc, ROUND(r.auroc, 6) AS curve_area,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM l WHERE l.name = r.name AND (np IS NULL OR p * nq <> q * np)) AS n_points,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM s WHERE s.name = r.name) AS n_predictions,
+       (SELECT ROUND(SUM(score), 3) FROM s WHERE s.name = r.name) AS predictions_sum
+FROM r""")
+def s19_curve_tables(spark, sf_dir):
+    """S19 as related tables: result records, and beside them the curve
+    points and the predictions of each criterion as child tables in folders
+    by name; the areas of the stored curves are those of A18."""
+    texts = pair_texts(spark, sf_dir)
+    crit = LM.criteria(CR.model_for(spark, sf_dir), texts, CR.LAM, CR.LAM_REF)
+    long = LM.long_criteria(crit.join(texts.select("doc_id", "label"), "doc_id"), ["doc_id", "label"])
+    long = materialize(long.select(F.concat("criterion", F.lit("_threshold")).alias("name"), "doc_id", "label", "score")
+                       .where(F.col("score").isNotNull()))
+    root = scratch_path(spark, "experiment")
+    ev.auroc(long, "name").withColumnRenamed("auroc", "roc_auc").write.parquet(f"{root}/results")
+    ev.thinned_roc(long, "name").write.partitionBy("name").parquet(f"{root}/curves")
+    long.write.partitionBy("name").parquet(f"{root}/predictions")
+    back = {t: spark.read.parquet(f"{root}/{t}") for t in ("results", "curves", "predictions")}
+    areas = ev.curve_area(back["curves"], "name")
+    told = back["predictions"].groupBy("name").agg(F.count("*").alias("n_predictions"), F.round(F.sum("score"), 3).alias("predictions_sum"))
+    return back["results"].join(areas, "name").join(told, "name").select(
+        "name", F.round("roc_auc", 6).alias("roc_auc"), F.round("area", 6).alias("curve_area"), "n_points", "n_predictions",
+        "predictions_sum")
+
+
 # The source registry over the fixture tables.
 def source_registry(spark, sf_dir):
     """Name -> DataFrame factory of texts; unknown names raise."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.operators.ordering import rank_within
-from inkwell.session import read_parquet_if_there
+from inkwell.session import materialize, read_parquet_if_there
 
 LABELLED_SCHEMA = T.StructType([T.StructField("text", T.StringType()),
                                 T.StructField("result", T.StringType())])
@@ -80,17 +80,62 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.when(last, F.col("value")).otherwise(F.concat("value", F.lit("\n"))).alias("value"))
 
 
-def write_lines(df: DataFrame, path: str, order_col: str, value_col: str, n_files: int = 8,
+def write_lines(df: DataFrame, path: str, order_col: str, value_col: str, n_files: int | None = None,
                 max_records: int = 100_000) -> None:
-    """Line-aligned text sink: rows go to part file ``hash(order_col) mod
+    """Text sink of one column: rows go to part file ``hash(order_col) mod
     n_files`` sorted by ``order_col`` — a deterministic function of the
     row, so every column written this way lines up file by file and line
-    by line (range bounds, being sampled, would not be guaranteed to)."""
+    by line (range bounds, being sampled, would not be guaranteed to).
+    Without ``n_files``, as many as hold ``max_records`` lines on average."""
+    n_files = n_files or max(1, -(-df.count() // max_records))
     (df.repartition(n_files, order_col).sortWithinPartitions(order_col)
        .select(F.col(value_col).alias("value"))
        .write.mode("overwrite").option("maxRecordsPerFile", max_records).text(path))
 
 
+def write_aligned(df: DataFrame, path: str, order_cols: list[str], columns: list[str], lines_per_file: int = 100_000) -> None:
+    """S4 sink of several columns: ``path/<column>/file_no=k`` holds lines
+    k * lines_per_file ... of that column in the order of ``order_cols`` (a
+    total order), one text file each; ``path/manifest`` says where each file
+    starts and how many lines it has.
+
+    Rows are numbered once, by prefix counts over range partitions, and all
+    columns are written from that numbered table: their lines agree whatever
+    tasks are retried, and the number of files follows the rows.  A null is an
+    empty line; a value with a line break is an error."""
+    rows = rank_within(df.select(*dict.fromkeys([*order_cols, *columns])), None, order_cols, "_n")
+    rows = materialize(rows.withColumn("file_no", F.expr(f"cast((_n - 1) div {lines_per_file} as int)")))
+    files = rows.groupBy("file_no").agg((F.min("_n") - 1).alias("first_line"), F.count("*").alias("n_lines"))
+    files.write.mode("overwrite").parquet(f"{path}/manifest")
+    n_files = max(1, files.count())
+    placed = rows.repartition(n_files, "file_no").sortWithinPartitions("file_no", "_n")
+    for c in columns:
+        line = F.coalesce(F.col(c), F.lit(""))
+        one = F.when(F.contains(line, F.lit("\n")), F.raise_error(F.lit(f"a value of {c} has a line break"))).otherwise(line)
+        placed.select("file_no", one.alias("value")).write.mode("overwrite").partitionBy("file_no").text(f"{path}/{c}")
+
+
+def read_aligned(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Columns of :func:`write_aligned` again, joined by file and line, with
+    ``line_no`` counted over all files.  A file that does not have the lines
+    the manifest names is an error."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    out = None
+    for c in columns:
+        raw = spark.read.schema("value string, file_no int").option("lineSep", "\n").text(f"{path}/{c}").select(
+            "file_no", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"),
+            F.col("value").alias(c))
+        lines = rank_within(raw, ["file_no"], ["_block", "_at"], "_line").select("file_no", "_line", c)
+        got = lines.groupBy("file_no").agg(F.count("*").alias("_got"))
+        sizes = manifest.join(got, "file_no", "left").select("file_no", "first_line", F.when(
+            F.col("_got").eqNullSafe(F.col("n_lines")), F.col("n_lines")).otherwise(
+            F.raise_error(F.lit(f"a file of {c} does not have the lines of the manifest")).cast("long")).alias("_ok"))
+        lines = lines.join(sizes, "file_no").where("_line <= _ok").withColumn("line_no", F.col("first_line") + F.col("_line") - 1)
+        lines = lines.select("line_no", c)
+        out = lines if out is None else out.join(lines, "line_no")
+    return out
+
+
 def read_line_pair(spark: SparkSession, left: str, right: str, names=("prompt", "story")) -> DataFrame:
     """S4 + J3: two line-aligned files joined on (file, line)."""
     a = read_lines(spark, left).withColumnRenamed("value", names[0])
