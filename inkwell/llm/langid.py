@@ -6,9 +6,12 @@ and to ever shorter ones until some are known; their mean log frequency is
 added.  The language of the largest sum wins.
 
 The model is fitted on at most about ``max_rows`` labelled rows (a bounded
-sample by a hash of the id; a documented limit of the fit alone) and holds at
-most ``max_words`` words and ``max_grams`` n-grams of each length a language,
-so its size does not follow the corpus.  Every document is scored whole.
+sample by a hash of the id; a documented limit of the fit alone).  The sample
+is shared out over the languages so that small ones keep all their rows: each
+language gives up to the same number of rows.  All words and n-grams of the
+sample are in the model; it is a few sorted arrays of 64-bit hashes with the
+counted (language, log frequency) entries of each, so its size is that of the
+sample's vocabulary.  Every document is scored whole.
 
 Edge cases: null text and text without a letter get ``und`` and score 0;
 letters of which the model knows nothing get the most frequent language and
@@ -19,12 +22,13 @@ the language that sorts first; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import boxed, cut, only, ship, table, unboxed
@@ -42,147 +46,190 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, max_rows: int = 20_000, max_words: int = 15_000, max_grams: int = 6_000) -> dict:
-    """Counts of the words and n-grams of a bounded sample of the labelled
-    rows, as a small dictionary: languages, words, grams (by length)."""
+def quota(sizes: list[int], most: int) -> float:
+    """The largest number of rows a language, with all rows of the smaller
+    ones, that keeps the sum at or below ``most``."""
+    left, rest = float(most), sorted(sizes)
+    for i, n in enumerate(rest):
+        share = left / (len(rest) - i)
+        if n > share:
+            return share
+        left -= n
+    return float(rest[-1]) if rest else 0.0
+
+
+class Table(NamedTuple):
+    """The grams of one length.  Sorted hashes; of each, from ``start`` on, the
+    languages that have it, their log frequencies, and whether it is usual
+    there.  ``floor`` is the log frequency of what was not counted."""
+    h: np.ndarray
+    start: np.ndarray
+    at: np.ndarray
+    logs: np.ndarray
+    usual: np.ndarray
+    floor: np.ndarray
+
+
+def fit(docs: DataFrame, max_rows: int = 20_000, max_words: int | None = None, max_grams: int | None = None) -> dict:
+    """The model of a bounded sample of the labelled rows: languages, and by
+    n-gram length (0: whole words) a table.  ``max_words`` and ``max_grams`` can
+    hold a table to the most frequent entries of each language; by default all
+    are kept."""
     rows = only(docs, "doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * max_rows / n))
-    words = (rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("gram"))
-             .groupBy("lang", "gram").agg(F.count("*").alias("n")))
-    sides = words.select("lang", "n", F.concat(F.lit("^"), "gram", F.lit("$")).alias("w"))
-    parts = [words.select("lang", "gram", "n", F.lit(0).alias("size"))]
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}      # a row a language
+    langs, most = sorted(sizes), quota(list(sizes.values()), max_rows)
+    if not langs:
+        return {"langs": [], "first": 0, "tables": {}}
+    small = rows.sparkSession.createDataFrame(
+        [(x, i, int(1_000_003 * min(1.0, most / sizes[x]))) for i, x in enumerate(langs)], "lang string, at short, _share int")
+    rows = rows.join(F.broadcast(small), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("_share"))
+    words = (rows.select("at", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("gram"))
+             .groupBy("at", "gram").agg(F.count("*").alias("n")))
+    words = cut(words, "words")
+    sides = words.select("at", "n", F.concat(F.lit("^"), "gram", F.lit("$")).alias("w"))
+    parts = [words.select("at", "gram", "n", F.lit(0).alias("size"))]
     for k in range(1, TOP_GRAM + 1):
         at = F.expr(f"transform(sequence(1, length(w) - {k - 1}), i -> substring(w, i, {k}))")
-        parts.append(sides.where(F.length("w") >= k).select("lang", F.explode(at).alias("gram"), "n")
-                     .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-                     .select("lang", "gram", "n", F.lit(k).alias("size")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = cut(every, "grams")
-    # The most frequent ones of each table, by the histogram of the counts: all
-    # of the levels that fit the limit, of the level that crosses it a share.
-    # The sample bounds the number of levels.
-    above = Window.partitionBy("size", "lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    limit = F.when(F.col("size") == 0, max_words).otherwise(max_grams)
-    levels = (every.groupBy("size", "lang", "n").count()
-              .withColumn("share", (limit - F.coalesce(F.sum("count").over(above), F.lit(0))) / F.col("count"))
-              .where("share > 0").drop("count"))
-    kept = (every.join(F.broadcast(levels), ["size", "lang", "n"])
-            .where(F.pmod(F.xxhash64("gram"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
-            .select("lang", "gram", "n", "size").toPandas())
-    langs = sorted(kept["lang"].unique())
-    total = kept[kept["size"] == 0].groupby("lang")["n"].sum()
-    model = {"langs": langs, "first": int(np.argmax([total.get(x, 0) for x in langs])) if langs else 0, "tables": {}, "floors": {}}
-    for size, part in kept.groupby("size"):
-        grams = sorted(part["gram"].unique())
-        row = {g: i for i, g in enumerate(grams)}
-        m = np.zeros((len(grams), len(langs)))
-        m[part["gram"].map(row).to_numpy(), part["lang"].map(langs.index).to_numpy()] = part["n"].to_numpy(float)
-        model["floors"][int(size)] = np.log(0.5 / (m.sum(axis=0) + 0.5 * len(grams)))      # of what was not counted
-        m = np.log((m + 0.5) / (m.sum(axis=0) + 0.5 * len(grams)))
-        model["tables"][int(size)] = (grams, m.astype(np.float32))
-    return model
+        parts.append(sides.where(F.length("w") >= k).select("at", F.explode(at).alias("gram"), "n")
+                     .groupBy("at", "gram").agg(F.sum("n").alias("n"))
+                     .select("at", "gram", "n", F.lit(k).alias("size")))
+    tables, first = {}, 0
+    for size, part in enumerate(parts):
+        got = part.select(F.xxhash64("gram").alias("h"), "at", "n").toArrow()            # the sample's vocabulary
+        h, at, n = (got.column(c).to_numpy() for c in ("h", "at", "n"))
+        if size == 0:
+            first = int(np.argmax(np.bincount(at, weights=n, minlength=len(langs))))
+        tables[size] = entries(h.view(np.uint64), at, n, len(langs), max_grams if size else max_words)
+    return {"langs": langs, "first": first, "tables": tables}
+
+
+def entries(h: np.ndarray, at: np.ndarray, n: np.ndarray, langs: int, most: int | None = None) -> Table:
+    if most is not None:
+        order = np.lexsort((h, -n, at))
+        rank = np.arange(len(order)) - np.searchsorted(at[order], at[order])
+        kept = order[rank < most]
+        h, at, n = h[kept], at[kept], n[kept]
+    order = np.lexsort((at, h))
+    h, at, n = h[order], at[order].astype(np.int16), n[order].astype(float)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    total = np.bincount(at, weights=n, minlength=langs)
+    whole = total + 0.5 * len(first)
+    logs = np.log((n + 0.5) / whole[at])
+    floor = np.log(0.5 / np.maximum(whole, 1.0))
+    # Usual is what was counted at least exp(-RARE) times as often as the
+    # (geometric) mean of the language.
+    none = len(first) - np.bincount(at, minlength=langs)
+    mean = np.bincount(at, weights=np.exp(logs) * logs, minlength=langs) + none * np.exp(floor) * floor
+    return Table(h[first], np.append(first, len(h)), at, logs.astype(np.float32), logs >= mean[at] - RARE,
+                 floor.astype(np.float32))
+
+
+def hashes(grams: list[str]) -> np.ndarray:
+    """As ``xxhash64`` of Spark."""
+    return np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64)
 
 
 class Scorer(dict):
-    """word -> row of a matrix of log frequencies.  Rows of unknown words are
-    worked out once and forgotten when ``spare`` of them are kept."""
+    """word -> row of the log frequencies, and of the evidence, of the words
+    met so far; all are forgotten when ``spare`` are kept.
 
-    def __init__(self, model: dict, spare: int = 200_000):
-        grams, logs = model["tables"][0]
-        super().__init__((g, i) for i, g in enumerate(grams))
-        self.known, self.spare = len(grams), spare
-        self.logs = np.vstack([logs, np.zeros((spare, logs.shape[1]), np.float32)])
-        self.extra: list[str] = []
-        self.grams = {k: ({g: i for i, g in enumerate(t[0])}, t[1]) for k, t in model["tables"].items() if k}
+    The evidence of a word is the share of it that each language is known to
+    use: 1 if the word is usual there, or else the mean share of its n-grams of
+    3 to 5 characters (1 and 2 of scripts that need no more) that are.  A stray
+    quote does not make its language or script known."""
 
-    def back_off(self, word: str) -> np.ndarray:
+    def __init__(self, model: dict, spare: int = 200_000, evidence: bool = False):
+        super().__init__()
+        self.tables, self.spare, self.evidence = model["tables"], spare, evidence
+        n = len(model["langs"])
+        self.logs = np.zeros((spare, n), np.float32)
+        self.known = np.zeros((spare if evidence else 1, n), np.float32)
+        self.size = np.zeros(spare)
+
+    def found(self, k: int, grams: list[str]) -> np.ndarray:
+        """The places of those grams that table ``k`` holds."""
+        h, want = self.tables[k].h, hashes(grams)
+        if not len(h):
+            return np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(h, want), len(h) - 1)
+        return at[h[at] == want]
+
+    def mean_logs(self, k: int, places: np.ndarray) -> np.ndarray:
+        t = self.tables[k]
+        out = t.floor.astype(float)
+        for p in places:
+            s = slice(t.start[p], t.start[p + 1])
+            out[t.at[s]] += (t.logs[s] - t.floor[t.at[s]]) / len(places)
+        return out
+
+    def usual(self, k: int, places: np.ndarray, of: int) -> np.ndarray:
+        t, out = self.tables[k], np.zeros(self.logs.shape[1])
+        for p in places:
+            s = slice(t.start[p], t.start[p + 1])
+            out[t.at[s]] += t.usual[s]
+        return out / of
+
+    def grams(self, word: str, k: int) -> list[str]:
         w = f"^{word}$"
-        for k in range(min(TOP_GRAM, len(w)), 0, -1):
-            if k not in self.grams:
-                continue
-            rows, logs = self.grams[k]
-            found = [rows[g] for i in range(len(w) - k + 1) if (g := w[i:i + k]) in rows and g.strip("^$")]
-            if found:
-                return logs[found].mean(axis=0)
-        return np.zeros(self.logs.shape[1], np.float32)
+        return [g for i in range(len(w) - k + 1) if (g := w[i:i + k]).strip("^$")]
+
+    def back_off(self, word: str) -> np.ndarray:
+        for k in range(min(TOP_GRAM, len(word) + 2), 0, -1):
+            places = self.found(k, self.grams(word, k))
+            if len(places):
+                return self.mean_logs(k, places)
+        return np.zeros(self.logs.shape[1])
+
+    def shares(self, word: str, places: np.ndarray) -> np.ndarray:
+        least, top = (1, 2) if _DENSE.search(word) else (3, TOP_GRAM)
+        parts = []
+        for k in range(least, min(top, len(word) + 2) + 1):
+            grams = self.grams(word, k)
+            parts.append(self.usual(k, self.found(k, grams), len(grams)))
+        return np.maximum(self.usual(0, places, 1), np.mean(parts, axis=0))
 
     def __missing__(self, word: str) -> int:
-        i = self.known + len(self.extra)
-        self.logs[i] = self.back_off(word)
-        self.extra.append(word)
+        i, places = len(self), self.found(0, [word])
+        self.logs[i] = self.mean_logs(0, places) if len(places) else self.back_off(word)
+        if self.evidence:
+            self.known[i], self.size[i] = self.shares(word, places), len(word)
         self[word] = i
         return i
 
-    def sums(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(self.logs.shape[1])
+    def parts(self, words: list[str]) -> Iterator[np.ndarray]:
+        """The rows of the words, in parts so that one very long text fits."""
         step = self.spare // 2
-        for at in range(0, len(words), step):              # so that one very long text fits
+        for at in range(0, len(words), step):
             part = words[at:at + step]
-            if len(self.extra) + len(part) > self.spare:
-                for w in self.extra:
-                    del self[w]
-                self.extra = []
-            rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            if len(self) + len(part) > self.spare:
+                self.clear()
+            yield np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+
+    def sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log frequencies, and the share of the letters that each
+        language is known to use (zeros without evidence)."""
+        total, used, letters = np.zeros(self.logs.shape[1]), np.zeros(self.logs.shape[1]), 0.0
+        for rows in self.parts(words):
             total += self.logs[rows].sum(axis=0, dtype=float)
-        return total
-
-
-class Evidence(dict):
-    """word -> share of it that each language is known to use: 1 if the word is
-    usual there, or else the mean share of its n-grams of 3 to 5 characters (1
-    and 2 of scripts that need no more) that are.  Usual is what was counted
-    at least exp(-``RARE``) times as often as the (geometric) mean of the
-    language, so a stray quote does not make its language or script known."""
-
-    def __init__(self, model: dict, spare: int = 200_000):
-        super().__init__()
-        self.spare, self.langs = spare, model["langs"]
-        self.none = np.zeros(len(self.langs), np.float32)
-        self.usual = {}
-        for size, (grams, logs) in model["tables"].items():
-            p = np.exp(logs.astype(float))
-            mean = (p * logs).sum(axis=0) / p.sum(axis=0)
-            usual = (logs > model["floors"][size] + 1e-3) & (logs >= mean - RARE)
-            self.usual[size] = dict(zip(grams, usual.astype(np.float32)))
-
-    def __missing__(self, word: str) -> np.ndarray:
-        w = f"^{word}$"
-        least, top = (1, 2) if _DENSE.search(word) else (3, TOP_GRAM)
-        shares = []
-        for k in range(least, min(top, len(w)) + 1):
-            grams = [g for i in range(len(w) - k + 1) if (g := w[i:i + k]).strip("^$")]
-            table = self.usual.get(k, {})
-            shares.append(np.mean([table.get(g, self.none) for g in grams], axis=0))
-        out = np.maximum(self.usual[0].get(word, self.none), np.mean(shares, axis=0))
-        if len(self) >= self.spare:
-            self.clear()
-        self[word] = out
-        return out
-
-    def share(self, text: str | None, lang: str) -> float:
-        """Share of the letters of ``text`` that ``lang`` is known to use."""
-        if lang not in self.langs:
-            return 0.0
-        at, part, total = self.langs.index(lang), 0.0, 0
-        for word, n in Counter(_LETTERS.findall(text.lower())).items():
-            part, total = part + n * len(word) * float(self[word][at]), total + n * len(word)
-        return part / total
+            if self.evidence:
+                used += self.size[rows] @ self.known[rows]
+                letters += self.size[rows].sum()
+        return total, used / max(letters, 1.0)
 
 
-def guess(scorer: Scorer | None, model: dict, text: str | None) -> tuple[str, float]:
+def guess(scorer: Scorer | None, model: dict, text: str | None) -> tuple[str, float, float]:
+    """Language, score, and the share of the text's letters that it is known
+    to use."""
     words = _LETTERS.findall(text.lower()) if text else []
     if scorer is None or not words:
-        return "und", 0.0
-    s = scorer.sums(words)
+        return "und", 0.0, 0.0
+    s, known = scorer.sums(words)
     if s.max() == s.min():
-        return model["langs"][model["first"]], 1.0 / len(s)
+        return model["langs"][model["first"]], 1.0 / len(s), float(known[model["first"]])
     p = np.exp(s - s.max())
-    return model["langs"][int(np.argmax(s))], float(p.max() / p.sum())
+    at = int(np.argmax(s))
+    return model["langs"][at], float(p.max() / p.sum()), float(known[at])
 
 
 def predict(docs: DataFrame, model: dict, evidence: bool = False) -> DataFrame:
@@ -191,19 +238,15 @@ def predict(docs: DataFrame, model: dict, evidence: bool = False) -> DataFrame:
     predicted language is known to use."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)           # bounded by the limits of fit()
+    shared = spark.sparkContext.broadcast(model)           # bounded by the sample of fit()
     names = ["lang_pred", "score"] + ["known"] * evidence
 
     @F.pandas_udf("lang_pred string, score double" + ", known double" * evidence)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        scorer = Scorer(m) if m["langs"] else None
-        known = Evidence(m) if evidence else None
+        scorer = Scorer(m, evidence=evidence) if m["langs"] else None
         for texts in batches:
-            out = [guess(scorer, m, t) for t in texts]
-            if evidence:
-                out = [(lang, score, known.share(t, lang)) for t, (lang, score) in zip(texts, out)]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame([guess(scorer, m, t)[:len(names)] for t in texts], columns=names)
 
     return docs.withColumn("_g", run(F.col("text"))).select(
         *[F.col(f"`{c}`") for c in docs.columns], *[f"_g.{n}" for n in names])
@@ -213,7 +256,7 @@ def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is found, with their columns; the
     fit takes their own labels.  Rejected are ``und`` and texts of whose
     letters the found language is known to use a share below ``least`` (see
-    ``Evidence``): other scripts, languages without labelled rows, gibberish.
+    ``Scorer``): other scripts, languages without labelled rows, gibberish.
     The score does not tell these: it compares the languages known, and over
     many words it nears 1 whatever the text."""
     found = predict(boxed(docs, "text"), fit(docs), evidence=True)

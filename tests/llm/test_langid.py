@@ -1,5 +1,9 @@
+import math
 import random
 import zlib
+from collections import Counter
+
+import pytest
 
 from inkwell.llm import langid as L
 
@@ -92,3 +96,59 @@ def test_messy_rows(spark, messy, nothing):
     assert out.columns == messy.columns and out.where("doc_id in (4, 5, 6, 11)").isEmpty()
     bare = L.fit(messy.where("lang is null"))
     assert {r.lang_pred for r in L.predict(messy.select("text"), bare).collect()} == {"und"}
+
+
+def naive(rows, texts):
+    """Plain sums of log frequencies with back-off, over dictionaries."""
+    grams = {k: {} for k in range(L.TOP_GRAM + 1)}
+    for _, text, lang in rows:
+        for w in L._LETTERS.findall(text.lower()):
+            grams[0].setdefault(w, Counter())[lang] += 1
+            s = f"^{w}$"
+            for k in range(1, L.TOP_GRAM + 1):
+                for i in range(len(s) - k + 1):
+                    grams[k].setdefault(s[i:i + k], Counter())[lang] += 1
+    langs = sorted({lang for _, _, lang in rows})
+    total = {k: Counter() for k in grams}
+    for k, t in grams.items():
+        for c in t.values():
+            total[k].update(c)
+
+    def logs(k, g):
+        return [math.log((grams[k][g][x] + 0.5) / (total[k][x] + 0.5 * len(grams[k]))) for x in langs]
+
+    def word(w):
+        if w in grams[0]:
+            return logs(0, w)
+        s = f"^{w}$"
+        for k in range(min(L.TOP_GRAM, len(s)), 0, -1):
+            known = [g for i in range(len(s) - k + 1) if (g := s[i:i + k]) in grams[k] and g.strip("^$")]
+            if known:
+                return [sum(c) / len(known) for c in zip(*(logs(k, g) for g in known))]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        ws = L._LETTERS.findall(t.lower())
+        out.append([sum(c) for c in zip(*map(word, ws))] if ws else None)
+    return out
+
+
+def test_sums_equal_a_naive_scorer(spark):
+    rows, df = corpus(spark)
+    seen = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    scorer = L.Scorer(L.fit(df))
+    rnd = random.Random(7)
+    words = [w for ws in WORDS.values() for w in ws]
+    texts = [" ".join(rnd.choice(words)[rnd.randrange(3):] + rnd.choice(["", "", "s", "ing", "é", "東"]) for _ in range(9)) for _ in range(60)]
+    for t, want in zip(texts, naive(seen, texts)):
+        assert scorer.sums(L._LETTERS.findall(t.lower()))[0].tolist() == pytest.approx(want, abs=1e-3)
+
+
+def test_rare_language_keeps_its_rows(spark):
+    rows, df = corpus(spark, 3000)
+    rare = spark.createDataFrame([(90_000 + i, "kala maja puu vesi taevas", "ee") for i in range(30)], df.schema)
+    model = L.fit(df.unionByName(rare), max_rows=150)
+    assert model["langs"] == ["aa", "bb", "cc", "ee"]
+    assert L.guess(L.Scorer(model), model, "maja puu")[0] == "ee"
+    assert L.quota([3000, 3000, 20], 150) == 65 and L.quota([5, 7], 100) == 7 and L.quota([], 5) == 0
