@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def fit_irls(train: DataFrame, group: str | None = None, features: str = "vec",
     """Logistic regression by iteratively reweighted least squares, one model
     per value of ``group`` (all in the same passes): (group, w, b, n).
 
-    Each step is one grouped aggregate of the gradient and the weighted Gram
+    At most ``steps`` steps; each is one grouped aggregate of the gradient and the weighted Gram
     matrix; (d + 1)(d + 2) / 2 + d + 1 numbers a group reach the driver, where
     the step is solved.  Features are centred and scaled to [-1, 1] inside (w
     and b are for the raw features); ``ridge`` times n keeps separable data
@@ -87,17 +88,20 @@ def fit_irls(train: DataFrame, group: str | None = None, features: str = "vec",
         return x.sparkSession.createDataFrame([], f"`{group or 'one'}` {kind}, w array<double>, b double, n bigint")
     d = first["d"]
     at = [F.col("_x")[i] for i in range(d)]
-    mean = {r["_g"]: (r["n"], [float(r[f"s{i}"]) / r["n"] for i in range(d)]) for r in
-            x.groupBy("_g").agg(F.count("*").alias("n"), *[_exact(c).alias(f"s{i}") for i, c in enumerate(at)]).collect()}
-    x = _with_model(x, {k: m for k, (_, m) in mean.items()}, "_m")
-    away = [F.max(F.abs(c - F.col("_m")[i])).alias(f"a{i}") for i, c in enumerate(at)]
-    scale = {r["_g"]: [r[f"a{i}"] or 1.0 for i in range(d)] for r in x.groupBy("_g").agg(*away).collect()}
-    x = _with_model(x, scale, "_s")
+    # One pass for the means and the largest distances from them.
+    told = x.groupBy("_g").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(at)
+                                                          for k, f in (("s", _exact), ("lo", F.min), ("hi", F.max))]).collect()
+    mean = {r["_g"]: (r["n"], [float(r[f"s{i}"]) / r["n"] for i in range(d)]) for r in told}
+    scale = {r["_g"]: [max(r[f"hi{i}"] - m, m - r[f"lo{i}"]) or 1.0 for i, m in enumerate(mean[r["_g"]][1])] for r in told}
+    x = _with_model(_with_model(x, {k: m for k, (_, m) in mean.items()}, "_m"), scale, "_s")
     z = F.zip_with(F.zip_with("_x", "_m", lambda a, b: a - b), "_s", lambda a, b: a / b)
     x = x.select("_g", "_y", F.concat(z, F.array(F.lit(1.0))).alias("_z"))
     cells = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
-    weights = {k: np.zeros(d + 1) for k in mean}
+    weights, moved = {k: np.zeros(d + 1) for k in mean}, 1.0
     for _ in range(steps):
+        if moved < 1e-9:                                   # the next step would be far below that
+            break
+        moved = 0.0
         s = _with_model(x, {k: w.tolist() for k, w in weights.items()}, "_w")
         s = s.withColumn("_p", 1.0 / (1.0 + F.exp(-M.dot("_z", "_w"))))
         p, zi = F.col("_p"), [F.col("_z")[i] for i in range(d + 1)]
@@ -109,7 +113,8 @@ def fit_irls(train: DataFrame, group: str | None = None, features: str = "vec",
             for i, j in cells:
                 h[i, j] = h[j, i] = float(r[f"h{i}_{j}"])
             grad = np.array([float(r[f"g{i}"]) for i in range(d + 1)])
-            weights[k] = weights[k] + np.linalg.solve(h + penalty * np.eye(d + 1), grad - penalty * weights[k])
+            way = np.linalg.solve(h + penalty * np.eye(d + 1), grad - penalty * weights[k])
+            weights[k], moved = weights[k] + way, max(moved, float(np.abs(way).max()))
     rows = []
     for k, w in weights.items():
         raw = w[:d] / np.array(scale[k])
@@ -119,8 +124,8 @@ def fit_irls(train: DataFrame, group: str | None = None, features: str = "vec",
 
 def _with_model(x: DataFrame, values: dict, name: str) -> DataFrame:
     """``x`` with the numbers of its group (one small array a group)."""
-    kind = x.schema["_g"].dataType.simpleString()
-    t = x.sparkSession.createDataFrame([(k, list(map(float, v))) for k, v in values.items()], f"_g {kind}, `{name}` array<double>")
+    rows = pa.table({"_g": pa.array(list(values)), name: pa.array([list(map(float, v)) for v in values.values()])})
+    t = x.sparkSession.createDataFrame(rows).withColumn("_g", F.col("_g").cast(x.schema["_g"].dataType))
     return x.join(F.broadcast(t), "_g")
 
 
