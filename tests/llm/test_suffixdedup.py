@@ -85,3 +85,23 @@ def test_chunks_of_long_texts(monkeypatch):
 
 def test_empty_table(spark, nothing):
     assert S.remove(nothing).count() == 0
+
+
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of over 50 words in two texts each: those of at least a span
+    go whole, the shorter ones stay (the span is counted in bytes)."""
+    rnd = random.Random(21)
+    rows, want = [], {}
+    for i, size in enumerate([300, 350, 390, 398, 399, 400, 401, 402, 410, 450, 700]):
+        words = []
+        while len(" ".join(words)) < size - 8:
+            words.append("".join(rnd.choice("abcdefgh") for _ in range(5)))
+        passage = " ".join(words).ljust(size, "z")
+        assert len(passage) == size and len(words) > 45
+        for k in (0, 1):
+            # No equal byte next to the passage makes the match longer.
+            text = f"{i}{k} " + " ".join(str(rnd.random()) for _ in range(60)) + "AB"[k] + passage + "CD"[k] + str(rnd.random()) * 9
+            rows.append((2 * i + k, text))
+            want[2 * i + k] = size if size >= 400 else 0
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (n, int(n > 0)) for d, n in want.items()}
