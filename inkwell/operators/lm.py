@@ -495,7 +495,7 @@ def mc_curvature(model: TokenModel, texts: DataFrame, n_draws: int = 10_000, lam
     U = model.vocab
     pos = model.map_words(positions(texts, id_col, text_col))
     cc = model.bigrams.select("ctx", "cc").distinct()
-    x = pos.join(F.broadcast(cc), "ctx", "left")
+    x = pos.join(model.small(cc), "ctx", "left")
     x = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
     r1 = _uniform(F.lit(seed), "doc_id", "pos", "draw", F.lit(1))
     r2 = _uniform(F.lit(seed), "doc_id", "pos", "draw", F.lit(2))
@@ -507,7 +507,7 @@ def mc_curvature(model: TokenModel, texts: DataFrame, n_draws: int = 10_000, lam
            .withColumn("nb", F.count("*").over(Window.partitionBy("ctx")))
            .select("ctx", F.col("tok").alias("sample"), "lo", "hi", F.col("cc").alias("tot"), "nb"))
     bd = x.where("_bigram").withColumn("k", F.floor(F.col("_r2") * F.col("cc")).cast("long"))
-    bd = bd.join(F.broadcast(biv.select("ctx", "tot", "nb").distinct()), "ctx")
+    bd = bd.join(model.small(biv.select("ctx", "tot", "nb").distinct()), "ctx")
     bs = _interval_lookup(bd, biv, ["ctx"], "tot", "nb").drop("tot", "nb")
 
     # Unigram component: add-one counts over the vocabulary (V+1 rows).
@@ -519,12 +519,12 @@ def mc_curvature(model: TokenModel, texts: DataFrame, n_draws: int = 10_000, lam
     ud = x.where(~F.col("_bigram")).withColumn("_one", F.lit(0))
     ud = ud.join(F.broadcast(uiv.select("_one", "tot", "nb").distinct()), "_one")
     ud = ud.withColumn("k", F.floor(F.col("_r2") * F.col("tot")).cast("long"))
-    us = _interval_lookup(ud, F.broadcast(uiv), ["_one"], "tot", "nb").drop("tot", "nb", "_one")
+    us = _interval_lookup(ud, model.small(uiv), ["_one"], "tot", "nb").drop("tot", "nb", "_one")
 
     drawn = bs.unionByName(us, allowMissingColumns=True)
     # Score true tokens and draws under the scoring model.
     big = model.bigrams.select("ctx", "tok", "c")
-    uu = F.broadcast(U.select(F.col("token").alias("tok"), "u"))
+    uu = model.small(U.select(F.col("token").alias("tok"), "u"))
 
     def lp_of(df, tok_col):
         t = df.withColumnRenamed(tok_col, "tok").join(big, ["ctx", "tok"], "left").join(uu, "tok")
@@ -532,7 +532,7 @@ def mc_curvature(model: TokenModel, texts: DataFrame, n_draws: int = 10_000, lam
                    + F.lit(1.0 - lam) * F.col("u")).otherwise(F.col("u"))
         return t.withColumn("lp", F.ln(v))
 
-    ll_x = lp_of(pos.join(F.broadcast(cc), "ctx", "left"), "tok").groupBy("doc_id").agg(
+    ll_x = lp_of(pos.join(model.small(cc), "ctx", "left"), "tok").groupBy("doc_id").agg(
         F.avg("lp").alias("ll_x"))
     ll_t = (lp_of(drawn.select("doc_id", "pos", "draw", "ctx", "cc", "sample"), "sample")
             .groupBy("doc_id", "draw").agg(F.avg("lp").alias("ll")))
