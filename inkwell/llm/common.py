@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -15,6 +16,14 @@ from inkwell.session import ship_package as ship  # noqa: F401
 _WORD = re.compile(r"\w+")
 
 
+def _written(spark) -> list[str]:
+    """Scratch folders of this application that ``cut`` has written."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_inkwell_cuts"):
+        sc._inkwell_cuts = []
+    return sc._inkwell_cuts
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and continue
     from the files: several consumers share one computation, and a lost
@@ -22,9 +31,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _written(spark).append(path)
     return spark.read.parquet(path)
 
 
+def finished(spark, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``cut`` of the table that ``make`` builds; the scratch folders that were
+    written on the way to it are removed once it is there."""
+    written = _written(spark)
+    before = len(written)
+    out = cut(make(), name)
+    for path in written[before:-1]:
+        remove(spark, path)
+    del written[before:-1]
+    return out
+
+
 def remove(spark, path: str | None) -> None:
     """Delete a scratch folder that nothing will read again."""
     if path:

@@ -2,7 +2,8 @@ import random
 
 import __spark_entry__ as E
 import corpus_pipeline as P
-from inkwell.llm import decontaminate, langid, nearjoin, packing, pii
+from inkwell.llm import common, decontaminate, langid, nearjoin, packing, pii
+from inkwell.session import read_parquet_if_there
 
 from .conftest import sentence
 
@@ -66,3 +67,22 @@ def test_registered():
     assert q["pipeline"] is P.run and set(o) <= set(q)
     for n in range(1, 11):
         assert len([x for x in q if x.startswith(f"op{n}_")]) == 1
+
+
+def test_operators_11_to_13_are_registered():
+    q = E.queries()
+    for n in (11, 12, 13):
+        assert len([x for x in q if x.startswith(f"op{n}_")]) == 1
+
+
+def test_scratch_of_a_finished_table_goes(spark):
+    inner = []
+
+    def make():
+        a = common.cut(spark.range(5).toDF("x"), "inner")
+        inner.extend(common._written(spark)[-1:])
+        return common.cut(a.where("x > 1"), "inner").where("x > 2")
+
+    out = common.finished(spark, make, "outer")
+    assert sorted(r.x for r in out.collect()) == [3, 4]
+    assert read_parquet_if_there(spark, inner[0]) is None and common._written(spark)[-1].rsplit("/", 1)[1].startswith("outer")
