@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import decontaminate, langid, nearjoin, packing, pii
-from inkwell.llm.common import cut, table
+from inkwell.llm.common import finished, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        # What a stage wrote on the way goes when its result is there.
+        docs = finished(spark, lambda: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
