@@ -22,16 +22,16 @@ the language that sorts first; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import boxed, cut, only, ship, table, unboxed
+from inkwell.llm.common import boxed, cut, mix64, only, ship, table, unboxed
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 TOP_GRAM = 5
@@ -96,11 +96,11 @@ def fit(docs: DataFrame, max_rows: int = 20_000, max_words: int | None = None, m
                      .select("at", "gram", "n", F.lit(k).alias("size")))
     tables, first = {}, 0
     for size, part in enumerate(parts):
-        got = part.select(F.xxhash64("gram").alias("h"), "at", "n").toArrow()            # the sample's vocabulary
-        h, at, n = (got.column(c).to_numpy() for c in ("h", "at", "n"))
+        got = part.select("gram", "at", "n").toArrow()                                   # the sample's vocabulary
+        grams, at, n = got.column("gram").to_pylist(), got.column("at").to_numpy(), got.column("n").to_numpy()
         if size == 0:
             first = int(np.argmax(np.bincount(at, weights=n, minlength=len(langs))))
-        tables[size] = entries(h.view(np.uint64), at, n, len(langs), max_grams if size else max_words)
+        tables[size] = entries(hashes(grams), at, n, len(langs), max_grams if size else max_words)
     return {"langs": langs, "first": first, "tables": tables}
 
 
@@ -125,14 +125,44 @@ def entries(h: np.ndarray, at: np.ndarray, n: np.ndarray, langs: int, most: int
                  floor.astype(np.float32))
 
 
-def hashes(grams: list[str]) -> np.ndarray:
-    """As ``xxhash64`` of Spark."""
-    return np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64)
+_FACTORS = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of non-empty strings: code points times a factor by
+    place, summed and mixed with the length."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    if not len(n):
+        return np.empty(0, np.uint64)
+    start = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(start, n)
+    return mix64(np.add.reduceat(_points("".join(words)) * _FACTORS[place % len(_FACTORS)], start) + n.astype(np.uint64) * _LENGTH)
+
+
+def gram_hashes(words: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of its word and the hash (as ``hashes`` has it) of every
+    run of ``k`` characters of the words, all computed together."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    n = np.maximum(size - k + 1, 0)
+    flat = _points("".join(words))
+    if not n.sum():
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    sums = np.zeros(len(flat) - k + 1, np.uint64)
+    for j in range(k):
+        sums += flat[j:len(flat) - k + 1 + j] * _FACTORS[j]
+    at = np.repeat(np.cumsum(size) - size - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return np.repeat(np.arange(len(words)), n), mix64(sums[at] + np.full(1, k, np.uint64) * _LENGTH)
 
 
 class Scorer(dict):
     """word -> row of the log frequencies, and of the evidence, of the words
-    met so far; all are forgotten when ``spare`` are kept.
+    met so far; all are forgotten when ``spare`` are kept.  New words are worked
+    out together, a gram length at a time.
 
     The evidence of a word is the share of it that each language is known to
     use: 1 if the word is usual there, or else the mean share of its n-grams of
@@ -142,75 +172,90 @@ class Scorer(dict):
     def __init__(self, model: dict, spare: int = 200_000, evidence: bool = False):
         super().__init__()
         self.tables, self.spare, self.evidence = model["tables"], spare, evidence
-        n = len(model["langs"])
-        self.logs = np.zeros((spare, n), np.float32)
-        self.known = np.zeros((spare if evidence else 1, n), np.float32)
+        self.langs = len(model["langs"])
+        self.logs = np.zeros((spare, self.langs), np.float32)
+        self.known = np.zeros((spare if evidence else 1, self.langs), np.float32)
         self.size = np.zeros(spare)
 
-    def found(self, k: int, grams: list[str]) -> np.ndarray:
-        """The places of those grams that table ``k`` holds."""
-        h, want = self.tables[k].h, hashes(grams)
+    def found(self, k: int, want: np.ndarray) -> np.ndarray:
+        """The place of each hash in table ``k``; -1 if it is not there."""
+        h = self.tables[k].h
         if not len(h):
-            return np.empty(0, np.int64)
+            return np.full(len(want), -1)
         at = np.minimum(np.searchsorted(h, want), len(h) - 1)
-        return at[h[at] == want]
+        return np.where(h[at] == want, at, -1)
 
-    def mean_logs(self, k: int, places: np.ndarray) -> np.ndarray:
+    def spread(self, k: int, owner: np.ndarray, places: np.ndarray, rows: int, usual: bool) -> np.ndarray:
+        """Sums over the grams at ``places`` by the word that owns them and
+        language: of what their log frequency has above the floor, or of how
+        many are usual."""
         t = self.tables[k]
-        out = t.floor.astype(float)
-        for p in places:
-            s = slice(t.start[p], t.start[p + 1])
-            out[t.at[s]] += (t.logs[s] - t.floor[t.at[s]]) / len(places)
-        return out
-
-    def usual(self, k: int, places: np.ndarray, of: int) -> np.ndarray:
-        t, out = self.tables[k], np.zeros(self.logs.shape[1])
-        for p in places:
-            s = slice(t.start[p], t.start[p + 1])
-            out[t.at[s]] += t.usual[s]
-        return out / of
-
-    def grams(self, word: str, k: int) -> list[str]:
-        w = f"^{word}$"
-        return [g for i in range(len(w) - k + 1) if (g := w[i:i + k]).strip("^$")]
-
-    def back_off(self, word: str) -> np.ndarray:
-        for k in range(min(TOP_GRAM, len(word) + 2), 0, -1):
-            places = self.found(k, self.grams(word, k))
-            if len(places):
-                return self.mean_logs(k, places)
-        return np.zeros(self.logs.shape[1])
-
-    def shares(self, word: str, places: np.ndarray) -> np.ndarray:
-        least, top = (1, 2) if _DENSE.search(word) else (3, TOP_GRAM)
-        parts = []
-        for k in range(least, min(top, len(word) + 2) + 1):
-            grams = self.grams(word, k)
-            parts.append(self.usual(k, self.found(k, grams), len(grams)))
-        return np.maximum(self.usual(0, places, 1), np.mean(parts, axis=0))
-
-    def __missing__(self, word: str) -> int:
-        i, places = len(self), self.found(0, [word])
-        self.logs[i] = self.mean_logs(0, places) if len(places) else self.back_off(word)
+        n = t.start[places + 1] - t.start[places]
+        entry = np.repeat(t.start[places] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        lang = t.at[entry]
+        cell = np.repeat(owner, n) * self.langs + lang
+        sums = np.bincount(cell, t.usual[entry] if usual else t.logs[entry] - t.floor[lang], rows * self.langs)
+        return sums.reshape(rows, self.langs)
+
+    def grams(self, words: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word all grams of length ``k``: the word's number, the
+        gram's place."""
+        # The marks of the ends alone say nothing.
+        owner, h = gram_hashes(words if k == 1 else [f"^{w}$" for w in words], k)
+        return owner, self.found(k, h)
+
+    def learn(self, words: list[str]) -> None:
+        """Rows of new words."""
+        n, whole = len(words), self.found(0, hashes(words))
+        logs, rest = np.zeros((n, self.langs)), np.flatnonzero(whole < 0)
+        seen = np.flatnonzero(whole >= 0)
+        logs[seen] = (self.tables[0].floor + self.spread(0, seen, whole[seen], n, False))[seen]
+        for k in range(TOP_GRAM, 0, -1):                             # back-off
+            if not len(rest):
+                break
+            owner, places = self.grams([words[i] for i in rest], k)
+            owner, places = owner[places >= 0], places[places >= 0]
+            times = np.bincount(owner, minlength=len(rest))
+            sums, hit = self.spread(k, owner, places, len(rest), False), times > 0
+            logs[rest[hit]] = self.tables[k].floor + sums[hit] / times[hit, None]
+            rest = rest[~hit]
+        start = len(self)
+        self.logs[start:start + n] = logs
         if self.evidence:
-            self.known[i], self.size[i] = self.shares(word, places), len(word)
-        self[word] = i
-        return i
-
-    def parts(self, words: list[str]) -> Iterator[np.ndarray]:
-        """The rows of the words, in parts so that one very long text fits."""
-        step = self.spare // 2
-        for at in range(0, len(words), step):
-            part = words[at:at + step]
-            if len(self) + len(part) > self.spare:
-                self.clear()
-            yield np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            self.known[start:start + n] = self.shares(words, seen, whole[seen])
+            self.size[start:start + n] = [len(w) for w in words]
+        self.update(zip(words, range(start, start + n)))
+
+    def shares(self, words: list[str], seen: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        out, lengths = np.zeros((len(words), self.langs)), np.zeros(len(words))
+        dense = np.array([bool(_DENSE.search(w)) for w in words], bool)
+        for k in range(1, TOP_GRAM + 1):
+            mine = np.flatnonzero(dense if k < 3 else ~dense)
+            owner, places = self.grams([words[i] for i in mine], k)
+            of = np.bincount(owner, minlength=len(mine))
+            part = self.spread(k, owner[places >= 0], places[places >= 0], len(mine), True)
+            out[mine] += part / np.maximum(of, 1)[:, None]
+            lengths[mine] += of > 0
+        return np.maximum(out / np.maximum(lengths, 1)[:, None], self.spread(0, seen, whole, len(words), True))
+
+    def prepare(self, words: Iterable[str]) -> None:
+        """Make room for, and learn, the new ones of at most ``spare`` words."""
+        every = dict.fromkeys(words)
+        new = [w for w in every if w not in self]
+        if len(self) + len(new) > self.spare:
+            self.clear()
+            new = list(every)
+        for at in range(0, len(new), 20_000):
+            self.learn(new[at:at + 20_000])
 
     def sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log frequencies, and the share of the letters that each
         language is known to use (zeros without evidence)."""
-        total, used, letters = np.zeros(self.logs.shape[1]), np.zeros(self.logs.shape[1]), 0.0
-        for rows in self.parts(words):
+        total, used, letters = np.zeros(self.langs), np.zeros(self.langs), 0.0
+        for at in range(0, len(words), self.spare):                  # so that one very long text fits
+            part = words[at:at + self.spare]
+            self.prepare(part)
+            rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
             total += self.logs[rows].sum(axis=0, dtype=float)
             if self.evidence:
                 used += self.size[rows] @ self.known[rows]
@@ -218,10 +263,14 @@ class Scorer(dict):
         return total, used / max(letters, 1.0)
 
 
-def guess(scorer: Scorer | None, model: dict, text: str | None) -> tuple[str, float, float]:
+def words_in(text: str | None) -> list[str]:
+    return _LETTERS.findall(text.lower()) if text else []
+
+
+def guess(scorer: Scorer | None, model: dict, text: str | list[str] | None) -> tuple[str, float, float]:
     """Language, score, and the share of the text's letters that it is known
-    to use."""
-    words = _LETTERS.findall(text.lower()) if text else []
+    to use; of a text or of its words."""
+    words = text if isinstance(text, list) else words_in(text)
     if scorer is None or not words:
         return "und", 0.0, 0.0
     s, known = scorer.sums(words)
@@ -232,6 +281,19 @@ def guess(scorer: Scorer | None, model: dict, text: str | None) -> tuple[str, fl
     return model["langs"][at], float(p.max() / p.sum()), float(known[at])
 
 
+def _grouped(texts: Iterable[str | None], most: int = 50_000) -> Iterator[list[list[str]]]:
+    """The texts' words, some texts at a time."""
+    held, n = [], 0
+    for t in texts:
+        held.append(words_in(t))
+        n += len(held[-1])
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def predict(docs: DataFrame, model: dict, evidence: bool = False) -> DataFrame:
     """All columns of ``docs`` (it needs ``text``) with lang_pred and score;
     with ``evidence`` also ``known``, the share of the text's letters that the
@@ -246,7 +308,13 @@ def predict(docs: DataFrame, model: dict, evidence: bool = False) -> DataFrame:
         m = shared.value
         scorer = Scorer(m, evidence=evidence) if m["langs"] else None
         for texts in batches:
-            yield pd.DataFrame([guess(scorer, m, t)[:len(names)] for t in texts], columns=names)
+            out: list[tuple] = []
+            for group in _grouped(texts):
+                if scorer is not None:
+                    # The words of many texts are learnt together.
+                    scorer.prepare(islice((w for words in group for w in words), scorer.spare))
+                out += [guess(scorer, m, words)[:len(names)] for words in group]
+            yield pd.DataFrame(out, columns=names)
 
     return docs.withColumn("_g", run(F.col("text"))).select(
         *[F.col(f"`{c}`") for c in docs.columns], *[f"_g.{n}" for n in names])
