@@ -128,3 +128,36 @@ def test_top_n_is_exact_for_any_number_of_salts(spark, salts):
             ids = sorted((r[0] for r in rows if r[1] == g), key=lambda i: (md5key(3, i), i))[:n]
             exp.update({(g, k): i for k, i in enumerate(ids, 1)})
         assert got == exp, n
+
+
+def test_group_split_keeps_groups_whole_and_classes_in_proportion(spark):
+    import random
+    rnd = random.Random(3)
+    rows, i = [], 0
+    for g in range(400):
+        for _ in range(rnd.choice([1, 2, 2, 6])):
+            rows.append((i, g if g else None, rnd.choice([0, 0, 1])))
+            i += 1
+    df = spark.createDataFrame(rows, "id long, g long, y int").repartition(6)
+    got = C.group_fraction_split(df, "g", "y", 0.2, seed=5).collect()
+    assert len(got) == len(rows) and sorted(r.id for r in got) == list(range(i))
+    sides = {}
+    for r in got:
+        sides.setdefault(r.g, set()).add(r.split)
+    assert all(len(s) == 1 for s in sides.values())                      # no group on both sides
+    assert sum(s == {"test"} for s in sides.values()) == 80
+    for y in (0, 1):
+        n = sum(r[2] == y for r in rows)
+        assert abs(sum(r.y == y and r.split == "test" for r in got) - 0.2 * n) < 0.03 * n
+    again = C.group_fraction_split(df.repartition(2), "g", "y", 0.2, seed=5).collect()
+    assert {(r.id, r.split) for r in got} == {(r.id, r.split) for r in again}
+    assert C.group_fraction_split(df.where("1 = 0"), "g", "y", 0.2).count() == 0
+
+
+def test_top_n_from_one_bucket_and_from_all(spark):
+    df = spark.range(500).selectExpr("id", "id % 3 as g").repartition(5)
+    for salts in (1, 3, 1 << 16):
+        for n in (1, 40, 1000):
+            got = top_n_by_hash(df, "g", n, "id", salts=salts).groupBy("g").count().collect()
+            assert {r.g: r["count"] for r in got} == {g: min(n, len(range(g, 500, 3))) for g in range(3)}
+    assert top_n_by_hash(df, None, 7, "id").count() == 7 and top_n_by_hash(df.where("id < 0"), None, 7, "id").count() == 0

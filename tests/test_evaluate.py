@@ -127,3 +127,22 @@ def test_roc_pr_summary_matches_separate(spark):
     for g in a:
         assert s[g].auroc == (pytest.approx(a[g]) if a[g] is not None else None)
         assert s[g].pr_auc == (pytest.approx(p[g]) if p[g] is not None else None)
+
+
+@pytest.mark.parametrize("buckets", [None, 7])
+def test_thinned_curve_keeps_the_area(spark, buckets):
+    rnd = random.Random(8)
+    rows = [(g, float(rnd.randrange(40)), int(rnd.random() < 0.5)) for g in "ab" for _ in range(300)]
+    rows += [("c", float(i), 1) for i in range(50)] + [("c", float(-i), 0) for i in range(1, 60)]       # two straight runs
+    df = spark.createDataFrame(rows, "g string, score double, label int").repartition(4)
+    pts = ev.thinned_roc(df, "g", buckets=buckets)
+    want = {r.g: r.auroc for r in ev.auroc(df, "g").collect()}
+    got = {r.g: r for r in ev.curve_area(pts, "g").collect()}
+    for g, a in want.items():
+        assert got[g].area == pytest.approx(a, abs=1e-12)
+    assert got["c"].n_points == 2
+    # Whatever is kept bends, and nothing that bends is dropped.
+    for g in "ab":
+        p = sorted((r.k, r.fp, r.tp) for r in pts.where(F.col("g") == g).collect())
+        for (_, x0, y0), (_, x1, y1), (_, x2, y2) in zip(p, p[1:], p[2:]):
+            assert (x1 - x0) * (y2 - y1) != (y1 - y0) * (x2 - x1)

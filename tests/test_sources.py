@@ -138,3 +138,28 @@ def test_path_keys_and_text_pick(spark):
     t = spark.createDataFrame([("a doc", "a ctx")], "document string, context string")
     assert pick_text(t, "xsum").first().text == "a doc" and pick_text(t, "squad").first().text == "a ctx"
     assert pick_text(t.withColumnRenamed("document", "other"), "other").first().text == "a doc"
+
+
+def test_aligned_files_follow_the_rows(spark):
+    rows = [(i * 3, f"p{i} ", None if i % 5 == 0 else f" s{i}é") for i in range(23)]
+    df = spark.createDataFrame(rows, "id long, p string, s string").repartition(4)
+    path = scratch_path(spark, "t-aligned")
+    FS.write_aligned(df, path, ["id"], ["p", "s"], lines_per_file=5)
+    manifest = {r.file_no: (r.first_line, r.n_lines) for r in spark.read.parquet(f"{path}/manifest").collect()}
+    assert manifest == {0: (0, 5), 1: (5, 5), 2: (10, 5), 3: (15, 5), 4: (20, 3)}
+    got = sorted(tuple(r) for r in FS.read_aligned(spark, path, ["p", "s"]).collect())
+    assert got == [(i, p, s or "") for i, (_, p, s) in enumerate(rows)]
+    empty = scratch_path(spark, "t-aligned")
+    FS.write_aligned(df.where("1 = 0"), empty, ["id"], ["p"])
+    assert spark.read.parquet(f"{empty}/manifest").count() == 0
+
+
+def test_aligned_files_refuse_line_breaks_and_lost_lines(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c")], "id long, p string")
+    with pytest.raises(Exception, match="line break"):
+        FS.write_aligned(df, scratch_path(spark, "t-aligned"), ["id"], ["p"])
+    path = scratch_path(spark, "t-aligned")
+    FS.write_aligned(df.where("id = 2").unionByName(df.where("id = 2").selectExpr("3L as id", "p")), path, ["id"], ["p"])
+    spark.createDataFrame([("c",)], "value string").write.mode("overwrite").text(f"{path}/p/file_no=0")
+    with pytest.raises(Exception, match="lines of the manifest"):
+        FS.read_aligned(spark, path, ["p"]).collect()
