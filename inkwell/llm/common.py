@@ -54,6 +54,23 @@ def remove(spark, path: str | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, most_rows: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Marked for broadcast if its counted rows and bytes allow, else left to
+    be joined by shuffle.  ``df`` is read for it: pass a written table."""
+    parts = []
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            parts.append(F.octet_length(c))
+        elif kind == "array<string>":
+            parts.append(F.aggregate(c, F.lit(0), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0))))
+        elif kind.startswith("array"):
+            parts.append(F.size(c) * 8 * max(1, kind.count(":")))
+    size = sum((F.coalesce(p.cast("long"), F.lit(0)) for p in parts), F.lit(8 * len(df.columns)).cast("long"))
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if r["n"] <= most_rows and r["b"] <= most_bytes else df
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The operator's own input columns, whatever else the table carries."""
     return df.select(*[F.col(f"`{c}`") for c in cols])

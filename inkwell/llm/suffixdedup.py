@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, mix64, only, ship, table
+from inkwell.llm.common import cut, mix64, only, ship, small, table
 
 SPAN = 400
 GRAM = 64
 BLOCK = 8
 GROUP = 4096                    # different segments of an anchor sorted in one task
-BROADCAST_ROWS = 500_000        # counted rows of one or two numbers each
+BROADCAST_ROWS = 500_000        # counted rows; their bytes are counted too
 CHUNK = 1 << 21                 # bytes of a text handled at once
 _SEGMENTS = "key long, s1 long, s2 long, id long, ta long, loc long"
 
@@ -212,11 +212,6 @@ def _cut_segments(docs: DataFrame) -> DataFrame:
     return _rows(docs).mapInPandas(run, _SEGMENTS)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if its counted rows allow, else joined by shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, s1, s2, offset, bytes of the wanted segments (one copy each)."""
     lists = cut(wanted.groupBy("id", "ta").agg(F.collect_list(F.struct("key", "s1", "s2", "loc")).alias("list")), "wanted")
@@ -232,7 +227,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "s1", "s2", "offset", "bytes"])
 
     d = _rows(docs)
-    hit = d.join(_small(lists.withColumnRenamed("ta", "_ta")), d["doc_id"].eqNullSafe(F.col("id")) & (d["ta"] == F.col("_ta")))
+    hit = d.join(small(lists.withColumnRenamed("ta", "_ta"), BROADCAST_ROWS), d["doc_id"].eqNullSafe(F.col("id")) & (d["ta"] == F.col("_ta")))
     got = hit.select("text", "list").mapInPandas(run, "key long, s1 long, s2 long, offset int, bytes binary")
     return got
 
@@ -284,14 +279,14 @@ def covered(docs: DataFrame) -> DataFrame:
     every = cut(_cut_segments(docs), "segments")
     keys = (every.groupBy("key").agg(F.count("*").alias("n"), (F.min("s1") != F.max("s1")).alias("mixed"))
             .where("n > 1").select("key", "mixed"))
-    met = cut(every.join(_small(cut(keys, "keys")), "key"), "met")
+    met = cut(every.join(small(cut(keys, "keys"), BROADCAST_ROWS), "key"), "met")
     found = cut(met.groupBy("key", "s1", "s2").agg(
         F.count("*").alias("n"), F.max("mixed").alias("mixed"),
         F.min(F.struct(F.col("id").isNull(), "id", "ta", "loc")).alias("one")), "distinct")
     mixed = found.where("mixed").select("key", "s1", "s2", "one.id", "one.ta", "one.loc")
     rows = cut(_fetch(docs, mixed), "bytes")
     many = rows.groupBy("key").count().where(F.col("count") > GROUP).select("key")
-    many = _small(cut(many, "many"))
+    many = small(cut(many, "many"), BROADCAST_ROWS)
     part = _sorted_groups(rows.join(many, "key", "left_anti")).unionByName(
         _counted_groups(rows.join(many, "key", "left_semi")))
     whole = found.where("n > 1").select("key", "s1", "s2", F.lit(0).alias("from"), F.lit(512).alias("to"))

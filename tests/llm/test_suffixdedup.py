@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from inkwell.llm import suffixdedup as S
+from inkwell.llm.common import small
 
 
 @settings(max_examples=300, deadline=None)
@@ -105,3 +106,10 @@ def test_planted_passages_go_from_400_bytes_on(spark):
             want[2 * i + k] = size if size >= 400 else 0
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: (n, int(n > 0)) for d, n in want.items()}
+
+
+def test_broadcast_only_below_rows_and_bytes(spark):
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) as t", "array(id, id) as a", "array('ab', null) as s")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(df, 100)) and not hinted(small(df, 99)) and not hinted(small(df, 100, 100_000))
+    assert hinted(small(df, 100, 110_000)) and hinted(small(df.where("id < 0"), 0, 0))
