@@ -188,8 +188,8 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
     U = model.vocab.select(F.col("token").alias("tok"), "u")
     cc = model.bigrams.select("ctx", "cc").distinct()
     q = queries.select("ctx", "tok").distinct().join(model.bigrams.select("ctx", "tok", "c"), ["ctx", "tok"], "left")
-    if not model.n_vocab:
-        q = materialize(q)
+    if not model.n_vocab:                                  # both are read by several branches
+        q, cc = materialize(q), materialize(cc)
     q = model.lookup(q, cc, ["ctx"], "left")
     if not model.n_vocab:
         q = materialize(q)
@@ -341,7 +341,7 @@ def _positions_scored(model: TokenModel, texts: DataFrame, lam: float, lam_ref:
     asked = mapped.select("ctx").distinct()
     model = replace(model, bigrams=materialize(model.bigrams.join(asked, "ctx", "left_semi")))
     ps = materialize(pair_stats(model, mapped.select("ctx", "tok"), lam))
-    cs = context_stats(model, lam, lam_ref)
+    cs = materialize(context_stats(model, lam, lam_ref))
     ps = model.lookup(ps, cs.where(F.col("ctx").isNotNull()), ["ctx"], "left")
     # Contexts without seen pairs take the default (unigram) statistics.
     d = default_stats(vocab_constants(model, lam, lam_ref))
