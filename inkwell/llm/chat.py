@@ -15,9 +15,8 @@ conversation's length.  For a template that is known to be local, one that
 neither looks back nor rewrites further than ``overlap`` turns, ``window`` can
 be set: conversations are then rendered in blocks of that many turns behind
 the ``overlap`` turns before, with the same pieces and with memory and work
-bounded by the block.  The default template renders each turn by itself, so
-the query sets it, to blocks of one turn at any length.  Turns arrive sorted within partitions and are handled as a
-stream.
+bounded by the block.  The query does not set it: it renders every prefix.
+Turns arrive sorted within partitions and are handled as a stream.
 
 Edge cases: null role or text is empty; turns that tie are ordered by role
 and text, null turns come first; repeated rows are turns of their own; the
@@ -202,6 +201,4 @@ def op5_prefix_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)],
                                  "conv_id long, turn long, role string, text string")
-    # The default template is local: every turn is rendered behind the two before
-    # it, in short and in long conversations alike.
-    return digests(format_turns(c.unionByName(more), window=1))
+    return digests(format_turns(c.unionByName(more)))

@@ -94,3 +94,19 @@ def test_blocks_of_a_local_template_give_the_same_pieces(spark):
     whole = sorted(map(tuple, C.format_turns(df).collect()))
     for window in (1, 2, 7, 512):
         assert sorted(map(tuple, C.format_turns(df, window=window).collect())) == whole
+
+
+def test_query_renders_every_prefix_whole(spark, tmp_path, monkeypatch):
+    real, log = C.format_turns, f"{tmp_path}/log"
+
+    def logged(turns):
+        with open(log, "a") as f:
+            f.write(f"{len(turns)}\n")
+        return C.marked_turns(turns)
+
+    monkeypatch.setattr(C, "format_turns", lambda df, **options: real(df, logged, **options))
+    rows = [(5, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(30)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert C.op5_prefix_rendering(spark, str(tmp_path)).count() == 2
+    # Conversations 5 and -1: every prefix as it is and with its last text empty.
+    assert sorted(map(int, open(log))) == sorted([k for k in range(1, 31)] * 2 + [1, 2] * 2)
