@@ -27,15 +27,20 @@ context split the heavy keys off (:mod:`inkwell.operators.skew`).
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import pairwise, repeat
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.operators.ordering import running_sums
 from inkwell.operators.skew import lookup_join
-from inkwell.session import checkpoint_root, materialize, read_parquet_if_there
+from inkwell.session import checkpoint_root, materialize, read_parquet_if_there, ship_package
 
 # Fixed value: the token that stands for words outside the vocabulary.
 UNK = "<unk>"
@@ -54,8 +59,76 @@ def positions(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return x.select("doc_id", F.inline(arr))
 
 
-def word_stream(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    return texts.select(F.explode(T.words(text_col)).alias("word"))
+#: Most entries (and those of one text) that a task counts before it hands the
+#: partial counts on, and most word pairs it holds before it counts them.
+COUNTED, HELD = 1 << 19, 1 << 21
+
+
+def _split_texts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[list[str]]:
+    """The words of each text of Arrow batches, some rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            for text in b.column(0).slice(i, rows).to_pylist():
+                if text:
+                    yield text.split()
+
+
+def tally(texts: DataFrame, names: list[str], of: Callable[[list[str]], object], text_col: str = "text") -> DataFrame:
+    """(names..., c): how often each item of ``of(words of a text)`` occurs,
+    counted inside each task in a dictionary of bounded size, then added up by
+    a shuffle.  An item is a word, or a tuple of as many words as names."""
+    def table(counts: Counter) -> pa.RecordBatch:
+        cols = zip(*counts) if len(names) > 1 else [counts]
+        return pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.string()) for c in cols),
+                                           pa.array(list(counts.values()), pa.int64())], names=[*names, "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for words in _split_texts(batches):
+            counts.update(of(words))
+            if len(counts) > COUNTED:
+                yield table(counts)
+                counts.clear()
+        if counts:
+            yield table(counts)
+
+    ship_package(texts.sparkSession)
+    schema = ", ".join([f"{n} string" for n in names] + ["c long"])
+    return texts.select(text_col).mapInArrow(run, schema).groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def _mapped_pairs(texts: DataFrame, vocab: DataFrame, text_col: str) -> DataFrame:
+    """(ctx, tok, c): how often a token follows another, all words outside the
+    vocabulary being ``<unk>``.  A pair is one number in the tasks; they hold
+    the vocabulary (V+1 rows) and count a bounded number of pairs at a time."""
+    spark = texts.sparkSession
+    ship_package(spark)
+    rows = materialize(vocab.select("token", F.row_number().over(Window.orderBy("token")).cast("long").alias("place")))
+    place = {r["token"]: r["place"] for r in rows.collect()}
+    other, n = place.pop(UNK), len(place) + 2
+    shared = spark.sparkContext.broadcast(place)
+
+    def table(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(c.astype(np.int64))], names=["pair", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, held, size = shared.value.get, [], 0
+        for words in _split_texts(batches):
+            if len(words) > 1:
+                at = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
+                held.append(at[:-1] * n + at[1:])
+                size += len(words)
+                if size > HELD:
+                    yield table(held)
+                    held, size = [], 0
+        if held:
+            yield table(held)
+
+    c = texts.select(text_col).mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+    for name, at in (("ctx", F.expr(f"pair div {n}")), ("tok", F.col("pair") % n)):
+        c = c.withColumn("place", at).join(F.broadcast(rows.withColumnRenamed("token", name)), "place").drop("place")
+    return c.select("ctx", "tok", "c")
 
 
 @dataclass
@@ -88,16 +161,18 @@ class TokenModel:
         return m.select(*kept, F.coalesce("_ctx", F.lit(UNK)).alias("ctx"), F.coalesce("_tok", F.lit(UNK)).alias("tok"))
 
 
-def train(corpus: DataFrame, V: int | None = 1000, id_col: str = "doc_id", text_col: str = "text") -> TokenModel:
+def train(corpus: DataFrame, V: int | None = 1000, id_col: str = "doc_id", text_col: str = "text",
+          keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: materialize(df)) -> TokenModel:
     """vocabulary = the V most frequent words (ties by word), the rest
     ``<unk>``; ``V=None`` keeps every word (the tables that are broadcast for
     a bounded vocabulary are then joined by shuffle); unigram and bigram
     counts over the whole corpus.  Two passes
-    over the text, each reducing map-side to a small table (distinct words;
-    vocabulary-mapped pairs, at most (V+1)^2) — cheaper than one pass that
-    ships every distinct raw word pair."""
+    over the text, each counting inside its tasks and reducing to a small
+    table (distinct words; vocabulary-mapped pairs, at most (V+1)^2) — cheaper
+    than one pass that ships every distinct raw word pair.  ``keep`` writes
+    each table of the model and reads it back."""
     # Written once: the vocabulary, the totals and the reserved row read it.
-    counts = materialize(word_stream(corpus, text_col).groupBy("word").agg(F.count("*").alias("c")))
+    counts = materialize(tally(corpus, ["word"], lambda words: words, text_col))
     # A word that is literally the reserved token counts as out of vocabulary.
     known = counts.where(F.col("word") != UNK)
     # Distributed top-V (per-partition top-V, then merged: V bounded rows).
@@ -110,14 +185,12 @@ def train(corpus: DataFrame, V: int | None = 1000, id_col: str = "doc_id", text_
     vocab = vocab.withColumn("u", (F.col("c") + 1) / (n_tot + v1))
     # The trained model is an artifact: both tables are written once to the
     # shared checkpoint folder and every consumer reads them from there.
-    model = TokenModel(vocab=materialize(vocab.coalesce(1) if V else vocab), bigrams=None, n_vocab=V)  # type: ignore[arg-type]
-    pos = positions(corpus, id_col, text_col)
+    model = TokenModel(vocab=keep(vocab.coalesce(1) if V else vocab, "vocab"), bigrams=None, n_vocab=V)  # type: ignore[arg-type]
     # Every word of the corpus is in its whole vocabulary (the reserved word
     # stands for itself): nothing to map.
-    mapped = model.map_words(pos) if V else pos.select(F.col("ctx_word").alias("ctx"), F.col("word").alias("tok"))
-    big = materialize(mapped.groupBy("ctx", "tok").agg(F.count("*").alias("c")))
+    big = materialize(_mapped_pairs(corpus, model.vocab, text_col) if V else tally(corpus, ["ctx", "tok"], pairwise, text_col))
     cc = big.groupBy("ctx").agg(F.sum("c").alias("cc"))
-    model.bigrams = materialize(model.lookup(big, cc, ["ctx"]))
+    model.bigrams = keep(model.lookup(big, cc, ["ctx"]), "bigrams")
     return model
 
 
@@ -407,9 +480,11 @@ def load_or_train(spark, corpus: DataFrame, corpus_key: str, V: int | None = 100
     key = hashlib.sha1(f"{_stamp(spark, corpus_key)}|V={V}|{tag}".encode()).hexdigest()[:16]
     root = f"{checkpoint_root(spark).rstrip('/')}/token-models/{key}"
     if read_parquet_if_there(spark, f"{root}/_complete") is None:     # a miss or an unfinished write
-        m = train(corpus, V)
-        m.vocab.write.mode("overwrite").parquet(f"{root}/vocab")
-        m.bigrams.write.mode("overwrite").parquet(f"{root}/bigrams")
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            return spark.read.parquet(f"{root}/{name}")
+
+        train(corpus, V, keep=keep)
         spark.range(1).write.mode("overwrite").parquet(f"{root}/_complete")
     return TokenModel(vocab=spark.read.parquet(f"{root}/vocab"),
                       bigrams=spark.read.parquet(f"{root}/bigrams"), n_vocab=V, path=root)

@@ -174,3 +174,33 @@ def test_no_index_beyond_its_size_bound(spark, monkeypatch):
     for x, y in zip(a, sorted(LM.criteria(m, scored).collect())):
         assert [v is None for v in x] == [v is None for v in y]
         assert [v for v in x if v is not None] == pytest.approx([v for v in y if v is not None], abs=1e-9)
+
+
+def test_counts_of_words_and_pairs_are_handed_on_in_parts(spark, monkeypatch):
+    """Small bounds: many partial counts, the same sums.  The pairs of a
+    bounded vocabulary reach the shuffle as numbers, not as words."""
+    from collections import Counter
+    from itertools import pairwise
+
+    from pyspark import cloudpickle
+    texts = ["a b  a\tb c", "", None, "c", "a b <unk> a", "z a b"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(2)
+    words = [t.split() for t in texts if t]
+    monkeypatch.setattr(LM, "COUNTED", 2)
+    monkeypatch.setattr(LM, "HELD", 3)
+    cloudpickle.register_pickle_by_value(LM)               # the workers take the bounds along
+    try:
+        for V in (2, 50, None):
+            m = LM.train(df, V=V)
+            count = Counter(w for ws in words for w in ws)
+            known = sorted((w for w in count if w != LM.UNK), key=lambda w: (-count[w], w))[:V]
+            mapped = [[w if w in known else LM.UNK for w in ws] for ws in words]
+            big = Counter(p for ws in mapped for p in pairwise(ws))
+            cc = Counter(a for ws in mapped for a in ws[:-1])
+            assert {(r.ctx, r.tok): (r.c, r.cc) for r in m.bigrams.collect()} == {p: (c, cc[p[0]]) for p, c in big.items()}
+            got = {r.token: r.c for r in m.vocab.collect()}
+            assert got == {**{w: count[w] for w in known}, LM.UNK: sum(count.values()) - sum(count[w] for w in known)}
+    finally:
+        cloudpickle.unregister_pickle_by_value(LM)
+    plan = LM._mapped_pairs(df, m.vocab, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan                          # no row a word
