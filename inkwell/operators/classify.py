@@ -229,11 +229,13 @@ def text_feature_scorer() -> Callable[[pd.Series], pd.Series]:
     """A deterministic stand-in for a sequence-classifier model: two logits
     from mean word length and type/token ratio; returns the class-0
     ("machine") probability, as the reference's classifier does (M5)."""
+    def features(text: str) -> tuple[int, int, int]:
+        words = text.split()
+        return len(words), sum(map(len, words)), len(set(words))
+
     def run(texts: pd.Series) -> pd.Series:
-        words = texts.fillna("").str.split()
-        n = words.str.len().to_numpy(float)
-        chars = words.map(lambda ws: sum(map(len, ws))).to_numpy(float)
-        types = words.map(lambda ws: len(set(ws))).to_numpy(float)
+        # The words of one text at a time are held, never those of a batch.
+        n, chars, types = np.array([features(t) for t in texts.fillna("")], float).reshape(-1, 3).T
         with np.errstate(invalid="ignore", divide="ignore"):
             logit = 0.8 * (chars / n - 4.5) + 2.0 * (0.7 - types / n)
         top = np.maximum(logit, 0.0)

@@ -82,3 +82,18 @@ def test_forward_equals_numpy(spark):
     for i, p in got.items():
         assert p == pytest.approx(want[i].tolist(), abs=1e-12)
     assert CL.forward(df.where(F.col("vec").isNull()), layers).count() == 1
+
+
+def test_text_scorer_holds_the_words_of_one_text_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+    texts = pd.Series([" ".join(f"w{i}x{j}" for j in range(300)) for i in range(3000)] + [None, "", " "])
+    run = CL.text_feature_scorer()
+    tracemalloc.start()
+    p = run(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(p) == 3003 and p[3000:].tolist() == [0.5] * 3 and 0 < p[0] < 1
+    assert peak < 5 << 20                                  # 900,000 words took over 50 MB
+    assert run(texts[:0]).tolist() == []
