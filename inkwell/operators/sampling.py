@@ -16,10 +16,15 @@ random number, so a retried task, or another engine, draws the same tokens."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import lm as LM
+from inkwell.session import ship_package
 
 #: Name of the whole vocabulary's table among those of the contexts.
 UNIGRAM = ""
@@ -92,6 +97,63 @@ def sampled_tokens(model: LM.TokenModel, positions: DataFrame, n_draws: int, see
     return draw(x, token_tables(model), "_from", "_n", "sample", bool(model.n_vocab)).select("doc_id", "pos", "draw", "ctx", "sample")
 
 
+def _drawer(model: LM.TokenModel, index: LM.RankIndex, pairs: int, lam_ref: float):
+    """The task side of :func:`sampled_curvature`: the draws of an Arrow batch
+    of positions (doc_id, _c, _true, _key) as array look-ups.  The executors
+    hold the alias tables and ln p of every pair as numbers; an index is only
+    built for a vocabulary for which both are small (``INDEX_BYTES``)."""
+    spark = model.vocab.sparkSession
+    ship_package(spark)
+    vocab = index.vocab.select("token", "pos", "lb", "lu")
+
+    def at(name: str, out: str) -> DataFrame:
+        return F.broadcast(vocab.select(F.col("token").alias(name), F.col("pos").alias(out)))
+
+    t = token_tables(model).join(at("ctx", "_c"), "ctx", "left").join(at("item", "_i"), "item").join(at("other", "_o"), "other")
+    v = vocab.toPandas().sort_values("pos")
+    n = len(v)
+    # The vocabulary's own table comes behind those of its n tokens.
+    t = t.select(F.coalesce("_c", F.lit(n)).alias("_c"), "slot", "cut", "_i", "_o", "slots", "total")
+    t = t.where("total is not null").toPandas().sort_values(["_c", "slot"])
+    first = t[t["slot"] == 0]
+    start, slots, total = (np.zeros(n + 1, np.int64) for _ in range(3))
+    start[first["_c"]] = np.flatnonzero(t["slot"] == 0)
+    slots[first["_c"]], total[first["_c"]] = first["slots"], first["total"]
+    lp = np.where((slots[:n] > 0)[:, None], v["lb"].to_numpy(float), v["lu"].to_numpy(float))
+    seen = index.pairs.select("key", "lp").toPandas()
+    lp[seen["key"] // (index.n_vocab + 1), seen["key"] % (index.n_vocab + 1)] = seen["lp"]
+    shared = spark.sparkContext.broadcast((start, slots, total, t["cut"].to_numpy(), t["_i"].to_numpy(np.int32),
+                                           t["_o"].to_numpy(np.int32), lp))
+
+    def run(batches):
+        start, slots, total, cut, item, other, lp = shared.value
+        ends = [str(k).encode() for k in range(2 * pairs)]
+        for b in batches if total[-1] else ():             # an empty vocabulary draws nothing
+            got = []
+            for key in b.column("_key").to_pylist():
+                m = hashlib.md5(key.encode())
+                for end in ends:
+                    d = m.copy()
+                    d.update(end)
+                    got.append(d.digest())
+            bits = np.frombuffer(b"".join(got), ">u8").reshape(-1, 2).astype(np.uint64)
+            # Digits 1 to 15 of the digest are the number, 16 to 23 choose the table.
+            number = (bits[:, 0] >> np.uint64(4)).astype(np.int64)
+            choice = (bits[:, 0] & np.uint64(15)) << np.uint64(28) | bits[:, 1] >> np.uint64(36)
+            ctx = np.repeat(b.column("_c").to_numpy(), 2 * pairs)
+            own = (slots[ctx] > 0) & (choice < np.uint64(int(lam_ref * (1 << 32))))
+            table = np.where(own, ctx, len(slots) - 1)
+            number %= slots[table] * total[table]
+            row = start[table] + number // total[table]
+            token = np.where(number % total[table] < cut[row], item[row], other[row])
+            pair = lp[ctx, token].reshape(-1, pairs, 2)
+            one, two = pair[..., 0], pair[..., 1]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_true"), pa.array((one + two).sum(1)),
+                                              pa.array(((one - two) ** 2).sum(1))], names=["doc_id", "_true", "_m", "_v"])
+
+    return run
+
+
 def sampled_curvature(model: LM.TokenModel, texts: DataFrame, pairs: int = 4, lam: float = 0.9, lam_ref: float = 0.5,
                       seed=0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """X2, sampled branch: the curvature with mean and variance estimated from
@@ -101,23 +163,19 @@ def sampled_curvature(model: LM.TokenModel, texts: DataFrame, pairs: int = 4, la
     its positions.  Draws come in pairs (a, b): (a + b) / 2 estimates the mean
     of a position and (a - b)^2 / 2 its variance, both without bias, and both
     add up.  So a document's estimate merges from partial sums of any rows, and
-    no draw is shuffled; needs a model with a rank index (bounded V)."""
+    no draw is a row (see :func:`_drawer`); needs a model with a rank index (bounded V)."""
     index = LM.rank_index(model, lam, lam_ref)
     if index is None:
         raise ValueError("the sampled curvature needs a bounded vocabulary")
-    pos = LM.positions(texts, id_col, text_col)
-    x = index.scored(pos).select("doc_id", "pos", "ctx_word", "word", F.col("lp").alias("_true"))
-    x = model.map_words(x).withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))))
-    tables = LM.materialize(token_tables(model))
-    for i, side in enumerate(("_a", "_b")):
-        number = F.col("pair") * 2 + i
-        x = x.withColumn("_n", random_number(seed, "doc_id", "pos", number))
-        x = _reference_context(model, x, random_number(seed, "doc_id", "pos", number, start=16, digits=8), lam_ref)
-        x = draw(x, tables, "_from", "_n", "word").drop("_n", "_from")
-        kept = [c for c in x.columns if c != "word"]
-        x = index.scored(x.withColumn("ctx_word", F.col("ctx"))).select(*kept, F.col("lp").alias(side))
-    a, b = F.col("_a"), F.col("_b")
-    s = x.groupBy("doc_id").agg((F.count("*") / pairs).cast("long").alias("n_tokens"), (F.sum("_true") / pairs).alias("_sl"),
-                                (F.sum(a + b) / (2 * pairs)).alias("_sm"), (F.sum((a - b) * (a - b)) / (2 * pairs)).alias("_sv"))
+    x = index.scored(LM.positions(texts, id_col, text_col)).select("doc_id", "pos", "ctx_word", F.col("lp").alias("_true"))
+    places = F.broadcast(index.vocab.select(F.col("token").alias("ctx_word"), F.col("pos").alias("_c")))
+    unk = index.vocab.where(F.col("token") == LM.UNK).first()["pos"]
+    x = x.join(places, "ctx_word", "left").select(
+        "doc_id", F.coalesce("_c", F.lit(unk)).alias("_c"), "_true", F.concat_ws(":", F.lit(str(seed)), "doc_id", "pos", F.lit("")).alias("_key"))
+    kind = x.schema["doc_id"].dataType.simpleString()
+    # Per position: twice the sum of its pairs' means and of their variances.
+    x = x.mapInArrow(_drawer(model, index, pairs, lam_ref), f"doc_id {kind}, _true double, _m double, _v double")
+    s = x.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("_true").alias("_sl"),
+                                (F.sum("_m") / (2 * pairs)).alias("_sm"), (F.sum("_v") / (2 * pairs)).alias("_sv"))
     s = s.select("doc_id", "n_tokens", F.try_divide(F.col("_sl") - F.col("_sm"), F.sqrt("_sv")).alias("curvature"))
     return texts.select(F.col(id_col).alias("doc_id")).join(s, "doc_id", "left")

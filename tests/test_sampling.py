@@ -1,5 +1,6 @@
 """Alias tables, draws and look-ups with heavy keys."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -69,3 +70,35 @@ def test_lookup_join_equals_a_join(spark, how):
     assert skew.heavy_keys(left.where("1 = 0"), ["word"]) == []
     top = skew.heavy_keys(left, ["word"], 2)
     assert set(top) == {r.h for r in spark.createDataFrame([("the",), ("a",)], "word string").select(F.xxhash64("word").alias("h")).collect()}
+
+
+def test_sampled_curvature_draws_the_tokens_of_sampled_tokens(spark):
+    """The draws are array look-ups of a task, not rows, and are the same as
+    the drawn rows of A15."""
+    from collections import defaultdict
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c d", "b a b", "c c a b e f", "a b c"] * 3)], "doc_id long, text string")
+    texts = spark.createDataFrame([(1, "a b c"), (2, "z z a b"), (3, "f a"), (4, "a"), (5, None)], "doc_id long, text string")
+    m = LM.train(corpus, V=4)
+    drawn = S.sampled_tokens(m, m.map_words(LM.positions(texts)), 6, 3, 0.5).collect()
+    u = {r.token: r.u for r in m.vocab.collect()}
+    c = {(r.ctx, r.tok): r.c for r in m.bigrams.collect()}
+    cc = {r.ctx: r.cc for r in m.bigrams.collect()}
+
+    def lp(a, b):
+        return math.log(0.9 * c.get((a, b), 0) / cc[a] + 0.1 * u[b] if a in cc else u[b])
+
+    sums, at = defaultdict(lambda: [0.0, 0.0, 0.0]), {(r.doc_id, r.pos, r.draw): lp(r.ctx, r.sample) for r in drawn}
+    for r in m.map_words(LM.positions(texts)).collect():
+        s = sums[r.doc_id]
+        s[0] += lp(r.ctx, r.tok)
+        for k in range(0, 6, 2):
+            a, b = at[r.doc_id, r.pos, k], at[r.doc_id, r.pos, k + 1]
+            s[1], s[2] = s[1] + (a + b) / 6, s[2] + (a - b) ** 2 / 6
+    df = S.sampled_curvature(m, texts, 3, 0.9, 0.5, 3)
+    got = {r.doc_id: r.curvature for r in df.collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and got[4] is None and got[5] is None
+    for d, (x, mean, var) in sums.items():
+        assert got[d] == pytest.approx((x - mean) / math.sqrt(var)) if var else got[d] is None
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 1
+    none = LM.train(corpus.where("doc_id < 0"), V=4)
+    assert {r.curvature for r in S.sampled_curvature(none, texts, 3).collect()} == {None}
