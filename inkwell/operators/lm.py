@@ -34,6 +34,7 @@ from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,16 +219,23 @@ def vocab_constants(model: TokenModel, lam: float, lam_ref: float | None = None)
         F.sum(F.col("u") * F.ln("u") * F.ln("u")).alias("K2"))).scalar()
 
 
+def seen_pairs(model: TokenModel) -> DataFrame:
+    """The seen pairs with the unigram probability ``u`` of their token (which
+    a model made for scoring may already hold beside them)."""
+    if "u" in model.bigrams.columns:
+        return model.bigrams
+    return model.lookup(model.bigrams, model.vocab.select(F.col("token").alias("tok"), "u"), ["tok"])
+
+
 def context_stats(model: TokenModel, lam: float, lam_ref: float | None = None) -> DataFrame:
     """A9/A10 per context (<= V+1 rows): entropy of p_lam, and mean and
     variance of ln p_lam under the reference distribution p_lam_ref.
     Contexts without seen pairs (and the ``default`` row, ctx null) use the
     unigram distribution."""
     lr = lam if lam_ref is None else lam_ref
-    U = model.vocab
     b, bq = _b(lam), _b(lr)
     k = vocab_constants(model, lam, lam_ref)
-    s = model.lookup(model.bigrams, U.select(F.col("token").alias("tok"), "u"), ["tok"])
+    s = seen_pairs(model)
     p, q = _p(lam), _p(lr)
     seen = s.groupBy("ctx").agg(
         F.sum(p * F.ln(p) - b * F.ln(b)).alias("e"),
@@ -251,46 +259,105 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
     and ``rank`` = 1-based position of tok when the vocabulary is sorted by
     p_lam(.|ctx) descending, ties by token ascending.
 
-    rank = 1 + #{seen w ranked above} + #{unseen w ranked above}; the
+rank = 1 + #{seen w ranked above} + #{unseen w ranked above}; the
     unseen count is (#{all w: back-off ranked above}) - (#{seen w: back-off
-    ranked above}).  All three are running counts over one sorted table of
-    lanes: lane 2 holds the seen pairs of each context (counted +1 at their
-    probability, -1 at their back-off), lanes 0 and 1 the whole vocabulary on
-    the back-off and the unigram scale; the queries lie between them.  The
-    table is cut into balanced ranges, so no context is one task's."""
+    ranked above}).  The count over all w is a running count over one sorted
+    table of two lanes, the whole vocabulary on the back-off and the unigram
+    scale, the queries between; it is cut into balanced ranges.  The counts
+    over the seen pairs of a context are added up from parts of bounded size
+    (:func:`_seen_above`), so no context is one task's."""
     U = model.vocab.select(F.col("token").alias("tok"), "u")
-    cc = model.bigrams.select("ctx", "cc").distinct()
+    cc = model.bigrams.groupBy("ctx").agg(F.max("cc").alias("cc"), F.count("*").alias("n"))
     q = queries.select("ctx", "tok").distinct().join(model.bigrams.select("ctx", "tok", "c"), ["ctx", "tok"], "left")
     if not model.n_vocab:                                  # both are read by several branches
         q, cc = materialize(q), materialize(cc)
-    q = model.lookup(q, cc, ["ctx"], "left")
+    q = model.lookup(q, cc.select("ctx", "cc"), ["ctx"], "left")
     if not model.n_vocab:
         q = materialize(q)
     q = model.lookup(q, U, ["tok"])
     seen_ctx = F.col("cc").isNotNull()
     pq = F.when(seen_ctx, F.lit(lam) * F.coalesce(F.col("c"), F.lit(0)) / F.col("cc") + _b(lam)).otherwise(F.col("u"))
     q = q.select("ctx", F.col("tok").alias("token"), pq.alias("v"), seen_ctx.alias("known"))
+    if not model.n_vocab:
+        q = materialize(q)
 
-    s = model.lookup(model.bigrams, U, ["tok"])
+    s = seen_pairs(model).select("ctx", F.col("tok").alias("token"), _p(lam).alias("p"), _b(lam).alias("b"))
     none, zero = F.lit(None).cast("string"), F.lit(0)
-
-    ctx, tok, token = F.col("ctx"), F.col("tok"), F.col("token")
-    both = s.select("ctx", "tok", F.explode(F.array(
-        F.struct(_p(lam).alias("v"), F.lit(1).alias("add")), F.struct(_b(lam).alias("v"), F.lit(-1).alias("add")))).alias("r"))
     voc = model.vocab.select("token", F.explode(F.array(
         F.struct(zero.alias("lane"), _b(lam).alias("v")), F.struct(F.lit(1).alias("lane"), F.col("u").alias("v")))).alias("r"))
-    asked = q.select("ctx", "token", "v", F.explode(F.when(F.col("known"), F.array(zero, F.lit(2)))
-                                                    .otherwise(F.array(F.lit(1)))).alias("lane"))
     # At equal values and tokens a query comes before what it must not count.
-    every = (both.select(F.lit(2).alias("lane"), ctx.alias("grp"), tok.alias("token"), "r.v", F.lit(1).alias("kind"), "r.add", none.alias("ctx"))
-             .unionByName(voc.select("r.lane", none.alias("grp"), "token", "r.v", F.lit(1).alias("kind"), F.lit(1).alias("add"), none.alias("ctx")))
-             .unionByName(asked.select("lane", F.when(F.col("lane") == 2, ctx).alias("grp"), token, "v", zero.alias("kind"),
-                                       zero.alias("add"), ctx)))
-    sums = running_sums(every, ["lane", "grp"], [F.desc("v"), "token", "kind", "ctx"], {"above": F.col("add").cast("long")})
-    return (sums.where("kind = 0").groupBy("ctx", token.alias("tok"))
+    every = (voc.select("r.lane", "token", "r.v", F.lit(1).alias("kind"), none.alias("ctx"))
+             .unionByName(q.select(F.when(F.col("known"), 0).otherwise(1).alias("lane"), "token", "v", zero.alias("kind"), "ctx")))
+    sums = running_sums(every, "lane", [F.desc("v"), "token", "kind", "ctx"], {"above": F.col("kind").cast("long")})
+    both = sums.where("kind = 0").select("ctx", "token", "v", "above").unionByName(
+        _seen_above(s, q.where("known").select("ctx", "token", "v"), cc), allowMissingColumns=True)
+    return (both.groupBy("ctx", F.col("token").alias("tok"))
             .agg(F.ln(F.max("v")).alias("lp"), (F.sum("above") + 1).cast("bigint").alias("rank")))
 
 
+#: Most seen pairs of a context that are counted together.
+PART = 100_000
+
+
+def _seen_above(seen: DataFrame, asked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(ctx, token, above) of asked (ctx, token, v): how many seen pairs (ctx,
+    token, p, b) of the context lie above it by p, less those by b; summed over
+    the parts of contexts with more than ``PART`` of them (``sizes``: ctx, n)."""
+    ship_package(seen.sparkSession)
+    hot = F.broadcast(sizes.where(F.col("n") > PART).select("ctx", F.ceil(F.col("n") / PART).cast("int").alias("_parts")))
+    parts, none = F.coalesce("_parts", F.lit(1)), F.lit(None).cast("double")
+    rows = seen.join(hot, "ctx", "left").select("ctx", F.pmod(F.xxhash64("token"), parts).cast("int").alias("part"), "token", "p", "b", none.alias("v"))
+    rows = rows.unionByName(asked.join(hot, "ctx", "left").select(
+        "ctx", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "token", none.alias("p"), none.alias("b"), "v"))
+
+    def groups(t: pa.Table) -> np.ndarray:
+        ctx = t["ctx"].combine_chunks().dictionary_encode().indices.to_numpy()
+        return np.flatnonzero((np.diff(ctx) != 0) | (np.diff(t["part"].to_numpy()) != 0)) + 1
+
+    def counted(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        group = np.zeros(len(t), np.int64)
+        group[starts] = 1
+        group = np.cumsum(group)
+        words = t["token"].combine_chunks().dictionary_encode()
+        place = np.empty(len(words.dictionary), np.int64)
+        place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(place))
+        token, v = place[words.indices.to_numpy()], t["v"].to_numpy()
+        pair, ask = np.flatnonzero(np.isnan(v)), np.flatnonzero(~np.isnan(v))
+        row = np.concatenate([ask, pair, pair])
+        add = np.repeat(np.array([0, 1, -1]), [len(ask), len(pair), len(pair)])
+        value = np.concatenate([v[ask], t["p"].to_numpy()[pair], t["b"].to_numpy()[pair]])
+        order = np.lexsort((add != 0, token[row], -value, group[row]))
+        row, add = row[order], add[order]
+        total = np.cumsum(add)
+        first = np.searchsorted(group[row], np.arange(group[-1] + 1))
+        above = total - (total - add)[first][group[row]]
+        out = row[add == 0]
+        return pa.RecordBatch.from_arrays([t["ctx"].combine_chunks().take(pa.array(out)), t["token"].combine_chunks().take(pa.array(out)),
+                                           pa.array(above[add == 0].astype(np.int64))], names=["ctx", "token", "above"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, 1 << 18
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size > most:
+                t = pa.Table.from_batches(held)
+                starts = groups(t)
+                if len(starts):                            # the last group may go on
+                    yield counted(t.slice(0, starts[-1]), starts[:-1])
+                    t = t.slice(starts[-1])
+                held, size = t.to_batches(), len(t)
+                most = max(1 << 18, 2 * size)
+        if held:
+            t = pa.Table.from_batches(held)
+            yield counted(t, groups(t))
+
+    return (rows.repartition("ctx", "part").sortWithinPartitions("ctx", "part").mapInArrow(run, "ctx string, token string, above long")
+            .groupBy("ctx", "token").agg(F.sum("above").alias("above")))
+
+
 # --- The stored rank index of a bounded vocabulary ---------------------------------------
 
 #: An index is built while its tables are below this in the worst case, since
@@ -413,6 +480,7 @@ def _positions_scored(model: TokenModel, texts: DataFrame, lam: float, lam_ref:
     # Of the seen pairs only those of the contexts at hand matter from here on.
     asked = mapped.select("ctx").distinct()
     model = replace(model, bigrams=materialize(model.bigrams.join(asked, "ctx", "left_semi")))
+    model = replace(model, bigrams=materialize(seen_pairs(model)))
     ps = materialize(pair_stats(model, mapped.select("ctx", "tok"), lam))
     cs = materialize(context_stats(model, lam, lam_ref))
     ps = model.lookup(ps, cs.where(F.col("ctx").isNotNull()), ["ctx"], "left")
