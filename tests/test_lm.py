@@ -204,3 +204,27 @@ def test_counts_of_words_and_pairs_are_handed_on_in_parts(spark, monkeypatch):
         cloudpickle.unregister_pickle_by_value(LM)
     plan = LM._mapped_pairs(df, m.vocab, "text")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan                          # no row a word
+
+
+def test_pair_ranks_of_contexts_counted_in_parts(spark, monkeypatch):
+    """Contexts with more seen pairs than a part holds give the same ranks."""
+    import random
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    df = spark.createDataFrame([(i, " ".join(rnd.choice(["the", *words]) for _ in range(40))) for i in range(40)], "doc_id int, text string")
+    for V in (12, None):
+        m = LM.train(df, V=V)
+        vocab, bigrams = m.vocab.collect(), {(r.ctx, r.tok): r for r in m.bigrams.collect()}
+        u, cc = {r.token: r.u for r in vocab}, {r.ctx: r.cc for r in bigrams.values()}
+
+        def p(a, w):
+            c = bigrams[a, w].c if (a, w) in bigrams else 0
+            return 0.9 * c / cc[a] + (1.0 - 0.9) * u[w]
+
+        asked = [(a, w) for a in list(cc)[:6] for w in u]
+        want = {(a, w): 1 + sum((-p(a, x), x) < (-p(a, w), w) for x in u) for a, w in asked}
+        q = spark.createDataFrame(asked, "ctx string, tok string")
+        for part in (3, 1000):
+            monkeypatch.setattr(LM, "PART", part)
+            got = {(r.ctx, r.tok): r["rank"] for r in LM.pair_stats(m, q, 0.9).collect()}
+            assert got == want
