@@ -74,11 +74,12 @@ def fit_irls(train: DataFrame, group: str | None = None, features: str = "vec",
     per value of ``group`` (all in the same passes): (group, w, b, n).
 
     At most ``steps`` steps; each is one grouped aggregate of the gradient and the weighted Gram
-    matrix; (d + 1)(d + 2) / 2 + d + 1 numbers a group reach the driver, where
-    the step is solved.  Features are centred and scaled to [-1, 1] inside (w
+    matrix, added up inside the tasks by batches of rows; (d + 1)(d + 2) / 2 +
+    d + 1 numbers a group reach the driver, where the step is solved.  Features are centred and scaled to [-1, 1] inside (w
     and b are for the raw features); ``ridge`` times n keeps separable data
     finite.  Rows with a null feature or label are ignored; for few features
-    (each cell of the matrix is an aggregate of its own) below 10**15 in size."""
+    below 10**15 in size."""
+    ship_package(train.sparkSession)
     g = F.lit(0) if group is None else F.col(group)
     x = train.select(g.alias("_g"), F.col(features).cast("array<double>").alias("_x"), F.col(label).cast("double").alias("_y"))
     x = x.where("_y is not null and not exists(_x, v -> v is null or isnan(v))")
@@ -93,27 +94,22 @@ def fit_irls(train: DataFrame, group: str | None = None, features: str = "vec",
                                                           for k, f in (("s", _exact), ("lo", F.min), ("hi", F.max))]).collect()
     mean = {r["_g"]: (r["n"], [float(r[f"s{i}"]) / r["n"] for i in range(d)]) for r in told}
     scale = {r["_g"]: [max(r[f"hi{i}"] - m, m - r[f"lo{i}"]) or 1.0 for i, m in enumerate(mean[r["_g"]][1])] for r in told}
-    x = _with_model(_with_model(x, {k: m for k, (_, m) in mean.items()}, "_m"), scale, "_s")
-    z = F.zip_with(F.zip_with("_x", "_m", lambda a, b: a - b), "_s", lambda a, b: a / b)
-    x = x.select("_g", "_y", F.concat(z, F.array(F.lit(1.0))).alias("_z"))
+    keys = [k for k in mean if k is not None]
+    x = _with_model(x, {k: [i] for i, k in enumerate(keys)}, "_k").where(F.size("_x") == d)
+    x = x.select(F.col("_k")[0].cast("int").alias("_k"), "_y", "_x")
     cells = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
     weights, moved = {k: np.zeros(d + 1) for k in mean}, 1.0
     for _ in range(steps):
-        if moved < 1e-9:                                   # the next step would be far below that
+        if moved < 1e-9 or not keys:                       # the next step would be far below that
             break
         moved = 0.0
-        s = _with_model(x, {k: w.tolist() for k, w in weights.items()}, "_w")
-        s = s.withColumn("_p", 1.0 / (1.0 + F.exp(-M.dot("_z", "_w"))))
-        p, zi = F.col("_p"), [F.col("_z")[i] for i in range(d + 1)]
-        got = s.groupBy("_g").agg(*[_exact((F.col("_y") - p) * zi[i]).alias(f"g{i}") for i in range(d + 1)],
-                                  *[_exact(p * (1.0 - p) * zi[i] * zi[j]).alias(f"h{i}_{j}") for i, j in cells]).collect()
-        for r in got:
-            k, penalty = r["_g"], ridge * mean[r["_g"]][0]
+        for k, sums in _newton_sums(x, d, [(np.array(mean[k][1]), np.array(scale[k]), weights[k]) for k in keys]).items():
+            k, (grad, gram) = keys[k], (sums[:d + 1], sums[d + 1:])
+            penalty = ridge * mean[k][0]
             h = np.zeros((d + 1, d + 1))
-            for i, j in cells:
-                h[i, j] = h[j, i] = float(r[f"h{i}_{j}"])
-            grad = np.array([float(r[f"g{i}"]) for i in range(d + 1)])
-            way = np.linalg.solve(h + penalty * np.eye(d + 1), grad - penalty * weights[k])
+            for (i, j), v in zip(cells, gram):
+                h[i, j] = h[j, i] = v
+            way = np.linalg.solve(h + penalty * np.eye(d + 1), np.array(grad) - penalty * weights[k])
             weights[k], moved = weights[k] + way, max(moved, float(np.abs(way).max()))
     rows = []
     for k, w in weights.items():
@@ -122,6 +118,39 @@ def fit_irls(train: DataFrame, group: str | None = None, features: str = "vec",
     return x.sparkSession.createDataFrame(rows, f"`{group or 'one'}` {kind}, w array<double>, b double, n bigint")
 
 
+def _newton_sums(x: DataFrame, d: int, models: list[tuple]) -> dict[int, list[float]]:
+    """For each group ``_k``, the number of its model (mean, scale, weights):
+    the gradient's d + 1 sums, then the upper triangle of the Gram matrix.  The
+    tasks add up whole numbers of 2**-40, so the order of rows does not matter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group, y = b.column(0).to_numpy(), b.column(1).to_numpy()
+            x = b.column(2).flatten().to_numpy().reshape(len(y), d)
+            rows: list[tuple] = []
+            for k in np.unique(group):
+                mean, scale, w = models[k]
+                own = group == k
+                z = [(x[own, i] - mean[i]) / scale[i] for i in range(d)] + [np.ones(own.sum())]
+                with np.errstate(over="ignore"):
+                    p = 1.0 / (1.0 + np.exp(-sum(zi * wi for zi, wi in zip(z, w))))
+                q = p * (1.0 - p)
+                terms = [(y[own] - p) * zi for zi in z] + [q * z[i] * z[j] for i in range(d + 1) for j in range(i, d + 1)]
+                for at, v in enumerate(terms):
+                    whole = np.floor(v)
+                    part = int(np.rint((v - whole) * 2.0 ** 40).astype(np.int64).sum())
+                    rows.append((int(k), at, int(whole.astype(np.int64).sum()) + (part >> 40), part & ((1 << 40) - 1)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.int64()))],
+                                                 names=["_k", "at", "whole", "part"])
+
+    got = x.mapInArrow(run, "_k int, at int, whole long, part long").groupBy("_k", "at").agg(
+        F.sum("whole").alias("whole"), F.sum("part").alias("part")).collect()
+    out: dict[int, list[float]] = {}
+    for r in sorted(got):
+        out.setdefault(r["_k"], []).append(r["whole"] + r["part"] / 2.0 ** 40)
+    return out
+
+
 def _with_model(x: DataFrame, values: dict, name: str) -> DataFrame:
     """``x`` with the numbers of its group (one small array a group)."""
     rows = pa.table({"_g": pa.array(list(values)), name: pa.array([list(map(float, v)) for v in values.values()])})

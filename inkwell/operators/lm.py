@@ -30,7 +30,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
-from itertools import pairwise, repeat
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -365,6 +365,10 @@ def _seen_above(seen: DataFrame, asked: DataFrame, sizes: DataFrame) -> DataFram
 INDEX_BYTES = 256 << 20
 
 
+#: Sums over the predicted words of a text, of lp, rank, ln rank, entropy, mean, var.
+SUMS = ["_sl", "_sr", "_slr", "_se", "_sm", "_sv"]
+
+
 def _leading(arr: Column, holds, steps: int) -> Column:
     """How many leading elements of ``arr`` (fewer than 2**steps) satisfy
     ``holds``, which is true up to some place and false from there: binary
@@ -415,6 +419,61 @@ class RankIndex:
                         F.when(seen, F.col("rank")).when(new, at + 1).otherwise(at + 1 + moved).alias("rank"), ent, mean, var)
 
 
+    def arrays(self) -> tuple[dict[str, int], int, np.ndarray, np.ndarray, np.ndarray]:
+        """The look-ups of every pair of places as arrays: the place of each
+        known word and that of all others; ``lp`` and ``rank`` by context and
+        word (at most (V+1)^2 numbers each); entropy, mean, var by context."""
+        v, c, s = self.vocab.toArrow(), self.contexts.toArrow(), self.pairs.toArrow()
+        order = np.argsort(v["pos"].to_numpy())
+        n = len(order)
+        lb, lu = v["lb"].to_numpy()[order], v["lu"].to_numpy()[order]
+        at = np.arange(n)
+        lp, rank, stats = np.tile(lu, (n, 1)), np.tile(at + 1, (n, 1)), np.tile(np.array(self.default, float)[:, None], (1, n))
+        known = c["pos"].to_numpy()
+        for k, ps, gs in zip(known, c["ps"], c["gs"]):
+            lp[k] = lb
+            rank[k] += np.searchsorted(gs.values.to_numpy(), at, "right") - np.searchsorted(ps.values.to_numpy(), at)
+        stats[:, known] = [c[name].to_numpy() for name in ("entropy", "mean", "var")]
+        ctx, tok = np.divmod(s["key"].to_numpy(), self.n_vocab + 1)
+        lp[ctx, tok], rank[ctx, tok] = s["lp"].to_numpy(), s["rank"].to_numpy()
+        place = dict(zip(v["token"].to_pylist(), v["pos"].to_pylist()))
+        return place, place.pop(UNK), lp, rank.astype(np.int32), stats
+
+    def sums(self, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """doc_id and, over the predicted words of each text that has any, their
+        number and the sums of lp, rank, ln rank, entropy, mean and var.  The
+        tasks hold :meth:`arrays`; no position is a row."""
+        spark = texts.sparkSession
+        ship_package(spark)
+        shared = spark.sparkContext.broadcast(self.arrays())
+        x = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, other, lp, rank, stats = shared.value
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    words = [t.split() if t else [] for t in b.column(1).slice(i, 256).to_pylist()]
+                    size = np.array([len(w) for w in words])
+                    some = np.flatnonzero(size > 1)
+                    if not len(some):
+                        continue
+                    at = np.fromiter(map(place.get, chain.from_iterable(words[k] for k in some), repeat(other)), np.int64, size[some].sum())
+                    inner = np.ones(len(at), bool)
+                    inner[np.cumsum(size[some]) - 1] = False               # the last word of a text is no context
+                    ctx = at[inner]
+                    tok = at[1:][inner[:-1]]
+                    n = size[some] - 1
+                    first = np.cumsum(n) - n
+                    r = rank[ctx, tok].astype(np.int64)
+                    cols = [np.add.reduceat(v, first) for v in (lp[ctx, tok], r, np.log(r), *stats[:, ctx])]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256).take(pa.array(some)), pa.array(n), *map(pa.array, cols)],
+                                                     names=["doc_id", "n", *SUMS])
+
+        schema = f"doc_id {x.schema['doc_id'].dataType.simpleString()}, n long, " + ", ".join(
+            f"{c} {'long' if c == '_sr' else 'double'}" for c in SUMS)
+        return x.mapInArrow(run, schema)
+
+
 def _pair_key(ctx: str, tok: str, n_vocab: int) -> Column:
     return F.col(ctx).cast("long") * (n_vocab + 1) + F.col(tok)
 
@@ -466,11 +525,9 @@ def rank_index(model: TokenModel, lam: float, lam_ref: float | None = None) -> R
 
 
 def _positions_scored(model: TokenModel, texts: DataFrame, lam: float, lam_ref: float, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (how often), lp, rank, entropy, mean, var of the predicted words."""
+    """doc_id, n (how often), lp, rank, entropy, mean, var of the predicted
+    words, without an index."""
     pos = positions(texts, id_col, text_col)
-    index = rank_index(model, lam, lam_ref)
-    if index:
-        return index.scored(pos).withColumn("n", F.lit(1))
     # Positions collapse to distinct (doc, word pair) with a multiplicity;
     # words are mapped and scored once a distinct pair, and the pairs that a
     # large share of the texts holds are split off when they are joined back.
@@ -499,12 +556,15 @@ def criteria(model: TokenModel, texts: DataFrame, lam: float = 0.9, lam_ref: flo
     (A9), analytic curvature (A10/A11) and the scored token count
     (``n_tokens`` excludes the first word).  Texts with fewer than two
     words get nulls."""
-    x = _positions_scored(model, texts, lam, lam_ref, id_col, text_col)
-    n = F.col("n")
-    agg = x.groupBy("doc_id").agg(
-        F.sum(n).alias("n_tokens"), F.sum(n * F.col("lp")).alias("_sl"),
-        F.sum(n * F.col("rank")).alias("_sr"), F.sum(n * F.ln("rank")).alias("_slr"),
-        F.sum(n * F.col("entropy")).alias("_se"), F.sum(n * F.col("mean")).alias("_sm"), F.sum(n * F.col("var")).alias("_sv"))
+    index = rank_index(model, lam, lam_ref)
+    if index:                                              # added up in the tasks; rows that share an id below
+        x = index.sums(texts, id_col, text_col)
+    else:
+        n = F.col("n")
+        values = [n * F.col("lp"), n * F.col("rank"), n * F.ln("rank"), n * F.col("entropy"), n * F.col("mean"), n * F.col("var")]
+        x = _positions_scored(model, texts, lam, lam_ref, id_col, text_col).select(
+            "doc_id", "n", *[v.alias(c) for c, v in zip(SUMS, values)])
+    agg = x.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), *[F.sum(c).alias(c) for c in SUMS])
     nt = F.col("n_tokens").cast("double")
     res = agg.select(
         "doc_id", "n_tokens",

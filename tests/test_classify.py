@@ -62,6 +62,30 @@ def test_irls_with_odd_rows(spark):
     assert np.isfinite(one_class.w).all() and one_class.b > 0
 
 
+def test_irls_steps_are_added_up_inside_the_tasks(spark):
+    """The sums of a step leave a task once a batch and group, exact whatever
+    the batches; rows without a group give a model of zeros, as before."""
+    data = rows(300, 3) + [(None, [1.0, 2.0, 3.0], 1)]
+    df = spark.createDataFrame(data, "dom string, vec array<double>, label int")
+    assert {r.dom: r.w for r in CL.fit_irls(df, "dom").collect()}[None] == [0.0, 0.0, 0.0]
+    x = spark.createDataFrame([(k == "b", float(y), v) for k, v, y in data if k], "k boolean, _y double, _x array<double>")
+    x = x.selectExpr("cast(k as int) as _k", "_y", "_x")
+    models = [(np.zeros(3), np.ones(3), np.array([0.1, -0.2, 0.3, 0.5]))] * 2
+    sums = CL._newton_sums(x.repartition(5), 3, models)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert CL._newton_sums(x.coalesce(1), 3, models) == sums
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g, k in (("a", 0), ("b", 1)):
+        z = np.array([[*v, 1.0] for d, v, _ in data if d == g])
+        y = np.array([t for d, _, t in data if d == g])
+        p = 1 / (1 + np.exp(-z @ models[k][2]))
+        gram = (z * (p * (1 - p))[:, None]).T @ z
+        want = [*((y - p) @ z), *(gram[i, j] for i in range(4) for j in range(i, 4))]
+        assert sums[k] == pytest.approx(want, abs=1e-8)
+
+
 def test_linear_scores_of_every_model(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, -1.0])], "id long, vec array<double>")
     w = spark.createDataFrame([("p", [1.0, 1.0], 0.5), ("q", [2.0, 0.0], -1.0)], "m string, w array<double>, b double")

@@ -164,6 +164,32 @@ def test_rank_index_equals_the_counted_ranks(spark, V):
         assert r.rank == want.rank and r.lp == pytest.approx(want.lp, abs=1e-12), (a, b)
 
 
+def test_indexed_criteria_add_up_inside_the_tasks(spark):
+    """No position is a row: texts are scored from arrays, with the sums of the
+    look-ups by position; rows that share an id (or have none) stay as before."""
+    corpus = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    m = LM.train(corpus, V=5)
+    texts = [*enumerate(SCORED), (0, "the cat new"), (50, None), (51, ""), (52, "cat"), (None, "the cat"), (53, "the \u00a0cat\tnew <unk>")]
+    df = spark.createDataFrame(texts, "uid long, body string").repartition(3)
+    crit = LM.criteria(m, df, 0.9, 0.5, id_col="uid", text_col="body")
+    plan = crit._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    by_position = LM.rank_index(m, 0.9, 0.5).scored(LM.positions(df, "uid", "body")).collect()
+    got = crit.collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in got) == sorted((-1 if i is None else i) for i, _ in texts)
+    for r in got:
+        rows = [p for p in by_position if p.doc_id == r.doc_id and r.doc_id is not None]
+        if not rows:
+            assert r.n_tokens is None and r.likelihood is None
+            continue
+        n = len(rows)
+        assert r.n_tokens == n
+        assert r.likelihood == pytest.approx(sum(p.lp for p in rows) / n, rel=1e-12)
+        assert r["rank"] == pytest.approx(-sum(p["rank"] for p in rows) / n, rel=1e-12)
+        assert r.entropy == pytest.approx(sum(p.entropy for p in rows) / n, rel=1e-12)
+        assert r.curvature == pytest.approx(sum(p.lp - p["mean"] for p in rows) / sum(p["var"] for p in rows) ** 0.5, rel=1e-9, abs=1e-9)
+
+
 def test_no_index_beyond_its_size_bound(spark, monkeypatch):
     corpus = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
     scored = spark.createDataFrame(list(enumerate(SCORED)), "doc_id long, text string")
