@@ -27,7 +27,8 @@ context split the heavy keys off (:mod:`inkwell.operators.skew`).
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from itertools import chain, pairwise, repeat
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as T
 from inkwell.operators.ordering import running_sums
 from inkwell.operators.skew import lookup_join
-from inkwell.session import checkpoint_root, materialize, read_parquet_if_there, ship_package
+from inkwell.session import Scratch, checkpoint_root, materialize, read_parquet_if_there, ship_package, shuffles_removed
 
 # Fixed value: the token that stands for words outside the vocabulary.
 UNK = "<unk>"
@@ -132,6 +133,112 @@ def _mapped_pairs(texts: DataFrame, vocab: DataFrame, text_col: str) -> DataFram
     return c.select("ctx", "tok", "c")
 
 
+def _joined(rows: pa.Array, starts: np.ndarray) -> pa.Array:
+    """The words of each run of rows (given by its start) in one string: words
+    hold no white space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), rows), pa.scalar(" ", rows.type))
+
+
+def _lists(rows: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), pa.array(rows))
+
+
+def _dealt_pairs(texts: DataFrame, parts: dict[str, int], n_words: int, text_col: str) -> DataFrame:
+    """(ctx, part, tok, c) for a vocabulary of every word: how often a token
+    follows another, dealt by context and, for the contexts of ``parts``, by as
+    many parts of their tokens.  Tasks count a bounded number of pairs of places
+    in their own list of words; what follows a context reaches the shuffle as
+    one row, its words in one string, so that it takes a few bytes a pair."""
+    spark = texts.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(parts)
+
+    def added(pairs: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(pairs, kind="stable")
+        pairs, c = pairs[order], c[order]
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        return pairs[first], np.add.reduceat(c, first)
+
+    def table(words: list[str], pairs: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ctx, tok, part = pairs >> 32, pairs & 0xFFFFFFFF, np.zeros(len(pairs), np.int64)
+        if shared.value:
+            most = np.fromiter((shared.value.get(w, 1) for w in words), np.int64, len(words))
+            hot = np.flatnonzero(most[ctx] > 1)
+            at = np.unique(tok[hot])
+            number = np.zeros(len(words), np.int64)
+            number[at] = [zlib.crc32(words[k].encode()) for k in at]
+            part[hot] = number[tok[hot]] % most[ctx[hot]]
+            order = np.lexsort((part, ctx))
+            ctx, tok, part, c = ctx[order], tok[order], part[order], c[order]
+        start = np.flatnonzero((np.diff(ctx, prepend=-1) != 0) | (np.diff(part, prepend=0) != 0))
+        text = pa.array(words, pa.large_string())
+        for i in range(0, len(start), 1 << 14):
+            runs = start[i:i + (1 << 14)]
+            rows = slice(runs[0], start[i + (1 << 14)] if i + (1 << 14) < len(start) else len(ctx))
+            yield pa.RecordBatch.from_arrays([text.take(pa.array(ctx[runs])).cast(pa.string()), pa.array(part[runs].astype(np.int32)),
+                                              _joined(text.take(pa.array(tok[rows])), runs - runs[0]).cast(pa.string()),
+                                              _lists(c[rows], runs - runs[0])], names=["ctx", "part", "toks", "cs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: defaultdict[str, int] = defaultdict()
+        place.default_factory = place.__len__
+        held, size, pairs, c = [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
+        for words in _split_texts(batches):
+            if len(words) > 1:
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                held.append(at[:-1] << 32 | at[1:])
+                size += len(words)
+                if size > HELD:
+                    pairs, c = added(np.concatenate([pairs, *held]), np.concatenate([c, np.ones(sum(map(len, held)), np.int64)]))
+                    held, size = [], 0
+                    if len(pairs) > HELD or len(place) > COUNTED:
+                        yield from table(list(place), pairs, c)
+                        place.clear()
+                        pairs, c = pairs[:0], c[:0]
+        if held or len(pairs):
+            yield from table(list(place), *added(np.concatenate([pairs, *held]), np.concatenate([c, np.ones(sum(map(len, held)), np.int64)])))
+
+    rows = texts.select(text_col).mapInArrow(run, "ctx string, part int, toks string, cs array<long>")
+    # So many partitions that one holds a few million pairs at most.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // (1 << 21))
+    rows = rows.repartition(n, "ctx", "part").select("ctx", "part", F.explode(F.arrays_zip(F.split("toks", " ").alias("tok"), F.col("cs").alias("c"))).alias("r"))
+    return rows.groupBy("ctx", "part", F.col("r.tok").alias("tok")).agg(F.sum("r.c").alias("c"))
+
+
+def _train_whole(corpus: DataFrame, text_col: str, keep: Callable[[DataFrame, str], DataFrame]) -> TokenModel:
+    """:func:`train` with every word in the vocabulary (the reserved word stands
+    for itself): nothing to map, the pairs are moved once, packed, and meet the
+    counts of their contexts where they are added up."""
+    spark = corpus.sparkSession
+    scratch = Scratch(spark)
+    # A word with a space behind it: how often it ends a text, where it is no context.
+    ends = F.col("word").endswith(" ")
+    counts = scratch.write("words", tally(corpus, ["word"], lambda words: [*words, words[-1] + " "] if words else words, text_col))
+    words = counts.where(~ends)
+    r = words.agg(F.sum("c").alias("N"), F.sum((F.col("word") != UNK).cast("long")).alias("D"),
+                  F.sum(F.when(F.col("word") == UNK, F.col("c"))).alias("U")).first()
+    n_tot, known = r["N"] or 0, words.where(F.col("word") != UNK)
+    unk = spark.createDataFrame([(UNK, r["U"] or 0)], "token string, c long")
+    vocab = known.select(F.col("word").alias("token"), "c").unionByName(unk)
+    vocab = keep(vocab.withColumn("u", (F.col("c") + 1) / F.lit(n_tot + (r["D"] or 0) + 1)), "vocab")
+
+    # At most one context in PART words of the corpus.
+    hot = {r["word"]: -(-r["c"] // PART) for r in words.where(F.col("c") > PART).collect()}
+    last = counts.where(ends).select(F.rtrim("word").alias("word"), F.col("c").alias("last"))
+    cc = words.join(last, "word", "left").select(F.col("word").alias("ctx"), F.explode(F.sequence(
+        F.lit(0), F.when(F.col("c") > PART, F.ceil(F.col("c") / PART)).otherwise(1).cast("int") - 1)).alias("part"),
+        (F.col("c") - F.coalesce("last", F.lit(0))).alias("cc"))
+    pairs = _dealt_pairs(corpus, hot, n_tot, text_col)
+    big = pairs.join(cc.hint("shuffle_hash"), ["ctx", "part"]).sortWithinPartitions("ctx", "tok").select("ctx", "tok", "c", "cc")
+    model = TokenModel(vocab=vocab, bigrams=keep(big, "bigrams"), n_vocab=None)
+    scratch.drop()
+    return model
+
+
+#: Most tokens of an unbounded vocabulary that a look-up broadcasts.
+HEAD = 1 << 18
+
+
 @dataclass
 class TokenModel:
     """Counts of one training corpus; ``lam`` values give models."""
@@ -152,6 +259,24 @@ class TokenModel:
         join to the planner."""
         return F.broadcast(df) if self.n_vocab else df
 
+    def with_u(self, left: DataFrame) -> DataFrame:
+        """``left`` with the unigram probability ``u`` of its token ``tok``.
+        Without a bound the HEAD most frequent tokens at most are broadcast and
+        only the rows of rarer ones, none of them heavy, are moved."""
+        words = self.vocab.select(F.col("token").alias("tok"), "u", F.col("c").alias("_f"))
+        if self.n_vocab:
+            return left.join(F.broadcast(words.drop("_f")), ["tok"])
+        # One row a distinct count: of N words, no more than the root of 2 N.
+        sizes = words.groupBy("_f").agg(F.count("*").alias("n"))
+        upto = sizes.withColumn("n", F.sum("n").over(Window.orderBy(F.desc("_f")).rowsBetween(Window.unboundedPreceding, 0)))
+        least = upto.where(F.col("n") <= HEAD).agg(F.min("_f").alias("least")).first()["least"]
+        if least is None:
+            return left.join(words.drop("_f"), ["tok"])
+        head = words.where(F.col("_f") >= least).drop("_f")
+        out = left.join(F.broadcast(head), ["tok"])
+        rest = left.join(F.broadcast(head.select("tok")), ["tok"], "left_anti")
+        return out.unionByName(rest.join(words.where(F.col("_f") < least).drop("_f"), ["tok"]))
+
     def map_words(self, pos: DataFrame) -> DataFrame:
         """Map ctx_word/word to vocabulary tokens (``<unk>`` otherwise) with
         broadcast joins while the vocabulary is bounded (V+1 rows)."""
@@ -172,24 +297,24 @@ def train(corpus: DataFrame, V: int | None = 1000, id_col: str = "doc_id", text_
     table (distinct words; vocabulary-mapped pairs, at most (V+1)^2) — cheaper
     than one pass that ships every distinct raw word pair.  ``keep`` writes
     each table of the model and reads it back."""
+    if not V:
+        return _train_whole(corpus, text_col, keep)
     # Written once: the vocabulary, the totals and the reserved row read it.
     counts = materialize(tally(corpus, ["word"], lambda words: words, text_col))
     # A word that is literally the reserved token counts as out of vocabulary.
     known = counts.where(F.col("word") != UNK)
     # Distributed top-V (per-partition top-V, then merged: V bounded rows).
-    top = known.orderBy(F.desc("c"), F.asc("word")).limit(V) if V else known
+    top = known.orderBy(F.desc("c"), F.asc("word")).limit(V)
     totals = counts.agg(F.sum("c").alias("N"), F.sum((F.col("word") != UNK).cast("long")).alias("D"))
     n_tot = totals.select("N").scalar()
-    v1 = totals.select((F.least(F.col("D"), F.lit(V)) if V else F.col("D")) + 1).scalar()
+    v1 = totals.select(F.least(F.col("D"), F.lit(V)) + 1).scalar()
     unk = top.agg((n_tot - F.coalesce(F.sum("c"), F.lit(0))).alias("c")).select(F.lit(UNK).alias("token"), "c")
     vocab = top.select(F.col("word").alias("token"), "c").unionByName(unk)
     vocab = vocab.withColumn("u", (F.col("c") + 1) / (n_tot + v1))
     # The trained model is an artifact: both tables are written once to the
     # shared checkpoint folder and every consumer reads them from there.
-    model = TokenModel(vocab=keep(vocab.coalesce(1) if V else vocab, "vocab"), bigrams=None, n_vocab=V)  # type: ignore[arg-type]
-    # Every word of the corpus is in its whole vocabulary (the reserved word
-    # stands for itself): nothing to map.
-    big = materialize(_mapped_pairs(corpus, model.vocab, text_col) if V else tally(corpus, ["ctx", "tok"], pairwise, text_col))
+    model = TokenModel(vocab=keep(vocab.coalesce(1), "vocab"), bigrams=None, n_vocab=V)  # type: ignore[arg-type]
+    big = materialize(_mapped_pairs(corpus, model.vocab, text_col))
     cc = big.groupBy("ctx").agg(F.sum("c").alias("cc"))
     model.bigrams = keep(model.lookup(big, cc, ["ctx"]), "bigrams")
     return model
@@ -224,7 +349,7 @@ def seen_pairs(model: TokenModel) -> DataFrame:
     a model made for scoring may already hold beside them)."""
     if "u" in model.bigrams.columns:
         return model.bigrams
-    return model.lookup(model.bigrams, model.vocab.select(F.col("token").alias("tok"), "u"), ["tok"])
+    return model.with_u(model.bigrams)
 
 
 def context_stats(model: TokenModel, lam: float, lam_ref: float | None = None) -> DataFrame:
@@ -259,56 +384,79 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
     and ``rank`` = 1-based position of tok when the vocabulary is sorted by
     p_lam(.|ctx) descending, ties by token ascending.
 
-rank = 1 + #{seen w ranked above} + #{unseen w ranked above}; the
+    rank = 1 + #{seen w ranked above} + #{unseen w ranked above}; the
     unseen count is (#{all w: back-off ranked above}) - (#{seen w: back-off
-    ranked above}).  The count over all w is a running count over one sorted
-    table of two lanes, the whole vocabulary on the back-off and the unigram
-    scale, the queries between; it is cut into balanced ranges.  The counts
-    over the seen pairs of a context are added up from parts of bounded size
-    (:func:`_seen_above`), so no context is one task's."""
-    U = model.vocab.select(F.col("token").alias("tok"), "u")
-    cc = model.bigrams.groupBy("ctx").agg(F.max("cc").alias("cc"), F.count("*").alias("n"))
-    q = queries.select("ctx", "tok").distinct().join(model.bigrams.select("ctx", "tok", "c"), ["ctx", "tok"], "left")
-    if not model.n_vocab:                                  # both are read by several branches
-        q, cc = materialize(q), materialize(cc)
-    q = model.lookup(q, cc.select("ctx", "cc"), ["ctx"], "left")
-    if not model.n_vocab:
-        q = materialize(q)
-    q = model.lookup(q, U, ["tok"])
-    seen_ctx = F.col("cc").isNotNull()
-    pq = F.when(seen_ctx, F.lit(lam) * F.coalesce(F.col("c"), F.lit(0)) / F.col("cc") + _b(lam)).otherwise(F.col("u"))
-    q = q.select("ctx", F.col("tok").alias("token"), pq.alias("v"), seen_ctx.alias("known"))
-    if not model.n_vocab:
-        q = materialize(q)
-
-    s = seen_pairs(model).select("ctx", F.col("tok").alias("token"), _p(lam).alias("p"), _b(lam).alias("b"))
+    ranked above}).  The counts over the seen pairs of a context are added up
+    from parts of bounded size (:func:`_seen_above`), so no context is one
+    task's.  The count over all w is a running count over one sorted table of
+    two lanes, the whole vocabulary on the back-off and the unigram scale, the
+    queries between; it is cut into balanced ranges."""
+    scratch = Scratch(model.vocab.sparkSession)
+    q = scratch.write("asked", model.with_u(queries.select("ctx", "tok").distinct()))
+    # A context is followed by no more different words than words at all.
+    hot = (model.bigrams.where(F.col("cc") > PART).groupBy("ctx").agg(F.max("cc").alias("cc"), F.count("*").alias("n"))
+           .where(F.col("n") > PART).select("ctx", "cc", F.ceil(F.col("n") / PART).cast("int").alias("_parts")))
+    hot = materialize(hot)                                 # at most one row in PART pairs
+    s = seen_pairs(model).join(F.broadcast(hot.drop("cc")), "ctx", "left")
+    # Only the parts of a hot context need to be told the probability.
+    known = F.lit(lam) * F.coalesce(F.col("c"), F.lit(0)) / F.col("cc") + _b(lam)
+    told = (q.join(F.broadcast(hot), "ctx").join(s.where("_parts is not null").select("ctx", "tok", "c"), ["ctx", "tok"], "left")
+            .select("ctx", "tok", "u", known.alias("v"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part")))
+    cold = q.join(F.broadcast(hot.select("ctx")), "ctx", "left_anti")
+    asked = cold.select("ctx", "tok", "u", F.lit(None).cast("double").alias("v"), F.lit(0).alias("part")).unionByName(told)
+    q = scratch.write("above", _seen_above(s, asked, lam))
+    scratch.drop("asked")
+
     none, zero = F.lit(None).cast("string"), F.lit(0)
     voc = model.vocab.select("token", F.explode(F.array(
         F.struct(zero.alias("lane"), _b(lam).alias("v")), F.struct(F.lit(1).alias("lane"), F.col("u").alias("v")))).alias("r"))
     # At equal values and tokens a query comes before what it must not count.
-    every = (voc.select("r.lane", "token", "r.v", F.lit(1).alias("kind"), none.alias("ctx"))
-             .unionByName(q.select(F.when(F.col("known"), 0).otherwise(1).alias("lane"), "token", "v", zero.alias("kind"), "ctx")))
-    sums = running_sums(every, "lane", [F.desc("v"), "token", "kind", "ctx"], {"above": F.col("kind").cast("long")})
-    both = sums.where("kind = 0").select("ctx", "token", "v", "above").unionByName(
-        _seen_above(s, q.where("known").select("ctx", "token", "v"), cc), allowMissingColumns=True)
-    return (both.groupBy("ctx", F.col("token").alias("tok"))
-            .agg(F.ln(F.max("v")).alias("lp"), (F.sum("above") + 1).cast("bigint").alias("rank")))
+    every = (voc.select("r.lane", "token", "r.v", F.lit(1).alias("kind"), none.alias("ctx"), zero.cast("long").alias("seen"))
+             .unionByName(q.select(F.when(F.col("known"), 0).otherwise(1).alias("lane"), "token", "v", zero.alias("kind"), "ctx", F.col("above").alias("seen"))))
+    with shuffles_removed(scratch.spark):
+        sums = running_sums(every, "lane", [F.desc("v"), "token", "kind", "ctx"], {"above": F.col("kind").cast("long")})
+    scratch.drop("above")
+    return sums.where("kind = 0").select("ctx", F.col("token").alias("tok"), F.ln("v").alias("lp"),
+                                         (F.col("above") + F.col("seen") + 1).cast("bigint").alias("rank"))
 
 
 #: Most seen pairs of a context that are counted together.
 PART = 100_000
 
 
-def _seen_above(seen: DataFrame, asked: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(ctx, token, above) of asked (ctx, token, v): how many seen pairs (ctx,
-    token, p, b) of the context lie above it by p, less those by b; summed over
-    the parts of contexts with more than ``PART`` of them (``sizes``: ctx, n)."""
-    ship_package(seen.sparkSession)
-    hot = F.broadcast(sizes.where(F.col("n") > PART).select("ctx", F.ceil(F.col("n") / PART).cast("int").alias("_parts")))
-    parts, none = F.coalesce("_parts", F.lit(1)), F.lit(None).cast("double")
-    rows = seen.join(hot, "ctx", "left").select("ctx", F.pmod(F.xxhash64("token"), parts).cast("int").alias("part"), "token", "p", "b", none.alias("v"))
-    rows = rows.unionByName(asked.join(hot, "ctx", "left").select(
-        "ctx", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "token", none.alias("p"), none.alias("b"), "v"))
+def _packed(pairs: DataFrame) -> DataFrame:
+    """Seen pairs (ctx, tok, c, cc, u, _parts) with the pairs of a context that
+    lie side by side in one row: (ctx, part, cc, toks, cs, us).  A stored model
+    has those of a context together."""
+    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("tok"), F.col("_parts"))).cast("int").alias("part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in map(pa.Table.from_batches, ([b] for b in batches if b.num_rows)):
+            run = np.cumsum(np.diff(t["ctx"].combine_chunks().dictionary_encode().indices.to_numpy(), prepend=0) != 0)
+            part = t["part"].to_numpy()
+            if part.any():
+                order = np.lexsort((part, run))
+                t, run, part = t.take(pa.array(order)), run[order], part[order]
+            start = np.flatnonzero((np.diff(run, prepend=-1) != 0) | (np.diff(part, prepend=0) != 0))
+            first = t.select(["ctx", "part", "cc"]).take(pa.array(start)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in first.columns), _joined(t["tok"].combine_chunks().cast(pa.large_string()), start).cast(pa.string()),
+                                              _lists(t["c"].to_numpy(), start), _lists(t["u"].to_numpy(), start)], names=["ctx", "part", "cc", "toks", "cs", "us"])
+
+    return pairs.select("ctx", part, "cc", "tok", "c", "u").mapInArrow(run, "ctx string, part int, cc long, toks string, cs array<long>, us array<double>")
+
+
+def _seen_above(seen: DataFrame, asked: DataFrame, lam: float) -> DataFrame:
+    """(ctx, token, v, known, above) of asked (ctx, part, tok, u, v): how many
+    seen pairs (ctx, tok, c, cc, u, _parts) of the context lie above it by p,
+    less those by the back-off; summed over the parts of a context.  The
+    probability ``v`` is found among the seen pairs where it is not given, that
+    is, in contexts of one part; a context with none is not ``known``."""
+    spark = seen.sparkSession
+    ship_package(spark)
+    back = 1.0 - lam
+    null = {"cc": "long", "toks": "string", "cs": "array<long>", "us": "array<double>", "tok": "string", "u": "double", "v": "double"}
+    rows = _packed(seen).select("ctx", "part", "cc", "toks", "cs", "us", *[F.lit(None).cast(null[k]).alias(k) for k in ("tok", "u", "v")])
+    rows = rows.unionByName(asked.select("ctx", "part", *[F.lit(None).cast(null[k]).alias(k) for k in ("cc", "toks", "cs", "us")], "tok", "u", "v"))
 
     def groups(t: pa.Table) -> np.ndarray:
         ctx = t["ctx"].combine_chunks().dictionary_encode().indices.to_numpy()
@@ -318,22 +466,41 @@ def _seen_above(seen: DataFrame, asked: DataFrame, sizes: DataFrame) -> DataFram
         group = np.zeros(len(t), np.int64)
         group[starts] = 1
         group = np.cumsum(group)
-        words = t["token"].combine_chunks().dictionary_encode()
+        packed = t["toks"].is_valid().to_numpy()
+        have, want = np.flatnonzero(packed), np.flatnonzero(~packed)
+        of, by = t.take(pa.array(have)), t.take(pa.array(want))
+        lists = [of[k].combine_chunks() for k in ("cs", "us")]
+        size = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        toks = pc.list_flatten(pc.split_pattern(of["toks"].combine_chunks().cast(pa.large_string()), " "))
+        c, u = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        p = lam * c / np.repeat(of["cc"].to_numpy(), size) + back * u
+        words = pa.chunked_array([by["tok"].combine_chunks().cast(pa.large_string()), toks]).combine_chunks().dictionary_encode()
         place = np.empty(len(words.dictionary), np.int64)
         place[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(place))
-        token, v = place[words.indices.to_numpy()], t["v"].to_numpy()
-        pair, ask = np.flatnonzero(np.isnan(v)), np.flatnonzero(~np.isnan(v))
-        row = np.concatenate([ask, pair, pair])
-        add = np.repeat(np.array([0, 1, -1]), [len(ask), len(pair), len(pair)])
-        value = np.concatenate([v[ask], t["p"].to_numpy()[pair], t["b"].to_numpy()[pair]])
-        order = np.lexsort((add != 0, token[row], -value, group[row]))
-        row, add = row[order], add[order]
-        total = np.cumsum(add)
-        first = np.searchsorted(group[row], np.arange(group[-1] + 1))
-        above = total - (total - add)[first][group[row]]
-        out = row[add == 0]
-        return pa.RecordBatch.from_arrays([t["ctx"].combine_chunks().take(pa.array(out)), t["token"].combine_chunks().take(pa.array(out)),
-                                           pa.array(above[add == 0].astype(np.int64))], names=["ctx", "token", "above"])
+        token = place[words.indices.to_numpy()]
+        n, g, in_group = len(want), group[want], np.repeat(group[have], size)
+        ask, pair = token[:n], token[n:]
+        # The asked pairs among the seen ones of their group.
+        key = in_group * len(place) + pair
+        order = np.argsort(key)
+        at = np.searchsorted(key, g * len(place) + ask, sorter=order)
+        at = order[np.minimum(at, len(order) - 1)] if len(order) else at
+        cc, value, told = np.zeros(group[-1] + 1, np.int64), by["u"].to_numpy(), by["v"].to_numpy()
+        cc[group[have]] = of["cc"].to_numpy()
+        found = (key[at] == g * len(place) + ask) if len(order) else np.zeros(n, bool)
+        known = ~np.isnan(told) | (cc[g] > 0)
+        own = np.where(found, c[at] if len(order) else 0, 0)
+        v = np.where(np.isnan(told), np.where(known, lam * own / np.maximum(cc[g], 1) + back * value, value), told)
+
+        add = np.repeat(np.array([0, 1, -1]), [n, len(pair), len(pair)])
+        order = np.lexsort((add != 0, np.concatenate([ask, pair, pair]), -np.concatenate([v, p, back * u]), np.concatenate([g, in_group, in_group])))
+        total = np.cumsum(add[order])
+        above = np.empty(n, np.int64)
+        row = order[add[order] == 0]
+        # What a group begins with: both counts of a seen pair cancel out.
+        above[row] = total[add[order] == 0]
+        return pa.RecordBatch.from_arrays([by["ctx"].combine_chunks(), by["tok"].combine_chunks(), pa.array(v), pa.array(known), pa.array(above)],
+                                          names=["ctx", "token", "v", "known", "above"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, most = [], 0, 1 << 18
@@ -341,21 +508,24 @@ def _seen_above(seen: DataFrame, asked: DataFrame, sizes: DataFrame) -> DataFram
             if not b.num_rows:
                 continue
             held.append(b)
-            size += b.num_rows
+            size += b.num_rows + len(b["cs"].flatten())
             if size > most:
                 t = pa.Table.from_batches(held)
                 starts = groups(t)
                 if len(starts):                            # the last group may go on
                     yield counted(t.slice(0, starts[-1]), starts[:-1])
                     t = t.slice(starts[-1])
-                held, size = t.to_batches(), len(t)
+                held = t.to_batches()
+                size = sum(b.num_rows + len(b["cs"].flatten()) for b in held)
                 most = max(1 << 18, 2 * size)
         if held:
             t = pa.Table.from_batches(held)
             yield counted(t, groups(t))
 
-    return (rows.repartition("ctx", "part").sortWithinPartitions("ctx", "part").mapInArrow(run, "ctx string, token string, above long")
-            .groupBy("ctx", "token").agg(F.sum("above").alias("above")))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), seen.count() // (1 << 20))
+    found = rows.repartition(n, "ctx", "part").sortWithinPartitions("ctx", "part").mapInArrow(
+        run, "ctx string, token string, v double, known boolean, above long")
+    return found.groupBy("ctx", "token").agg(F.max("v").alias("v"), F.max("known").alias("known"), F.sum("above").alias("above"))
 
 
 # --- The stored rank index of a bounded vocabulary ---------------------------------------
@@ -524,29 +694,65 @@ def rank_index(model: TokenModel, lam: float, lam_ref: float | None = None) -> R
     return RankIndex(*tables[:3], (d["entropy"], d["mean"], d["var"]), model.n_vocab)
 
 
-def _positions_scored(model: TokenModel, texts: DataFrame, lam: float, lam_ref: float, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (how often), lp, rank, entropy, mean, var of the predicted
-    words, without an index."""
-    pos = positions(texts, id_col, text_col)
-    # Positions collapse to distinct (doc, word pair) with a multiplicity;
+def _text_pairs(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, ctx_word, word, n: how often a word follows another in a text."""
+    ship_package(texts.sparkSession)
+    x = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                counts = [Counter(pairwise(t.split())) if t else {} for t in b.column(1).slice(i, 256).to_pylist()]
+                of = np.repeat(np.arange(len(counts)), [len(k) for k in counts])
+                if len(of):
+                    pairs = list(chain.from_iterable(counts))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256).take(pa.array(of)), *(pa.array(w, pa.string()) for w in zip(*pairs)),
+                                                      pa.array(list(chain.from_iterable(k.values() for k in counts)), pa.int64())],
+                                                     names=["doc_id", "ctx_word", "word", "n"])
+
+    return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, ctx_word string, word string, n long")
+
+
+def _of_contexts(bigrams: DataFrame, asked: DataFrame) -> DataFrame:
+    """The pairs of the contexts ``asked`` (ctx), and of some others whose hash
+    has the same bit among 2**26, by a broadcast of 2**20 rows at most."""
+    h = F.pmod(F.xxhash64("ctx"), F.lit(1 << 26))
+    row, bit = F.floor(h / 64).cast("long").alias("_row"), (h % 64).cast("int").alias("_bit")
+    bits = asked.select(row, bit).groupBy("_row").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    x = bigrams.select("*", row, bit).join(F.broadcast(bits), "_row")
+    return x.where(F.getbit("_bits", "_bit") == 1).select(*bigrams.columns)
+
+
+def _sums_by_text(model: TokenModel, texts: DataFrame, lam: float, lam_ref: float, id_col: str, text_col: str) -> DataFrame:
+    """As :meth:`RankIndex.sums` (a row a doc_id), without an index."""
+    scratch = Scratch(texts.sparkSession)
+    # Positions collapse to distinct word pairs of a text with a multiplicity;
     # words are mapped and scored once a distinct pair, and the pairs that a
     # large share of the texts holds are split off when they are joined back.
-    m = materialize(pos.groupBy("doc_id", "ctx_word", "word").agg(F.count("*").alias("n")))
-    pairs = materialize(m.select("ctx_word", "word").distinct())
-    mapped = materialize(model.map_words(pairs.select("*", F.col("ctx_word").alias("_a"), F.col("word").alias("_w"))))
+    m = scratch.write("text_pairs", _text_pairs(texts, id_col, text_col))
+    pairs = scratch.write("pairs", m.select("ctx_word", "word").distinct())
+    mapped = scratch.write("mapped", model.map_words(pairs.select("*", F.col("ctx_word").alias("_a"), F.col("word").alias("_w"))))
+    scratch.drop("pairs")
     # Of the seen pairs only those of the contexts at hand matter from here on.
-    asked = mapped.select("ctx").distinct()
-    model = replace(model, bigrams=materialize(model.bigrams.join(asked, "ctx", "left_semi")))
-    model = replace(model, bigrams=materialize(seen_pairs(model)))
-    ps = materialize(pair_stats(model, mapped.select("ctx", "tok"), lam))
-    cs = materialize(context_stats(model, lam, lam_ref))
+    model = replace(model, bigrams=_of_contexts(model.bigrams, mapped))
+    model = replace(model, bigrams=scratch.write("seen", seen_pairs(model)))
+    cs = scratch.write("contexts", context_stats(model, lam, lam_ref))
+    ps = scratch.write("ranks", pair_stats(model, mapped.select("ctx", "tok"), lam))
+    scratch.drop("seen")
     ps = model.lookup(ps, cs.where(F.col("ctx").isNotNull()), ["ctx"], "left")
     # Contexts without seen pairs take the default (unigram) statistics.
     d = default_stats(vocab_constants(model, lam, lam_ref))
     ps = ps.select("ctx", "tok", "lp", "rank", *[F.coalesce(c, v).alias(c) for c, v in zip(("entropy", "mean", "var"), d)])
-    raw = mapped.join(ps, ["ctx", "tok"]).select(F.col("_a").alias("ctx_word"), F.col("_w").alias("word"),
-                                                 "lp", "rank", "entropy", "mean", "var")
-    return lookup_join(m, materialize(raw), ["ctx_word", "word"])
+    raw = scratch.write("scores", mapped.join(ps, ["ctx", "tok"]).select(F.col("_a").alias("ctx_word"), F.col("_w").alias("word"),
+                                                                         "lp", "rank", "entropy", "mean", "var"))
+    scratch.drop("mapped", "contexts", "ranks")
+    n = F.col("n")
+    values = [n * F.col("lp"), n * F.col("rank"), n * F.ln("rank"), n * F.col("entropy"), n * F.col("mean"), n * F.col("var")]
+    x = lookup_join(m, raw, ["ctx_word", "word"]).groupBy("doc_id").agg(F.sum("n").alias("n"), *[F.sum(v).alias(c) for c, v in zip(SUMS, values)])
+    with shuffles_removed(scratch.spark):
+        x = materialize(x)
+    scratch.drop()
+    return x
 
 
 def criteria(model: TokenModel, texts: DataFrame, lam: float = 0.9, lam_ref: float = 0.5,
@@ -560,10 +766,7 @@ def criteria(model: TokenModel, texts: DataFrame, lam: float = 0.9, lam_ref: flo
     if index:                                              # added up in the tasks; rows that share an id below
         x = index.sums(texts, id_col, text_col)
     else:
-        n = F.col("n")
-        values = [n * F.col("lp"), n * F.col("rank"), n * F.ln("rank"), n * F.col("entropy"), n * F.col("mean"), n * F.col("var")]
-        x = _positions_scored(model, texts, lam, lam_ref, id_col, text_col).select(
-            "doc_id", "n", *[v.alias(c) for c, v in zip(SUMS, values)])
+        x = _sums_by_text(model, texts, lam, lam_ref, id_col, text_col)
     agg = x.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), *[F.sum(c).alias(c) for c in SUMS])
     nt = F.col("n_tokens").cast("double")
     res = agg.select(
@@ -609,7 +812,8 @@ def load_or_train(spark, corpus: DataFrame, corpus_key: str, V: int | None = 100
     root = f"{checkpoint_root(spark).rstrip('/')}/token-models/{key}"
     if read_parquet_if_there(spark, f"{root}/_complete") is None:     # a miss or an unfinished write
         def keep(df: DataFrame, name: str) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            with shuffles_removed(spark):
+                df.write.mode("overwrite").parquet(f"{root}/{name}")
             return spark.read.parquet(f"{root}/{name}")
 
         train(corpus, V, keep=keep)

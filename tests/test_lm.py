@@ -254,3 +254,26 @@ def test_pair_ranks_of_contexts_counted_in_parts(spark, monkeypatch):
             monkeypatch.setattr(LM, "PART", part)
             got = {(r.ctx, r.tok): r["rank"] for r in LM.pair_stats(m, q, 0.9).collect()}
             assert got == want
+
+
+def test_whole_vocabulary_leaves_only_the_model_on_disk(spark, tmp_path):
+    """Tables on the way to the criteria go when they have been read, and so do
+    the files of their shuffles: with the words of every text in the model, they
+    would be many times its size."""
+    import os
+    import random
+
+    from inkwell.session import checkpoint_root
+    rnd = random.Random(7)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.6)) % 5000}" for _ in range(400)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    root = checkpoint_root(spark).removeprefix("file:")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    size = lambda d: sum(os.path.getsize(os.path.join(r, f)) for r, _, names in os.walk(str(d)) for f in names if "broadcast" not in f)
+    used = lambda: size(root) + sum(size(d) for d in local)
+    before = used()
+    m = LM.load_or_train(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), f"{tmp_path}/documents.parquet", V=None)
+    crit = LM.criteria(m, df, 0.9, 0.5)
+    assert used() - before < 3 * size(m.path.removeprefix("file:"))        # 51 times with every table kept
+    assert crit.where("likelihood < 0 and rank < 0 and entropy > 0").count() == len(texts)
