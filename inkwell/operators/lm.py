@@ -27,11 +27,11 @@ context split the heavy keys off (:mod:`inkwell.operators.skew`).
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from itertools import chain, pairwise, repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +166,7 @@ def _dealt_pairs(texts: DataFrame, parts: dict[str, int], n_words: int, text_col
             hot = np.flatnonzero(most[ctx] > 1)
             at = np.unique(tok[hot])
             number = np.zeros(len(words), np.int64)
-            number[at] = [zlib.crc32(words[k].encode()) for k in at]
+            number[at] = [crc32(words[k].encode()) for k in at]
             part[hot] = number[tok[hot]] % most[ctx[hot]]
             order = np.lexsort((part, ctx))
             ctx, tok, part, c = ctx[order], tok[order], part[order], c[order]
@@ -177,7 +177,7 @@ def _dealt_pairs(texts: DataFrame, parts: dict[str, int], n_words: int, text_col
             rows = slice(runs[0], start[i + (1 << 14)] if i + (1 << 14) < len(start) else len(ctx))
             yield pa.RecordBatch.from_arrays([text.take(pa.array(ctx[runs])).cast(pa.string()), pa.array(part[runs].astype(np.int32)),
                                               _joined(text.take(pa.array(tok[rows])), runs - runs[0]).cast(pa.string()),
-                                              _lists(c[rows], runs - runs[0])], names=["ctx", "part", "toks", "cs"])
+                                              _lists(c[rows].astype(np.int32), runs - runs[0])], names=["ctx", "part", "toks", "cs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: defaultdict[str, int] = defaultdict()
@@ -198,9 +198,9 @@ def _dealt_pairs(texts: DataFrame, parts: dict[str, int], n_words: int, text_col
         if held or len(pairs):
             yield from table(list(place), *added(np.concatenate([pairs, *held]), np.concatenate([c, np.ones(sum(map(len, held)), np.int64)])))
 
-    rows = texts.select(text_col).mapInArrow(run, "ctx string, part int, toks string, cs array<long>")
-    # So many partitions that one holds a few million pairs at most.
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // (1 << 21))
+    rows = texts.select(text_col).mapInArrow(run, "ctx string, part int, toks string, cs array<int>")
+    # So many partitions that one adds up about a million pairs at most.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // (1 << 20))
     rows = rows.repartition(n, "ctx", "part").select("ctx", "part", F.explode(F.arrays_zip(F.split("toks", " ").alias("tok"), F.col("cs").alias("c"))).alias("r"))
     return rows.groupBy("ctx", "part", F.col("r.tok").alias("tok")).agg(F.sum("r.c").alias("c"))
 
@@ -236,7 +236,7 @@ def _train_whole(corpus: DataFrame, text_col: str, keep: Callable[[DataFrame, st
 
 
 #: Most tokens of an unbounded vocabulary that a look-up broadcasts.
-HEAD = 1 << 18
+HEAD = 1 << 19
 
 
 @dataclass
@@ -272,10 +272,9 @@ class TokenModel:
         least = upto.where(F.col("n") <= HEAD).agg(F.min("_f").alias("least")).first()["least"]
         if least is None:
             return left.join(words.drop("_f"), ["tok"])
-        head = words.where(F.col("_f") >= least).drop("_f")
-        out = left.join(F.broadcast(head), ["tok"])
-        rest = left.join(F.broadcast(head.select("tok")), ["tok"], "left_anti")
-        return out.unionByName(rest.join(words.where(F.col("_f") < least).drop("_f"), ["tok"]))
+        x = left.join(F.broadcast(words.where(F.col("_f") >= least).drop("_f")), ["tok"], "left")
+        rest = x.where(F.col("u").isNull()).drop("u").join(words.where(F.col("_f") < least).drop("_f"), ["tok"])
+        return x.where(F.col("u").isNotNull()).unionByName(rest)
 
     def map_words(self, pos: DataFrame) -> DataFrame:
         """Map ctx_word/word to vocabulary tokens (``<unk>`` otherwise) with
@@ -379,7 +378,8 @@ def default_stats(k: Column) -> list[Column]:
             (k["K2"] - k["K1"] * k["K1"]).alias("var")]
 
 
-def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
+def pair_stats(model: TokenModel, queries: DataFrame, lam: float, into: Scratch | None = None,
+               counted: Callable[[], object] = lambda: None) -> DataFrame:
     """W1 + A6 for distinct (ctx, tok) query pairs: ``lp`` = ln p_lam(tok|ctx)
     and ``rank`` = 1-based position of tok when the vocabulary is sorted by
     p_lam(.|ctx) descending, ties by token ascending.
@@ -390,7 +390,9 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
     from parts of bounded size (:func:`_seen_above`), so no context is one
     task's.  The count over all w is a running count over one sorted table of
     two lanes, the whole vocabulary on the back-off and the unigram scale, the
-    queries between; it is cut into balanced ranges."""
+    queries between; it is cut into balanced ranges, written as ``ranges`` of
+    ``into`` (else checkpointed).  ``counted`` is called when the seen pairs have
+    been read."""
     scratch = Scratch(model.vocab.sparkSession)
     q = scratch.write("asked", model.with_u(queries.select("ctx", "tok").distinct()))
     # A context is followed by no more different words than words at all.
@@ -406,6 +408,9 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
     asked = cold.select("ctx", "tok", "u", F.lit(None).cast("double").alias("v"), F.lit(0).alias("part")).unionByName(told)
     q = scratch.write("above", _seen_above(s, asked, lam))
     scratch.drop("asked")
+    counted()
+    whole = q.where(~F.col("told")).drop("told")
+    q = whole.unionByName(q.where("told").groupBy("ctx", "token").agg(F.max("v").alias("v"), F.max("known").alias("known"), F.sum("above").alias("above")))
 
     none, zero = F.lit(None).cast("string"), F.lit(0)
     voc = model.vocab.select("token", F.explode(F.array(
@@ -414,7 +419,8 @@ def pair_stats(model: TokenModel, queries: DataFrame, lam: float) -> DataFrame:
     every = (voc.select("r.lane", "token", "r.v", F.lit(1).alias("kind"), none.alias("ctx"), zero.cast("long").alias("seen"))
              .unionByName(q.select(F.when(F.col("known"), 0).otherwise(1).alias("lane"), "token", "v", zero.alias("kind"), "ctx", F.col("above").alias("seen"))))
     with shuffles_removed(scratch.spark):
-        sums = running_sums(every, "lane", [F.desc("v"), "token", "kind", "ctx"], {"above": F.col("kind").cast("long")})
+        sums = running_sums(every, "lane", [F.desc("v"), "token", "kind", "ctx"], {"above": F.col("kind").cast("long")},
+                            keep=into and (lambda df: into.write("ranges", df)))
     scratch.drop("above")
     return sums.where("kind = 0").select("ctx", F.col("token").alias("tok"), F.ln("v").alias("lp"),
                                          (F.col("above") + F.col("seen") + 1).cast("bigint").alias("rank"))
@@ -446,11 +452,11 @@ def _packed(pairs: DataFrame) -> DataFrame:
 
 
 def _seen_above(seen: DataFrame, asked: DataFrame, lam: float) -> DataFrame:
-    """(ctx, token, v, known, above) of asked (ctx, part, tok, u, v): how many
-    seen pairs (ctx, tok, c, cc, u, _parts) of the context lie above it by p,
-    less those by the back-off; summed over the parts of a context.  The
-    probability ``v`` is found among the seen pairs where it is not given, that
-    is, in contexts of one part; a context with none is not ``known``."""
+    """(ctx, token, v, known, above, told) of asked (ctx, part, tok, u, v): how
+    many seen pairs (ctx, tok, c, cc, u, _parts) of the part of a context lie
+    above it by p, less those by the back-off.  The probability ``v`` is found
+    among the seen pairs where it is not ``told``, that is, in contexts of one
+    part; a context with none is not ``known``."""
     spark = seen.sparkSession
     ship_package(spark)
     back = 1.0 - lam
@@ -499,8 +505,8 @@ def _seen_above(seen: DataFrame, asked: DataFrame, lam: float) -> DataFrame:
         row = order[add[order] == 0]
         # What a group begins with: both counts of a seen pair cancel out.
         above[row] = total[add[order] == 0]
-        return pa.RecordBatch.from_arrays([by["ctx"].combine_chunks(), by["tok"].combine_chunks(), pa.array(v), pa.array(known), pa.array(above)],
-                                          names=["ctx", "token", "v", "known", "above"])
+        return pa.RecordBatch.from_arrays([by["ctx"].combine_chunks(), by["tok"].combine_chunks(), pa.array(v), pa.array(known), pa.array(above), pa.array(~np.isnan(told))],
+                                          names=["ctx", "token", "v", "known", "above", "told"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, most = [], 0, 1 << 18
@@ -523,9 +529,8 @@ def _seen_above(seen: DataFrame, asked: DataFrame, lam: float) -> DataFrame:
             yield counted(t, groups(t))
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), seen.count() // (1 << 20))
-    found = rows.repartition(n, "ctx", "part").sortWithinPartitions("ctx", "part").mapInArrow(
-        run, "ctx string, token string, v double, known boolean, above long")
-    return found.groupBy("ctx", "token").agg(F.max("v").alias("v"), F.max("known").alias("known"), F.sum("above").alias("above"))
+    return rows.repartition(n, "ctx", "part").sortWithinPartitions("ctx", "part").mapInArrow(
+        run, "ctx string, token string, v double, known boolean, above long, told boolean")
 
 
 # --- The stored rank index of a bounded vocabulary ---------------------------------------
@@ -737,8 +742,8 @@ def _sums_by_text(model: TokenModel, texts: DataFrame, lam: float, lam_ref: floa
     model = replace(model, bigrams=_of_contexts(model.bigrams, mapped))
     model = replace(model, bigrams=scratch.write("seen", seen_pairs(model)))
     cs = scratch.write("contexts", context_stats(model, lam, lam_ref))
-    ps = scratch.write("ranks", pair_stats(model, mapped.select("ctx", "tok"), lam))
-    scratch.drop("seen")
+    ps = scratch.write("ranks", pair_stats(model, mapped.select("ctx", "tok"), lam, scratch, lambda: scratch.drop("seen")))
+    scratch.drop("ranges")
     ps = model.lookup(ps, cs.where(F.col("ctx").isNotNull()), ["ctx"], "left")
     # Contexts without seen pairs take the default (unigram) statistics.
     d = default_stats(vocab_constants(model, lam, lam_ref))

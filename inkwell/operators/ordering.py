@@ -16,6 +16,8 @@ there are ranked (radix selection).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,9 +45,10 @@ def _eq_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
 
 
 def running_sums(df: DataFrame, group_cols, order_cols: list[Column | str], values: dict[str, Column],
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Exact inclusive running sums of ``values`` (name -> column) inside each
-    group in the given (total) order, with balanced tasks (see module doc)."""
+    group in the given (total) order, with balanced tasks (see module doc).
+    ``keep`` writes the bucketed rows and reads them back (else a checkpoint)."""
     g = _cols(group_cols)
     spark = df.sparkSession
     checkpoint_root(spark)
@@ -56,9 +59,8 @@ def running_sums(df: DataFrame, group_cols, order_cols: list[Column | str], valu
     # Without an explicit count AQE may merge adjacent ranges on small
     # inputs; merged ranges are still contiguous, so ids stay monotone.
     ranged = x.repartitionByRange(buckets, *keys) if buckets else x.repartitionByRange(*keys)
-    b = (ranged
-           .withColumn("_b", F.spark_partition_id())
-           .checkpoint(eager=True))
+    b = ranged.withColumn("_b", F.spark_partition_id())
+    b = keep(b) if keep else b.checkpoint(eager=True)
     tot = b.groupBy(*g, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in names])
     wg = Window.partitionBy(*g) if g else Window.partitionBy(F.lit(0))
     before = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
