@@ -277,3 +277,36 @@ def test_whole_vocabulary_leaves_only_the_model_on_disk(spark, tmp_path):
     crit = LM.criteria(m, df, 0.9, 0.5)
     assert used() - before < 3 * size(m.path.removeprefix("file:"))        # 51 times with every table kept
     assert crit.where("likelihood < 0 and rank < 0 and entropy > 0").count() == len(texts)
+
+
+def test_whole_vocabulary_in_parts_equals_dense(spark, monkeypatch):
+    """Contexts dealt in parts while they are counted and ranked, and look-ups
+    of which few words are broadcast, give the same rows."""
+    corpus = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string").repartition(3)
+    scored = spark.createDataFrame(list(enumerate(SCORED)), "doc_id long, text string")
+    count = {}
+    for t in CORPUS:
+        for a, b in zip(t.split(), t.split()[1:]):
+            count[a, b] = count.get((a, b), 0) + 1
+    exp = dense(100, 0.9, 0.5)
+    for part, head in ((2, 3), (100, 0)):
+        monkeypatch.setattr(LM, "PART", part)
+        monkeypatch.setattr(LM, "HEAD", head)
+        m = LM.train(corpus, V=None)
+        rows = m.bigrams.collect()
+        assert len(rows) == len(count) and {(r.ctx, r.tok): r.c for r in rows} == count
+        assert all(r.cc == sum(c for (a, _), c in count.items() if a == r.ctx) for r in rows)
+        u = {r.token: r.u for r in m.vocab.collect()}
+        assert sorted((r.ctx, r.tok, r.u) for r in LM.seen_pairs(m).collect()) == sorted((a, b, u[b]) for a, b in count)
+        got = {r.doc_id: r for r in LM.criteria(m, scored, 0.9, 0.5).collect()}
+        for i, e in exp.items():
+            for k, v in (e or {}).items():
+                assert getattr(got[i], k) == pytest.approx(v, rel=1e-9, abs=1e-9), (part, head, i, k)
+
+
+def test_pairs_of_asked_contexts_are_kept(spark):
+    pairs = spark.createDataFrame([(f"w{i % 300}", f"t{i}", 1, 5) for i in range(900)], "ctx string, tok string, c long, cc long")
+    asked = spark.createDataFrame([(f"w{i}",) for i in (0, 7, 7, 299)] + [("new",)], "ctx string")
+    got = LM._of_contexts(pairs, asked).collect()
+    want = [r for r in pairs.collect() if r.ctx in ("w0", "w7", "w299")]
+    assert sorted(r for r in got if r.ctx in ("w0", "w7", "w299")) == sorted(want) and len(got) < 20
